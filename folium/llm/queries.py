@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import lm, quality, simhash, toxicity
+from folium.llm import decontam, licenses, lm, packing, pii, quality, rules, simhash, toxicity, urls
 from folium.llm.common import crc_mod, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,9 +49,109 @@ def op7_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_groups(read_table(spark, sf_dir, "documents"), words=4, radius=4)
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"), licenses.template_table(spark))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(pii.labelled_table(spark)), base="base", spans="all")
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("all").alias("spans"))
+
+
+def dated_entries(pages: DataFrame) -> DataFrame:
+    """A dated list for the pages at hand: every domain seen (without www, m, blog) is blocked on one day, and two in three are allowed again later; one whole zone is blocked for a while."""
+    domain = F.regexp_replace(urls.host_of(F.col("url")), r"^(www|m|blog)\.", "")
+    domains = pages.select(domain.alias("domain")).filter("domain <> ''").distinct().withColumn("n", F.crc32(F.encode("domain", "UTF-8")))
+    start = F.lit("2024-01-01").cast("date")
+    blocked = domains.select("domain", F.lit("block").alias("action"), F.date_add(start, F.pmod("n", F.lit(300)).cast("int")).alias("since"))
+    allowed = domains.filter("pmod(n, 3) > 0").select("domain", F.lit("allow").alias("action"), F.date_add(start, (F.pmod("n", F.lit(300)) + 20 + F.pmod("n", F.lit(41))).cast("int")).alias("since"))
+    zone = pages.sparkSession.createDataFrame([("example.net", "block", "2024-03-01"), ("example.net", "allow", "2024-04-15")], "domain string, action string, since string")
+    return blocked.unionByName(allowed).unionByName(zone.withColumn("since", F.col("since").cast("date")))
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages carry no fetch date, so the query dates them by rule: a day of 2024 for each page."""
+    pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod(F.col("page_id") * 7, F.lit(366)).cast("int"))
+    return urls.judge(pages.withColumn("fetched", fetched), dated_entries(pages), ["page_id"])
+
+
+OP5_SQL = """
+WITH hosts AS (SELECT DISTINCT page_id, url, DATE '2024-01-01' + ((page_id * 7) % 366)::INT AS fetched,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(url), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', ''), '^.*@', ''), '\\.*(:[0-9]*)?$', '') AS host FROM pages),
+crc AS (SELECT DISTINCT regexp_replace(host, '^(www|m|blog)\\.', '') AS domain FROM hosts WHERE host <> ''),
+bits AS (SELECT domain, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, strlen(domain) + 1), lambda i: ascii(domain[i])::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)) AS c FROM crc),
+domains AS (SELECT domain, xor(c, 4294967295) AS n FROM bits),
+entries AS (SELECT domain, 'block' AS action, DATE '2024-01-01' + (n % 300)::INT AS since FROM domains
+    UNION ALL SELECT domain, 'allow', DATE '2024-01-01' + (n % 300 + 20 + n % 41)::INT FROM domains WHERE n % 3 > 0
+    UNION ALL VALUES ('example.net', 'block', DATE '2024-03-01'), ('example.net', 'allow', DATE '2024-04-15')),
+days AS (SELECT domain, since, max(action) AS action FROM entries GROUP BY ALL),
+parts AS (SELECT *, string_split(host, '.') AS p FROM hosts),
+probes AS (SELECT page_id, url, fetched, host, unnest(list_transform(range(1, len(p) + 1), lambda i: {'labels': len(p) - i + 1, 'domain': array_to_string(p[i:], '.')})) AS s FROM parts),
+asof AS (SELECT q.page_id, q.url, q.fetched, q.labels, q.domain, d.action FROM (SELECT page_id, url, fetched, s.labels AS labels, s.domain AS domain FROM probes) q ASOF JOIN days d ON q.domain = d.domain AND q.fetched >= d.since),
+best AS (SELECT page_id, url, fetched, arg_max(domain, labels) AS matched_domain, arg_max(action, labels) AS action FROM asof GROUP BY ALL)
+SELECT h.page_id, h.url, h.fetched, h.host, b.matched_domain, b.action, coalesce(b.action, 'allow') = 'block' AS blocked
+FROM hosts h LEFT JOIN best b ON h.page_id IS NOT DISTINCT FROM b.page_id AND h.url IS NOT DISTINCT FROM b.url AND h.fetched IS NOT DISTINCT FROM b.fetched
+"""
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("doc_key")
+
+
+OP8_SQL = """
+WITH d AS (SELECT DISTINCT doc_id, text, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+docs AS (SELECT row_number() OVER () AS r, doc_id, w FROM d WHERE w <> ['']),
+items AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
+it AS (SELECT row_number() OVER () AS i, item_id, len(w) AS m, least(len(w), 5) AS k, w FROM items WHERE w <> ['']),
+ish AS (SELECT i, m, k, unnest(range(0, m - k + 1)) AS at, unnest(list_transform(range(0, m - k + 1), lambda x: array_to_string(w[x + 1 : x + k], ' '))) AS s FROM it),
+dsh AS (SELECT r, len(w) AS n, k, unnest(range(0, len(w) - k + 1)) AS pos, unnest(list_transform(range(0, len(w) - k + 1), lambda x: array_to_string(w[x + 1 : x + k], ' '))) AS s FROM docs, (SELECT DISTINCT k FROM it) WHERE len(w) >= k),
+win AS (SELECT DISTINCT r, i, m, greatest(least(pos - at, n - m), 0) AS start FROM dsh JOIN ish USING (k, s)),
+wsh AS (SELECT win.r, win.i, win.start, dsh.s, count(*) AS c FROM win JOIN it USING (i) JOIN dsh ON dsh.r = win.r AND dsh.k = it.k AND dsh.pos >= win.start AND dsh.pos + it.k <= win.start + win.m GROUP BY ALL),
+tot AS (SELECT r, i, start, sum(c) AS total FROM wsh GROUP BY ALL),
+bag AS (SELECT i, s, count(*) AS c FROM ish GROUP BY ALL),
+common AS (SELECT r, i, start, sum(least(wsh.c, bag.c)) AS both FROM wsh JOIN bag USING (i, s) GROUP BY ALL),
+scored AS (SELECT r, i, start, round(both::DOUBLE / (total + (m - k + 1) - both), 6) AS similarity FROM common JOIN tot USING (r, i, start) JOIN it USING (i)),
+best AS (SELECT r, i, max(similarity) AS similarity FROM scored WHERE similarity >= 0.8 GROUP BY ALL)
+SELECT doc_id, item_id, m::INT AS item_words, b.similarity, (SELECT min(start)::INT FROM scored s WHERE s.r = b.r AND s.i = b.i AND s.similarity = b.similarity) AS word_start
+FROM best b JOIN it USING (i) JOIN docs USING (r)
+"""
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = rules.digest(rules.apply_rules(docs, name="passes")).drop("text")
+    failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("passes")).drop("passes")
+
+
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+f AS (SELECT r, doc_id, t, len(w) AS n, coalesce(len(array_to_string(w, '')), 0) AS chars, len(t) - len(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
+win AS (SELECT r, unnest(range(1, len(w) - 3)) AS i, unnest(list_transform(range(1, len(w) - 3), lambda x: w[x : x + 4])) AS g FROM d WHERE len(w) >= 5),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n_rep FROM rep, range(0, 5) AS x(k) GROUP BY r),
+g AS (SELECT doc_id, t, n, chars, symbols, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS dup, coalesce(n_rep, 0) AS n_rep FROM f LEFT JOIN cov USING (r)),
+v AS (SELECT *, n < 10 OR 100 * n_rep > 20 * n AS failed FROM g)
+SELECT doc_id, n::BIGINT AS n_words, chars::BIGINT AS word_chars, symbols::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines, n_rep::BIGINT AS n_repeat_words, failed AS base_failed,
+    NOT failed AND NOT (symbols * 10 > n * 3 OR len(regexp_extract_all(t, '!!')) * 10 > n * 3 OR dup * 10 > n_lines * 5 OR chars < n * 2 OR chars > n * 20 OR NOT regexp_matches(t, '\\p{L}')) AS kept
+FROM v
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_toxicity, op3_lm_scoring, op7_simhash_groups, op9_quality_classifier)}
+    found = (op1_toxicity, op2_license_scan, op3_lm_scoring, op4_pii, op5_url_filter, op6_packing, op7_simhash_groups, op8_decontamination, op9_quality_classifier, op10_quality_rules)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_license_scan": licenses.oracle(), "op5_url_filter": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_quality_rules": OP10_SQL}
