@@ -48,13 +48,13 @@ def simhash(hashes: str) -> Column:
     """64-bit SimHash of a bag of hashes (repeats weigh); counters lie four to a long, 16 bits each."""
     mask = F.lit(int(LANES, 16))
     zero = F.array_repeat(F.lit(0).cast("bigint"), 16)
-    add = lambda acc, h: F.transform(acc, lambda a, b: a + F.shiftrightunsigned(h, b).bitwiseAND(mask))
+    add = lambda acc, h: F.transform(acc, lambda a, b: a + F.call_function("shiftrightunsigned", h, b).bitwiseAND(mask))
     sums = F.aggregate(F.col(hashes), zero, add)
     half = F.size(hashes)
 
     def bit(acc: Column, a: Column, b: Column, lane: int) -> Column:
         over = F.shiftrightunsigned(a, 16 * lane).bitwiseAND(F.lit(0xFFFF)) * 2 > half
-        return acc.bitwiseOR(F.when(over, F.shiftleft(F.lit(1).cast("bigint"), b + 16 * lane)).otherwise(F.lit(0).cast("bigint")))
+        return acc.bitwiseOR(F.when(over, F.call_function("shiftleft", F.lit(1).cast("bigint"), b + 16 * lane)).otherwise(F.lit(0).cast("bigint")))
 
     def fold(acc: Column, x: Column) -> Column:
         for lane in range(4):

@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.llm.common import cut
 from folium.llm.rules import once
 
 #: Short notices by which works state their licence.
@@ -42,6 +43,8 @@ TEMPLATES = (
 THRESHOLD = 0.8
 #: Template rows (one for each admissible size) that may be broadcast.
 BROADCAST_ROWS = 200_000
+#: Template bigrams that may stand as literals in a filter; with more, that filter is left out.
+VOCABULARY = 20_000
 
 
 def template_table(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
@@ -58,10 +61,15 @@ def passage_words(passage: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
 
 
-def bag(words: Column) -> Column:
-    """Bigrams as ``bigram#occurrence``, so that set intersection counts repeats."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.concat_ws(" ", F.slice(words, i, 2)))
-    return F.transform(pairs, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(pairs, 1, i + 1), lambda y: y == x)).cast("string")))
+def bigrams(words: Column) -> Column:
+    """Hashes of all neighbouring word pairs, repeats included."""
+    return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.slice(words, i, 2)))
+
+
+def bag(hashes: str) -> Column:
+    """Each hash with the number of its occurrence, so that set intersection counts repeats."""
+    ordered = F.sort_array(hashes)
+    return F.transform(ordered, lambda x, i: F.struct(x.alias("h"), (i + 1 - F.array_position(ordered, x)).alias("k")))
 
 
 def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -72,18 +80,22 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
     one-word passages match nothing. Very long texts are only long passages,
     which the size bound prunes. Other columns are ignored.
     """
-    sized = templates.select("license", "template", passage_words(normal(F.col("template_text"))).alias("tw")).filter(F.size("tw") > 1)
-    sized = sized.select("license", "template", bag(F.col("tw")).alias("tb"), (F.size("tw") - 1).alias("n"))
+    sized = once(templates, "tw", passage_words(normal(F.col("template_text")))).filter(F.size("tw") > 1)
+    sized = once(sized, "th", bigrams(F.col("tw")))
+    sized = cut(once(sized, "tb", bag("th")).select("license", "template", "th", "tb", F.size("th").alias("n")))
+    vocabulary = [r[0] for r in sized.select(F.explode("th")).distinct().limit(VOCABULARY + 1).collect()]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     admissible = F.sequence(F.greatest(F.ceil(F.col("n") * low - 1e-9), F.lit(1)), F.floor(F.col("n") * high + 1e-9))
     sized = sized.select("license", "template", "tb", "n", F.explode(admissible.cast("array<int>")).alias("size"))
-    n_sized = sized.count()
+    n_sized, widest = sized.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
     body = once(docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")), "t", normal(F.col("body"))).select("id", "t")
     blocks, lines = F.split("t", r"\n *\n"), F.split("t", "\n")
     units = body.select("id", F.explode(F.array_distinct(F.concat(F.array("t"), blocks, lines))).alias("passage"))
-    units = once(units, "w", passage_words(F.col("passage"))).select("id", "w", (F.size("w") - 1).alias("size")).filter("size > 0")
-    pairs = units.join(F.broadcast(sized) if n_sized <= BROADCAST_ROWS else sized, "size")
-    pairs = once(pairs, "b", bag(F.col("w")))
+    units = once(units, "w", passage_words(F.col("passage"))).select("id", "w", (F.size("w") - 1).alias("size")).filter(F.col("size").between(1, widest))
+    units = once(units, "hashes", bigrams(F.col("w"))).drop("w")
+    if len(vocabulary) <= VOCABULARY:  # a passage without a bigram of any template needs no comparison
+        units = units.filter(F.exists("hashes", lambda x: x.isin(vocabulary)))
+    pairs = once(units, "b", bag("hashes")).join(F.broadcast(sized) if n_sized <= BROADCAST_ROWS else sized, "size")
     dice = F.size(F.array_intersect("b", "tb")) * F.lit(2.0) / (F.col("size") + F.col("n"))
     return pairs.select(F.col("id").alias(doc_id), "license", "template", (F.col("size") + 1).alias("passage_words"), F.round(dice, 6).alias("dice")).filter(F.col("dice") >= threshold)
 

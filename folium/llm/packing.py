@@ -29,7 +29,7 @@ def word_count(text: Column) -> Column:
 
 def candidate(length: Column) -> Column:
     """The least boundary candidate that is not below ``length``; at most FINE + 256 for each further doubling."""
-    step = F.shiftleft(F.lit(1).cast("bigint"), F.greatest(F.length(F.bin(length)) - 9, F.lit(0)))
+    step = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.length(F.bin(length)) - 9, F.lit(0)))
     return F.when(length <= FINE, length.cast("bigint")).otherwise(F.ceil(length / step) * step).cast("bigint")
 
 

@@ -57,7 +57,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii.find(docs, pii.train(pii.labelled_table(spark)), base="base", spans="all")
     joined = lambda c: F.concat_ws(",", F.transform(c, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    of_kind = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("all").alias("spans"))
 
 
@@ -92,8 +93,8 @@ entries AS (SELECT domain, 'block' AS action, DATE '2024-01-01' + (n % 300)::INT
 days AS (SELECT domain, since, max(action) AS action FROM entries GROUP BY ALL),
 parts AS (SELECT *, string_split(host, '.') AS p FROM hosts),
 probes AS (SELECT page_id, url, fetched, host, unnest(list_transform(range(1, len(p) + 1), lambda i: {'labels': len(p) - i + 1, 'domain': array_to_string(p[i:], '.')})) AS s FROM parts),
-asof AS (SELECT q.page_id, q.url, q.fetched, q.labels, q.domain, d.action FROM (SELECT page_id, url, fetched, s.labels AS labels, s.domain AS domain FROM probes) q ASOF JOIN days d ON q.domain = d.domain AND q.fetched >= d.since),
-best AS (SELECT page_id, url, fetched, arg_max(domain, labels) AS matched_domain, arg_max(action, labels) AS action FROM asof GROUP BY ALL)
+held AS (SELECT q.page_id, q.url, q.fetched, q.labels, q.domain, d.action FROM (SELECT page_id, url, fetched, s.labels AS labels, s.domain AS domain FROM probes) q ASOF JOIN days d ON q.domain = d.domain AND q.fetched >= d.since),
+best AS (SELECT page_id, url, fetched, arg_max(domain, labels) AS matched_domain, arg_max(action, labels) AS action FROM held GROUP BY ALL)
 SELECT h.page_id, h.url, h.fetched, h.host, b.matched_domain, b.action, coalesce(b.action, 'allow') = 'block' AS blocked
 FROM hosts h LEFT JOIN best b ON h.page_id IS NOT DISTINCT FROM b.page_id AND h.url IS NOT DISTINCT FROM b.url AND h.fetched IS NOT DISTINCT FROM b.fetched
 """
@@ -112,9 +113,9 @@ WITH d AS (SELECT DISTINCT doc_id, text, string_split(trim(regexp_replace(lower(
 docs AS (SELECT row_number() OVER () AS r, doc_id, w FROM d WHERE w <> ['']),
 items AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
 it AS (SELECT row_number() OVER () AS i, item_id, len(w) AS m, least(len(w), 5) AS k, w FROM items WHERE w <> ['']),
-ish AS (SELECT i, m, k, unnest(range(0, m - k + 1)) AS at, unnest(list_transform(range(0, m - k + 1), lambda x: array_to_string(w[x + 1 : x + k], ' '))) AS s FROM it),
+ish AS (SELECT i, m, k, unnest(range(0, m - k + 1)) AS loc, unnest(list_transform(range(0, m - k + 1), lambda x: array_to_string(w[x + 1 : x + k], ' '))) AS s FROM it),
 dsh AS (SELECT r, len(w) AS n, k, unnest(range(0, len(w) - k + 1)) AS pos, unnest(list_transform(range(0, len(w) - k + 1), lambda x: array_to_string(w[x + 1 : x + k], ' '))) AS s FROM docs, (SELECT DISTINCT k FROM it) WHERE len(w) >= k),
-win AS (SELECT DISTINCT r, i, m, greatest(least(pos - at, n - m), 0) AS start FROM dsh JOIN ish USING (k, s)),
+win AS (SELECT DISTINCT r, i, m, greatest(least(pos - loc, n - m), 0) AS start FROM dsh JOIN ish USING (k, s)),
 wsh AS (SELECT win.r, win.i, win.start, dsh.s, count(*) AS c FROM win JOIN it USING (i) JOIN dsh ON dsh.r = win.r AND dsh.k = it.k AND dsh.pos >= win.start AND dsh.pos + it.k <= win.start + win.m GROUP BY ALL),
 tot AS (SELECT r, i, start, sum(c) AS total FROM wsh GROUP BY ALL),
 bag AS (SELECT i, s, count(*) AS c FROM ish GROUP BY ALL),
