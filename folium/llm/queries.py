@@ -119,8 +119,8 @@ win AS (SELECT DISTINCT r, i, m, greatest(least(pos - loc, n - m), 0) AS start F
 wsh AS (SELECT win.r, win.i, win.start, dsh.s, count(*) AS c FROM win JOIN it USING (i) JOIN dsh ON dsh.r = win.r AND dsh.k = it.k AND dsh.pos >= win.start AND dsh.pos + it.k <= win.start + win.m GROUP BY ALL),
 tot AS (SELECT r, i, start, sum(c) AS total FROM wsh GROUP BY ALL),
 bag AS (SELECT i, s, count(*) AS c FROM ish GROUP BY ALL),
-common AS (SELECT r, i, start, sum(least(wsh.c, bag.c)) AS both FROM wsh JOIN bag USING (i, s) GROUP BY ALL),
-scored AS (SELECT r, i, start, round(both::DOUBLE / (total + (m - k + 1) - both), 6) AS similarity FROM common JOIN tot USING (r, i, start) JOIN it USING (i)),
+common AS (SELECT r, i, start, sum(least(wsh.c, bag.c)) AS shared FROM wsh JOIN bag USING (i, s) GROUP BY ALL),
+scored AS (SELECT r, i, start, round(shared::DOUBLE / (total + (m - k + 1) - shared), 6) AS similarity FROM common JOIN tot USING (r, i, start) JOIN it USING (i)),
 best AS (SELECT r, i, max(similarity) AS similarity FROM scored WHERE similarity >= 0.8 GROUP BY ALL)
 SELECT doc_id, item_id, m::INT AS item_words, b.similarity, (SELECT min(start)::INT FROM scored s WHERE s.r = b.r AND s.i = b.i AND s.similarity = b.similarity) AS word_start
 FROM best b JOIN it USING (i) JOIN docs USING (r)
