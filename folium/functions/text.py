@@ -43,7 +43,8 @@ def tokens(normalized: Column) -> Column:
 def expand_contractions(text: Column) -> Column:
     """Lower case, straight apostrophes, negative contractions spelt out."""
     plain = F.replace(F.lower(text), F.lit("’"), F.lit("'"))
-    return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), CONTRACTIONS, plain)
+    spelt = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), CONTRACTIONS, plain)
+    return F.when(F.contains(plain, F.lit("n't")), spelt).otherwise(plain)
 
 
 def normalize(text: Column) -> Column:

@@ -24,7 +24,8 @@ def recurring_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     by_doc = grams.filter(~stop).groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("c"))
     totals = by_doc.groupBy("phrase").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n") >= least)
     rank = F.row_number().over(Window.partitionBy("phrase").orderBy("doc_id"))
-    refs = by_doc.withColumn("r", rank).filter(F.col("r") <= evidence).groupBy("phrase").agg(F.array_sort(F.collect_list("doc_id")).alias("evidence"))
+    often = by_doc.join(totals.select("phrase"), "phrase", "left_semi")
+    refs = often.withColumn("r", rank).filter(F.col("r") <= evidence).groupBy("phrase").agg(F.array_sort(F.collect_list("doc_id")).alias("evidence"))
     return totals.join(refs, "phrase").withColumn("confidence", confidence(F.col("n")))
 
 

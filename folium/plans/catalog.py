@@ -15,8 +15,15 @@ from folium.sources import text as source
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Tables of long texts, whose rows cost much more to work on than to move.
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table as read; long texts that come in fewer splits than there are cores (one small file) are dealt out first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores else df
 
 
 def normalize_text(spark, d):
