@@ -24,7 +24,8 @@ def typography(text: Column) -> Column:
         before, after = at(i - 1), at(i + 1)
         outside = lambda x: x.isNull() | (x == "") | blank(x) | closing(x)
         kind = (
-            F.when(F.contains(F.lit(ARABIC_LETTERS), c), "arabic_letter_variant")
+            F.when(c == "", F.lit(None).cast("string"))
+            .when(F.contains(F.lit(ARABIC_LETTERS), c), "arabic_letter_variant")
             .when(F.contains(F.lit(ARABIC_DIGITS), c), "arabic_digit_variant")
             .when(c == TATWEEL, "kashida")
             .when((c == ZWNJ) & (before == ZWNJ), "duplicate_zwnj")
