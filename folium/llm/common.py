@@ -174,3 +174,17 @@ def bounded_sample(labelled: DataFrame, key: str, text: str, rows: int, chars: i
     share = min(1.0, rows / max(n, 1), chars / max(total, 1))
     parts = 1 << 20
     return labelled.filter(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(parts)) < int(share * parts))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
+    """(key, text, label) of about ``rows`` labelled rows at most, chosen by the hash of the key.
+
+    The choice is made on the labels alone, so what is broadcast is bounded by
+    ``rows`` however large the tables are, and texts are never shuffled. Rows
+    with a null label are left out.
+    """
+    usable = labels.select(key, label).filter(F.col(label).isNotNull())
+    parts = 1 << 20
+    share = min(1.0, rows / max(usable.count(), 1))
+    chosen = usable.filter(F.pmod(F.xxhash64(key), F.lit(parts)) < int(share * parts))
+    return cut(docs.select(key, text).join(F.broadcast(chosen), key))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm import decontam, licenses, lm, packing, pii, quality, rules, simhash, toxicity, urls
-from folium.llm.common import crc_mod, read_table
+from folium.llm.common import crc_mod, labelled_texts, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,15 +18,15 @@ def toxicity_threshold() -> float:
     return 0.7
 
 
-def _labelled(spark: SparkSession, sf_dir: str, label: str) -> DataFrame:
-    """Texts of the labelled documents outside the held-out third."""
-    labels = read_table(spark, sf_dir, "labels").select("doc_id", label).filter(crc_mod(F.col("doc_id"), 3) != 1)
-    return read_table(spark, sf_dir, "documents").select("doc_id", "text").join(labels, "doc_id")
+def labelled(spark: SparkSession, docs: DataFrame, sf_dir: str, label: str, rows: int) -> DataFrame:
+    """Texts of labelled documents outside the held-out third, about ``rows`` at most."""
+    labels = read_table(spark, sf_dir, "labels").filter(crc_mod(F.col("doc_id"), 3) != 1)
+    return labelled_texts(docs, labels, "doc_id", "text", label, rows)
 
 
 def _scored(spark: SparkSession, sf_dir: str, operator, label: str, threshold: float) -> DataFrame:
-    model = operator.train(_labelled(spark, sf_dir, label), label=label)
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = operator.train(labelled(spark, docs, sf_dir, label, operator.FIT_ROWS), label=label)
     return operator.score(docs, model, name="score").select(
         "doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
