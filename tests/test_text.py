@@ -67,7 +67,8 @@ def test_typography_kinds(spark):
 
 
 def test_names(spark):
-    assert one(spark, scan.name_candidates, "Then Mr. Darcy, met Elizabeth Bennet. The End Of All Things") == ["Darcy", "Elizabeth Bennet", "The End Of", "All Things"]
+    # a full stop ends a run, that of an abbreviation too
+    assert one(spark, scan.name_candidates, "Lady Darcy, met Elizabeth Bennet. The End Of All Things. Mr. Hill") == ["Darcy", "Elizabeth Bennet", "The End Of", "All Things", "Mr", "Hill"]
     assert one(spark, scan.name_candidates, None) == []
 
 
