@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.functions import ids, scan, text
-from folium.operators import align, evaluation, ledger, matching, memory, mining, quality
+from folium.operators import align, evaluation, ledger, matching, memory, mining, quality, review
 from folium.plans import sql
 from folium.sources import text as source
 
@@ -138,10 +138,10 @@ def documents_without_terms(spark, d):
 
 
 def memory_scores(spark, d):
-    """Every tenth benchmark item against all items as a translation memory."""
+    """Benchmark items whose id 20 divides, against all items as a translation memory."""
     items = table(spark, d, "benchmark")
     m = items.select(F.col("item_id").alias("entry_id"), F.col("text").alias("source"), F.col("text").alias("translation"), F.lit("").alias("context"), F.array().cast("array<string>").alias("tags"))
-    q = items.filter("item_id % 10 = 0").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 80).alias("query"))
+    q = items.filter("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return memory.score_memory(q, m)
 
 
@@ -357,11 +357,12 @@ def quoted_spans(spark, d):
 
 
 def embedding_alignment(spark, d):
-    """Each label's vectors, even against odd ids, 32 a side, as segments of a unit."""
+    """Each label's vectors, even against odd ids, as segments of units of 32 a side."""
     v = table(spark, d, "embeddings").withColumn("side", F.when(F.col("vec_id") % 2 == 0, "source").otherwise("target"))
     n = F.row_number().over(Window.partitionBy("label", "side").orderBy("vec_id"))
-    rows = v.withColumn("start", (n - 1).cast("int")).filter("start < 32")
-    return align.align(rows.select(F.col("label").alias("unit_id"), "side", "start", F.lit(1).alias("len"), "embedding"), 1)
+    rows = v.withColumn("n", n - 1).withColumn("start", (F.col("n") % 32).cast("int"))
+    unit = F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("n") / 32).cast("string"))
+    return align.align(rows.select(unit.alias("unit_id"), "side", "start", F.lit(1).alias("len"), "embedding"), 1)
 
 
 def chrf_scores(spark, d):
@@ -381,6 +382,41 @@ def persian_typography(spark, d):
     return quality.typography_findings(rows)
 
 
+def document_freshness(spark, d):
+    """Documents against stored fingerprints, of which every tenth is out of date and odd ones are absent."""
+    docs = table(spark, d, "documents").select("doc_id", ids.sha256(F.col("text")).alias("fp"))
+    kept = docs.filter("doc_id % 2 = 0").withColumn("fp", F.when(F.col("doc_id") % 10 == 0, "stale").otherwise(F.col("fp")))
+    return review.freshness(docs, kept, "doc_id", "fp")
+
+
+def export_readiness(spark, d):
+    """Orders of a customer as the chapters of a book; finished orders are done."""
+    o = table(spark, d, "orders")
+    return review.export_readiness(o, o.filter("o_orderstatus = 'F'"), "o_custkey", "o_orderkey", "o_orderpriority")
+
+
+def finding_counts(spark, d):
+    return review.finding_counts(table(spark, d, "events"), "event_type", "event_id")
+
+
+def context_lines(spark, d):
+    return review.context_lines(table(spark, d, "conversations"), "conv_id", "turn", F.col("text"), 3, 40)
+
+
+PRESENT = ("Metal", "steel", "BLUE", "", "green", "red")
+
+
+def present_entries(spark, d):
+    found = review.present_entries(F.col("p_name"), F.array(*map(F.lit, PRESENT)), 2)
+    return table(spark, d, "part").select("p_partkey", F.array_join(found, ",").alias("entries"))
+
+
+def relationship_refs(spark, d):
+    """Suppliers as relationships between their nation and the nation of the same position reversed."""
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("a"), (24 - F.col("s_nationkey")).alias("b"), F.col("s_suppkey").alias("ref"))
+    return review.relationship_refs(s).select("name", F.array_join(F.transform("refs", lambda x: x.cast("string")), ",").alias("refs"))
+
+
 QUERIES: tuple[Query, ...] = (
     normalize_text, similarity_pairs, paragraph_facts, observed_profile, chapter_map, chapter_samples, chapter_sessions, manuscript_blocks, manuscript_chapters,
     document_segments, html_pages, recurring_phrases, name_mentions, cooccurrence, merged_names, glossary_hits, documents_with_terms, documents_without_terms,
@@ -389,6 +425,7 @@ QUERIES: tuple[Query, ...] = (
     preference_dossier, system_preferences, telemetry, ledger_reconcile, obsolete_sweep, latest_revision, history_retention, decision_replay, review_queue,
     pilot_targets, promotion_plan, canon_upsert, chapter_work_list, rule_violations, status_summary, evidence_fingerprint, fnv_fingerprint, chunk_passage,
     quoted_spans, embedding_alignment, chrf_scores, persian_polish, persian_typography,
+    document_freshness, export_readiness, finding_counts, context_lines, present_entries, relationship_refs,
 )
 
 

@@ -101,7 +101,7 @@ def scores() -> str:
     size = f"least(greatest(len({toks('s')}) * 2, 4), 24)"
     win = f"list_max(list_transform(range(1, greatest(len({toks('q')}) - {size}, 0) + 2), lambda i: {simil('array_to_string((' + toks('q') + ')[i : i + ' + size + ' - 1], chr(32))', 's')}))"
     src = f"CASE WHEN len({toks('q')}) > {size} THEN greatest({simil('q', 's')}, {win}) ELSE {simil('q', 's')} END"
-    return f"""q AS (SELECT item_id AS query_id, {norm('substring(text, 1, 80)')} AS q FROM benchmark WHERE item_id % 10 = 0),
+    return f"""q AS (SELECT item_id AS query_id, {norm('text')} AS q FROM benchmark WHERE item_id % 20 = 0),
     m AS (SELECT item_id AS entry_id, text AS source, text AS translation, {norm('text')} AS s FROM benchmark),
     scores AS (SELECT query_id, entry_id, source, translation, round(least(1.0::DOUBLE, {src} + CASE WHEN q = s THEN 0.3::DOUBLE ELSE 0 END), 6) AS score FROM q, m WHERE q <> '')"""
 
@@ -188,4 +188,10 @@ ORACLES: dict[str, str] = {
     "rule_violations": "SELECT doc_id, rule FROM (SELECT doc_id, unnest(list_filter([CASE WHEN NOT coalesce(trim(text) <> '', false) THEN 'text_present' END, CASE WHEN NOT coalesce(length(text) = n_chars, false) THEN 'count_matches' END, CASE WHEN NOT coalesce(n_chars >= 20, false) THEN 'long_enough' END], lambda x: x IS NOT NULL)) AS rule FROM documents)",
     "status_summary": "SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS \"F\", count(*) FILTER (o_orderstatus = 'O') AS \"O\", count(*) FILTER (o_orderstatus = 'P') AS \"P\" FROM orders GROUP BY 1",
     "evidence_fingerprint": "SELECT doc_id, sha256(doc_id || chr(31) || lang || chr(31) || text) AS evidence_id FROM documents",
+    "document_freshness": "SELECT doc_id, CASE WHEN doc_id % 2 <> 0 THEN 'missing' WHEN doc_id % 10 = 0 THEN 'stale' ELSE 'fresh' END AS state FROM documents",
+    "export_readiness": "SELECT o_custkey, count(*) AS chapters, count(*) FILTER (o_orderstatus = 'F') AS done, bool_and(o_orderstatus = 'F') AS ready FROM orders GROUP BY 1",
+    "finding_counts": "WITH c AS (SELECT event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY 1) SELECT *, row_number() OVER (ORDER BY n DESC, first_seen, event_type)::INT AS rank FROM c",
+    "context_lines": "WITH l AS (SELECT conv_id, turn, left(trim(text, ' '), 40) AS line FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, line) AS r FROM l WHERE line <> '') SELECT conv_id, string_agg(line, chr(10) ORDER BY r) AS context FROM r WHERE r <= 3 GROUP BY 1",
+    "present_entries": "SELECT p_partkey, array_to_string(list_filter(['Metal', 'steel', 'BLUE', 'green', 'red'], lambda e: contains(lower(p_name), lower(e)))[1:2], ',') AS entries FROM part",
+    "relationship_refs": "WITH e AS (SELECT s_nationkey AS name, s_suppkey AS ref FROM supplier UNION SELECT 24 - s_nationkey, s_suppkey FROM supplier) SELECT name, string_agg(ref::VARCHAR, ',' ORDER BY ref) AS refs FROM e GROUP BY 1",
 }

@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from folium.operators import align, evaluation, ledger, matching, memory, mining, quality
+from folium.operators import align, evaluation, ledger, matching, memory, mining, quality, review
 from folium.sources import packages
 from folium.sources import text as source
 
@@ -176,3 +176,27 @@ def test_registered_sql_has_a_query():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_freshness(spark):
+    now = spark.createDataFrame([(1, "a"), (2, "b"), (3, None), (4, "d")], "k int, fp string")
+    old = spark.createDataFrame([(1, "x"), (1, "a"), (2, "old"), (3, "c"), (9, "z")], "k int, fp string")
+    assert rows(review.freshness(now, old, "k", "fp")) == [(1, "fresh"), (2, "stale"), (3, "stale"), (4, "missing")]
+    assert review.freshness(now.limit(0), old, "k", "fp").count() == 0
+
+
+def test_readiness_needs_every_chapter(spark):
+    c = spark.createDataFrame([("x", 1, "f"), ("x", 2, "f"), ("y", 1, "f"), ("y", 1, "f")], "book string, chapter int, fp string")
+    o = spark.createDataFrame([("x", 1, "f"), ("x", 2, "other"), ("y", 1, "f")], "book string, chapter int, fp string")
+    assert rows(review.export_readiness(c, o, "book", "chapter", "fp")) == [("x", 2, 1, False), ("y", 1, 1, True)]
+
+
+def test_counts_lines_and_entries(spark):
+    f = spark.createDataFrame([(1, "b"), (2, "a"), (3, "a"), (4, "b"), (5, None)], "pos int, category string")
+    assert [r["category"] for r in review.finding_counts(f, "category", "pos").orderBy("rank").collect()] == ["b", "a", None]
+    t = spark.createDataFrame([(1, 1, " "), (1, 2, "one line"), (1, 3, "two"), (1, 4, "three"), (2, 1, None)], "u int, p int, t string")
+    assert rows(review.context_lines(t, "u", "p", F.col("t"), 2, 3)) == [(1, "one\ntwo")]
+    got = spark.createDataFrame([("Ann met bob",), (None,)], "t string").select(review.present_entries(F.col("t"), F.array(F.lit("BOB"), F.lit(""), F.lit("zed"), F.lit("ann")), 5))
+    assert [r[0] for r in got.collect()] == [["BOB", "ann"], []]
+    r = spark.createDataFrame([("a", "b", 2), ("b", "c", 1), ("a", "a", 3)], "a string, b string, ref int")
+    assert rows(review.relationship_refs(r), "name") == [("a", [2, 3]), ("b", [1, 2]), ("c", [1])]
