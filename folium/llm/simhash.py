@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folium.llm import shingles
 from folium.llm.common import cut, free_name, schema_with
 
 SEED = 42
@@ -286,15 +287,20 @@ def _grouped(docs: DataFrame, keep: list[str], doc_id: str, text: str, words: in
     return table.join(classes, "__fp")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, radius: int = 4, pivots: int = 24) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns unchanged.
 
-    The row with the least ``doc_id`` stays (null ids last; among rows that
-    share it, the least hash of all columns; of wholly equal rows, one).
+    Rows link when the sets of their ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` (a fraction) or more; every such pair is found
+    (see ``shingles``), which no radius of fingerprints that is cheap to search
+    would do. The row with the least ``doc_id`` stays (null ids last; among
+    rows that share it, the least hash of all columns; of wholly equal rows, one).
     """
     key = free_name(docs, "row_key")
     keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    grouped = _grouped(keyed, [doc_id, key], doc_id, text, words, radius, pivots)
-    first = F.min(F.struct(F.col(f"`{doc_id}`").isNull().alias("n"), F.col(f"`{doc_id}`").alias("d"), F.col(key).alias("k")))
-    winners = grouped.groupBy("__root").agg(first.alias("w")).select(F.col("w.k").alias(key))
+    table, nodes = shingles.near_sets(keyed, key, doc_id, text, words, *similarity, components)
+    first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("d"), F.col("key").alias("k")))
+    sets = table.groupBy("set").agg(first.alias("w"))
+    grouped = sets.join(nodes.withColumnRenamed("node", "set"), "set", "left").groupBy(F.coalesce("root", "set")).agg(F.min("w").alias("w"))
+    winners = grouped.select(F.col("w.k").alias(key))
     return keyed.join(winners, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -221,3 +221,49 @@ def test_pipeline_by_stages(spark):
         state = new
     out = corpus_pipeline.run(spark, SF)
     assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in state.collect()}
+
+
+def shingle_set(text):
+    w = SPACE.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    k = min(5, len(w))
+    return frozenset(tuple(w[i : i + k]) for i in range(len(w) - k + 1)) if w else frozenset()
+
+
+def kept_by_brute_force(rows):
+    """Least id of each group that exact similarities of 0.8 or more connect."""
+    sets = {i: shingle_set(t) for i, t in rows}
+    root = {i: i for i in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {find(i) for i in sets}
+
+
+@pytest.mark.parametrize("tile_rows, frequent", [(4_096, 200_000), (3, 200_000), (4_096, 1)])
+def test_near_copies_at_similarity_by_brute_force(spark, monkeypatch, tile_rows, frequent):
+    from folium.llm import shingles
+
+    monkeypatch.setattr(shingles, "TILE_ROWS", tile_rows)
+    monkeypatch.setattr(shingles, "FREQUENT", frequent)
+    rng = np.random.default_rng(5)
+    line = [f"common{i}" for i in range(40)]
+    rows = []
+    for i in range(40):
+        words = [f"w{x}" for x in rng.integers(0, 500, rng.integers(3, 120))] + line * int(i % 3 == 0)
+        rows.append((10 * i, " ".join(words)))
+        for c in range(1, 4):
+            edited = list(words)
+            for at in rng.integers(0, len(words), rng.integers(0, 5)):
+                edited[at] = f"Edit{rng.integers(0, 9)}"
+            rows.append((10 * i + c, "  ".join(edited)))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
+    assert got == kept_by_brute_force(rows)
