@@ -54,17 +54,22 @@ def score_memory(queries: DataFrame, memory: DataFrame, query_id: str = "query_i
     return scored.filter(F.col("score") >= least)
 
 
-def rank_memory(scored: DataFrame, most: int = 6, diversity: float = 0.82, pool: int = 512) -> DataFrame:
+def rank_memory(scored: DataFrame, most: int = 6, diversity: float = 0.82) -> DataFrame:
     """(query_id, rank, entry_id, score): the best entries of each query, without repeated translations or near-equal sources.
 
-    Entries stand by score, then shorter source, then id; the best ``pool`` of
-    each query are folded in that order, keeping one unless its translation or
-    a source at least ``diversity`` similar was kept (1.0: no source test).
+    Entries stand by score, then shorter source, then id; all of each query are
+    folded in that order, keeping one unless its translation or a source at
+    least ``diversity`` similar was kept (1.0: no source test). Of entries with
+    equal source and translation only the first can be kept, so copies are
+    collapsed before the fold.
     """
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.octet_length("source"), "entry_id")
-    top = scored.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= pool)
-    item = F.struct("r", "entry_id", "score", normalize(F.col("source")).alias("s"), normalize(F.col("translation")).alias("t"))
-    lists = top.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    item = F.struct((-F.col("score")).alias("down"), F.octet_length("source").alias("length"), "entry_id", "score", "s", "t")
+    whole = scored.withColumn("s", normalize(F.col("source"))).withColumn("t", normalize(F.col("translation")))
+    # blank translations never repeat one another, so those entries stay apart
+    apart = F.when(F.coalesce(F.col("t"), F.lit("")) == "", F.col("entry_id"))
+    first = whole.groupBy("query_id", "s", "t", apart.alias("apart")).agg(F.min(item).alias("x"))
+    item = F.col("x")
+    lists = first.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
     none = F.filter("items", lambda x: F.lit(False))
 
     def keep(acc: Column, x: Column) -> Column:

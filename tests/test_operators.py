@@ -200,3 +200,9 @@ def test_counts_lines_and_entries(spark):
     assert [r[0] for r in got.collect()] == [["BOB", "ann"], []]
     r = spark.createDataFrame([("a", "b", 2), ("b", "c", 1), ("a", "a", 3)], "a string, b string, ref int")
     assert rows(review.relationship_refs(r), "name") == [("a", [2, 3]), ("b", [1, 2]), ("c", [1])]
+
+
+def test_many_copies_leave_room_for_other_entries(spark):
+    scored = spark.range(600).selectExpr("1 AS query_id", "int(id) AS entry_id", "'the sea is calm' AS source", "'A' AS translation", "1.0D AS score")
+    other = spark.createDataFrame([(1, 900, "horses run over hills", "B", 0.5)], scored.schema)
+    assert [r[:3] for r in rows(memory.rank_memory(scored.unionByName(other)))] == [(1, 1, 0), (1, 2, 900)]
