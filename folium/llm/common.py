@@ -145,23 +145,45 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class SpanHasher:
-    """64-bit polynomial hashes of many byte spans by prefix sums, mixed at the end."""
+    """64-bit polynomial hashes of many byte spans, mixed at the end.
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
+    Spans ascend and don't overlap. Prefix sums are made for ``BLOCK`` bytes at
+    a time, so memory doesn't grow with the text.
+    """
 
-    def _grow(self, n: int) -> None:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up))
-            up, down = np.full(size, MULTIPLIER), np.full(size, INVERSE)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
+    BLOCK = 1 << 18
 
-    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        self._grow(len(data) + 1)
+    def __init__(self) -> None:
+        up, down = np.full(self.BLOCK + 1, MULTIPLIER), np.full(self.BLOCK + 1, INVERSE)
+        up[0] = down[0] = 1
+        self.up, self.down = np.cumprod(up), np.cumprod(down)
+
+    def _block(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Sums of byte times power, the first byte of each span at power 0."""
         prefix = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.up[: len(data)], out=prefix[1:])
-        return mix((prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        return (prefix[ends] - prefix[starts]) * self.down[starts]
+
+    def _long(self, data: np.ndarray) -> int:
+        """The sum of one span of any length."""
+        total = 0
+        for at in range(0, len(data), self.BLOCK):
+            part = data[at : at + self.BLOCK]
+            total += int(self._block(part, np.array([0]), np.array([len(part)]))[0]) * pow(int(MULTIPLIER), at, 1 << 64)
+        return total % (1 << 64)
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        out, at = np.zeros(len(starts), np.uint64), 0
+        while at < len(starts):
+            low = int(starts[at])
+            stop = int(np.searchsorted(ends, low + self.BLOCK, "right"))
+            if stop == at:
+                out[at] = self._long(data[low : ends[at]])
+                at += 1
+                continue
+            out[at:stop] = self._block(data[low : ends[stop - 1]], starts[at:stop] - low, ends[at:stop] - low)
+            at = stop
+        return mix(out + (ends - starts).astype(np.uint64))
 
 
 def bounded_sample(labelled: DataFrame, key: str, text: str, rows: int, chars: int) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Language-model scores by deleted interpolation (Jelinek and Mercer, 1980).
+"""Language-model scores by deleted interpolation (Jelinek and Mercer, 1980), order two.
 
 p(w | v) = a(b) c(v w) / c(v) + u(b) c(w) / N + o(b) / (V + 1)
 
@@ -9,11 +9,14 @@ documents is set aside, the relative frequencies of the rest predict its
 bigrams, and the weights that maximise their likelihood are kept; counts of
 all training documents then go with them.
 
-Every row of counts is keyed by a 64-bit hash. Documents are dealt to chunks
-of bounded size; a chunk sends the distinct keys it holds, with their counts,
-to the bucket of each key; a bucket sums what all chunks sent and answers
-each chunk with the totals of its keys. Only chunk-level sums are shuffled,
-never single tokens, so a frequent word or passage costs one entry a chunk.
+Tokens and bigrams are keyed by 64-bit hashes. Documents are dealt to chunks
+of bounded size. The counts of all chunks are summed in a tree over the key
+range: a unit of level L holds the keys that share their first ``FAN * L``
+bits, from ``2 ** (FAN * L)`` chunks at most, so every unit holds about as many
+keys as one chunk, at any size of the input, and the number of levels grows
+with its logarithm. Totals go back down the same way. Each row that is shuffled
+holds the keys that one unit sends another, hundreds as a rule, and a frequent
+word or a passage that many documents share costs one entry a unit.
 """
 
 from __future__ import annotations
@@ -30,21 +33,23 @@ from pyspark.sql import types as T
 
 from folium.llm.common import LOWER, SpanHasher, column_bytes, mix, schema_with, stored, word_spans
 
-#: Bytes of text in a chunk, and count keys in a bucket, on average.
-CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 8 << 20
+#: Bytes of text in a chunk, on average.
+CHUNK_BYTES = 2 << 20
+#: Bits of the key that each level of the tree splits by.
+FAN = 9
 END, BEGIN = np.uint64(0x1D1), np.uint64(0xB0B)
+BEGIN_KEY = mix(np.array([BEGIN])) & ~np.uint64(1)
 LEVELS = 24
 #: Relative frequencies go to EM in steps of a quarter bit; the last cell is frequency 0.
 GRID = 4
 CELLS = 160
-#: Role of a document: scored only, counted, or held out for the weights.
+#: Role of a document: scored only, counted, or held out for the weights. A chunk has documents of one role.
 SCORED, COUNTED, HELD = 0, 1, 2
 
 
 @dataclass
 class Tokens:
-    """Tokens of some documents: hashes, contexts, bigram keys, and the row of each."""
+    """Tokens of some documents: keys of tokens, contexts and bigrams (even: tokens, odd: bigrams), and the row of each."""
 
     token: np.ndarray
     context: np.ndarray
@@ -64,26 +69,20 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher) -> Toke
     is_end[last] = True
     token[~is_end] = hasher(data, starts, ends)
     token[is_end] = mix(np.array([END]))[0]
+    token &= ~np.uint64(1)
     context = np.empty_like(token)
     context[1:] = token[:-1]
-    context[last - n] = mix(np.array([BEGIN]))[0]
-    return Tokens(token, context, mix(context * np.uint64(3) + token), np.repeat(np.arange(rows), n + 1))
+    context[last - n] = BEGIN_KEY
+    return Tokens(token, context, mix(context * np.uint64(3) + token) | np.uint64(1), np.repeat(np.arange(rows), n + 1))
 
 
-def sums(keys: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct keys and the sums of each weight."""
-    found, inverse = np.unique(keys, return_inverse=True)
-    return found, [np.bincount(inverse, w, len(found)).astype(np.int64) for w in weights]
-
-
-def chunk_keys(t: Tokens, role: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(kind, key, counted, held): kind 0 are tokens and begin marks, kind 1 bigrams."""
-    counted, held = (role == COUNTED).astype(np.int64), (role == HELD).astype(np.int64)
-    uni = np.concatenate((t.token, np.full(len(role), mix(np.array([BEGIN]))[0])))
-    key0, (c0, h0) = sums(uni, [np.concatenate((counted[t.row], counted)), np.concatenate((held[t.row], held))])
-    key1, (c1, h1) = sums(t.pair, [counted[t.row], held[t.row]])
-    kind = np.concatenate((np.zeros(len(key0), np.int8), np.ones(len(key1), np.int8)))
-    return kind, np.concatenate((key0, key1)), np.concatenate((c0, c1)), np.concatenate((h0, h1))
+def chunk_keys(t: Tokens, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a chunk in ascending order, and their counts; each text has one begin mark."""
+    kinds = [np.unique(x, return_counts=True) for x in (t.token, t.pair)]
+    keys = np.concatenate([k for k, _ in kinds] + [BEGIN_KEY])
+    counts = np.concatenate([c for _, c in kinds] + [[rows]])
+    order = np.argsort(keys)
+    return keys[order], counts[order]
 
 
 def log_cell(f: np.ndarray) -> np.ndarray:
@@ -126,6 +125,12 @@ def learn_weights(cells: np.ndarray, counts: np.ndarray, vocabulary: int, rounds
     return out
 
 
+def probability(w: np.ndarray, v: np.ndarray, vw: np.ndarray, stats: Statistics) -> np.ndarray:
+    """The mixture for counts of words, contexts and bigrams."""
+    mixture = stats.weights[level(v)]
+    return mixture[:, 0] * ratio(vw, v) + mixture[:, 1] * (w / max(stats.tokens, 1)) + mixture[:, 2] / (stats.distinct + 1.0)
+
+
 @dataclass
 class Statistics:
     """Corpus-wide sums: tokens and distinct tokens of all training documents, and of the counted ones."""
@@ -136,91 +141,158 @@ class Statistics:
     weights: np.ndarray | None = None
 
 
-def _with_chunk(docs: DataFrame, text: str, keep: list[str], role: Column) -> tuple[DataFrame, int]:
-    """Rows dealt to chunks of about ``CHUNK_BYTES``; the number of chunks grows with the input.
+@dataclass
+class Layout:
+    """Chunk numbers: those of a role follow one another, in the order of the roles."""
 
-    Held-out documents have chunks of their own, from the returned number on.
-    """
-    size = docs.agg(F.coalesce(F.sum(F.octet_length(F.col(f"`{text}`"))), F.lit(0))).first()[0]
-    chunks = max(1, -(-size // CHUNK_BYTES))
+    first: list[int]
+    chunks: int
+    fan: int
+
+    @property
+    def levels(self) -> int:
+        return max(1, -(-(self.chunks - 1).bit_length() // self.fan))
+
+
+def _with_chunk(docs: DataFrame, text: str, keep: list[str], role: Column, chunk_bytes: int, fan: int) -> tuple[DataFrame, Layout]:
+    """Rows dealt to chunks of about ``chunk_bytes`` and of one role; the number of chunks grows with the input."""
+    size = F.octet_length(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
+    by_role = {r: n for r, n in docs.groupBy(role.cast("int").alias("role")).agg(F.sum(size)).collect()}
+    chunks = [max(1, -(-by_role.get(r, 0) // chunk_bytes)) for r in (SCORED, COUNTED, HELD)]
+    first = [0, chunks[0], chunks[0] + chunks[1]]
     source = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), role.cast("int").alias("role"))
     key = F.xxhash64(*[f"k{i}" for i in range(len(keep))], "text")
-    common, aside = F.pmod(key, F.lit(chunks)), F.pmod(key, F.lit(-(-chunks // 8))) + chunks
-    return source.withColumn("chunk", F.when(F.col("role") == HELD, aside).otherwise(common).cast("int")), chunks
+    place = lambda r: F.pmod(key, F.lit(chunks[r])) + first[r]
+    chunk = F.when(F.col("role") == HELD, place(HELD)).when(F.col("role") == COUNTED, place(COUNTED)).otherwise(place(SCORED))
+    return source.withColumn("chunk", chunk.cast("long")), Layout(first, sum(chunks), fan)
+
+
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned integers as planes of bytes, lowest first; planes of zeros at the top are left out."""
+    planes = np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T
+    wide = (int(values.max(initial=0)).bit_length() + 7) // 8
+    return planes[:wide].tobytes()
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    if data:
+        out[:, : len(data) // n] = np.frombuffer(data, np.uint8).reshape(-1, n).T
+    return out.view(np.uint64).reshape(-1)
+
+
+REQUEST = "grp bigint, cell bigint, child bigint, size int, gaps binary, counted binary, held binary"
+ANSWER = "grp bigint, cell bigint, part bigint, size int, counted binary, held binary, n_tokens bigint, n_distinct bigint, n_counted bigint"
+
+
+def _table(schema: str, rows: list[tuple]) -> pa.Table:
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+    return pa.table({name: pa.array(c, kinds[kind]) for (name, kind), c in zip(fields, columns, strict=True)})
+
+
+def _requests(child: int, lvl: int, fan: int, keys: np.ndarray, counted: np.ndarray, held: np.ndarray) -> list[tuple]:
+    """What a unit of level ``lvl - 1`` sends those of level ``lvl``: its keys, cell by cell."""
+    shift = np.uint64(64 - fan * lvl)
+    cell = keys >> shift
+    cuts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1], [True]))) if len(keys) else [0]
+    out = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        gaps = keys[a:b].copy()
+        gaps[1:] -= keys[a : b - 1]
+        gaps[0] -= cell[a] << shift
+        out.append((child >> fan, int(cell[a]), child, b - a, packed(gaps), packed(counted[a:b]), packed(held[a:b])))
+    return out
+
+
+class Unit:
+    """The requests of one unit: keys row by row, and the distinct keys with their sums."""
+
+    def __init__(self, table: pa.Table, lvl: int, fan: int) -> None:
+        self.fan = fan
+        rows = table.to_pydict()
+        self.cell, self.child, self.size = rows["cell"][0], rows["child"], rows["size"]
+        base = np.uint64(self.cell << (64 - fan * lvl))
+        read = lambda name: [unpacked(d, n) for d, n in zip(rows[name], self.size, strict=True)]
+        keys = np.concatenate([np.cumsum(g) + base for g in read("gaps")])
+        self.keys, self.at = np.unique(keys, return_inverse=True)
+        total = lambda name: np.bincount(self.at, np.concatenate(read(name)), len(self.keys)).astype(np.uint64)
+        self.counted, self.held = total("counted"), total("held")
+
+    def answers(self, counted: np.ndarray, held: np.ndarray, sums: tuple[int, int, int] = (0, 0, 0)) -> list[tuple]:
+        """Totals of the distinct keys, dealt back to the rows that asked; ``sums`` go with the first."""
+        ends = np.cumsum(self.size)
+        rows = [self.at[e - n : e] for e, n in zip(ends, self.size, strict=True)]
+        return [(c, self.cell >> self.fan, self.cell, n, packed(counted[r]), packed(held[r]), *(sums if i == 0 else (0, 0, 0))) for i, (c, n, r) in enumerate(zip(self.child, self.size, rows, strict=True))]
+
+    def sums(self) -> tuple[int, int, int]:
+        """Tokens of training documents, distinct ones, and tokens of the counted documents."""
+        both = self.counted + self.held
+        own = (self.keys & np.uint64(1) == 0) & (self.keys != BEGIN_KEY[0]) & (both > 0)
+        return int(both[own].sum()), int(own.sum()), int(self.counted[own].sum())
+
+
+def _read_answers(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Counted and held-out totals of a unit's distinct keys in ascending order."""
+    rows = table.sort_by("part").to_pydict()
+    read = lambda name: np.concatenate([np.zeros(0, np.uint64)] + [unpacked(d, n) for d, n in zip(rows[name], rows["size"], strict=True)])
+    return read("counted"), read("held")
 
 
-def _requests(chunked: DataFrame, buckets: int) -> DataFrame:
-    def run(table: pa.Table) -> pa.Table:
+def _totals(requests: DataFrame, lvl: int, layout: Layout) -> tuple[DataFrame, Statistics]:
+    """Answers to requests of level ``lvl``, and the sums over all keys."""
+    units = lambda df: df.groupBy("grp", "cell")
+    fan = layout.fan
+    if lvl == layout.levels:
+
+        def top(table: pa.Table) -> pa.Table:
+            unit = Unit(table, lvl, fan)
+            return _table(ANSWER, unit.answers(unit.counted, unit.held, unit.sums()))
+
+        answers = stored(units(requests).applyInArrow(top, ANSWER))
+        sums = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_distinct", "n_counted")]).first()
+        return answers, Statistics(*map(int, sums))
+
+    def up(key: tuple, table: pa.Table) -> pa.Table:
+        unit = Unit(table, lvl, fan)
+        return _table(REQUEST, _requests(key[0].as_py(), lvl + 1, fan, unit.keys, unit.counted, unit.held))
+
+    def down(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _table(ANSWER, Unit(left, lvl, fan).answers(*_read_answers(right)))
+
+    requests = stored(requests)
+    above, stats = _totals(units(requests).applyInArrow(up, REQUEST), lvl + 1, layout)
+    return stored(units(requests).cogroup(units(above)).applyInArrow(down, ANSWER)), stats
+
+
+def _chunk_requests(chunked: DataFrame, layout: Layout) -> DataFrame:
+    def run(key: tuple, table: pa.Table) -> pa.Table:
         data, offsets = column_bytes(table.column("text"))
-        role = table.column("role").to_numpy()
-        kind, key, counted, held = chunk_keys(tokens_of(data, offsets, SpanHasher()), role)
-        bucket = (key % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((key, kind, bucket))
-        bucket, kind, key, counted, held = (x[order] for x in (bucket, kind, key, counted, held))
-        starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, np.int64)
-        cuts = np.append(starts, len(bucket)).astype(np.int32)
-        array = lambda values, kind: pa.ListArray.from_arrays(pa.array(cuts), pa.array(values, kind))
-        chunk = table.column("chunk")[0].as_py() if len(table) else 0
-        return pa.table({
-            "bucket": pa.array(bucket[starts]), "chunk": pa.array(np.full(len(starts), chunk, np.int32)), "kinds": array(kind, pa.int8()),
-            "keys": array(key.view(np.int64), pa.int64()), "counted": array(counted.astype(np.int32), pa.int32()), "held": array(held.astype(np.int32), pa.int32()),
-        })
-
-    schema = "bucket int, chunk int, kinds array<tinyint>, `keys` array<bigint>, counted array<int>, held array<int>"
-    return chunked.select("chunk", "text", "role").groupBy("chunk").applyInArrow(run, schema)
-
-
-def _answers(requests: DataFrame) -> DataFrame:
-    """For each (bucket, chunk) the totals of its keys; chunk -1 has a bucket's token sums."""
-
-    def flat(table: pa.Table, name: str) -> np.ndarray:
-        return np.asarray(table.column(name).combine_chunks().flatten())
-
-    def run(table: pa.Table) -> pa.Table:
-        keys, kinds = flat(table, "keys").view(np.uint64), flat(table, "kinds")
-        counted, held = flat(table, "counted"), flat(table, "held")
-        lengths = np.asarray(table.column("keys").combine_chunks().value_lengths()).astype(np.int64)
-        full_key = keys * np.uint64(2) + kinds.astype(np.uint64)
-        found, inverse = np.unique(full_key, return_inverse=True)
-        c, h = (np.bincount(inverse, x, len(found)).astype(np.int64) for x in (counted, held))
-        is_token = np.zeros(len(found), bool)
-        is_token[inverse] = (kinds == 0) & (keys != mix(np.array([BEGIN]))[0])
-        own = is_token & (c + h > 0)
-        cuts = pa.array(np.concatenate(([0], np.cumsum(lengths), [lengths.sum() + 3])).astype(np.int32))
-        extra = lambda values, more: pa.ListArray.from_arrays(cuts, pa.array(np.concatenate((values, more)), pa.int64()))
-        chunk = np.append(np.asarray(table.column("chunk")), -1).astype(np.int32)
-        bucket = np.append(np.asarray(table.column("bucket")), table.column("bucket")[0].as_py()).astype(np.int32)
-        more = [int((c + h)[own].sum()), int(own.sum()), int(c[is_token].sum())]
-        return pa.table({"chunk": pa.array(chunk), "bucket": pa.array(bucket), "kept": extra(c[inverse], more), "aside": extra(h[inverse], [0, 0, 0])})
-
-    return requests.groupBy("bucket").applyInArrow(run, "chunk int, bucket int, kept array<bigint>, aside array<bigint>")
+        keys, n = chunk_keys(tokens_of(data, offsets, SpanHasher()), len(table))
+        chunk, none = key[0].as_py(), np.zeros(len(n), np.int64)
+        counted, held = (n if layout.first[COUNTED] <= chunk < layout.first[HELD] else none), (n if chunk >= layout.first[HELD] else none)
+        return _table(REQUEST, _requests(chunk, 1, layout.fan, keys, counted, held))
+
+    return chunked.select("chunk", "text").groupBy("chunk").applyInArrow(run, REQUEST)
 
 
 class Chunk:
     """Tokens of a chunk's documents with the corpus totals of their keys."""
 
-    def __init__(self, docs: pa.Table, answers: pa.Table, buckets: int, role: np.ndarray) -> None:
+    def __init__(self, docs: pa.Table, answers: pa.Table) -> None:
         data, offsets = column_bytes(docs.column("text"))
         self.t = tokens_of(data, offsets, SpanHasher())
-        kind, key, _, _ = chunk_keys(self.t, role)
-        order = np.lexsort((key, kind, key % np.uint64(buckets)))
-        by_bucket = np.argsort(np.asarray(answers.column("bucket")))
-        answers = answers.take(pa.array(by_bucket))
-        kept, aside = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
-        kept[order] = np.asarray(answers.column("kept").combine_chunks().flatten())
-        aside[order] = np.asarray(answers.column("aside").combine_chunks().flatten())
-        tokens = int((kind == 0).sum())
-        self.keys = key[:tokens], key[tokens:]
-        self.kept = kept[:tokens], kept[tokens:]
-        self.all = kept[:tokens] + aside[:tokens], kept[tokens:] + aside[tokens:]
-
-    def counts(self, totals: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        self.keys, _ = chunk_keys(self.t, len(docs))
+        self.kept, aside = _read_answers(answers)
+        self.all = self.kept + aside
+
+    def counts(self, totals: np.ndarray) -> list[np.ndarray]:
         """c(w), c(v) and c(v w) of every token."""
-        at = lambda kind, keys: totals[kind][np.searchsorted(self.keys[kind], keys)]
-        return at(0, self.t.token), at(0, self.t.context), at(1, self.t.pair)
+        return [totals[np.searchsorted(self.keys, k)].astype(np.float64) for k in (self.t.token, self.t.context, self.t.pair)]
 
 
-def score(docs: DataFrame, train: Column, keep: list[str], text: str = "text", held_share: int = 10) -> DataFrame:
+def score(docs: DataFrame, train: Column, keep: list[str], text: str = "text", held_share: int = 10, chunk_bytes: int = CHUNK_BYTES, fan: int = FAN) -> DataFrame:
     """``keep`` columns of every row, and the scores of its whole text under a model of the ``train`` rows.
 
     Added: n_tokens, n_known, train_tokens (bigint), base_score (add-one
@@ -228,53 +300,44 @@ def score(docs: DataFrame, train: Column, keep: list[str], text: str = "text", h
     texts hold the end token alone. Repeated rows come back repeated; an empty
     table gives an empty result; without training rows every token is unseen.
     Which training documents are held out follows from the hash of the text.
+    ``chunk_bytes`` and ``fan`` set the memory of a task and the shape of the
+    tree; they change no result.
     """
     held = F.pmod(F.xxhash64(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), F.lit(3)), F.lit(held_share)) == 0
     role = F.when(~F.coalesce(train, F.lit(False)), SCORED).when(held, HELD).otherwise(COUNTED)
-    chunked, chunks = _with_chunk(docs, text, keep, role)
-    buckets = max(1, -(-chunks * CHUNK_BYTES // BUCKET_BYTES))
-    answers = stored(_answers(_requests(chunked, buckets)))
-    sums_ = answers.filter("chunk = -1").agg(*[F.coalesce(F.sum(F.col("kept")[i]), F.lit(0)) for i in range(3)]).first()
-    stats = Statistics(*[int(x) for x in sums_])
-    answers = answers.filter("chunk >= 0")
-    stats.weights = _weights(chunked.filter(F.col("role") == HELD), answers.filter(F.col("chunk") >= chunks), buckets, stats)
+    chunked, layout = _with_chunk(docs, text, keep, role, chunk_bytes, fan)
+    answers, stats = _totals(_chunk_requests(chunked, layout), 1, layout)
+    aside = F.col("grp") >= layout.first[HELD]
+    stats.weights = _weights(chunked.filter(F.col("role") == HELD), answers.filter(aside), stats)
     names = [f"k{i}" for i in range(len(keep))]
-    added = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    kinds = {"n_tokens": T.LongType(), "n_known": T.LongType(), "train_tokens": T.LongType(), "base_score": T.DoubleType(), "score": T.DoubleType()}
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
-            return pa.table({n: pa.array([], t) for n, t in [*((n, left.schema.field(n).type) for n in names), *zip(added, [pa.int64()] * 3 + [pa.float64()] * 2, strict=True)]})
-        c = Chunk(left, right, buckets, left.column("role").to_numpy())
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(left, right)
         w, v, vw = c.counts(c.all)
         rows = len(left)
         total = lambda x: np.bincount(c.t.row, x, rows)
         base = np.log10((w + 1.0) / (stats.tokens + stats.distinct + 1.0))
-        mixture = stats.weights[level(v)]
-        p = mixture[:, 0] * ratio(vw, v) + mixture[:, 1] * (w / max(stats.tokens, 1)) + mixture[:, 2] / (stats.distinct + 1.0)
         columns = {n: left.column(n) for n in names}
-        columns |= {"n_tokens": total(np.ones(len(w))).astype(np.int64), "n_known": total(w > 0).astype(np.int64), "train_tokens": np.full(rows, stats.tokens, np.int64), "base_score": total(base), "score": total(np.log10(p))}
+        columns |= {"n_tokens": total(np.ones(len(w))).astype(np.int64), "n_known": total(w > 0).astype(np.int64), "train_tokens": np.full(rows, stats.tokens, np.int64), "base_score": total(base), "score": total(np.log10(probability(w, v, vw, stats)))}
         return pa.table(columns)
 
-    kinds = [T.LongType()] * 3 + [T.DoubleType()] * 2
-    schema = schema_with(chunked.select(*names), **dict(zip(added, kinds, strict=True)))
-    scored = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
-    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *added)
+    schema = schema_with(chunked.select(*names), **kinds)
+    scored = chunked.drop("role").groupBy("chunk").cogroup(answers.withColumnRenamed("grp", "chunk").groupBy("chunk")).applyInArrow(run, schema)
+    return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *kinds)
 
 
-def _weights(chunked: DataFrame, answers: DataFrame, buckets: int, stats: Statistics) -> np.ndarray:
+def _weights(chunked: DataFrame, answers: DataFrame, stats: Statistics) -> np.ndarray:
     """Held-out events as a histogram of at most LEVELS x CELLS x CELLS cells, then EM."""
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left):
-            return pa.table({"cell": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
-        role = left.column("role").to_numpy()
-        c = Chunk(left, right, buckets, role)
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = Chunk(left, right)
         w, v, vw = c.counts(c.kept)
         cell = (level(v) * CELLS + log_cell(ratio(vw, v))) * CELLS + log_cell(w / max(stats.counted_tokens, 1))
         found, n = np.unique(cell, return_counts=True)
         return pa.table({"cell": found, "n": n.astype(np.int64)})
 
-    hist = chunked.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "cell bigint, n bigint")
+    hist = chunked.select("chunk", "text").groupBy("chunk").cogroup(answers.withColumnRenamed("grp", "chunk").groupBy("chunk")).applyInArrow(run, "cell bigint, n bigint")
     rows: pd.DataFrame = hist.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cell = rows["cell"].to_numpy(np.int64)
     cells = np.stack([cell // CELLS // CELLS, cell // CELLS % CELLS, cell % CELLS], axis=1)

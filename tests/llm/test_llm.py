@@ -54,24 +54,59 @@ def test_held_out_accuracy(spark, name):
     assert (pos[:, None] > neg[None, :]).mean() + 0.5 * (pos[:, None] == neg[None, :]).mean() > 0.8
 
 
-def test_lm_counts_by_brute_force(spark, docs):
-    out = {r["doc_id"]: r for r in queries.op3_lm_scoring(spark, SF).collect()}
+LOWERED = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+
+
+def lm_words(t):
+    return [*SPACE.findall(LOWERED(t)), None]
+
+
+def test_lm_counts_and_scores_by_brute_force(spark, docs, monkeypatch):
     import zlib
 
+    learned = []
+    weights = lm.learn_weights
+    monkeypatch.setattr(lm, "learn_weights", lambda *a: learned.append(weights(*a)) or learned[-1])
+    out = {r["doc_id"]: r for r in queries.op3_lm_scoring(spark, SF).collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts(docs)}
-    lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t)
-    words = {i: [*SPACE.findall(lower(t)), None] for i, t in texts(docs).items()}
+    words = {i: lm_words(t) for i, t in texts(docs).items()}
     c = Counter(w for i, ws in words.items() if not held[i] for w in ws)
+    begin = object()
+    pairs = Counter((v, w) for i, ws in words.items() if not held[i] for v, w in zip([begin, *ws[:-1]], ws))
+    context = c | Counter({begin: sum(not h for h in held.values())})
     n, v = sum(c.values()), len(c)
+
+    def mixture(before, w):
+        cv = context[before]
+        a, u, o = learned[-1][0 if cv == 0 else min(cv.bit_length(), lm.LEVELS - 1)]
+        return a * (pairs[before, w] / cv if cv else 0) + u * c[w] / n + o / (v + 1)
+
     for i, ws in words.items():
         r = out[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[i], len(ws), sum(w in c for w in ws), n)
         assert r["base_score"] == pytest.approx(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws), rel=1e-9)
-        assert r["score"] < 0
+        assert r["score"] == pytest.approx(sum(np.log10(mixture(b, w)) for b, w in zip([begin, *ws[:-1]], ws)), rel=1e-9)
     mine = [r for r in out.values() if r["held_out"]]
     assert sum(r["score"] for r in mine) > sum(r["base_score"] for r in mine)
 
 
+def test_lm_tree_changes_no_result(spark, docs):
+    part = docs.filter("doc_id < 60").select("doc_id", "text").unionByName(spark.createDataFrame([(-1, "x" * 600_000 + " y"), (-2, None), (-3, "")], "doc_id bigint, text string"))
+    train = F.col("doc_id") % 3 > 0
+    one, deep = (lm.score(part, train, ["doc_id"], **kw).orderBy("doc_id").toPandas() for kw in ({}, {"chunk_bytes": 10_000, "fan": 2}))
+    for name in one:
+        assert np.allclose(one[name], deep[name], rtol=1e-12), name
+
+
+def test_lm_edge_values(spark, edge):
+    """Null and blank texts are the end token; repeats score alike; other columns may clash."""
+    out = lm.score(edge.withColumn("score", F.lit("s")).withColumn("k0", F.lit(1)), F.lit(True), ["doc_id", "k0"]).collect()
+    n = {(r["doc_id"], r["n_tokens"], r["n_known"]) for r in out}
+    assert n == {(1, 11, 11), (2, 1, 1), (3, 1, 1), (None, 3, 3), (4, 4, 4), (5, 30_001, 30_001)} and len({r["score"] for r in out if r["doc_id"] == 4}) == 1
+    none = lm.score(edge, F.lit(False), ["doc_id"]).collect()
+    assert all(r["n_known"] == r["train_tokens"] == r["base_score"] == 0 and -1e6 < r["score"] <= 0 for r in none)
+
+
 def test_lm_edges(spark, edge):
     out = lm.score(edge, F.lit(True), ["doc_id"]).collect()
     assert len(out) == len(EDGE)
