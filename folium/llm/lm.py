@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from folium.llm.common import LOWER, SpanHasher, column_bytes, mix, schema_with, stored, word_spans
 
 #: Bytes of text in a chunk, on average.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 4 << 20
 #: Bits of the key that each level of the tree splits by.
 FAN = 9
 END, BEGIN = np.uint64(0x1D1), np.uint64(0xB0B)
