@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -36,11 +37,17 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a default is set only where none is configured."""
+    """The folder all executors share, as ``spark.checkpoint.dir`` names it.
+
+    Where it is unset, a folder of this machine serves in local mode alone;
+    on a cluster that is an error, as executors don't share such a folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
-        folder = os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "folium-checkpoints", context.applicationId)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
@@ -186,6 +193,11 @@ class SpanHasher:
         return mix(out + (ends - starts).astype(np.uint64))
 
 
+def in_share(hashed: Column, share: float) -> Column:
+    """Whether a row's 64-bit hash falls into a share of all; the grid of 2 ** 53 steps stays fine at any table size."""
+    return F.pmod(hashed, F.lit(1 << 53)) < F.lit(min(1 << 53, max(1, int(share * (1 << 53)))))
+
+
 def bounded_sample(labelled: DataFrame, key: str, text: str, rows: int, chars: int) -> DataFrame:
     """About ``rows`` rows and ``chars`` characters at most, chosen by the hash of the key and text.
 
@@ -193,9 +205,7 @@ def bounded_sample(labelled: DataFrame, key: str, text: str, rows: int, chars: i
     holds (in expectation) for any input, and the same rows come out each time.
     """
     n, total = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
-    share = min(1.0, rows / max(n, 1), chars / max(total, 1))
-    parts = 1 << 20
-    return labelled.filter(F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(parts)) < int(share * parts))
+    return labelled.filter(in_share(F.xxhash64(F.col(key), F.col(text)), min(1.0, rows / max(n, 1), chars / max(total, 1))))
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, rows: int) -> DataFrame:
@@ -206,7 +216,15 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, key: str, text: str, labe
     with a null label are left out.
     """
     usable = labels.select(key, label).filter(F.col(label).isNotNull())
-    parts = 1 << 20
-    share = min(1.0, rows / max(usable.count(), 1))
-    chosen = usable.filter(F.pmod(F.xxhash64(key), F.lit(parts)) < int(share * parts))
+    chosen = usable.filter(in_share(F.xxhash64(key), rows / max(usable.count(), 1)))
     return cut(docs.select(key, text).join(F.broadcast(chosen), key))
+
+
+def row_key(df: DataFrame) -> Column:
+    """128 bits that tell rows apart by all their columns; maps count by their entries."""
+
+    def plain(c: str, kind: T.DataType) -> Column:
+        return F.to_json(F.struct(F.col(f"`{c}`"))) if "map<" in kind.simpleString() else F.col(f"`{c}`")
+
+    columns = [plain(f.name, f.dataType) for f in df.schema.fields]
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))

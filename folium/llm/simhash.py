@@ -29,15 +29,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folium.llm import shingles
-from folium.llm.common import cut, free_name, schema_with
+from folium.llm.common import cut, free_name, row_key, schema_with, stored
 
 SEED = 42
 #: Bands larger than this are dealt to tiles, each compared with each.
 TILE_ROWS = 16_384
 #: Runs up to this length are compared in one vectorised sweep.
 SHORT_RUN = 256
-#: Hot bands are broadcast up to this many rows, and joined by shuffle beyond.
-BROADCAST_ROWS = 100_000
+#: Rows of a side that may be broadcast; beyond that it is shuffled.
+BROADCAST_ROWS = 400_000
 
 
 def pivot_table(count: int, seed: int = 7) -> np.ndarray:
@@ -191,7 +191,7 @@ def links(distinct: DataFrame, fp: str, radius: int, pivots: int = 24) -> DataFr
     hot = cut(banded.groupBy("table", "key").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > TILE_ROWS).withColumn("parts", F.ceil(F.col("rows") / TILE_ROWS).cast("int")).drop("rows"))
     n_hot = hot.count()
     if n_hot:
-        banded = banded.join(F.broadcast(hot) if n_hot <= BROADCAST_ROWS else hot, ["table", "key"], "left")
+        banded = banded.join(small(hot, n_hot), ["table", "key"], "left")
     else:
         banded = banded.withColumn("parts", F.lit(None).cast("int"))
     parts = F.coalesce("parts", F.lit(1))
@@ -232,35 +232,36 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014)
     until the edges stop changing. A node's least neighbour comes from a
-    partial aggregate and a join, so a node with very many neighbours never
-    gathers them in one task.
+    partial aggregate that is written out, so the join with it is a broadcast
+    or has plain exchanges on both sides, which are split at run time: a node
+    with very many neighbours never gathers them in one task.
     """
 
-    def least(pairs: DataFrame) -> DataFrame:
-        return pairs.groupBy("u").agg(F.min("v").alias("m"))
+    def least(pairs: DataFrame, rows: int) -> DataFrame:
+        return small(cut(pairs.groupBy("u").agg(F.min("v").alias("m"))), rows)
 
-    def step(now: DataFrame, large: bool) -> DataFrame:
-        if large:
-            both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-            m = least(both).withColumn("m", F.least("m", "u"))
-            return both.filter(F.col("v") > F.col("u")).join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        m = least(down)
-        joined = down.join(m, "u")
-        return joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
+    def large_star(now: DataFrame, rows: int) -> DataFrame:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        m = least(both, 2 * rows)
+        return both.filter(F.col("v") > F.col("u")).join(m, "u").select(F.col("v").alias("u"), F.least("m", "u").alias("v"))
 
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    def small_star(now: DataFrame, rows: int) -> DataFrame:
+        down = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+        m = least(down, rows)
+        return down.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(m.select("u", F.col("m").alias("v")))
 
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
+    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = state(now)
     while seen[0]:
-        now = cut(step(step(now, True).filter("u <> v").distinct(), False).filter("u <> v").distinct())
+        now = cut(large_star(now, seen[0]).filter("u <> v").distinct())
+        now = cut(small_star(now, seen[0]).filter("u <> v").distinct())
         if (new := state(now)) == seen:
             break
         seen = new
-    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4, pivots: int = 24) -> DataFrame:
@@ -280,11 +281,19 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
 def _grouped(docs: DataFrame, keep: list[str], doc_id: str, text: str, words: int, radius: int, pivots: int) -> DataFrame:
     table = cut(fingerprints(docs, text, keep, words, "__fp"))
     distinct = cut(table.groupBy("__fp").agg(F.min(F.col(f"`{doc_id}`")).alias("__least")))
-    nodes = components(links(distinct.select("__fp"), "__fp", radius, pivots))
-    rooted = distinct.join(nodes.withColumnRenamed("node", "__fp"), "__fp", "left").withColumn("root", F.coalesce("root", "__fp"))
-    least = rooted.groupBy("root").agg(F.min("__least").alias("__component"))
-    classes = rooted.join(least, "root").select("__fp", "__component", F.col("root").alias("__root"))
-    return table.join(classes, "__fp")
+    nodes = cut(components(links(distinct.select("__fp"), "__fp", radius, pivots)))
+    linked = distinct.join(nodes.withColumnRenamed("node", "__fp"), "__fp")
+    least = cut(linked.groupBy("root").agg(F.min("__least").alias("__component")))
+    # a large group has one row in ``least``: broadcast, or split at run time beyond the bound
+    groups = nodes.join(small(least, least.count()), "root").select(F.col("node").alias("__fp"), "__component")
+    classes = distinct.join(groups, "__fp", "left").select("__fp", F.coalesce("__component", "__least").alias("__component"))
+    # both sides are plain exchanges, so a fingerprint of very many rows is split at run time
+    return table.join(cut(classes), "__fp")
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A broadcast hint where the counted size allows it."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
@@ -294,13 +303,23 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     similarity of ``similarity`` (a fraction) or more; every such pair is found
     (see ``shingles``), which no radius of fingerprints that is cheap to search
     would do. The row with the least ``doc_id`` stays (null ids last; among
-    rows that share it, the least hash of all columns; of wholly equal rows, one).
+    rows that share it, the least hash of all columns; of wholly equal rows,
+    one). Null and blank texts have the empty set and are one group. An empty
+    table gives an empty result; texts are read whole and never shuffled while
+    the rows to drop are few enough to be broadcast.
     """
-    key = free_name(docs, "row_key")
-    keyed = docs.withColumn(key, F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    table, nodes = shingles.near_sets(keyed, key, doc_id, text, words, *similarity, components)
+    name = free_name(docs, "key")
+    plain = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), row_key(docs).alias("key"))
+    table, nodes = shingles.near_sets(plain, "id", "t", words, *similarity, components)
     first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("d"), F.col("key").alias("k")))
-    sets = table.groupBy("set").agg(first.alias("w"))
-    grouped = sets.join(nodes.withColumnRenamed("node", "set"), "set", "left").groupBy(F.coalesce("root", "set")).agg(F.min("w").alias("w"))
-    winners = grouped.select(F.col("w.k").alias(key))
-    return keyed.join(winners, key, "left_semi").dropDuplicates([key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    sets = table.groupBy("set").agg(first.alias("w")).join(nodes, "set", "left")
+    linked = F.col("root").isNotNull()
+    winners = stored(sets.groupBy(linked, F.coalesce("root", "set")).agg(F.min("w").alias("w")).select(F.col("w.k").alias("key")))
+    losers = stored(table.select("key").join(winners, "key", "left_anti").distinct())
+    again = cut(table.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1").select("key").join(winners, "key", "left_semi"))
+    keyed = docs.withColumn(name, row_key(docs))
+    named = lambda df: small(df.select(F.col("key").alias(name)), df.count())
+    out = keyed.join(named(losers), name, "left_anti")
+    if again.limit(1).count():  # wholly equal rows that stay: one of each
+        out = out.join(named(again), name, "left_anti").unionByName(out.join(named(again), name, "left_semi").dropDuplicates([name]))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
