@@ -16,8 +16,10 @@ text, and only those runs are laid out in padded numpy batches.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folium.llm.common import free_name, schema_with
+from folium.llm.common import WHITESPACE, free_name, schema_with
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+#: The contract's patterns, split or made possessive so that no run of characters is scanned again from each of its own.
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile("[0-9]+")
 #: Punctuation around a word that is not part of a span.
@@ -48,14 +52,47 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def is_byte(digits: str) -> bool:
+    """Whether a number of any length is at most 255."""
+    short = digits.lstrip("0")
+    return len(short) <= 3 and int(short or "0") <= 255
+
+
+def emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping ``[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+``, found from each ``@`` outwards."""
+    done = 0
+    at = text.find("@")
+    while at >= 0:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        m = DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            yield start, m.end()
+            done = m.end()
+        at = text.find("@", max(at + 1, done))
+
+
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost non-overlapping runs of four numbers joined by dots: a chain of more numbers is cut into fours."""
+    for m in DOTTED.finditer(text):
+        chain = m.group()
+        if chain.count(".") >= 3:
+            parts, at = chain.split("."), m.start()
+            for i in range(0, len(parts) - 3, 4):
+                four = parts[i : i + 4]
+                end = at + sum(map(len, four)) + 3
+                if all(map(is_byte, four)):
+                    yield at, end
+                at = end + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of the pattern matches, leftmost and non-overlapping within a kind."""
-    found: list[tuple[int, int, int]] = []
-    if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+    """(start, kind, end) of the pattern matches, leftmost and non-overlapping within a kind; linear in the text."""
+    found = [(a, 0, b) for a, b in emails(text)]
     if DIGITS.search(text) is None:
         return found
-    found += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+    found += [(a, 1, b) for a, b in addresses(text)]
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -85,7 +122,7 @@ def shape(word: str) -> str:
             out.append("A" if m.group(2)[0].isupper() else "a")
         else:
             out.append(m.group(3))
-    return "".join(out[:24])
+    return "".join(out)
 
 
 def features(words: list[str], before: str, after: str) -> list[list[str]]:
@@ -224,8 +261,7 @@ def candidate_runs(words: list[str]) -> list[tuple[int, int]]:
     return runs
 
 
-GAP = re.compile(r"[\x20\x09-\x0D]+")
-BEFORE = re.compile(r"[^\x20\x09-\x0D]+(?=[\x20\x09-\x0D]+\Z)")
+GAP = re.compile(r"[\x20\x09-\x0D]")
 AFTER = re.compile(r"[\x20\x09-\x0D]+([^\x20\x09-\x0D]+)")
 
 
@@ -233,7 +269,7 @@ def _runs_of(text: str) -> Iterator[tuple[list[tuple[int, int]], str, str]]:
     """Runs of candidate words of a text, with the words before and after."""
     spans: list[tuple[int, int]] = []
     for m in _candidates(text):
-        if spans and text[spans[-1][1] : m[0]].strip(" \t\n\x0b\x0c\r") == "":
+        if spans and text[spans[-1][1] : m[0]].strip(WHITESPACE) == "":
             spans.append(m)
             continue
         if spans:
@@ -251,7 +287,7 @@ def _candidates(text: str) -> Iterator[tuple[int, int]]:
         if at < done:
             continue
         start = at
-        while start > done and text[start - 1] not in " \t\n\x0b\x0c\r":
+        while start > done and text[start - 1] not in WHITESPACE:
             start -= 1
         gap = GAP.search(text, at)
         done = gap.start() if gap else len(text)
@@ -259,26 +295,29 @@ def _candidates(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _context(text: str, spans: list[tuple[int, int]]) -> tuple[str, str]:
-    """The words around a run; as much of each as ``WORD_LOOK`` characters hold."""
-    a, b = spans[0][0], spans[-1][1]
-    left, right = BEFORE.search(text[max(0, a - WORD_LOOK) : a]), AFTER.match(text[b : b + WORD_LOOK])
-    return left.group() if left else "", right.group(1) if right else ""
+    """The whole words before and after a run; '' at the ends of the text."""
+    end = spans[0][0]
+    while end > 0 and text[end - 1] in WHITESPACE:
+        end -= 1
+    start = end
+    while start > 0 and text[start - 1] not in WHITESPACE:
+        start -= 1
+    after = AFTER.match(text, spans[-1][1])
+    return text[start:end], after.group(1) if after else ""
 
 
-#: Neighbour words are features only; characters beyond this many do not change their shape's use.
-WORD_LOOK = 80
 #: Runs decoded in one batch, and words of a run in one padded row. Longer runs are decoded alone.
 BATCH_RUNS, LONG_RUN = 4_096, 64
 
 
 class Tagger:
-    """Decodes candidate runs of many texts; features of equal runs are looked up once."""
+    """Decodes candidate runs of many texts."""
 
     def __init__(self, crf: Crf) -> None:
-        self.crf, self.known = crf, {}
+        self.crf = crf
 
     def _scores(self, words: list[str], before: str, after: str) -> np.ndarray:
-        """Emission scores of a run. Equal shapes give equal features, so they are kept by shape."""
+        """Emission scores of each word of a run."""
         get = lambda f: self.crf.index.get(f, -1)
         return np.stack([self.crf.emit[[get(f) for f in fs]].sum(axis=0) for fs in features(words, before, after)])
 
@@ -318,8 +357,8 @@ def _labelled_spans(text: str, run: list[tuple[int, int]], path: np.ndarray) ->
         last = t
         while last + 1 < len(run) and LABELS[path[last + 1]] == f"I-{label[2:]}":
             last += 1
-        a = run[t][0] + core(text[slice(*run[t])])[0]
-        b = run[last][0] + core(text[slice(*run[last])])[1]
+        lo, hi = core(text[run[t][0] : run[last][1]])
+        a, b = run[t][0] + lo, run[t][0] + hi
         if b > a and plausible(label[2:], text[a:b]):
             yield a, KINDS.index(label[2:]), b
         t = last + 1
@@ -333,19 +372,18 @@ def plausible(kind: str, value: str) -> bool:
     if kind == "phone":
         return 10 <= len(digits) <= 15
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in DIGITS.findall(value))
+        return all(map(is_byte, DIGITS.findall(value)))
     return "@" in value
 
 
 def merge(base: list[tuple[int, int, int]], more: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Base spans, and those of ``more`` that touch none of them."""
-    out, i, reach, taken = list(base), 0, 0, sorted(base)
-    for start, kind, end in sorted(more):
-        while i < len(taken) and taken[i][0] < end:
-            reach = max(reach, taken[i][2])
-            i += 1
-        clash = reach > start and any(s < end and start < e for s, _, e in taken[max(0, i - 64) : i])
-        if not clash:
+    taken = sorted(base)
+    starts, reach = [s for s, _, _ in taken], list(accumulate((e for _, _, e in taken), max))
+    out = list(base)
+    for start, kind, end in more:
+        before = bisect_left(starts, end)  # base spans that begin before this one ends
+        if not before or reach[before - 1] <= start:
             out.append((start, kind, end))
     return sorted(out)
 
@@ -361,7 +399,8 @@ def find(docs: DataFrame, crf: Crf, text: str = "text", base: str = "pii_base",
     """``docs`` with two arrays of (kind, start, end): pattern matches, and those plus what the field adds.
 
     Offsets are code points, ends exclusive; order is by start, then kind as in
-    ``KINDS``. Null and empty texts have empty arrays. Every row comes back
+    ``KINDS``. Null and empty texts have empty arrays; time is linear in the
+    length of a text. Every row comes back
     once, repeated rows included; columns with the added names are replaced.
     """
     source = docs.drop(base, spans)
