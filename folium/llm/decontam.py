@@ -1,15 +1,16 @@
 """Benchmark decontamination in DataFrame expressions alone.
 
 Words are runs of letters and digits of the lower-cased text; shingles are
-five words (a shorter item is one shingle). Of the windows of an item's
-length, only those that share a shingle with it can be similar to it; the
-positions of shared shingles give their starts, and each such window gets a
-SimHash of its weighted shingles. Item fingerprints stand in a multi-index of
-``BLOCKS`` blocks: a window within the radius must have a block within
-radius / BLOCKS bits of the item's block, and the index lists every such
-block value, so an equi-join on (length, block, value) finds all fingerprints
-within the radius. Exact weighted-shingle similarity (sum of least counts over
-sum of greatest) verifies the candidates.
+five words (a shorter item is one shingle). An item of k shingles is compared
+with the windows of k shingles of a document. At similarity s the two share at
+least 2 k s / (1 + s) shingles, so only windows that hold as many positions
+with a shingle of the item can reach it; each of them is taken, whatever its
+start, and gets a SimHash of its weighted shingles. Item fingerprints stand in
+a multi-index of ``BLOCKS`` blocks: a window within the radius must have a
+block within radius / BLOCKS bits of the item's block, and the index lists
+every such block value, so an equi-join on (length, block, value) finds all
+fingerprints within the radius. Exact weighted-shingle similarity (sum of
+least counts over sum of greatest) verifies the candidates.
 """
 
 from __future__ import annotations
@@ -23,12 +24,12 @@ from folium.llm.common import cut
 from folium.llm.rules import once
 
 WIDTH, SIMILARITY = 5, 0.8
-#: At similarity 0.8 about 10 of 64 bits differ (deviation 3); 20 leaves over three deviations.
-RADIUS, BLOCKS = 20, 8
+#: At similarity 0.8 about 10 of 64 bits differ (deviation 2.9); 23 leaves over four deviations at the index of 20.
+RADIUS, BLOCKS = 23, 8
 BLOCK_BITS = 64 // BLOCKS
 #: Rows of an item-side table that may be broadcast; beyond that it is shuffled.
 BROADCAST_ROWS = 400_000
-LANES = "0x0001000100010001"
+LANES = "0x0000000100000001"
 
 
 def word_list(text: Column) -> Column:
@@ -45,30 +46,27 @@ def shingles(words: str, width: Column) -> Column:
 
 
 def simhash(hashes: str) -> Column:
-    """64-bit SimHash of a bag of hashes (repeats weigh); counters lie four to a long, 16 bits each."""
+    """64-bit SimHash of a bag of hashes (repeats weigh); counters lie two to a long, 32 bits each, more than an array can fill."""
     mask = F.lit(int(LANES, 16))
-    zero = F.array_repeat(F.lit(0).cast("bigint"), 16)
+    zero = F.array_repeat(F.lit(0).cast("bigint"), 32)
     add = lambda acc, h: F.transform(acc, lambda a, b: a + F.call_function("shiftrightunsigned", h, b).bitwiseAND(mask))
     sums = F.aggregate(F.col(hashes), zero, add)
     half = F.size(hashes)
 
     def bit(acc: Column, a: Column, b: Column, lane: int) -> Column:
-        over = F.shiftrightunsigned(a, 16 * lane).bitwiseAND(F.lit(0xFFFF)) * 2 > half
-        return acc.bitwiseOR(F.when(over, F.call_function("shiftleft", F.lit(1).cast("bigint"), b + 16 * lane)).otherwise(F.lit(0).cast("bigint")))
-
-    def fold(acc: Column, x: Column) -> Column:
-        for lane in range(4):
-            acc = bit(acc, x["a"], x["b"], lane)
-        return acc
+        over = F.shiftrightunsigned(a, 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > half
+        return acc.bitwiseOR(F.when(over, F.call_function("shiftleft", F.lit(1).cast("bigint"), b + 32 * lane)).otherwise(F.lit(0).cast("bigint")))
 
     pairs = F.transform(sums, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.aggregate(pairs, F.lit(0).cast("bigint"), fold)
+    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, x: bit(bit(acc, x["a"], x["b"], 0), x["a"], x["b"], 1))
 
 
 def numbered(hashes: str) -> Column:
-    """The bag as a set: each hash with the number of its occurrence."""
+    """The bag as a set: each hash with the number of its occurrence. Only hashes that repeat are looked up."""
     ordered = F.sort_array(hashes)
-    return F.transform(ordered, lambda x, i: F.struct(x.alias("h"), (i + 1 - F.array_position(ordered, x)).alias("k")))
+    again = F.filter(ordered, lambda x, i: x == F.get(ordered, i - 1))
+    once_each = F.transform(F.array_distinct(ordered), lambda x: F.struct(x.alias("h"), F.lit(1).cast("bigint").alias("k")))
+    return F.concat(once_each, F.transform(again, lambda x, i: F.struct(x.alias("h"), (i + 3 - F.array_position(again, x)).cast("bigint").alias("k"))))
 
 
 def block(fp: Column, i: int) -> Column:
@@ -92,32 +90,39 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     return cut(items.select("item_id", "m", "width", "hashes", numbered("hashes").alias("bag"), simhash("hashes").alias("fp")).distinct())
 
 
+def window_starts(places: Column, need: Column, length: Column, last: Column) -> Column:
+    """Starts, up to ``last``, of the windows of ``length`` shingles with ``need`` or more of the ascending ``places``."""
+    spans = F.transform(places, lambda p, i: F.struct(F.greatest(F.get(places, (i + need - 1).cast("int")) - length + 1, F.lit(0)).alias("a"), F.least(p, last).alias("b")))
+    return F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["a"] <= s["b"]), lambda s: F.sequence(s["a"], s["b"]))))
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document text and item found in it: ``doc_id``, ``doc_key``, ``item_id``, ``item_words``, ``similarity``, ``word_start``.
 
-    The best window is reported (ties: the first). ``doc_key`` is a hash of id
-    and text, so rows that share an id but not a text are told apart, and
-    wholly repeated rows come back once. Null and empty texts, and items
-    without words, match nothing; empty tables give an empty result; other
-    columns are ignored whatever their names.
+    The best window is reported (ties: the first). A text shorter than the item
+    is one window. ``doc_key`` is a hash of id and text (128 bits), so rows
+    that share an id but not a text are told apart, and wholly repeated rows
+    come back once. Null and empty texts, and items without words, match
+    nothing; empty tables give an empty result; other columns are ignored
+    whatever their names.
     """
     items = items_of(benchmark, item_id, item_text)
-    seeds = items.select("item_id", "m", "width", F.posexplode("hashes").alias("at", "h"))
+    seeds = items.select("item_id", "width", F.size("hashes").alias("k"), F.explode(F.array_distinct("hashes")).alias("h"))
     n_seeds = seeds.count()
     widths = [r[0] for r in items.select("width").distinct().collect()]
     body = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("body"))
-    body = body.withColumn("doc_key", F.xxhash64("doc_id", "body"))
-    worded = once(body, "w", word_list(F.col("body"))).select("doc_key", "w")
-    found = None
-    for width in widths or [WIDTH]:
-        place = once(worded, "hashes", shingles("w", F.lit(width))).select("doc_key", F.size("w").alias("n"), F.posexplode("hashes").alias("pos", "h"))
-        part = place.join(small(seeds.filter(F.col("width") == width), n_seeds), "h").select("doc_key", "m", F.greatest(F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("m")), F.lit(0)).alias("start"))
-        found = part if found is None else found.unionByName(part)
-    starts = cut(found.distinct().groupBy("doc_key").agg(F.collect_list(F.struct("m", "start")).alias("starts")))
-    hit = body.join(starts, "doc_key")
-    windows = once(hit, "w", word_list(F.col("body"))).select("doc_id", "doc_key", "w", F.explode("starts").alias("s"))
-    windows = once(windows.select("doc_id", "doc_key", F.col("s.m").alias("m"), F.col("s.start").alias("start"), F.slice("w", F.col("s.start") + 1, F.col("s.m")).alias("w")), "hashes", shingles("w", F.least(F.size("w"), F.col("m"), F.lit(WIDTH))))
-    windows = once(windows.select("doc_id", "doc_key", "m", "start", "hashes"), "fp", simhash("hashes"))
+    body = body.withColumn("doc_key", F.struct(F.xxhash64("doc_id", "body").alias("a"), F.xxhash64(F.lit(1), "doc_id", "body").alias("b")))
+    worded = once(body, "w", word_list(F.col("body"))).select("doc_key", "w", F.explode(F.array(*[F.lit(x) for x in widths or [WIDTH]])).alias("width"))
+    place = once(worded, "hashes", shingles("w", F.col("width"))).select("doc_key", "width", F.size("hashes").alias("n"), F.posexplode("hashes").alias("pos", "h"))
+    shared = place.join(small(seeds, n_seeds), ["width", "h"])
+    groups = shared.groupBy("doc_key", "item_id", "width", "k", "n").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+    length = F.least("k", "n")
+    need = F.ceil((F.col("k") + length) * (similarity / (1 + similarity)) - 1e-9).cast("int")
+    groups = groups.filter(F.size("places") >= need).select("doc_key", "width", "k", F.explode(window_starts(F.col("places"), need, length, F.greatest(F.col("n") - F.col("k"), F.lit(0)))).alias("start"))
+    starts = cut(groups.distinct().groupBy("doc_key", "width").agg(F.collect_list(F.struct("k", "start")).alias("starts")))
+    hit = body.join(small(starts, starts.count()), "doc_key").dropDuplicates(["doc_key", "width"])
+    hit = once(once(hit, "w", word_list(F.col("body"))), "all", shingles("w", F.col("width"))).select("doc_id", "doc_key", "width", "all", F.explode("starts").alias("s"))
+    windows = once(hit.select("doc_id", "doc_key", (F.col("s.k") + F.col("width") - 1).alias("m"), "s.start", F.slice("all", F.col("s.start") + 1, F.col("s.k")).alias("hashes")), "fp", simhash("hashes"))
     masks = near_masks(RADIUS // BLOCKS)
     index = items.select("item_id", "m", F.col("fp").alias("item_fp"), F.explode(F.array(*[F.struct(F.lit(i).alias("no"), block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])).alias("b"))
     index = index.select("item_id", "m", "item_fp", F.col("b.no").alias("no"), F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(x)) for x in masks])).alias("value"))
@@ -133,13 +138,17 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     near = once(near, "own", numbered("hashes"))
     common = F.size(F.array_intersect("own", "bag"))
     ratio = common / (F.size("hashes") + F.col("k") - common)
-    scored = near.select("doc_id", "doc_key", "item_id", F.col("m").alias("item_words"), F.round(ratio, 6).alias("similarity"), "start").filter(F.col("similarity") >= similarity)
+    scored = near.select("doc_id", "doc_key", "item_id", F.col("m").alias("item_words"), F.round(ratio, 6).alias("similarity"), "start").filter(ratio >= similarity)
     best = scored.groupBy("doc_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "doc_id", "item_words")).alias("b"))
     return best.select("b.doc_id", "doc_key", "item_id", "b.item_words", "b.similarity", (-F.col("b.back")).alias("word_start"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a passage of the benchmark; all others unchanged, repeated rows included."""
-    bad = find_matches(docs, benchmark, doc_id, text).select("doc_key").distinct()
-    key = F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string"))
-    return docs.join(bad, key == bad["doc_key"], "left_anti")
+    """``docs`` without the rows whose text holds a passage of the benchmark; all others unchanged, repeated rows included.
+
+    Null and empty texts hold none; empty tables drop nothing.
+    """
+    bad = cut(find_matches(docs, benchmark, doc_id, text).select("doc_key.*").distinct())
+    bad = small(bad.select(F.col("a").alias("bad_a"), F.col("b").alias("bad_b")), bad.count())
+    columns = F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")
+    return docs.join(bad, (F.xxhash64(*columns) == bad["bad_a"]) & (F.xxhash64(F.lit(1), *columns) == bad["bad_b"]), "left_anti")

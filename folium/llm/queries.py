@@ -108,21 +108,23 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_matches(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("doc_key")
 
 
+#: Every window of an item's length that shares a shingle with it, without a count bound or fingerprints.
 OP8_SQL = """
 WITH d AS (SELECT DISTINCT doc_id, text, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
 docs AS (SELECT row_number() OVER () AS r, doc_id, w FROM d WHERE w <> ['']),
 items AS (SELECT DISTINCT item_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark),
-it AS (SELECT row_number() OVER () AS i, item_id, len(w) AS m, least(len(w), 5) AS k, w FROM items WHERE w <> ['']),
-ish AS (SELECT i, m, k, unnest(range(0, m - k + 1)) AS loc, unnest(list_transform(range(0, m - k + 1), lambda x: array_to_string(w[x + 1 : x + k], ' '))) AS s FROM it),
-dsh AS (SELECT r, len(w) AS n, k, unnest(range(0, len(w) - k + 1)) AS pos, unnest(list_transform(range(0, len(w) - k + 1), lambda x: array_to_string(w[x + 1 : x + k], ' '))) AS s FROM docs, (SELECT DISTINCT k FROM it) WHERE len(w) >= k),
-win AS (SELECT DISTINCT r, i, m, greatest(least(pos - loc, n - m), 0) AS start FROM dsh JOIN ish USING (k, s)),
-wsh AS (SELECT win.r, win.i, win.start, dsh.s, count(*) AS c FROM win JOIN it USING (i) JOIN dsh ON dsh.r = win.r AND dsh.k = it.k AND dsh.pos >= win.start AND dsh.pos + it.k <= win.start + win.m GROUP BY ALL),
+it AS (SELECT row_number() OVER () AS i, item_id, len(w) AS m, least(len(w), 5) AS width, len(w) - least(len(w), 5) + 1 AS k, w FROM items WHERE w <> ['']),
+ish AS (SELECT i, width, unnest(list_transform(range(0, k), lambda x: array_to_string(w[x + 1 : x + width], ' '))) AS s FROM it),
+dsh AS (SELECT r, len(w) - width + 1 AS n, width, unnest(range(0, len(w) - width + 1)) AS pos, unnest(list_transform(range(0, len(w) - width + 1), lambda x: array_to_string(w[x + 1 : x + width], ' '))) AS s FROM docs, (SELECT DISTINCT width FROM it) WHERE len(w) >= width),
+hit AS (SELECT DISTINCT r, i, n, pos FROM dsh JOIN ish USING (width, s)),
+win AS (SELECT DISTINCT r, i, unnest(range(greatest(pos - k + 1, 0), least(pos, greatest(n - k, 0)) + 1)) AS start FROM hit JOIN it USING (i)),
+wsh AS (SELECT win.r, win.i, win.start, dsh.s, count(*) AS c FROM win JOIN it USING (i) JOIN dsh ON dsh.r = win.r AND dsh.width = it.width AND dsh.pos >= win.start AND dsh.pos < win.start + it.k GROUP BY ALL),
 tot AS (SELECT r, i, start, sum(c) AS total FROM wsh GROUP BY ALL),
 bag AS (SELECT i, s, count(*) AS c FROM ish GROUP BY ALL),
 common AS (SELECT r, i, start, sum(least(wsh.c, bag.c)) AS shared FROM wsh JOIN bag USING (i, s) GROUP BY ALL),
-scored AS (SELECT r, i, start, round(shared::DOUBLE / (total + (m - k + 1) - shared), 6) AS similarity FROM common JOIN tot USING (r, i, start) JOIN it USING (i)),
+scored AS (SELECT r, i, start, shared::DOUBLE / (total + k - shared) AS similarity FROM common JOIN tot USING (r, i, start) JOIN it USING (i)),
 best AS (SELECT r, i, max(similarity) AS similarity FROM scored WHERE similarity >= 0.8 GROUP BY ALL)
-SELECT doc_id, item_id, m::INT AS item_words, b.similarity, (SELECT min(start)::INT FROM scored s WHERE s.r = b.r AND s.i = b.i AND s.similarity = b.similarity) AS word_start
+SELECT doc_id, item_id, m::INT AS item_words, round(b.similarity, 6) AS similarity, (SELECT min(start)::INT FROM scored s WHERE s.r = b.r AND s.i = b.i AND s.similarity = b.similarity) AS word_start
 FROM best b JOIN it USING (i) JOIN docs USING (r)
 """
 
