@@ -27,6 +27,8 @@ WIDTH, SIMILARITY = 5, 0.8
 #: At similarity 0.8 about 10 of 64 bits differ (deviation 2.9); 23 leaves over four deviations at the index of 20.
 RADIUS, BLOCKS = 23, 8
 BLOCK_BITS = 64 // BLOCKS
+#: Neighbouring windows that are hashed together.
+PIECE = 64
 #: Rows of an item-side table that may be broadcast; beyond that it is shuffled.
 BROADCAST_ROWS = 400_000
 LANES = "0x0000000100000001"
@@ -45,20 +47,34 @@ def shingles(words: str, width: Column) -> Column:
     return F.when(last >= 1, found).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(hashes: str) -> Column:
-    """64-bit SimHash of a bag of hashes (repeats weigh); counters lie two to a long, 32 bits each, more than an array can fill."""
-    mask = F.lit(int(LANES, 16))
-    zero = F.array_repeat(F.lit(0).cast("bigint"), 32)
-    add = lambda acc, h: F.transform(acc, lambda a, b: a + F.call_function("shiftrightunsigned", h, b).bitwiseAND(mask))
-    sums = F.aggregate(F.col(hashes), zero, add)
-    half = F.size(hashes)
+def lanes(hash_: Column, b: Column) -> Column:
+    """Bits ``b`` and ``b + 32`` of a hash as two counters of 32 bits, more than an array can fill."""
+    return F.call_function("shiftrightunsigned", hash_, b).bitwiseAND(F.lit(int(LANES, 16)))
+
 
-    def bit(acc: Column, a: Column, b: Column, lane: int) -> Column:
-        over = F.shiftrightunsigned(a, 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > half
-        return acc.bitwiseOR(F.when(over, F.call_function("shiftleft", F.lit(1).cast("bigint"), b + 32 * lane)).otherwise(F.lit(0).cast("bigint")))
+def majority(sums: Column, n: Column) -> Column:
+    """The bits that are set in over half of ``n`` hashes."""
+
+    def bit(acc: Column, x: Column, lane: int) -> Column:
+        over = F.shiftrightunsigned(x["a"], 32 * lane).bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > n
+        return acc.bitwiseOR(F.when(over, F.call_function("shiftleft", F.lit(1).cast("bigint"), x["b"] + 32 * lane)).otherwise(F.lit(0).cast("bigint")))
 
     pairs = F.transform(sums, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, x: bit(bit(acc, x["a"], x["b"], 0), x["a"], x["b"], 1))
+    return F.aggregate(pairs, F.lit(0).cast("bigint"), lambda acc, x: bit(bit(acc, x, 0), x, 1))
+
+
+def simhashes(hashes: Column, length: Column, count: Column) -> Column:
+    """64-bit SimHashes (repeats weigh) of the first ``count`` windows of ``length`` hashes; counters slide from window to window."""
+    zero = F.array_repeat(F.lit(0).cast("bigint"), 32)
+    first = F.aggregate(F.slice(hashes, 1, length), zero, lambda acc, h: F.transform(acc, lambda a, b: a + lanes(h, b)))
+    slide = lambda acc, i: F.transform(F.element_at(acc, -1), lambda a, b: a + lanes(F.element_at(hashes, i + length), b) - lanes(F.element_at(hashes, i), b))
+    sums = F.aggregate(F.slice(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), 1, count - 1), F.array(first), lambda acc, i: F.concat(acc, F.array(slide(acc, i))))
+    return F.transform(sums, lambda s: majority(s, length))
+
+
+def simhash(hashes: str) -> Column:
+    """64-bit SimHash of a bag of hashes."""
+    return F.element_at(simhashes(F.col(hashes), F.size(hashes), F.lit(1)), 1)
 
 
 def numbered(hashes: str) -> Column:
@@ -92,10 +108,18 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 
 def window_starts(places: Column, need: Column, length: Column, last: Column) -> Column:
     """Starts, up to ``last``, of the windows of ``length`` shingles with ``need`` or more of the ascending ``places``."""
-    spans = F.transform(places, lambda p, i: F.struct(F.greatest(F.get(places, (i + need - 1).cast("int")) - length + 1, F.lit(0)).alias("a"), F.least(p, last).alias("b")))
+    full = F.slice(places, 1, F.greatest(F.size(places) - need + 1, F.lit(0)))  # the first of ``need`` places each
+    spans = F.transform(full, lambda p, i: F.struct(F.greatest(F.get(places, (i + need - 1).cast("int")) - length + 1, F.lit(0)).alias("a"), F.least(p, last).alias("b")))
     return F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["a"] <= s["b"]), lambda s: F.sequence(s["a"], s["b"]))))
 
 
+def pieces_of(starts: Column) -> Column:
+    """(start, count): neighbouring ones of ascending starts together, up to ``PIECE`` of them. ``starts`` must be a plain column."""
+    lone = lambda step: F.filter(starts, lambda x, i: F.coalesce(F.get(starts, i + step) != x + step, F.lit(True)))
+    runs = F.zip_with(lone(-1), lone(1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.flatten(F.transform(runs, lambda x: F.transform(F.sequence(x["a"], x["b"], F.lit(PIECE)), lambda at: F.struct(at.alias("start"), F.least(F.lit(PIECE), x["b"] - at + 1).alias("count")))))
+
+
 def find_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document text and item found in it: ``doc_id``, ``doc_key``, ``item_id``, ``item_words``, ``similarity``, ``word_start``.
 
@@ -118,11 +142,15 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     groups = shared.groupBy("doc_key", "item_id", "width", "k", "n").agg(F.array_sort(F.collect_set("pos")).alias("places"))
     length = F.least("k", "n")
     need = F.ceil((F.col("k") + length) * (similarity / (1 + similarity)) - 1e-9).cast("int")
-    groups = groups.filter(F.size("places") >= need).select("doc_key", "width", "k", F.explode(window_starts(F.col("places"), need, length, F.greatest(F.col("n") - F.col("k"), F.lit(0)))).alias("start"))
-    starts = cut(groups.distinct().groupBy("doc_key", "width").agg(F.collect_list(F.struct("k", "start")).alias("starts")))
-    hit = body.join(small(starts, starts.count()), "doc_key").dropDuplicates(["doc_key", "width"])
-    hit = once(once(hit, "w", word_list(F.col("body"))), "all", shingles("w", F.col("width"))).select("doc_id", "doc_key", "width", "all", F.explode("starts").alias("s"))
-    windows = once(hit.select("doc_id", "doc_key", (F.col("s.k") + F.col("width") - 1).alias("m"), "s.start", F.slice("all", F.col("s.start") + 1, F.col("s.k")).alias("hashes")), "fp", simhash("hashes"))
+    starts = once(groups.filter(F.size("places") >= need), "starts", window_starts(F.col("places"), need, length, F.greatest(F.col("n") - F.col("k"), F.lit(0))))
+    pieces = starts.select("doc_key", "width", "k", F.explode(pieces_of(F.col("starts"))).alias("p"))
+    pieces = cut(pieces.distinct().groupBy("doc_key", "width").agg(F.collect_list(F.struct("k", "p.start", "p.count")).alias("pieces")))
+    hit = body.join(small(pieces, pieces.count()), "doc_key").dropDuplicates(["doc_key", "width"])
+    hit = once(once(hit, "w", word_list(F.col("body"))), "all", shingles("w", F.col("width"))).select("doc_id", "doc_key", "width", "all", F.explode("pieces").alias("p"))
+    part = F.slice("all", F.col("p.start") + 1, F.col("p.k") + F.col("p.count") - 1)
+    hit = once(hit.select("doc_id", "doc_key", (F.col("p.k") + F.col("width") - 1).alias("m"), F.least("p.k", F.size("all")).alias("length"), "p.start", "p.count", part.alias("part")), "fps", simhashes(F.col("part"), F.col("length"), F.col("count")))
+    windows = hit.select("doc_id", "doc_key", "m", "start", "length", "part", F.posexplode("fps").alias("i", "fp"))
+    windows = windows.select("doc_id", "doc_key", "m", (F.col("start") + F.col("i")).alias("start"), F.slice("part", F.col("i") + 1, F.col("length")).alias("hashes"), "fp")
     masks = near_masks(RADIUS // BLOCKS)
     index = items.select("item_id", "m", F.col("fp").alias("item_fp"), F.explode(F.array(*[F.struct(F.lit(i).alias("no"), block(F.col("fp"), i).alias("value")) for i in range(BLOCKS)])).alias("b"))
     index = index.select("item_id", "m", "item_fp", F.col("b.no").alias("no"), F.explode(F.array(*[F.col("b.value").bitwiseXOR(F.lit(x)) for x in masks])).alias("value"))
