@@ -11,28 +11,35 @@ from pyspark.sql import functions as F
 TRANSITIONS = (
     ("pending", "approve", "approved"), ("pending", "edit", "edited"), ("pending", "reject", "rejected"), ("pending", "defer", "deferred"),
     ("deferred", "approve", "approved"), ("deferred", "edit", "edited"), ("deferred", "reject", "rejected"),
-    ("approved", "edit", "edited"), ("approved", "reject", "rejected"), ("edited", "approve", "approved"), ("edited", "reject", "rejected"),
-    ("rejected", "reopen", "pending"),
+    ("approved", "reopen", "pending"), ("edited", "reopen", "pending"), ("rejected", "reopen", "pending"),
 )
 
 
 def reconcile(ledger: DataFrame, incoming: DataFrame, keys: list[str], fingerprint: str, owned: list[str] | None = None, kind: str = "kind") -> DataFrame:
-    """``keys``, change (added, unchanged, changed, obsolete, kept), revision, status, fingerprint.
-
-    ``ledger`` has keys, fingerprint, revision, status; ``incoming`` has keys and
-    fingerprint. A changed item gets the next revision and is pending again; an
-    item that the pass owns (``owned`` kinds, or all) and no longer proposes is
-    obsolete; others are kept.
+    """``keys``, change (added, unchanged, changed, kept), newly_obsolete, revision, status, availability, fingerprint.
+
+    ``ledger`` has keys, fingerprint, revision, status and availability (active
+    or obsolete); ``incoming`` has keys, fingerprint and already_canonical. A
+    changed item gets the next revision and is pending again; others keep
+    their status, whatever their availability. An item is active while it is
+    proposed and not canonical yet, and obsolete when it is canonical, or when
+    the pass owns its kind (``owned``, or all) and no longer proposes it;
+    newly_obsolete tells those that were active before. Canonical proposals
+    that the ledger doesn't have are left out. Of several proposals with one
+    key the greatest fingerprint counts; a null fingerprint is one like any other.
     """
-    old = ledger.select(*keys, F.col(fingerprint).alias("old_fp"), "revision", "status")
-    new = incoming.select(*keys, F.col(fingerprint).alias("new_fp")).distinct()
-    joined = old.join(new, keys, "full")
+    old = ledger.select(*keys, F.col(fingerprint).alias("old_fp"), "revision", "status", "availability", F.lit(True).alias("known"))
+    new = incoming.groupBy(*keys).agg(F.max(fingerprint).alias("new_fp"), F.bool_and("already_canonical").alias("canonical"), F.lit(True).alias("proposed"))
+    out = old.join(new, keys, "full").withColumns({"known": F.coalesce("known", F.lit(False)), "proposed": F.coalesce("proposed", F.lit(False)), "canonical": F.coalesce("canonical", F.lit(False))})
+    out = out.filter(F.col("known") | ~F.col("canonical"))
     mine = F.lit(True) if owned is None else F.col(kind).isin(*owned)
-    change = F.when(F.col("old_fp").isNull(), "added").when(F.col("new_fp").isNull(), F.when(mine, "obsolete").otherwise("kept")).when(F.col("old_fp") == F.col("new_fp"), "unchanged").otherwise("changed")
-    out = joined.withColumn("change", change)
+    change = F.when(~F.col("known"), "added").when(~F.col("proposed"), "kept").when(F.col("old_fp").eqNullSafe(F.col("new_fp")), "unchanged").otherwise("changed")
+    availability = F.when(F.col("proposed"), F.when(F.col("canonical"), "obsolete").otherwise("active")).when(mine, "obsolete").otherwise(F.col("availability"))
+    out = out.withColumn("change", change).withColumn("new_availability", availability)
     revision = F.when(F.col("change") == "added", 1).when(F.col("change") == "changed", F.col("revision") + 1).otherwise(F.col("revision"))
-    status = F.when(F.col("change").isin("added", "changed"), "pending").when(F.col("change") == "obsolete", "obsolete").otherwise(F.col("status"))
-    return out.select(*keys, "change", revision.alias("revision"), status.alias("status"), F.coalesce("new_fp", "old_fp").alias(fingerprint))
+    status = F.when(F.col("change").isin("added", "changed"), "pending").otherwise(F.col("status"))
+    lost = F.col("known") & (F.col("availability") == "active") & (F.col("new_availability") == "obsolete")
+    return out.select(*keys, "change", lost.alias("newly_obsolete"), revision.alias("revision"), status.alias("status"), F.col("new_availability").alias("availability"), F.when(F.col("proposed"), F.col("new_fp")).otherwise(F.col("old_fp")).alias(fingerprint))
 
 
 def archived(ledger: DataFrame, reconciled: DataFrame, keys: list[str]) -> DataFrame:
@@ -41,18 +48,22 @@ def archived(ledger: DataFrame, reconciled: DataFrame, keys: list[str]) -> DataF
 
 
 def replay(decisions: DataFrame, item: str = "item_id", order: str = "seq") -> DataFrame:
-    """(item_id, status, applied, invalid): decisions (item, seq, action, reviewer, reason) folded in order from 'pending'.
+    """(item_id, status, applied, invalid): decisions folded in order from 'pending'.
 
-    Decisions without reviewer or reason, and those that the status does not
-    admit, are counted as invalid and change nothing.
+    ``decisions`` has item, seq, action, reviewer, reason, replacement and
+    obsolete (whether the item was no longer proposed then). Decisions without
+    reviewer or reason, edits without a replacement, decisions on obsolete
+    items and those that the status does not admit are counted as invalid and
+    change nothing. The decisions of one item are a short list by contract.
     """
-    named = (F.trim(F.coalesce("reviewer", F.lit(""))) != "") & (F.trim(F.coalesce("reason", F.lit(""))) != "")
-    lists = decisions.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("action").alias("action"), named.alias("named")))).alias("d"))
+    given = lambda c: F.trim(F.coalesce(c, F.lit(""))) != ""
+    sound = given("reviewer") & given("reason") & ((F.col("action") != "edit") | given("replacement")) & ~F.coalesce("obsolete", F.lit(False))
+    lists = decisions.groupBy(item).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("action").alias("action"), sound.alias("sound")))).alias("d"))
     table = F.create_map(*[F.lit(x) for a, b, c in TRANSITIONS for x in (f"{a}:{b}", c)])
     start = F.struct(F.lit("pending").alias("status"), F.lit(0).alias("applied"), F.lit(0).alias("invalid"))
 
     def step(acc: Column, d: Column) -> Column:
-        to = F.when(d["named"], F.try_element_at(table, F.concat(acc["status"], F.lit(":"), d["action"])))
+        to = F.when(d["sound"], F.try_element_at(table, F.concat(acc["status"], F.lit(":"), d["action"])))
         ok = to.isNotNull()
         return F.struct(F.coalesce(to, acc["status"]).alias("status"), (acc["applied"] + ok.cast("int")).alias("applied"), (acc["invalid"] + (~ok).cast("int")).alias("invalid"))
 

@@ -271,9 +271,12 @@ def telemetry(spark, d):
 
 
 def ledger_parts(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Orders as a ledger, some of it obsolete, and as proposals, some of them canonical."""
     o = table(spark, d, "orders")
-    old = o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("subject_key"), F.col("o_orderstatus").alias("fp"), F.lit(1).alias("revision"), F.lit("approved").alias("status"))
-    new = o.filter("o_orderkey % 4 <> 0").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("subject_key"), F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("fp"))
+    availability = F.when(F.col("o_orderkey") % 7 == 0, "obsolete").otherwise("active")
+    status = F.when(F.col("o_orderkey") % 2 == 0, "approved").otherwise("rejected")
+    old = o.filter("o_orderkey % 3 <> 0").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("subject_key"), F.col("o_orderstatus").alias("fp"), F.lit(1).alias("revision"), status.alias("status"), availability.alias("availability"))
+    new = o.filter("o_orderkey % 4 <> 0").select(F.col("o_orderpriority").alias("kind"), F.col("o_orderkey").alias("subject_key"), F.when(F.col("o_orderkey") % 5 == 0, "X").otherwise(F.col("o_orderstatus")).alias("fp"), (F.col("o_orderkey") % 11 == 0).alias("already_canonical"))
     return old, new
 
 
@@ -294,10 +297,18 @@ def history_retention(spark, d):
     return ledger.keep_newest(table(spark, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], ["event_id"], 5)
 
 
+ACTIONS = ("approve", "edit", "reject", "defer", "reopen", "apply")
+
+
 def decision_replay(spark, d):
-    e = table(spark, d, "events")
-    actions = F.when(F.col("event_type") == "click", "approve").when(F.col("event_type") == "view", "defer").when(F.col("event_type") == "error", "reject").otherwise("edit")
-    return ledger.replay(e.select(F.col("user_id").alias("item_id"), F.col("event_id").alias("seq"), actions.alias("action"), F.lit("r").alias("reviewer"), F.lit("x").alias("reason")))
+    """Events as decisions on items, some of them without a replacement, a reviewer or a current proposal."""
+    n = F.col("event_id")
+    action = F.element_at(F.array(*map(F.lit, ACTIONS)), (F.pmod(F.floor(n / 7), F.lit(6)) + 1).cast("int"))
+    rows = table(spark, d, "events").select(
+        F.col("user_id").alias("item_id"), n.alias("seq"), action.alias("action"), F.when(n % 13 == 0, " ").otherwise("r").alias("reviewer"), F.lit("x").alias("reason"),
+        F.when(n % 4 != 0, "value").alias("replacement"), (n % 17 == 0).alias("obsolete"),
+    )
+    return ledger.replay(rows)
 
 
 def review_queue(spark, d):

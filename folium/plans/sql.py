@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from folium.functions.text import CONTRACTIONS, NAME_STOPWORDS, NEGATION_STARTS, NEGATIONS
-from folium.operators.ledger import TRANSITIONS
 from folium.operators.quality import LEAKS
 
 quoted = lambda values: ", ".join("'" + v.replace("'", "''") + "'" for v in values)
@@ -69,8 +68,8 @@ DENSE = lambda x: f"length(regexp_replace({x}, '\\s+', '', 'g'))"
 BLOCKS = lambda x: f"len(list_filter(string_split({x}, chr(10) || chr(10)), lambda x: trim(x) <> ''))"
 NUMBERED = """first AS (SELECT o_custkey AS query_id, o_orderkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 5),
 second AS (SELECT o_custkey AS query_id, o_orderkey AS item_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 5)"""
-LEDGER = """old AS (SELECT o_orderpriority AS kind, o_orderkey AS subject_key, o_orderstatus AS old_fp, 1 AS revision, 'approved' AS status FROM orders WHERE o_orderkey % 3 <> 0),
-new AS (SELECT o_orderpriority AS kind, o_orderkey AS subject_key, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS new_fp FROM orders WHERE o_orderkey % 4 <> 0)"""
+LEDGER = """old AS (SELECT o_orderpriority AS kind, o_orderkey AS subject_key, o_orderstatus AS old_fp, 1 AS revision, CASE WHEN o_orderkey % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status, o_orderkey % 7 <> 0 AS was_active FROM orders WHERE o_orderkey % 3 <> 0),
+new AS (SELECT o_orderpriority AS kind, o_orderkey AS subject_key, CASE WHEN o_orderkey % 5 = 0 THEN 'X' ELSE o_orderstatus END AS new_fp, o_orderkey % 11 = 0 AS canonical FROM orders WHERE o_orderkey % 4 <> 0)"""
 REVIEWS = "reviews AS (SELECT event_id % 500 AS case_id, user_id AS reviewer_id, CASE event_type WHEN 'click' THEN 'system-a' WHEN 'view' THEN 'system-b' WHEN 'error' THEN 'defer' ELSE 'tie' END AS preferred FROM events)"
 ANCHORS = f"""items AS (SELECT item_id, {toks(norm('text'))} AS w, text FROM benchmark),
 anchors AS (SELECT item_id AS case_id, 'a1' AS anchor_id, 'terms' AS dimension, 'all_present' AS mode, w[1:2] AS vals FROM items UNION ALL SELECT item_id, 'a2', 'voice', 'any_present', ['zzz', w[5]] FROM items UNION ALL SELECT item_id, 'a3', 'voice', 'all_absent', [w[-1]] FROM items),
@@ -78,11 +77,16 @@ outputs AS (SELECT item_id AS case_id, {norm('substring(text, 1, 60)')} AS t FRO
 results AS (SELECT case_id, anchor_id, dimension, t IS NOT NULL AND CASE mode WHEN 'all_present' THEN len(list_filter(vals, lambda x: contains(t, x))) = len(vals) WHEN 'any_present' THEN len(list_filter(vals, lambda x: contains(t, x))) > 0 ELSE len(list_filter(vals, lambda x: contains(t, x))) = 0 END AS passed FROM anchors LEFT JOIN outputs USING (case_id))"""
 
 
-def replay() -> str:
-    cases = " ".join(f"WHEN s.status = '{a}' AND d.action = '{b}' THEN '{c}'" for a, b, c in TRANSITIONS)
-    return f"""WITH RECURSIVE d AS (SELECT user_id AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, CASE event_type WHEN 'click' THEN 'approve' WHEN 'view' THEN 'defer' WHEN 'error' THEN 'reject' ELSE 'edit' END AS action FROM events),
+#: The state machine of a reviewed item, written out: open items take any verdict, closed ones only go back.
+REPLAY = """WITH RECURSIVE d AS (SELECT user_id AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k, ['approve', 'edit', 'reject', 'defer', 'reopen', 'apply'][1 + (event_id // 7) % 6] AS action,
+        event_id % 13 <> 0 AND event_id % 17 <> 0 AS sound, event_id % 4 <> 0 AS has_value FROM events),
     s AS (SELECT DISTINCT item_id, 0::BIGINT AS k, 'pending' AS status, 0 AS applied, 0 AS invalid FROM d UNION ALL
-        SELECT item_id, k, coalesce(to_, status), applied + (to_ IS NOT NULL)::INT, invalid + (to_ IS NULL)::INT FROM (SELECT s.item_id, d.k, s.status, s.applied, s.invalid, CASE {cases} END AS to_ FROM s JOIN d ON d.item_id = s.item_id AND d.k = s.k + 1))
+        SELECT item_id, k, coalesce(to_, status), applied + (to_ IS NOT NULL)::INT, invalid + (to_ IS NULL)::INT FROM (SELECT s.item_id, d.k, s.status, s.applied, s.invalid,
+            CASE WHEN NOT sound THEN NULL
+                WHEN status IN ('pending', 'deferred') AND action = 'approve' THEN 'approved' WHEN status IN ('pending', 'deferred') AND action = 'edit' AND has_value THEN 'edited'
+                WHEN status IN ('pending', 'deferred') AND action = 'reject' THEN 'rejected' WHEN status = 'pending' AND action = 'defer' THEN 'deferred'
+                WHEN status IN ('approved', 'edited', 'rejected') AND action = 'reopen' THEN 'pending' END AS to_
+            FROM s JOIN d ON d.item_id = s.item_id AND d.k = s.k + 1))
     SELECT item_id, status, applied, invalid FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY k DESC) = 1"""
 
 
@@ -169,13 +173,15 @@ ORACLES: dict[str, str] = {
         SELECT (SELECT count(*) FROM c) AS cases, (SELECT count(*) FROM c WHERE n >= 2) AS multi_reviewed, (SELECT count(*) FROM c WHERE n >= 2 AND k = 1) AS unanimous, (SELECT count(*) FROM c WHERE n >= 2 AND k > 1) AS disagreements, count(*) AS reviews, count(*) FILTER (preferred = 'tie') AS ties, count(*) FILTER (preferred = 'defer') AS deferrals FROM reviews""",
     "system_preferences": f"WITH {REVIEWS} SELECT preferred, count(*) AS n FROM reviews WHERE preferred NOT IN ('tie', 'defer') GROUP BY preferred",
     "telemetry": "SELECT event_type, count(*) AS requests, sum(length(props))::BIGINT AS input_tokens, sum(user_id % 100)::BIGINT AS output_tokens, sum(event_id)::BIGINT AS latency_ms FROM events GROUP BY 1",
-    "ledger_reconcile": f"""WITH {LEDGER}, j AS (SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.subject_key, n.subject_key) AS subject_key, old_fp, new_fp, revision, status FROM old o FULL JOIN new n ON o.kind = n.kind AND o.subject_key = n.subject_key),
-        c AS (SELECT *, CASE WHEN old_fp IS NULL THEN 'added' WHEN new_fp IS NULL THEN CASE WHEN kind IN ('1-URGENT', '5-LOW') THEN 'obsolete' ELSE 'kept' END WHEN old_fp = new_fp THEN 'unchanged' ELSE 'changed' END AS change FROM j)
-        SELECT kind, subject_key, change, (CASE change WHEN 'added' THEN 1 WHEN 'changed' THEN revision + 1 ELSE revision END)::INT AS revision, CASE WHEN change IN ('added', 'changed') THEN 'pending' WHEN change = 'obsolete' THEN 'obsolete' ELSE status END AS status, coalesce(new_fp, old_fp) AS fp FROM c""",
+    "ledger_reconcile": f"""WITH {LEDGER}, j AS (SELECT coalesce(o.kind, n.kind) AS kind, coalesce(o.subject_key, n.subject_key) AS subject_key, old_fp, new_fp, revision, status, was_active, canonical FROM old o FULL JOIN new n ON o.kind = n.kind AND o.subject_key = n.subject_key),
+        c AS (SELECT *, CASE WHEN new_fp IS NOT NULL THEN NOT canonical WHEN kind IN ('1-URGENT', '5-LOW') THEN false ELSE was_active END AS active FROM j WHERE old_fp IS NOT NULL OR NOT canonical)
+        SELECT kind, subject_key, CASE WHEN old_fp IS NULL THEN 'added' WHEN new_fp IS NULL THEN 'kept' WHEN old_fp = new_fp THEN 'unchanged' ELSE 'changed' END AS change, old_fp IS NOT NULL AND was_active AND NOT active AS newly_obsolete,
+            (CASE WHEN old_fp IS NULL THEN 1 WHEN new_fp <> old_fp THEN revision + 1 ELSE revision END)::INT AS revision, CASE WHEN old_fp IS NULL OR new_fp <> old_fp THEN 'pending' ELSE status END AS status,
+            CASE WHEN active THEN 'active' ELSE 'obsolete' END AS availability, coalesce(new_fp, old_fp) AS fp FROM c""",
     "obsolete_sweep": f"WITH {LEDGER} SELECT kind, count(*) AS n FROM old WHERE NOT EXISTS (SELECT 1 FROM new WHERE new.kind = old.kind AND new.subject_key = old.subject_key) GROUP BY kind",
     "latest_revision": "SELECT o_custkey, o_orderkey, o_orderdate FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "history_retention": "SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) <= 5",
-    "decision_replay": replay(),
+    "decision_replay": REPLAY,
     "review_queue": "SELECT doc_id AS item_id, toxic = 1 AS conflicted, quality AS confidence FROM labels ORDER BY conflicted DESC, confidence, doc_id LIMIT 50",
     "pilot_targets": """WITH r AS (SELECT doc_id AS chapter, CASE WHEN toxic = 1 THEN 'risk' WHEN quality = 0 THEN 'weak' ELSE 'routine' END AS reason, CASE WHEN toxic = 1 THEN 100 WHEN quality = 0 THEN 60 ELSE 20 END AS priority FROM documents JOIN labels USING (doc_id))
         SELECT chapter, max(priority) AS priority, string_agg(DISTINCT reason, ',' ORDER BY reason) AS reasons FROM r GROUP BY chapter ORDER BY priority DESC, chapter LIMIT 12""",

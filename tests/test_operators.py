@@ -152,16 +152,37 @@ def test_anchors(spark):
 
 
 def test_reconcile(spark):
-    old = spark.createDataFrame([("k", 1, "a", 1, "approved"), ("k", 2, "b", 2, "rejected"), ("k", 3, "c", 1, "approved"), ("other", 4, "d", 1, "approved")], "kind string, key int, fp string, revision int, status string")
-    new = spark.createDataFrame([("k", 1, "a"), ("k", 2, "B"), ("k", 5, "e")], "kind string, key int, fp string")
+    old = [("k", 1, "a", 1, "approved", "active"), ("k", 2, "b", 2, "rejected", "active"), ("k", 3, "c", 1, "approved", "active"), ("other", 4, "d", 1, "approved", "active"), ("k", 6, "f", 1, "edited", "obsolete"), ("k", 7, "g", 1, "approved", "obsolete"), ("k", 8, "h", 1, "approved", "active")]
+    old = spark.createDataFrame(old, "kind string, key int, fp string, revision int, status string, availability string")
+    new = spark.createDataFrame([("k", 1, "a", False), ("k", 2, "B", False), ("k", 5, "e", False), ("k", 7, "g", False), ("k", 8, "h", True), ("k", 9, "i", True)], "kind string, key int, fp string, already_canonical boolean")
     out = ledger.reconcile(old, new, ["kind", "key"], "fp", ["k"])
-    assert rows(out, "key") == [("k", 1, "unchanged", 1, "approved", "a"), ("k", 2, "changed", 3, "pending", "B"), ("k", 3, "obsolete", 1, "obsolete", "c"), ("other", 4, "kept", 1, "approved", "d"), ("k", 5, "added", 1, "pending", "e")]
+    assert rows(out, "key") == [
+        ("k", 1, "unchanged", False, 1, "approved", "active", "a"),
+        ("k", 2, "changed", False, 3, "pending", "active", "B"),
+        ("k", 3, "kept", True, 1, "approved", "obsolete", "c"),  # the human decision stays
+        ("other", 4, "kept", False, 1, "approved", "active", "d"),  # not of this pass
+        ("k", 5, "added", False, 1, "pending", "active", "e"),
+        ("k", 6, "kept", False, 1, "edited", "obsolete", "f"),  # reported before
+        ("k", 7, "unchanged", False, 1, "approved", "active", "g"),  # came back with its decision
+        ("k", 8, "unchanged", True, 1, "approved", "obsolete", "h"),  # canonical by now
+    ]
     assert [r["key"] for r in ledger.archived(old, out, ["kind", "key"]).collect()] == [2]
 
 
+DECISIONS = "item_id int, seq int, action string, reviewer string, reason string, replacement string, obsolete boolean"
+
+
 def test_replay_rejects_bad_decisions(spark):
-    d = spark.createDataFrame([(1, 1, "defer", "r", "x"), (1, 2, "approve", "r", ""), (1, 3, "approve", "r", "x"), (1, 4, "defer", "r", "x")], "item_id int, seq int, action string, reviewer string, reason string")
-    assert rows(ledger.replay(d)) == [(1, "approved", 2, 2)]
+    def status(*actions, **over):
+        base = {"reviewer": "r", "reason": "x", "replacement": "v", "obsolete": False} | over
+        d = spark.createDataFrame([(1, i, a, base["reviewer"], base["reason"], base["replacement"], base["obsolete"]) for i, a in enumerate(actions)], DECISIONS)
+        return rows(ledger.replay(d))[0][1:]
+
+    assert status("defer", "approve", "defer") == ("approved", 2, 1)
+    assert status("approve", "edit", "reject", "approve") == ("approved", 1, 3)
+    assert status("approve", "reopen", "edit", "reopen", "reject", "reopen") == ("pending", 6, 0)
+    assert status("reopen", "defer", "reopen", "apply") == ("deferred", 1, 3)
+    assert status("edit", replacement=None) == status("approve", reviewer=" ") == status("approve", reason=None) == status("reject", obsolete=True) == ("pending", 0, 1)
 
 
 def test_plan_blocks_conflicts(spark):
