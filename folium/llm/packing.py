@@ -1,8 +1,9 @@
 """Packing into optimal length buckets.
 
-A global histogram of lengths goes through dynamic programming, which finds
-the bucket boundaries with the least padding when each document is padded to
-its bucket's boundary. Inside a bucket, batches hold as many documents as the
+A global histogram of all lengths goes through dynamic programming, which
+finds the bucket boundaries with the least padding when each document is
+padded to its bucket's boundary. The driver holds one row for each distinct
+length, so at most as many as the longest document has tokens. Inside a bucket, batches hold as many documents as the
 token budget admits. Batches are numbered by a rank that is computed in two
 levels (rank within a hash shard, plus the documents of the shards before), so
 no bucket is ever sorted as one group.
@@ -17,8 +18,6 @@ from pyspark.sql import functions as F
 from folium.llm.common import cut, free_name, words_of
 
 BUCKETS, BUDGET = 8, 16_384
-#: Lengths up to this are boundary candidates each; longer ones in steps of 1/256 of their power of two.
-FINE = 2_048
 SHARD_ROWS = 50_000
 
 
@@ -27,33 +26,36 @@ def word_count(text: Column) -> Column:
     return F.size(words_of(text.cast("string")))
 
 
-def candidate(length: Column) -> Column:
-    """The least boundary candidate that is not below ``length``; at most FINE + 256 for each further doubling."""
-    step = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.greatest(F.length(F.bin(length)) - 9, F.lit(0)))
-    return F.when(length <= FINE, length.cast("bigint")).otherwise(F.ceil(length / step) * step).cast("bigint")
-
-
-def boundaries(lengths: np.ndarray, counts: np.ndarray, tokens: np.ndarray, buckets: int) -> list[int]:
+def boundaries(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper boundaries of at most ``buckets`` buckets with the least total padding.
 
-    ``lengths`` ascend; ``counts`` documents with ``tokens`` tokens in all go
-    with each. best[j] is the least cost of the first j lengths; ties take the
-    earliest cut, and fewer buckets where more don't help.
+    ``lengths`` ascend; ``counts`` documents go with each. best[j] is the least
+    cost of the first j lengths; ties take the earliest cut, and fewer buckets
+    where more don't help. The cost of a bucket satisfies the quadrangle
+    inequality, so the best cut never moves back as j grows, and each further
+    bucket costs n log n steps by divide and conquer.
     """
     n = len(lengths)
     if not n:
         return []
-    docs, toks = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(tokens)))
-    top = lengths.astype(np.float64)
-    best = np.concatenate(([0.0], top * docs[1:] - toks[1:]))
-    cuts = [np.zeros(n + 1, np.int64)]
-    totals = [best[n]]
+    top = lengths.astype(np.int64)
+    docs, tokens = np.concatenate(([0], np.cumsum(counts))), np.concatenate(([0], np.cumsum(top * counts)))
+    best = np.concatenate(([0], top * docs[1:] - tokens[1:]))
+    cuts, totals = [np.zeros(n + 1, np.int64)], [best[n]]
     for _ in range(1, min(buckets, n)):
+        fixed = best + tokens
         new, cut_at = best.copy(), np.zeros(n + 1, np.int64)
-        for j in range(1, n + 1):
-            cost = best[:j] + top[j - 1] * (docs[j] - docs[:j]) - (toks[j] - toks[:j])
-            cut_at[j] = int(cost.argmin())
-            new[j] = cost[cut_at[j]]
+        ranges = [(1, n, 0, n - 1)]
+        while ranges:
+            a, b, low, high = ranges.pop()
+            if a > b:
+                continue
+            j = (a + b) // 2
+            last = min(high, j - 1)
+            cost = fixed[low : last + 1] - top[j - 1] * docs[low : last + 1]
+            i = int(cost.argmin())
+            cut_at[j], new[j] = low + i, cost[i] + top[j - 1] * docs[j] - tokens[j]
+            ranges += [(a, j - 1, low, cut_at[j]), (j + 1, b, cut_at[j], high)]
         best = new
         cuts.append(cut_at)
         totals.append(best[n])
@@ -76,13 +78,13 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: i
     """
     name = free_name(docs, "length")
     sized = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.col(f"`{doc_id}`"), F.col(f"`{text}`").cast("string")).alias("h"), (word_count(F.col(f"`{text}`")) if length is None else length).cast("bigint").alias(name))
-    sized = cut(sized.withColumn("edge", candidate(F.col(name))))
-    histogram = sized.groupBy("edge").agg(F.count(F.lit(1)).alias("docs"), F.sum(name).alias("tokens")).orderBy("edge").toPandas()
-    edges = boundaries(histogram["edge"].to_numpy(np.int64), histogram["docs"].to_numpy(np.int64), histogram["tokens"].to_numpy(np.int64), buckets)
+    sized = cut(sized)
+    histogram = sized.groupBy(F.col(name).alias("edge")).agg(F.count(F.lit(1)).alias("docs")).orderBy("edge").toPandas()
+    edges = boundaries(histogram["edge"].to_numpy(np.int64), histogram["docs"].to_numpy(np.int64), buckets)
     index = F.lit(0)
     top = F.lit(edges[-1] if edges else 0)
     for i, edge in reversed(list(enumerate(edges[:-1]))):
-        index, top = F.when(F.col("edge") <= edge, i).otherwise(index if i < len(edges) - 2 else F.lit(len(edges) - 1)), F.when(F.col("edge") <= edge, edge).otherwise(top)
+        index, top = F.when(F.col(name) <= edge, i).otherwise(index if i < len(edges) - 2 else F.lit(len(edges) - 1)), F.when(F.col(name) <= edge, edge).otherwise(top)
     shards = max(1, int(histogram["docs"].sum()) // SHARD_ROWS)
     placed = sized.withColumns({"bucket": index.cast("int"), "bucket_length": top.cast("bigint"), "shard": F.pmod(F.col("h"), F.lit(shards)).cast("int")})
     sizes = placed.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("rows"))
