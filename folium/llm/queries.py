@@ -131,9 +131,9 @@ FROM best b JOIN it USING (i) JOIN docs USING (r)
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = rules.digest(rules.apply_rules(docs, name="passes")).drop("text")
     failed = (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
-    return out.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & F.col("passes")).drop("passes")
+    out = rules.apply_rules(docs, rules=rules.counted_rules(), name="kept", facts=rules.digest, rejected=failed)
+    return out.withColumn("base_failed", failed).drop("text", "n_lines")
 
 
 OP10_SQL = """

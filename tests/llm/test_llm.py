@@ -213,15 +213,24 @@ def test_url_lists_hold_as_of_the_fetch_day(spark):
     assert urls.judge(pages.limit(0), entries, ["page_id"]).count() == 0
 
 
-def test_buckets_are_optimal():
-    rng = np.random.default_rng(3)
-    lengths = np.sort(rng.choice(40, 9, replace=False)).astype(np.int64)
-    counts = rng.integers(1, 9, 9)
+@pytest.mark.parametrize("longest, k", [(40, 3), (5_000, 3), (3_000_000, 4)])
+def test_buckets_are_optimal(longest, k):
     from itertools import combinations
 
-    cost = lambda edges: sum(c * (min(e for e in edges if e >= n) - n) for n, c in zip(lengths, counts))
-    best = min(cost((*inner, lengths[-1])) for k in range(3) for inner in combinations(lengths[:-1], k))
-    assert cost(packing.boundaries(lengths, counts, lengths * counts, 3)) == best
+    rng = np.random.default_rng(3)
+    lengths = np.sort(rng.choice(longest, 14, replace=False)).astype(np.int64)
+    counts = rng.integers(1, 9, 14)
+    cost = lambda edges: sum(int(c) * (min(e for e in edges if e >= n) - int(n)) for n, c in zip(lengths, counts))
+    best = min(cost((*map(int, inner), int(lengths[-1]))) for m in range(k) for inner in combinations(lengths[:-1], m))
+    assert cost(packing.boundaries(lengths, counts, k)) == best
+
+
+def test_packing_ties_and_repeats(spark):
+    """Lengths beyond 2,048 are boundaries of their own; equal rows get slots of their own."""
+    docs = spark.createDataFrame([(1, "w " * 2_051)] * 3 + [(2, "w " * 2_049), (None, None), (3, "")], "doc_id bigint, text string")
+    out = packing.pack(docs, buckets=3, budget=4_200).toPandas()
+    assert sorted(set(out["bucket_length"])) == [0, 2_049, 2_051] and len(out) == 6 and not out.duplicated(["bucket", "batch", "slot"]).any()
+    assert sorted(out[out["n_tokens"] == 2_051]["batch"]) == [0, 0, 1]
 
 
 def test_batches_are_full_and_whole(spark, edge):
@@ -243,6 +252,19 @@ def test_rule_order_changes_no_verdict(spark, edge):
     assert verdicts[0] == verdicts[1]
     assert rules.apply_rules(edge).count() == len(EDGE) and rules.apply_rules(edge.limit(0)).count() == 0
     assert rules.ordered([("a", 1.0, 0.5), ("b", 0.1, 0.5)], tuple(rules.Rule(n, None) for n in "ab"))[0].name == "b"
+    counted = rules.digest(edge.withColumn("n_lines", F.lit("clash")))
+    assert counted.select(rules.verdict(list(rules.counted_rules()), t, words_of(t)).alias("k")).collect() == verdicts[0]
+    none = rules.apply_rules(edge, name="score", facts=rules.digest, rejected=F.col("n_words") > 4)
+    assert [r["score"] for r in none.filter("n_words > 4").collect()] == [False, False]
+
+
+def test_a_costly_rule_goes_last(spark, docs):
+    """Of rules that reject alike, one that does twenty times the work is found to cost more."""
+    short = lambda t, w: F.length(t) < 800
+    slow = lambda t, w: F.length(F.regexp_replace(F.repeat(t, 20), "[aeiou]+", "")) < 8_000
+    made = (rules.Rule("a_slow", slow), rules.Rule("b_quick", short))
+    found = rules.measure(docs, "text", made, 80, lambda df: df)
+    assert [r.name for r in rules.ordered([(n, s, 0.5) for n, s, _ in found], made)] == ["b_quick", "a_slow"]
 
 
 def test_pipeline_by_stages(spark):
