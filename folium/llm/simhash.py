@@ -232,13 +232,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps of Kiveris et al. (2014)
     until the edges stop changing. A node's least neighbour comes from a
-    partial aggregate that is written out, so the join with it is a broadcast
-    or has plain exchanges on both sides, which are split at run time: a node
-    with very many neighbours never gathers them in one task.
+    partial aggregate; where there are many edges it is written out, so that
+    the join with it has plain exchanges on both sides, which are split at run
+    time: a node with very many neighbours never gathers them in one task.
     """
 
     def least(pairs: DataFrame, rows: int) -> DataFrame:
-        return small(cut(pairs.groupBy("u").agg(F.min("v").alias("m"))), rows)
+        m = pairs.groupBy("u").agg(F.min("v").alias("m"))
+        return stored(m) if rows > BROADCAST_ROWS else m
 
     def large_star(now: DataFrame, rows: int) -> DataFrame:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -253,11 +254,10 @@ def components(edges: DataFrame) -> DataFrame:
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    now = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
     seen = state(now)
     while seen[0]:
-        now = cut(large_star(now, seen[0]).filter("u <> v").distinct())
-        now = cut(small_star(now, seen[0]).filter("u <> v").distinct())
+        now = stored(small_star(large_star(now, seen[0]).filter("u <> v").distinct(), seen[0]).filter("u <> v").distinct())
         if (new := state(now)) == seen:
             break
         seen = new
