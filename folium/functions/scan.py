@@ -119,26 +119,31 @@ def quotes(text: Column | str) -> Column:
     return F.pandas_udf(lambda s: s.map(_quotes), "array<struct<start:int,end:int,style:string,quote:string>>", F.PandasUDFType.SCALAR)(text)
 
 
-_SENTENCE_END = re.compile(r"[.!?؟…][\"'”’»)\]]*(?=\s)")
+# Marks that end a sentence, and marks that may follow them.
+TERMINATORS, CLOSERS = ".!?؟。！？", "\"'”’»)]}"
 
 
-def _cut_at(window: str) -> int:
-    """Where to cut a full window: a paragraph break or sentence end in its last 40 %, else whitespace, else its end."""
-    least = int(len(window) * 0.6)
-    if (at := window.rfind("\n\n")) >= least:
-        return at + 2
-    ends = [m.end() for m in _SENTENCE_END.finditer(window, least)]
-    if ends:
-        return ends[-1]
-    spaces = [i for i in range(len(window) - 1, 0, -1) if window[i].isspace()][:1]
-    return spaces[0] + 1 if spaces else len(window)
+def _ends_sentence(part: str) -> bool:
+    return part.rstrip().rstrip(CLOSERS)[-1:] in tuple(TERMINATORS)
+
+
+def _cut_at(window: str, size: int) -> int:
+    """Where to cut a full window: behind a paragraph break in its last 40 %, at its end if that ends a sentence, behind a sentence in its last 40 %, behind whitespace, else at its end."""
+    least = size * 3 // 5
+    breaks = [at + len(mark) for mark in ("\r\n\r\n", "\n\n") if (at := window.rfind(mark)) >= 0 and at + len(mark) >= least]
+    if breaks:
+        return max(breaks)
+    if len(window.rstrip()) >= least and _ends_sentence(window):
+        return len(window)
+    spaces = [i for i in range(len(window) - 1, -1, -1) if window[i].isspace()]
+    return next((i + 1 for i in spaces if i >= least and _ends_sentence(window[:i])), spaces[0] + 1 if spaces else len(window))
 
 
 def _split(text: str | None, size: int) -> list[str]:
     out, text = [], text or ""
     at = 0
     while len(text) - at > size:
-        step = _cut_at(text[at : at + size])
+        step = _cut_at(text[at : at + size], size)
         out.append(text[at : at + step])
         at += step
     return out + ([text[at:]] if at < len(text) else [])
@@ -154,7 +159,11 @@ def persian_letters(text: Column) -> Column:
 
 
 # Verbs of speech, and pronouns that may stand in a cue.
-SPEECH_VERBS = ("said", "asked", "replied", "answered", "whispered", "shouted", "cried", "murmured", "added", "muttered", "گفت", "پرسید")
+SPEECH_VERBS = (
+    "say", "says", "said", "ask", "asks", "asked", "reply", "replies", "replied", "answer", "answers", "answered", "whisper", "whispers", "whispered", "murmur", "murmurs", "murmured",
+    "mutter", "mutters", "muttered", "shout", "shouts", "shouted", "yell", "yells", "yelled", "cry", "cries", "cried", "exclaim", "exclaims", "exclaimed", "add", "adds", "added",
+    "observe", "observes", "observed", "call", "calls", "called",
+)
 PRONOUNS = ("he", "she", "they", "i", "we", "you")
 CUE_CHARS = 96
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.text import normalize, sanitize_score, similarity_normalized, tokens, truncate
 
-#: Memory entries that may be compared with every query after a broadcast; larger memories need a shared word first.
-BROADCAST_ROWS = 10_000
+#: Queries, and bytes of their texts, that are broadcast at a time to be compared with every memory entry.
+BLOCK_ROWS, BLOCK_BYTES = 10_000, 8 << 20
+# Marks that end a segment of a passage.
+SEGMENT_END = "[.!?…;:\\n\\r]"
 FUSION_OFFSET = 60
 #: Query vectors that are broadcast at a time.
 QUERY_ROWS = 20_000
@@ -17,15 +21,16 @@ AUTHORITY = {"approved_canon": 5, "approved_review": 4, "approved_translation":
 KIND = {"glossary": 100, "character": 90, "relationship": 85, "translation_memory": 80, "prior_translation": 70, "scene": 60, "neighbour": 50, "note": 20}
 
 
-def passage_similarity(passage: Column, candidate: Column) -> Column:
-    """Best similarity of a normalised candidate with a normalised passage or one of its windows.
+def passage_similarity(passage: Column, segments: Column, candidate: Column) -> Column:
+    """Best similarity of a normalised candidate with a normalised passage, one of its (normalised) segments, or one of its windows.
 
     Windows have twice as many words as the candidate, 4 to 24.
     """
     words, size = tokens(passage), F.least(F.greatest(F.size(tokens(candidate)) * 2, F.lit(4)), F.lit(24))
     spare = F.size(words) - size
     windows = F.transform(F.sequence(F.lit(1), F.greatest(spare, F.lit(0)) + 1), lambda i: similarity_normalized(F.array_join(F.slice(words, i, size), " "), candidate))
-    whole = similarity_normalized(passage, candidate)
+    part = F.array_max(F.transform(segments, lambda x: similarity_normalized(x, candidate)))
+    whole = F.greatest(similarity_normalized(passage, candidate), part)
     return F.when(spare > 0, F.greatest(whole, F.array_max(windows))).otherwise(whole)
 
 
@@ -33,23 +38,17 @@ def score_memory(queries: DataFrame, memory: DataFrame, query_id: str = "query_i
     """(query_id, entry_id, source, translation, score) of entries (entry_id, source, translation, context, tags) that score ``least`` or more.
 
     Source similarity, plus 0.30 of the context's, 0.15 of the best tag's and
-    0.30 for an equal source, at most 1. Memories of up to ``BROADCAST_ROWS``
-    entries are compared whole. Larger ones are joined on shared words; there a
-    pair without a shared word, which can have 0.2 where one text stands inside
-    a word of the other, is not considered.
+    0.30 for an equal source, at most 1. The stated queries are compared with
+    every entry, in blocks that are broadcast: the memory is never shuffled.
     """
-    q = queries.select(F.col(query_id).alias("query_id"), normalize(F.col(query)).alias("q")).filter("q <> ''")
+    q = queries.select(F.col(query_id).alias("query_id"), normalize(F.col(query)).alias("q"), F.array_distinct(F.transform(F.split(query, SEGMENT_END), normalize)).alias("parts")).filter("q <> ''")
     m = memory.select("entry_id", "source", "translation", normalize(F.col("source")).alias("s"), normalize(F.coalesce("context", F.lit(""))).alias("c"), F.transform(F.coalesce("tags", F.array().cast("array<string>")), normalize).alias("tg"))
-    small = memory.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    if small:
-        pairs = q.join(F.broadcast(m), F.lit(True))
-    else:
-        every = F.array_distinct(F.flatten(F.array(tokens(F.col("s")), tokens(F.col("c")), F.flatten(F.transform("tg", tokens)))))
-        left = q.select("query_id", F.explode(F.array_distinct(tokens(F.col("q")))).alias("w"))
-        shared = left.join(m.select("entry_id", F.explode(every).alias("w")), "w").select("query_id", "entry_id").distinct()
-        pairs = shared.join(q, "query_id").join(m, "entry_id")
+    rows, size = q.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("q")), F.lit(0))).first()
+    blocks = max(1, -(-rows // BLOCK_ROWS), -(-size // BLOCK_BYTES))
+    block = lambda i: q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id", "q"), F.lit(blocks)) == i)
+    pairs = reduce(lambda a, b: a.unionByName(b), [m.join(F.broadcast(block(i)), F.lit(True)) for i in range(blocks)])
     tag = F.coalesce(F.array_max(F.transform("tg", lambda t: similarity_normalized(F.col("q"), t))), F.lit(0.0))
-    total = passage_similarity(F.col("q"), F.col("s")) + 0.30 * passage_similarity(F.col("q"), F.col("c")) + 0.15 * tag + F.when(F.col("q") == F.col("s"), 0.30).otherwise(0.0)
+    total = passage_similarity(F.col("q"), F.col("parts"), F.col("s")) + 0.30 * passage_similarity(F.col("q"), F.col("parts"), F.col("c")) + 0.15 * tag + F.when(F.col("q") == F.col("s"), 0.30).otherwise(0.0)
     scored = pairs.select("query_id", "entry_id", "source", "translation", F.round(F.least(F.lit(1.0), total), 6).alias("score"))
     return scored.filter(F.col("score") >= least)
 
@@ -81,6 +80,31 @@ def rank_memory(scored: DataFrame, most: int = 6, diversity: float = 0.82) -> Da
     return kept.select("query_id", (F.col("i") + 1).alias("rank"), "e.entry_id", "e.score")
 
 
+def hybrid_candidates(scored: DataFrame, semantic: DataFrame, pool: int = 512, most: int = 6) -> DataFrame:
+    """(query_id, rank, entry_id, native_rank, semantic_rank, score, relevance, reason): a deterministic and a semantic ranking fused.
+
+    ``scored`` is the output of ``score_memory``, whose best ``pool`` entries a
+    query are ranked (score, shorter source, id); ``semantic`` has (query_id,
+    entry_id, rank). Semantic ids outside the pool don't count. relevance is
+    the fused score as a share of the query's best.
+    """
+    native = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.octet_length("source"), "entry_id"))
+    first = scored.select("query_id", "entry_id", native.alias("rank")).filter(F.col("rank") <= pool)
+    second = semantic.select("query_id", "entry_id", "rank").join(first.select("query_id", "entry_id"), ["query_id", "entry_id"], "left_semi")
+    fused = reciprocal_rank_fusion(first, second, ["query_id", "entry_id"])
+    relevance = F.round(F.col("score") / F.max("score").over(Window.partitionBy("query_id")), 6)
+    reason = F.when(F.col("semantic_rank").isNull(), F.concat(F.lit("native_rank="), "native_rank")).otherwise(F.concat(F.lit("native_rank="), "native_rank", F.lit(", semantic_rank="), "semantic_rank"))
+    out = fused.withColumns({"relevance": relevance, "native_rank": F.col("first_rank"), "semantic_rank": F.col("second_rank")}).filter(F.col("fused_rank") <= most)
+    return out.select("query_id", F.col("fused_rank").alias("rank"), "entry_id", "native_rank", "semantic_rank", "score", "relevance", reason.alias("reason"))
+
+
+def memory_context(hits: DataFrame, memory: DataFrame) -> DataFrame:
+    """(query_id, context): the ranked entries (query_id, rank, entry_id) of each query as lines ``source => translation``, with their context where there is one."""
+    line = F.concat("source", F.lit(" => "), "translation", F.when(F.trim(F.coalesce("context", F.lit(""))) != "", F.concat(F.lit(" | context: "), F.trim("context"))).otherwise(F.lit("")))
+    lines = hits.join(memory.select("entry_id", line.alias("line")), "entry_id")
+    return lines.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n").alias("context"))
+
+
 def reciprocal_rank_fusion(first: DataFrame, second: DataFrame, keys: list[str], weights: tuple[float, float] = (1.0, 1.0), offset: int = FUSION_OFFSET) -> DataFrame:
     """``keys``, first_rank, second_rank, score, fused_rank of two rankings with a column ``rank``; a repeated id keeps its best rank.
 

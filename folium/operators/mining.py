@@ -53,9 +53,9 @@ def terminology(names: DataFrame, terms: DataFrame, phrases: DataFrame, glossary
 
 
 def paragraph_facts(paragraphs: DataFrame, text: str = "text") -> DataFrame:
-    """``paragraphs`` with n_words, n_sentences, conventions and is_dialogue."""
+    """``paragraphs`` with n_chars, n_words, n_sentences, conventions and is_dialogue."""
     styles = dialogue_conventions(F.col(text))
-    return paragraphs.withColumns({"n_words": F.size(words(F.col(text))), "n_sentences": count_sentences(F.col(text)), "conventions": styles, "is_dialogue": F.size(styles) > 0})
+    return paragraphs.withColumns({"n_chars": F.length(F.col(text)), "n_words": F.size(words(F.col(text))), "n_sentences": count_sentences(F.col(text)), "conventions": styles, "is_dialogue": F.size(styles) > 0})
 
 
 def observed_profile(facts: DataFrame, by: list[str]) -> DataFrame:
@@ -63,15 +63,15 @@ def observed_profile(facts: DataFrame, by: list[str]) -> DataFrame:
     n = F.count(F.lit(1))
     dialogue = F.round(F.avg(F.col("is_dialogue").cast("double")), 6)
     return facts.groupBy(*by).agg(
-        n.alias("n_paragraphs"), F.sum("n_words").alias("n_words"), F.sum("n_sentences").alias("n_sentences"),
+        n.alias("n_paragraphs"), F.sum("n_chars").alias("n_chars"), F.sum("n_words").alias("n_words"), F.sum("n_sentences").alias("n_sentences"),
         F.coalesce(F.round(F.try_divide(F.sum("n_words").cast("double"), F.sum("n_sentences")), 6), F.lit(0.0)).alias("sentence_words"),
         dialogue.alias("dialogue_density"), F.round(1 - F.avg(F.col("is_dialogue").cast("double")), 6).alias("prose_density"),
         F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("conventions")))), ",").alias("conventions"),
     )
 
 
-def position_samples(chapters: DataFrame, book: str = "book", order: str = "position", length: str = "n_words", dialogue: str = "dialogue_density") -> DataFrame:
-    """(book, position, reasons): the first, middle and last chapter, the longest (ties: the last) and the one with most dialogue (ties: the first)."""
+def position_samples(chapters: DataFrame, book: str = "book", order: str = "position", length: str = "n_chars", dialogue: str = "dialogue_density") -> DataFrame:
+    """(book, position, reasons): the first, middle and last chapter, the longest by characters (ties: the last) and the one with most dialogue (ties: the first)."""
     w = Window.partitionBy(book)
     n = F.count(F.lit(1)).over(w)
     at = F.row_number().over(w.orderBy(order)) - 1

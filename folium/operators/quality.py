@@ -13,13 +13,18 @@ from folium.functions.text import block_paragraphs, contains_phrase, dense_chars
 LEAKS = ("project context", "passage", "glossary preserve these decisions", "translation memory use as style continuity evidence not as mandatory wording")
 
 
-def gate(rows: DataFrame, source: str = "source", output: str = "output") -> DataFrame:
+def gate(rows: DataFrame, source: str = "source", output: str = "output", terms: DataFrame | None = None, unit: str = "unit_id") -> DataFrame:
     """``rows`` with blocking, warnings (arrays of codes), score and passes.
 
     Blocking (0.5 each): an empty side, a leaked prompt phrase, under a fifth
     of the source's characters. Warnings (0.1 each): over five times as many,
-    or under half of four or more paragraphs. Nulls count as empty.
+    under half of four or more paragraphs, or (with ``terms`` of source_term
+    and preferred_translation, and a ``unit`` that tells rows apart) a term of
+    the source whose preferred wording the output lacks. Nulls count as empty.
     """
+    if terms is not None:
+        lacking = missing_terms(rows, terms, unit, source, output).groupBy(unit).agg(F.array_sort(F.collect_set(F.concat(F.lit("term:"), "source_term"))).alias("lacking_terms"))
+        rows = rows.join(lacking, unit, "left")
     s, o = F.coalesce(F.col(source), F.lit("")), F.coalesce(F.col(output), F.lit(""))
     empty_s, empty_o = F.trim(s) == "", F.trim(o) == ""
     both, n = ~empty_s & ~empty_o, normalize_case_insensitive(o)
@@ -28,7 +33,9 @@ def gate(rows: DataFrame, source: str = "source", output: str = "output") -> Dat
     blocking = F.array_compact(F.array(code(empty_s, "empty_source"), code(empty_o, "empty_output"), *[code(F.contains(n, F.lit(m)), f"leak:{m}") for m in LEAKS], code(both & (ratio < 0.20), "truncated")))
     collapsed = both & (block_paragraphs(s) >= 4) & (block_paragraphs(o) * 2 < block_paragraphs(s))
     warnings = F.array_compact(F.array(code(both & (ratio > 5.0), "expanded"), code(collapsed, "paragraphs_collapsed")))
-    out = rows.withColumns({"blocking": blocking, "warnings": warnings})
+    if terms is not None:
+        warnings = F.concat(warnings, F.coalesce("lacking_terms", F.array().cast("array<string>")))
+    out = rows.withColumns({"blocking": blocking, "warnings": warnings}).drop("lacking_terms")
     score = F.greatest(F.lit(0.0), 1.0 - F.size("blocking") * 0.5 - F.size("warnings") * 0.1)
     return out.withColumns({"score": F.round(score, 6), "passes": F.size("blocking") == 0})
 

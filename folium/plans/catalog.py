@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import ids, scan, text
 from folium.operators import align, evaluation, ledger, matching, memory, mining, quality, review
-from folium.plans import sql
+from folium.plans import seeds, sql
 from folium.sources import text as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -98,16 +98,12 @@ def name_mentions(spark, d):
     return mining.name_counts(docs).select("key", "display", "n", "confidence")
 
 
-def tagged_words(spark, d) -> DataFrame:
-    """Longer capitalised words stand for names: (doc_id, name)."""
-    found = F.regexp_extract_all("text", F.lit(r"([A-Z][a-z]{5,})"), 1)
-    return table(spark, d, "documents").select("doc_id", F.explode(found).alias("name"))
-
-
 def cooccurrence(spark, d):
-    names = tagged_words(spark, d)
-    often = names.groupBy("name").agg(F.count_distinct("doc_id").alias("n")).filter(F.col("n").between(5, 60)).select("name")
-    out = matching.co_occurrence(names.join(often, "name"), "doc_id", "name").filter("n >= 2")
+    """Names of five documents or more that stand in one line together."""
+    found = F.regexp_extract_all("line", F.lit(r"([A-Z][a-z]{5,})"), 1)
+    names = lines_of(spark, d).select("doc_id", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("unit"), F.explode(found).alias("name"))
+    often = names.groupBy("name").agg(F.count_distinct("doc_id").alias("n")).filter("n >= 5").select("name")
+    out = matching.co_occurrence(names.join(often, "name"), "unit", "name").filter("n >= 2")
     return out.select("a", "b", "n", F.array_join("evidence", ",").alias("evidence"))
 
 
@@ -197,8 +193,16 @@ def answer_pairs(spark, d) -> DataFrame:
     return c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("source")).join(a, ["conv_id", "turn"])
 
 
+def answer_terms(pairs: DataFrame) -> DataFrame:
+    """Two words of every third question as a term, and two words of its answer as the wording for it."""
+    two = lambda c: F.array_join(F.slice(text.tokens(text.normalize(c)), 2, 2), " ")
+    rows = pairs.filter("conv_id % 3 = 0").select(two("source").alias("source_term"), two("output").alias("preferred_translation"))
+    return rows.filter("source_term <> ''").groupBy("source_term").agg(F.min("preferred_translation").alias("preferred_translation"))
+
+
 def quality_gate(spark, d):
-    out = quality.gate(answer_pairs(spark, d))
+    pairs = answer_pairs(spark, d).withColumn("unit_id", F.concat_ws(":", "conv_id", "turn"))
+    out = quality.gate(pairs, terms=answer_terms(pairs))
     return out.select("conv_id", "turn", F.array_join("blocking", ",").alias("blocking"), F.array_join("warnings", ",").alias("warnings"), "score", "passes")
 
 
@@ -238,7 +242,7 @@ def anchors_of(spark, d) -> tuple[DataFrame, DataFrame]:
         F.struct(F.lit("a2").alias("anchor_id"), F.lit("voice").alias("dimension"), F.lit("any_present").alias("mode"), F.array(F.lit("zzz"), F.element_at(words, 5)).alias("values")),
         F.struct(F.lit("a3").alias("anchor_id"), F.lit("voice").alias("dimension"), F.lit("all_absent").alias("mode"), F.array(F.element_at(words, -1)).alias("values")),
     )).alias("a")).select("case_id", "a.*")
-    outputs = items.filter("item_id % 7 <> 0").select(F.col("item_id").alias("case_id"), F.substring("text", 1, 60).alias("text"))
+    outputs = items.filter("item_id % 7 <> 0").select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 3 == 0, F.replace("text", F.lit("e"), F.lit("o"))).otherwise(F.col("text")).alias("text"))
     return outputs, anchors
 
 
@@ -441,8 +445,8 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in QUERIES}
+    return {f.__name__: f for f in (*QUERIES, *seeds.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(sql.ORACLES)
+    return sql.ORACLES | seeds.ORACLES

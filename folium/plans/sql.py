@@ -41,13 +41,13 @@ def simil(a: str, b: str) -> str:
 
 LINES = "lines AS (SELECT doc_id, source, lang, unnest(range(0, len(a)))::INT AS pos, unnest(a) AS line FROM (SELECT doc_id, source, lang, string_split(text, chr(10)) AS a FROM documents))"
 CONVENTIONS = "array_to_string(list_filter([CASE WHEN regexp_matches(trim(line), '^[\"“]') THEN 'double_quotes' END, CASE WHEN regexp_matches(trim(line), '^[''‘]') THEN 'single_quotes' END, CASE WHEN regexp_matches(trim(line), '^[—-]') THEN 'leading_dash' END, CASE WHEN regexp_matches(trim(line), '[«»]') THEN 'guillemets' END], lambda x: x IS NOT NULL), ',')"
-FACTS = f"""{LINES}, facts AS (SELECT doc_id, source, lang, pos, len({words('line')})::INT AS n_words, greatest(len(regexp_extract_all(line, '[.!?؟]')), 1)::INT AS n_sentences, {CONVENTIONS} AS conventions,
+FACTS = f"""{LINES}, facts AS (SELECT doc_id, source, lang, pos, length(line) AS n_chars, len({words('line')})::INT AS n_words, greatest(len(regexp_extract_all(line, '[.!?؟]')), 1)::INT AS n_sentences, {CONVENTIONS} AS conventions,
     {CONVENTIONS} <> '' AS is_dialogue FROM lines WHERE trim(line) <> '')"""
 
 
 def profile(by: str) -> str:
     return f"""WITH {FACTS}, marks AS (SELECT {by}, string_agg(DISTINCT m, ',' ORDER BY m) AS conventions FROM (SELECT {by}, unnest(string_split(conventions, ',')) AS m FROM facts) WHERE m <> '' GROUP BY ALL)
-    SELECT {by}, count(*) AS n_paragraphs, sum(n_words)::BIGINT AS n_words, sum(n_sentences)::BIGINT AS n_sentences, coalesce(round(sum(n_words)::DOUBLE / nullif(sum(n_sentences), 0), 6), 0) AS sentence_words,
+    SELECT {by}, count(*) AS n_paragraphs, sum(n_chars)::BIGINT AS n_chars, sum(n_words)::BIGINT AS n_words, sum(n_sentences)::BIGINT AS n_sentences, coalesce(round(sum(n_words)::DOUBLE / nullif(sum(n_sentences), 0), 6), 0) AS sentence_words,
         round(avg(is_dialogue::INT::DOUBLE), 6) AS dialogue_density, round(1 - avg(is_dialogue::INT::DOUBLE), 6) AS prose_density, coalesce(any_value(marks.conventions), '') AS conventions
     FROM facts LEFT JOIN marks USING ({by}) GROUP BY {by}"""
 
@@ -73,7 +73,7 @@ new AS (SELECT o_orderpriority AS kind, o_orderkey AS subject_key, CASE WHEN o_o
 REVIEWS = "reviews AS (SELECT event_id % 500 AS case_id, user_id AS reviewer_id, CASE event_type WHEN 'click' THEN 'system-a' WHEN 'view' THEN 'system-b' WHEN 'error' THEN 'defer' ELSE 'tie' END AS preferred FROM events)"
 ANCHORS = f"""items AS (SELECT item_id, {toks(norm('text'))} AS w, text FROM benchmark),
 anchors AS (SELECT item_id AS case_id, 'a1' AS anchor_id, 'terms' AS dimension, 'all_present' AS mode, w[1:2] AS vals FROM items UNION ALL SELECT item_id, 'a2', 'voice', 'any_present', ['zzz', w[5]] FROM items UNION ALL SELECT item_id, 'a3', 'voice', 'all_absent', [w[-1]] FROM items),
-outputs AS (SELECT item_id AS case_id, {norm('substring(text, 1, 60)')} AS t FROM benchmark WHERE item_id % 7 <> 0),
+outputs AS (SELECT item_id AS case_id, {norm("CASE WHEN item_id % 3 = 0 THEN replace(text, 'e', 'o') ELSE text END")} AS t FROM benchmark WHERE item_id % 7 <> 0),
 results AS (SELECT case_id, anchor_id, dimension, t IS NOT NULL AND CASE mode WHEN 'all_present' THEN len(list_filter(vals, lambda x: contains(t, x))) = len(vals) WHEN 'any_present' THEN len(list_filter(vals, lambda x: contains(t, x))) > 0 ELSE len(list_filter(vals, lambda x: contains(t, x))) = 0 END AS passed FROM anchors LEFT JOIN outputs USING (case_id))"""
 
 
@@ -95,17 +95,21 @@ def gate() -> str:
     leaks = ", ".join(f"CASE WHEN contains({n}, '{m}') THEN 'leak:{m}' END" for m in LEAKS)
     ratio = f"{DENSE('output')}::DOUBLE / nullif({DENSE('source')}, 0)"
     both = "trim(source) <> '' AND trim(output) <> ''"
-    return f"""WITH {PAIRS}, g AS (SELECT conv_id, turn,
+    two = lambda x: f"trim(array_to_string(({toks(norm(x))})[2:3], ' '))"
+    return f"""WITH {PAIRS}, terms AS (SELECT st, min(pt) AS pt FROM (SELECT {two('source')} AS st, {two('output')} AS pt FROM pairs WHERE conv_id % 3 = 0) WHERE st <> '' GROUP BY st),
+    lacking AS (SELECT conv_id, turn, list_sort(list('term:' || st)) AS terms FROM (SELECT conv_id, turn, ' ' || {norm('source')} || ' ' AS s, ' ' || {norm('output')} || ' ' AS o FROM pairs) JOIN terms ON contains(s, ' ' || st || ' ') AND pt <> '' AND NOT contains(o, ' ' || pt || ' ') GROUP BY ALL),
+    g AS (SELECT conv_id, turn,
         list_filter([CASE WHEN trim(source) = '' THEN 'empty_source' END, CASE WHEN trim(output) = '' THEN 'empty_output' END, {leaks}, CASE WHEN {both} AND {ratio} < 0.20 THEN 'truncated' END], lambda x: x IS NOT NULL) AS b,
-        list_filter([CASE WHEN {both} AND {ratio} > 5.0 THEN 'expanded' END, CASE WHEN {both} AND {BLOCKS('source')} >= 4 AND {BLOCKS('output')} * 2 < {BLOCKS('source')} THEN 'paragraphs_collapsed' END], lambda x: x IS NOT NULL) AS w FROM pairs)
+        list_filter([CASE WHEN {both} AND {ratio} > 5.0 THEN 'expanded' END, CASE WHEN {both} AND {BLOCKS('source')} >= 4 AND {BLOCKS('output')} * 2 < {BLOCKS('source')} THEN 'paragraphs_collapsed' END], lambda x: x IS NOT NULL) || coalesce(terms, []) AS w FROM pairs LEFT JOIN lacking USING (conv_id, turn))
     SELECT conv_id, turn, array_to_string(b, ',') AS blocking, array_to_string(w, ',') AS warnings, round(greatest(0::DOUBLE, 1::DOUBLE - len(b) * 0.5::DOUBLE - len(w) * 0.1::DOUBLE), 6) AS score, len(b) = 0 AS passes FROM g"""
 
 
 def scores() -> str:
     size = f"least(greatest(len({toks('s')}) * 2, 4), 24)"
     win = f"list_max(list_transform(range(1, greatest(len({toks('q')}) - {size}, 0) + 2), lambda i: {simil('array_to_string((' + toks('q') + ')[i : i + ' + size + ' - 1], chr(32))', 's')}))"
-    src = f"CASE WHEN len({toks('q')}) > {size} THEN greatest({simil('q', 's')}, {win}) ELSE {simil('q', 's')} END"
-    return f"""q AS (SELECT item_id AS query_id, {norm('text')} AS q FROM benchmark WHERE item_id % 20 = 0),
+    whole = f"greatest({simil('q', 's')}, list_max(list_transform(parts, lambda p: {simil('p', 's')})))"
+    src = f"CASE WHEN len({toks('q')}) > {size} THEN greatest({whole}, {win}) ELSE {whole} END"
+    return f"""q AS (SELECT item_id AS query_id, {norm('text')} AS q, list_transform(regexp_split_to_array(text, '[.!?…;:\\n\\r]'), lambda y: {norm('y')}) AS parts FROM benchmark WHERE item_id % 20 = 0),
     m AS (SELECT item_id AS entry_id, text AS source, text AS translation, {norm('text')} AS s FROM benchmark),
     scores AS (SELECT query_id, entry_id, source, translation, round(least(1.0::DOUBLE, {src} + CASE WHEN q = s THEN 0.3::DOUBLE ELSE 0 END), 6) AS score FROM q, m WHERE q <> '')"""
 
@@ -117,7 +121,7 @@ ORACLES: dict[str, str] = {
     "observed_profile": profile("lang"),
     "chapter_map": profile("source, doc_id"),
     "chapter_samples": f"""WITH c AS ({profile('source, doc_id')}), r AS (SELECT source AS book, doc_id AS position, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i, count(*) OVER (PARTITION BY source) AS n,
-        row_number() OVER (PARTITION BY source ORDER BY n_words DESC, doc_id DESC) AS l, row_number() OVER (PARTITION BY source ORDER BY dialogue_density DESC, doc_id) AS t, dialogue_density AS d FROM c)
+        row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS l, row_number() OVER (PARTITION BY source ORDER BY dialogue_density DESC, doc_id) AS t, dialogue_density AS d FROM c)
         SELECT book, position, array_to_string(list_filter([CASE WHEN i = 0 THEN 'first' END, CASE WHEN i = n // 2 THEN 'middle' END, CASE WHEN i = n - 1 THEN 'last' END, CASE WHEN l = 1 THEN 'longest' END, CASE WHEN t = 1 AND d > 0 THEN 'dialogue' END], lambda x: x IS NOT NULL), ',') AS reasons FROM r WHERE reasons <> ''""",
     "chapter_sessions": "WITH s AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS session FROM conversations) SELECT conv_id, session, count(*) AS n_turns, min(turn) AS first_turn, sum(length(text))::BIGINT AS n_chars FROM s GROUP BY ALL",
     "manuscript_blocks": "SELECT * FROM (VALUES (1::BIGINT, 1, 'Chapter 1', 1, 1, 'Before it all.'), (1, 2, 'Chapter 1', 1, 1, 'She said no. And left.'), (1, 2, 'Chapter 1', 2, 1, 'He stayed.'), (1, 3, 'Chapter 2', 1, 1, 'The end.')) t(doc_id, chapter, title, scene, paragraph, text)",
@@ -128,8 +132,8 @@ ORACLES: dict[str, str] = {
         k AS (SELECT phrase, doc_id, count(*) AS c FROM g WHERE len(list_filter(string_split(phrase, ' '), lambda x: x NOT IN ({quoted(NAME_STOPWORDS)}))) > 0 GROUP BY ALL),
         a AS (SELECT phrase, sum(c)::BIGINT AS n, count(*) AS n_docs, min(doc_id) AS first_doc, array_to_string(list_sort(list(doc_id))[1:8], ',') AS evidence FROM k GROUP BY phrase)
         SELECT *, {CONF} AS confidence FROM a WHERE n >= 3""",
-    "cooccurrence": """WITH m AS (SELECT DISTINCT doc_id, name FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{5,}')) AS name FROM documents)), o AS (SELECT name FROM m GROUP BY name HAVING count(*) BETWEEN 5 AND 60), k AS (SELECT * FROM m JOIN o USING (name))
-        SELECT x.name AS a, y.name AS b, count(*) AS n, array_to_string(list_sort(list(x.doc_id))[1:8], ',') AS evidence FROM k x JOIN k y ON x.doc_id = y.doc_id AND x.name < y.name GROUP BY ALL HAVING n >= 2""",
+    "cooccurrence": f"""WITH {LINES}, m AS (SELECT DISTINCT doc_id, pos, name FROM (SELECT doc_id, pos, unnest(regexp_extract_all(line, '[A-Z][a-z]{{5,}}')) AS name FROM lines WHERE trim(line) <> '')), o AS (SELECT name FROM m GROUP BY name HAVING count(DISTINCT doc_id) >= 5), k AS (SELECT doc_id * 1000000 + pos AS unit, name FROM m JOIN o USING (name))
+        SELECT x.name AS a, y.name AS b, count(*) AS n, array_to_string(list_sort(list(x.unit))[1:8], ',') AS evidence FROM k x JOIN k y ON x.unit = y.unit AND x.name < y.name GROUP BY ALL HAVING n >= 2""",
     "merged_names": """WITH f AS (SELECT lower(p_name) AS name, count(*) AS n FROM part GROUP BY 1), w AS (SELECT unnest(string_split(lower(p_name), ' ')) AS name FROM part), s AS (SELECT name, count(*) AS n FROM w GROUP BY 1), u AS (SELECT * FROM f UNION ALL SELECT * FROM s),
         l AS (SELECT name AS full_, unnest(list_distinct(string_split(name, ' '))) AS name FROM u WHERE contains(name, ' ')), h AS (SELECT u.name, min(full_) AS full_ FROM u JOIN l USING (name) WHERE NOT contains(u.name, ' ') GROUP BY u.name HAVING count(*) = 1)
         SELECT coalesce(full_, u.name) AS name, sum(n)::BIGINT AS n, coalesce(string_agg(DISTINCT CASE WHEN full_ IS NOT NULL THEN u.name END, ',' ORDER BY CASE WHEN full_ IS NOT NULL THEN u.name END), '') AS aliases FROM u LEFT JOIN h ON u.name = h.name GROUP BY 1""",

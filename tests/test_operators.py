@@ -227,3 +227,35 @@ def test_many_copies_leave_room_for_other_entries(spark):
     scored = spark.range(600).selectExpr("1 AS query_id", "int(id) AS entry_id", "'the sea is calm' AS source", "'A' AS translation", "1.0D AS score")
     other = spark.createDataFrame([(1, 900, "horses run over hills", "B", 0.5)], scored.schema)
     assert [r[:3] for r in rows(memory.rank_memory(scored.unionByName(other)))] == [(1, 1, 0), (1, 2, 900)]
+
+
+def test_gate_counts_lacking_terms(spark):
+    pairs = spark.createDataFrame([(1, "the dark lord came", "der dunkle Herr kam"), (2, "the dark lord came", "der Fuerst kam")], "unit_id int, source string, output string")
+    terms = spark.createDataFrame([("Dark Lord", "dunkle herr"), ("", "x")], "source_term string, preferred_translation string")
+    out = quality.gate(pairs, terms=terms).orderBy("unit_id").select("warnings", "score", "passes").collect()
+    assert [tuple(r) for r in out] == [([], 1.0, True), (["term:Dark Lord"], 0.9, True)]
+
+
+def test_a_line_in_a_long_passage_scores_whole(spark):
+    line = "the harbour lay still under a grey and windless morning sky"
+    q = spark.createDataFrame([(1, "Nobody spoke for a long while and the boats did not move at all that day. " + line + "; then came rain and more rain and cold.")], "query_id int, query string")
+    m = spark.createDataFrame([(7, line, "t", None, None)], "entry_id int, source string, translation string, context string, tags array<string>")
+    assert memory.score_memory(q, m).first()["score"] == 1.0
+
+
+def test_memory_blocks_change_no_score(spark, monkeypatch):
+    rows = [(i, f"word{i % 7} of line {i % 5}") for i in range(40)]
+    q = spark.createDataFrame(rows[::5], "query_id int, query string")
+    m = spark.createDataFrame([(i, t, t, "", []) for i, t in rows], "entry_id int, source string, translation string, context string, tags array<string>")
+    whole = sorted(map(tuple, memory.score_memory(q, m).collect()))
+    monkeypatch.setattr(memory, "BLOCK_ROWS", 3)
+    assert sorted(map(tuple, memory.score_memory(q, m).collect())) == whole
+
+
+def test_hybrid_ranks_fuse(spark):
+    scored = spark.createDataFrame([(1, 10, "a", "x", 0.9), (1, 11, "bb", "y", 0.9), (1, 12, "c", "z", 0.5)], "query_id int, entry_id int, source string, translation string, score double")
+    semantic = spark.createDataFrame([(1, 12, 1), (1, 99, 2)], "query_id int, entry_id int, rank int")
+    out = memory.hybrid_candidates(scored, semantic, most=2).orderBy("rank").select("entry_id", "native_rank", "semantic_rank", "relevance").collect()
+    assert [tuple(r) for r in out] == [(12, 3, 1, 1.0), (10, 1, None, round(round(1 / 61, 9) / round(1 / 63 + 1 / 61, 9), 6))]
+    entries = spark.createDataFrame([(12, "s", "t", " ctx "), (10, "u", "v", None)], "entry_id int, source string, translation string, context string")
+    assert memory.memory_context(memory.hybrid_candidates(scored, semantic, most=2), entries).first()["context"] == "s => t | context: ctx\nu => v"

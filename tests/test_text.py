@@ -90,3 +90,18 @@ def test_speakers(spark):
 def test_passages_lose_nothing(spark, body):
     parts = one(spark, lambda c: scan.passages(c, 48), body)
     assert "".join(parts) == body and all(len(p) <= 48 for p in parts)
+
+
+def test_passages_end_behind_breaks_and_sentences(spark):
+    split = lambda t, n: one(spark, lambda c: scan.passages(c, n), t)
+    assert split("Aaaa bbbb cccc.\r\n\r\nDddd eeee", 22) == ["Aaaa bbbb cccc.\r\n\r\n", "Dddd eeee"]
+    assert split("One two three four five.Six", 24) == ["One two three four five.", "Six"]  # a whole window that ends a sentence
+    assert split("Aaaa bbbb cccc (dd.) eeee ffff", 25) == ["Aaaa bbbb cccc (dd.) ", "eeee ffff"]
+    assert split("Aa. bbbb cccc dddd eeee ffff", 20) == ["Aa. bbbb cccc dddd ", "eeee ffff"]  # too early a sentence doesn't count
+
+
+def test_all_speech_verbs_make_cues(spark):
+    names = F.array(F.struct(F.lit("Mina").alias("name"), F.lit("Mina").alias("alias")))
+    body = F.concat(F.lit("\"Yes,\" Mina "), F.col("v"), F.lit("."))
+    rows = spark.createDataFrame([(v,) for v in ("observes", "calls", "exclaimed", "yells", "walks")], "v string").select("v", scan.attribute_speakers(body, names).alias("q")).collect()
+    assert [(r["v"], r["q"][0]["speaker"]) for r in rows] == [("observes", "Mina"), ("calls", "Mina"), ("exclaimed", "Mina"), ("yells", "Mina"), ("walks", None)]
