@@ -1,11 +1,13 @@
 """Licence scans: passages compared with licence templates by the Dice coefficient over word bigrams.
 
 Words are runs of letters and digits of the lower-cased text. A passage is
-the whole text, a block between blank lines, or a line. With bags of bigrams
-A and B, Dice = 2 |A and B| / (|A| + |B|), which can reach t only if
-t / (2 - t) <= |A| / |B| <= (2 - t) / t. The word count of a passage gives |A|,
-so templates of other sizes are pruned by an equi-join on the size, before any
-bigram is made.
+the whole text, a block between blank lines, a line, or a run of words between
+two bigrams of the templates with no more than ``GAP`` others in a row between
+them, which finds notices that are wrapped or stand inside other text. With
+bags of bigrams A and B, Dice = 2 |A and B| / (|A| + |B|), which can reach t
+only if t / (2 - t) <= |A| / |B| <= (2 - t) / t. The word count of a passage
+gives |A|, so templates of other sizes are pruned by an equi-join on the size.
+A text without a bigram of any template is left after one pass.
 """
 
 from __future__ import annotations
@@ -14,9 +16,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm.common import cut
+from folium.llm.decontam import numbered
 from folium.llm.rules import once
 
-#: Short notices by which works state their licence.
+#: The clauses that licence bodies share.
+WARRANTY = 'IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
+BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
+#: Short notices by which works state their licence, and the bodies of the common short licences.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'),
@@ -38,13 +46,18 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
+    ("MIT", f'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. {WARRANTY}'),
+    ("BSD-2-Clause", f"{BSD_HEAD} {BSD_TAIL}"),
+    ("BSD-3-Clause", f"{BSD_HEAD} {BSD_THIRD} {BSD_TAIL}"),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
 )
 
 THRESHOLD = 0.8
 #: Template rows (one for each admissible size) that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Template bigrams that may stand as literals in a filter; with more, that filter is left out.
-VOCABULARY = 20_000
+#: Words without a template bigram that a run of words may have in a row.
+GAP = 6
 
 
 def template_table(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
@@ -57,7 +70,7 @@ def normal(text: Column) -> Column:
 
 
 def passage_words(passage: Column) -> Column:
-    trimmed = F.btrim(F.regexp_replace(passage, r"[ \n]+", " "), F.lit(" "))
+    trimmed = squeezed(passage)
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, " "))
 
 
@@ -66,10 +79,8 @@ def bigrams(words: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.slice(words, i, 2)))
 
 
-def bag(hashes: str) -> Column:
-    """Each hash with the number of its occurrence, so that set intersection counts repeats."""
-    ordered = F.sort_array(hashes)
-    return F.transform(ordered, lambda x, i: F.struct(x.alias("h"), (i + 1 - F.array_position(ordered, x)).alias("k")))
+def squeezed(passage: Column) -> Column:
+    return F.btrim(F.regexp_replace(passage, r"[ \n]+", " "), F.lit(" "))
 
 
 def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -80,22 +91,25 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
     one-word passages match nothing. Very long texts are only long passages,
     which the size bound prunes. Other columns are ignored.
     """
-    sized = once(templates, "tw", passage_words(normal(F.col("template_text")))).filter(F.size("tw") > 1)
-    sized = once(sized, "th", bigrams(F.col("tw")))
-    sized = cut(once(sized, "tb", bag("th")).select("license", "template", "th", "tb", F.size("th").alias("n")))
-    vocabulary = [r[0] for r in sized.select(F.explode("th")).distinct().limit(VOCABULARY + 1).collect()]
+    made = once(templates, "tw", passage_words(normal(F.col("template_text")))).filter(F.size("tw") > 1)
+    made = cut(once(made, "th", bigrams(F.col("tw"))).select("license", "template", "th", numbered("th").alias("tb"), F.size("th").alias("n")))
+    # a template table is small by contract: its bigrams stand as one set of literals in the filter
+    known = [r[0] for r in made.select(F.explode("th")).distinct().collect()]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     admissible = F.sequence(F.greatest(F.ceil(F.col("n") * low - 1e-9), F.lit(1)), F.floor(F.col("n") * high + 1e-9))
-    sized = sized.select("license", "template", "tb", "n", F.explode(admissible.cast("array<int>")).alias("size"))
+    sized = cut(made.select("template", "n", F.explode(admissible.cast("array<int>")).alias("size")))
     n_sized, widest = sized.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
     body = once(docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")), "t", normal(F.col("body"))).select("id", "t")
+    body = once(body, "w", passage_words(F.col("t"))).filter(F.size("w") > 1)
+    body = once(body, "at", F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.slice("w", i, 2)).isin(known))).filter(F.size("at") > 0)
+    lone = lambda step: F.filter("at", lambda x, i: F.coalesce(F.abs(F.get("at", i + step) - x) > GAP + 1, F.lit(True)))
+    runs = F.zip_with(lone(-1), lone(1), lambda a, b: F.array_join(F.slice("w", a, b - a + 2), " "))
     blocks, lines = F.split("t", r"\n *\n"), F.split("t", "\n")
-    units = body.select("id", F.explode(F.array_distinct(F.concat(F.array("t"), blocks, lines))).alias("passage"))
-    units = once(units, "w", passage_words(F.col("passage"))).select("id", "w", (F.size("w") - 1).alias("size")).filter(F.col("size").between(1, widest))
-    units = once(units, "hashes", bigrams(F.col("w"))).drop("w")
-    if len(vocabulary) <= VOCABULARY:  # a passage without a bigram of any template needs no comparison
-        units = units.filter(F.exists("hashes", lambda x: x.isin(vocabulary)))
-    pairs = once(units, "b", bag("hashes")).join(F.broadcast(sized) if n_sized <= BROADCAST_ROWS else sized, "size")
+    passages = F.array_distinct(F.concat(F.transform(F.concat(F.array("t"), blocks, lines), squeezed), runs))
+    units = body.select("id", F.explode(passages).alias("passage")).filter("passage <> ''")
+    units = once(units, "w", F.split("passage", " ")).select("id", "w", (F.size("w") - 1).alias("size")).filter(F.col("size").between(1, widest))
+    units = once(once(units, "hashes", bigrams(F.col("w"))).drop("w"), "b", numbered("hashes"))
+    pairs = units.join(F.broadcast(sized) if n_sized <= BROADCAST_ROWS else sized, "size").join(F.broadcast(made.select("license", "template", "tb")), "template")
     dice = F.size(F.array_intersect("b", "tb")) * F.lit(2.0) / (F.col("size") + F.col("n"))
     return pairs.select(F.col("id").alias(doc_id), "license", "template", (F.col("size") + 1).alias("passage_words"), F.round(dice, 6).alias("dice")).filter(F.col("dice") >= threshold)
 
@@ -106,9 +120,12 @@ norm AS (SELECT license, template, trim(regexp_replace(lower(template_text), '[^
 tpl AS (SELECT license, template, string_split(t, ' ') AS w FROM norm),
 tbag AS (SELECT template, b, count(*) AS c FROM (SELECT template, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tpl) GROUP BY ALL),
 body AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t FROM documents),
-units AS (SELECT r, doc_id, unnest(list_distinct(list_concat([t], regexp_split_to_array(t, '\\n *\\n'), string_split(t, chr(10))))) AS p FROM body),
-words AS (SELECT row_number() OVER () AS u, doc_id, string_split(q, ' ') AS w FROM (SELECT doc_id, trim(regexp_replace(p, '[ \\n]+', ' ', 'g')) AS q FROM units) WHERE q <> ''),
-cand AS (SELECT u, doc_id, len(w) - 1 AS n, w FROM words WHERE len(w) > 1 AND len(w) <= 120),
+flat AS (SELECT r, doc_id, string_split(trim(regexp_replace(t, '[ \\n]+', ' ', 'g')), ' ') AS w FROM body),
+hits AS (SELECT r, i FROM (SELECT r, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM flat) WHERE b IN (SELECT b FROM tbag)),
+runs AS (SELECT r, min(i) AS a, max(i) AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, (i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) > {gap} + 1)::INT AS new FROM hits)) GROUP BY r, g),
+units AS (SELECT r, doc_id, unnest(list_concat([t], regexp_split_to_array(t, '\\n *\\n'), string_split(t, chr(10)))) AS p FROM body UNION ALL SELECT r, doc_id, array_to_string(w[a : z + 1], ' ') FROM runs JOIN flat USING (r)),
+words AS (SELECT row_number() OVER () AS u, doc_id, string_split(q, ' ') AS w FROM (SELECT DISTINCT r, doc_id, trim(regexp_replace(p, '[ \\n]+', ' ', 'g')) AS q FROM units) WHERE q <> ''),
+cand AS (SELECT u, doc_id, len(w) - 1 AS n, w FROM words WHERE len(w) > 1 AND len(w) - 1 <= (SELECT max(len(w) - 1) * 1.5 FROM tpl)),
 ubag AS (SELECT u, b, count(*) AS c FROM (SELECT u, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM cand) GROUP BY ALL),
 common AS (SELECT u, template, sum(least(ubag.c, tbag.c)) AS k FROM ubag JOIN tbag USING (b) GROUP BY ALL)
 SELECT doc_id, license, template, (n + 1)::INT AS passage_words, round(2.0 * k::DOUBLE / (n + len(tpl.w) - 1), 6) AS dice
@@ -119,4 +136,4 @@ WHERE round(2.0 * k::DOUBLE / (n + len(tpl.w) - 1), 6) >= 0.8
 
 def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return ORACLE_SQL.format(values=", ".join(f"({quote(k)}, {i}, {quote(t)})" for i, (k, t) in enumerate(TEMPLATES)))
+    return ORACLE_SQL.format(gap=GAP, values=", ".join(f"({quote(k)}, {i}, {quote(t)})" for i, (k, t) in enumerate(TEMPLATES)))

@@ -205,6 +205,17 @@ def test_licence_edges(spark, edge):
     assert licenses.scan(edge, licenses.template_table(spark)).count() == 0
 
 
+def test_licence_bodies_wrapped_and_inside_lines(spark):
+    """A wrapped body, notices inside prose and edited ones are found; repeats count once a row, and columns may clash."""
+    body = next(t for k, t in licenses.TEMPLATES if k == "BSD-3-Clause" and len(t) > 1_000)
+    wrapped = "\n".join(" ".join(body.split()[i : i + 9]) for i in range(0, len(body.split()), 9))
+    inside = "Once upon a time this work is licensed under a Creative Commons Attribution 4.0 International License and nobody minded at all."
+    df = spark.createDataFrame([(1, "intro words\n" + wrapped + "\nmore words"), (2, inside), (2, inside), (3, (inside + "\n") * 3), (4, "plain " * 200_000), (None, body.replace("binary", "compiled"))], "doc_id bigint, text string").withColumn("license", F.lit("x"))
+    out = sorted((str(r["doc_id"]), r["dice"], r["license"]) for r in licenses.scan(df, licenses.template_table(spark)).collect())
+    assert {d: (k, s) for d, s, k in out} | {"None": None} == {"1": ("BSD-3-Clause", 1.0), "2": ("CC-BY-4.0", 1.0), "3": ("CC-BY-4.0", 1.0), "None": None}
+    assert {k for d, _, k in out if d == "None"} >= {"BSD-3-Clause"} and [x[0] for x in out].count("2") == 2 * [x[0] for x in out].count("3")
+
+
 def test_url_lists_hold_as_of_the_fetch_day(spark):
     entries = spark.createDataFrame([("bad.com", "block", "2024-01-10"), ("bad.com", "allow", "2024-02-10"), ("ok.bad.com", "allow", "2024-01-20"), (None, "block", "2024-01-01")], "domain string, action string, since string")
     pages = spark.createDataFrame([(1, "http://bad.com/x", "2024-01-09"), (2, "http://bad.com/x", "2024-01-10"), (3, "http://a.bad.com", "2024-02-10"), (4, "http://ok.bad.com", "2024-01-15"), (5, "http://ok.bad.com", "2024-01-25"), (6, None, "2024-01-25"), (7, "http://bad.com", None)], "page_id int, url string, fetched string")
