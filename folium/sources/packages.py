@@ -31,7 +31,11 @@ def _members(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             try:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
                     for info in z.infolist():
-                        if info.filename.endswith((".xml", ".opf", ".xhtml", ".html", ".htm")) and info.file_size <= MEMBER_BYTES:
+                        if not info.filename.endswith((".xml", ".opf", ".xhtml", ".html", ".htm")):
+                            continue
+                        if info.file_size > MEMBER_BYTES:
+                            rows.append((path, None, None, f"member_too_large:{info.filename}"))
+                        else:
                             rows.append((path, info.filename, z.read(info).decode("utf-8", "replace"), None))
             except zipfile.BadZipFile:
                 rows.append((path, None, None, "corrupt_archive"))
@@ -39,7 +43,7 @@ def _members(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def members(files: DataFrame) -> DataFrame:
-    """(path, member, body, error): text members of the archives of ``read_files``; a corrupt one gives one error row."""
+    """(path, member, body, error): text members of the archives of ``read_files``; a corrupt one, and a member over ``MEMBER_BYTES``, gives an error row."""
     return files.select("path", "content").mapInPandas(_members, "path string, member string, body string, error string")
 
 

@@ -24,11 +24,18 @@ def format_of(path: Column) -> Column:
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, format, content) of supported files within the size bound; others are left out."""
+    """(path, length, format, content) of supported files within the size bound; ``file_errors`` has the others."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.filter(F.col("length") <= MAX_FILE_BYTES).withColumn("format", format_of(F.col("path"))).filter("format IS NOT NULL").select("path", "length", "format", "content")
 
 
+def file_errors(spark: SparkSession, path: str) -> DataFrame:
+    """(path, error) of the files that ``read_files`` leaves out; no content is read. Spark's file sources pass over files of no bytes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    error = F.when(F.col("length") > MAX_FILE_BYTES, "file_too_large").when(format_of(F.col("path")).isNull(), "unsupported_format")
+    return files.select("path", error.alias("error")).filter("error IS NOT NULL")
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of whole text files."""
     return spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))

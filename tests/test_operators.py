@@ -259,3 +259,22 @@ def test_hybrid_ranks_fuse(spark):
     assert [tuple(r) for r in out] == [(12, 3, 1, 1.0), (10, 1, None, round(round(1 / 61, 9) / round(1 / 63 + 1 / 61, 9), 6))]
     entries = spark.createDataFrame([(12, "s", "t", " ctx "), (10, "u", "v", None)], "entry_id int, source string, translation string, context string")
     assert memory.memory_context(memory.hybrid_candidates(scored, semantic, most=2), entries).first()["context"] == "s => t | context: ctx\nu => v"
+
+
+def test_files_that_cannot_be_read_have_error_rows(spark, tmp_path, monkeypatch):
+    import zipfile
+
+    from folium.sources import packages
+    from folium.sources import text as source
+
+    (tmp_path / "a.txt").write_text("x")
+    (tmp_path / "c.exe").write_text("x")
+    assert sorted((r["path"].rsplit("/", 1)[1], r["error"]) for r in source.file_errors(spark, str(tmp_path)).collect()) == [("c.exe", "unsupported_format")]
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("big.xml", "<a/>" * 1_000)
+        z.writestr("small.xml", "<a/>")
+    monkeypatch.setattr(packages, "MEMBER_BYTES", 100)
+    import pandas as pd
+
+    out = pd.concat(packages._members(iter([pd.DataFrame({"path": ["d", "e"], "content": [(tmp_path / "d.docx").read_bytes(), b"no archive"]})])))
+    assert sorted(out["error"].dropna()) == ["corrupt_archive", "member_too_large:big.xml"] and list(out["member"].dropna()) == ["small.xml"]
