@@ -77,12 +77,13 @@ def simhash(hashes: str) -> Column:
     return F.element_at(simhashes(F.col(hashes), F.size(hashes), F.lit(1)), 1)
 
 
-def numbered(hashes: str) -> Column:
-    """The bag as a set: each hash with the number of its occurrence. Only hashes that repeat are looked up."""
-    ordered = F.sort_array(hashes)
-    again = F.filter(ordered, lambda x, i: x == F.get(ordered, i - 1))
-    once_each = F.transform(F.array_distinct(ordered), lambda x: F.struct(x.alias("h"), F.lit(1).cast("bigint").alias("k")))
-    return F.concat(once_each, F.transform(again, lambda x, i: F.struct(x.alias("h"), (i + 3 - F.array_position(again, x)).cast("bigint").alias("k"))))
+def with_bag(df: DataFrame, hashes: str, name: str) -> DataFrame:
+    """Adds the bag as a set: each hash with the number of its occurrence. Only hashes that repeat are looked up."""
+    df = once(df, "ordered_", F.sort_array(hashes))
+    df = once(df, "again_", F.filter("ordered_", lambda x, i: x == F.get("ordered_", i - 1)))
+    once_each = F.transform(F.array_distinct("ordered_"), lambda x: F.struct(x.alias("h"), F.lit(1).cast("bigint").alias("k")))
+    more = F.transform("again_", lambda x, i: F.struct(x.alias("h"), (i + 3 - F.array_position("again_", x)).cast("bigint").alias("k")))
+    return once(df, name, F.concat(once_each, more)).drop("ordered_", "again_")
 
 
 def block(fp: Column, i: int) -> Column:
@@ -103,7 +104,7 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     items = once(benchmark.select(F.col(f"`{item_id}`").alias("item_id"), F.col(f"`{text}`").alias("body")), "w", word_list(F.col("body")))
     items = items.filter(F.size("w") > 0).select("item_id", "w", F.size("w").alias("m"), F.least(F.size("w"), F.lit(WIDTH)).alias("width"))
     items = once(items, "hashes", shingles("w", F.col("width")))
-    return cut(items.select("item_id", "m", "width", "hashes", numbered("hashes").alias("bag"), simhash("hashes").alias("fp")).distinct())
+    return cut(with_bag(items, "hashes", "bag").select("item_id", "m", "width", "hashes", "bag", simhash("hashes").alias("fp")).distinct())
 
 
 def window_starts(places: Column, need: Column, length: Column, last: Column) -> Column:
@@ -163,7 +164,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     close = [F.bit_count(block(F.col("fp"), i).bitwiseXOR(block(F.col("item_fp"), i))) <= RADIUS // BLOCKS for i in range(BLOCKS)]
     first = F.coalesce(*[F.when(c, i) for i, c in enumerate(close)])
     near = near.filter(F.col("no") == first).join(small(items.select("item_id", "bag", F.size("hashes").alias("k")), n_seeds), "item_id")
-    near = once(near, "own", numbered("hashes"))
+    near = with_bag(near, "hashes", "own")
     common = F.size(F.array_intersect("own", "bag"))
     ratio = common / (F.size("hashes") + F.col("k") - common)
     scored = near.select("doc_id", "doc_key", "item_id", F.col("m").alias("item_words"), F.round(ratio, 6).alias("similarity"), "start").filter(ratio >= similarity)

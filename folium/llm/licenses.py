@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm.common import cut
-from folium.llm.decontam import numbered
+from folium.llm.decontam import with_bag
 from folium.llm.rules import once
 
 #: The clauses that licence bodies share.
@@ -92,7 +92,7 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
     which the size bound prunes. Other columns are ignored.
     """
     made = once(templates, "tw", passage_words(normal(F.col("template_text")))).filter(F.size("tw") > 1)
-    made = cut(once(made, "th", bigrams(F.col("tw"))).select("license", "template", "th", numbered("th").alias("tb"), F.size("th").alias("n")))
+    made = cut(with_bag(once(made, "th", bigrams(F.col("tw"))), "th", "tb").select("license", "template", "th", "tb", F.size("th").alias("n")))
     # a template table is small by contract: its bigrams stand as one set of literals in the filter
     known = [r[0] for r in made.select(F.explode("th")).distinct().collect()]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
@@ -108,7 +108,9 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
     passages = F.array_distinct(F.concat(F.transform(F.concat(F.array("t"), blocks, lines), squeezed), runs))
     units = body.select("id", F.explode(passages).alias("passage")).filter("passage <> ''")
     units = once(units, "w", F.split("passage", " ")).select("id", "w", (F.size("w") - 1).alias("size")).filter(F.col("size").between(1, widest))
-    units = once(once(units, "hashes", bigrams(F.col("w"))).drop("w"), "b", numbered("hashes"))
+    units = once(units, "hashes", bigrams(F.col("w"))).drop("w")
+    # at the threshold a passage shares low times its size with a template, so as many of its bigrams are known
+    units = with_bag(units.filter(F.size(F.filter("hashes", lambda x: x.isin(known))) >= F.col("size") * low - 1e-9), "hashes", "b")
     pairs = units.join(F.broadcast(sized) if n_sized <= BROADCAST_ROWS else sized, "size").join(F.broadcast(made.select("license", "template", "tb")), "template")
     dice = F.size(F.array_intersect("b", "tb")) * F.lit(2.0) / (F.col("size") + F.col("n"))
     return pairs.select(F.col("id").alias(doc_id), "license", "template", (F.col("size") + 1).alias("passage_words"), F.round(dice, 6).alias("dice")).filter(F.col("dice") >= threshold)
