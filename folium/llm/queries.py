@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import decontam, licenses, lm, packing, pii, quality, rules, simhash, toxicity, urls
+from folium.llm import decontam, licenses, lm, packing, periods, pii, quality, rules, simhash, toxicity, urls
 from folium.llm.common import crc_mod, labelled_texts, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,8 +151,20 @@ FROM v
 """
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periods.periodic_runs(periods.with_planted_period(docs, "doc_id"))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"], -r["start"], -r["period"])))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    top = found.withColumn("_top", longest)
+    return top.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("_top.col2")).alias("start"), F.col("_top.length").alias("length"), (-F.col("_top.col3")).alias("period"),
+        F.expr("1000 * _top.length div -_top.col3").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
-    found = (op1_toxicity, op2_license_scan, op3_lm_scoring, op4_pii, op5_url_filter, op6_packing, op7_simhash_groups, op8_decontamination, op9_quality_classifier, op10_quality_rules)
+    found = (op1_toxicity, op2_license_scan, op3_lm_scoring, op4_pii, op5_url_filter, op6_packing, op7_simhash_groups, op8_decontamination, op9_quality_classifier, op10_quality_rules, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
