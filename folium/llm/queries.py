@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import decontam, licenses, lm, packing, periods, pii, quality, rules, simhash, toxicity, urls
+from folium.llm import decontam, licenses, lm, packing, periods, phrases, pii, quality, rules, simhash, toxicity, urls
 from folium.llm.common import crc_mod, labelled_texts, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +151,29 @@ FROM v
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"))
+
+
+#: Every phrase counted, frequent words or not; HUGEINT products.
+OP12_SQL = """
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\r', chr(10), 'g'), '[.,;:!?\n\x0B\x0C]') AS p FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS p FROM d)),
+grams AS (SELECT lang, unnest(flatten([list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1]) for k in [1, 2, 3]])) AS g FROM pieces),
+f AS (SELECT lang, g, len(g) AS k, count(*) AS f FROM grams GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT * FROM f WHERE k >= 2 AND f >= 10),
+cuts AS (SELECT c.lang, c.g, c.k, c.f AS a, x.cut, l.f AS l, r.f AS r, (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
+    FROM cand c JOIN (VALUES (1), (2)) x(cut) ON x.cut < c.k JOIN f l ON l.lang = c.lang AND l.g = c.g[1 : x.cut] JOIN f r ON r.lang = c.lang AND r.g = c.g[x.cut + 1 :]),
+low AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) AS o FROM cuts) WHERE o = 1),
+longer AS (SELECT lang, g[1 : 2] AS g, f FROM cand WHERE k = 3 UNION ALL SELECT lang, g[2 : 3], f FROM cand WHERE k = 3),
+around AS (SELECT lang, g, max(f) AS f FROM longer GROUP BY ALL),
+kept AS (SELECT low.lang, array_to_string(low.g, ' ') AS phrase, a, l, r, score FROM low LEFT JOIN around USING (lang, g) WHERE around.f IS NULL OR 100 * around.f < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = periods.periodic_runs(periods.with_planted_period(docs, "doc_id"))
@@ -164,9 +187,9 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_toxicity, op2_license_scan, op3_lm_scoring, op4_pii, op5_url_filter, op6_packing, op7_simhash_groups, op8_decontamination, op9_quality_classifier, op10_quality_rules, op13_periodic_runs)
+    found = (op1_toxicity, op2_license_scan, op3_lm_scoring, op4_pii, op5_url_filter, op6_packing, op7_simhash_groups, op8_decontamination, op9_quality_classifier, op10_quality_rules, op12_collocations, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op5_url_filter": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_quality_rules": OP10_SQL}
+    return {"op2_license_scan": licenses.oracle(), "op5_url_filter": OP5_SQL, "op8_decontamination": OP8_SQL, "op10_quality_rules": OP10_SQL, "op12_collocations": OP12_SQL}
