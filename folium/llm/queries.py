@@ -157,10 +157,12 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Every phrase counted, frequent words or not; HUGEINT products.
 OP12_SQL = """
-WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '\r', chr(10), 'g'), '[.,;:!?\n\x0B\x0C]') AS p FROM documents),
-pieces AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(p) AS p FROM d)),
-grams AS (SELECT lang, unnest(flatten([list_transform(range(1, len(w) - k + 2), lambda i: w[i : i + k - 1]) for k in [1, 2, 3]])) AS g FROM pieces),
-f AS (SELECT lang, g, len(g) AS k, count(*) AS f FROM grams GROUP BY ALL),
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]') AS p FROM documents),
+pieces AS (SELECT row_number() OVER () AS id, lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM (SELECT lang, unnest(p) AS p FROM d)),
+words AS (SELECT id, lang, unnest(w) AS w, unnest(range(len(w))) AS i FROM pieces),
+next AS (SELECT lang, w AS x, lead(w, 1) OVER o AS y, lead(w, 2) OVER o AS z FROM words WINDOW o AS (PARTITION BY id ORDER BY i)),
+f AS (SELECT lang, [x] AS g, 1 AS k, count(*) AS f FROM next GROUP BY lang, x UNION ALL SELECT lang, [x, y], 2, count(*) FROM next WHERE y IS NOT NULL GROUP BY lang, x, y
+    UNION ALL SELECT lang, [x, y, z], 3, count(*) FROM next WHERE z IS NOT NULL GROUP BY lang, x, y, z),
 total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
 cand AS (SELECT * FROM f WHERE k >= 2 AND f >= 10),
 cuts AS (SELECT c.lang, c.g, c.k, c.f AS a, x.cut, l.f AS l, r.f AS r, (1000000::HUGEINT * c.f * c.f) // (l.f::HUGEINT * r.f) AS score
