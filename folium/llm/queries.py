@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm import decontam, licenses, lm, packing, periods, phrases, pii, quality, rules, simhash, toxicity, urls
+from folium.llm import decontam, licenses, lm, packing, periods, phrases, pii, quality, rules, simhash, suffixes, toxicity, urls
 from folium.llm.common import crc_mod, labelled_texts, read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -151,6 +151,13 @@ FROM v
 """
 
 
+def op11_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"))
+    cut = suffixes.without_repeats(docs, ["doc_id", "n_bytes"])
+    removed = (F.col("n_bytes") - F.octet_length("kept")).cast("long")
+    return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(read_table(spark, sf_dir, "documents"))
 
@@ -189,7 +196,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = (op1_toxicity, op2_license_scan, op3_lm_scoring, op4_pii, op5_url_filter, op6_packing, op7_simhash_groups, op8_decontamination, op9_quality_classifier, op10_quality_rules, op12_collocations, op13_periodic_runs)
+    found = (op1_toxicity, op2_license_scan, op3_lm_scoring, op4_pii, op5_url_filter, op6_packing, op7_simhash_groups, op8_decontamination, op9_quality_classifier, op10_quality_rules, op11_suffix_array_dedup, op12_collocations, op13_periodic_runs)
     return {f.__name__: f for f in found}
 
 

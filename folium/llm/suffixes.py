@@ -191,3 +191,218 @@ def repeats(data: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarray:
 
 def _ranges(values: np.ndarray, pairs: np.ndarray) -> np.ndarray:
     return np.minimum.reduceat(values, pairs)[::2].astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
+
+
+def classes_of(starts: np.ndarray, anchor: int, width: int, span: int) -> Iterator[tuple[int, int, int, int]]:
+    """A region's spans by their distance to the anchor: first and last span of each class, and the first and last byte of its core (ends exclusive)."""
+    number = (anchor - starts) // width
+    cuts = np.flatnonzero(np.concatenate(([True], number[1:] != number[:-1], [True])))
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        d = int(number[a]) * width
+        yield int(starts[a]), int(starts[b - 1]) + 1, anchor - d, anchor - d - width + 1 + span
+
+
+#: A region that is gathered: hashes of its anchor and of itself, whether it stands more than once, the anchor's place in it, the number of its spans, its bytes.
+GATHERED = "gram bigint, region bigint, often boolean, anchor bigint, spans bigint, data binary"
+#: Spans of a region that are repeats, as ranges of their numbers.
+VERDICT = "gram bigint, region bigint, found array<struct<start:bigint,stop:bigint>>"
+
+
+def _text_regions(table: pa.Table, text: str, span: int, gram: int) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, Regions]]:
+    """Slices of a table with their bytes, offsets and regions."""
+    _, spans = column_bytes(table.column(text))
+    for a, b in slices(spans, STEP):
+        part = table.slice(a, b - a)
+        data, offsets = column_bytes(part.column(text))
+        yield part, data, offsets, regions_of(data, offsets, span, gram)
+
+
+def _marks(span: int, gram: int) -> Callable:
+    """The regions of each text, by the text's key, with the times that they stand in a slice."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, _, found in _text_regions(pa.Table.from_batches([batch]), "text", span, gram):
+                key = part.column("key").to_numpy()[found.row]
+                rows = np.stack([key, found.gram.view(np.int64), found.region.view(np.int64)])
+                order = np.lexsort(rows)
+                rows = rows[:, order]
+                cut = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))) if rows.shape[1] else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows[:, cut], np.diff(np.append(cut, rows.shape[1])))], ["key", "gram", "region", "times"])
+
+    return run
+
+
+def _asked(span: int, gram: int) -> Callable:
+    """The bytes of the regions that a text was asked for; of neighbouring rows with one text the first answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            keys = table.column("key").to_numpy()
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = keys[1:] != keys[:-1]
+            if len(keys):
+                fresh[0], last = keys[0] != last, keys[-1]
+            for part, data, _, found in _text_regions(table.filter(pa.array(fresh)), "text", span, gram):
+                asked = part.column("asked").to_pylist()
+                cuts = np.searchsorted(found.row, np.arange(len(part) + 1))
+                out = []
+                for i, wanted in enumerate(asked):
+                    wanted = {(x["gram"], x["region"]): x["often"] for x in wanted}
+                    a, b = cuts[i], cuts[i + 1]
+                    for j, pair in enumerate(zip(found.gram[a:b].view(np.int64).tolist(), found.region[a:b].view(np.int64).tolist(), strict=True), a):
+                        if (often := wanted.pop(pair, None)) is not None:
+                            first, n = int(found.first[j]), int(found.spans[j])
+                            out.append((*pair, often, int(found.anchor[j]) - first, n, data[first : first + n + span - 1].tobytes()))
+                yield from pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "region", "often", "anchor", "spans", "data"]).to_batches()
+
+    return run
+
+
+def _cell(span: int) -> Callable[[pa.Table], pa.Table]:
+    """Repeats among the regions of a collection, of those that stand once; the others are repeats in full."""
+
+    def run(table: pa.Table) -> pa.Table:
+        distinct = table.group_by(["gram", "region"], use_threads=False).aggregate([("often", "max"), ("spans", "min"), ("data", "first")])
+        data, offsets = _bytes(distinct.column("data_first"))
+        equal = repeats(data, offsets, span)
+        out = []
+        for gram, region, often, n, at in zip(*(distinct.column(c).to_pylist() for c in ("gram", "region", "often_max", "spans_min")), offsets[:-1].tolist(), strict=True):
+            if not often and (found := _ranges_of(equal[at : at + n])):
+                out.append((gram, region, found))
+        return _verdicts(out)
+
+    return run
+
+
+def _bytes(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    column = column.combine_chunks().cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def _ranges_of(flags: np.ndarray) -> list[dict[str, int]]:
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], flags.astype(np.int8), [0]))))
+    return [{"start": int(a), "stop": int(b)} for a, b in zip(edges[::2], edges[1::2], strict=True)]
+
+
+def _verdicts(rows: list[tuple]) -> pa.Table:
+    found = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+    columns = list(zip(*rows, strict=True)) or [[], [], []]
+    return pa.table({c: pa.array(x, k) for c, x, k in zip(("gram", "region", "found"), columns, (pa.int64(), pa.int64(), found), strict=True)})
+
+
+def _classes(width: int, span: int) -> Callable:
+    """Regions cut into classes, each a region of its own whose anchor is its core; ``home`` tells where its spans belong."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                data = np.frombuffer(row["data"], np.uint8)
+                prefix = _prefix(data)
+                key = lambda a, b, salt, prefix=prefix: int(mix(_hash(prefix, np.array([a]), np.array([b])) + np.uint64(salt))[0].view(np.int64))
+                for first, stop, core, core_stop in classes_of(np.arange(row["spans"]), row["anchor"], width, span):
+                    end = stop + span - 1
+                    out.append((row["gram"], row["region"], first, key(core, core_stop, 2 * (row["anchor"] - core) + 1), key(first, end, 2 * (row["anchor"] - first)), row["often"], core - first, stop - first, row["data"][first:end]))
+            names = ["home_gram", "home_region", "home", "gram", "region", "often", "anchor", "spans", "data"]
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+            yield from pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 9, kinds, strict=True)], names).to_batches()
+
+    return run
+
+
+def _solved(gathered: DataFrame, span: int, cell_bytes: int, many: int, widths: tuple[int, ...]) -> DataFrame:
+    """Repeats inside gathered regions (VERDICT); anchors with too many regions are taken in classes first."""
+    spark = gathered.sparkSession
+    crowded = gathered.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > many).select("gram")
+    later = None
+    if widths and crowded.limit(1).count():
+        crowded = stored(crowded)
+        cut = stored(gathered.join(crowded, "gram", "left_semi").mapInArrow(_classes(widths[0], span), "home_gram bigint, home_region bigint, home bigint, " + GATHERED))
+        own = ["gram", "region"]
+        counted = cut.groupBy(*own).agg((F.max("often") | (F.count(F.lit(1)) > 1)).alias("often"), F.first("anchor").alias("anchor"), F.first("spans").alias("spans"), F.first("data").alias("data"))
+        counted = stored(counted)
+        found = _solved(counted, span, cell_bytes, many, widths[1:]).unionByName(counted.filter("often").select(*own, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("spans").alias("stop"))).alias("found")))
+        at_home = cut.select(*own, "home_gram", "home_region", "home").join(found, own).select("home_gram", "home_region", F.explode(F.transform("found", lambda x: F.struct((x["start"] + F.col("home")).alias("start"), (x["stop"] + F.col("home")).alias("stop")))).alias("x"))
+        later = at_home.groupBy(F.col("home_gram").alias("gram"), F.col("home_region").alias("region")).agg(F.collect_set("x").alias("found"))
+        gathered = gathered.join(crowded, "gram", "left_anti")
+    total = gathered.agg(F.coalesce(F.sum(F.length("data")), F.lit(0))).first()[0]
+    cells = max(1, -(-total // cell_bytes))
+    solved = gathered.withColumn("cell", F.pmod(F.xxhash64("gram"), F.lit(cells))).repartition(_partitions(spark, cells), "cell").groupBy("cell").applyInArrow(_cell(span), VERDICT)
+    return solved if later is None else solved.unionByName(later)
+
+
+def _partitions(spark, cells: int) -> int:
+    return max(1, min(cells, int(spark.conf.get("spark.sql.shuffle.partitions")) * 8))
+
+
+def _cut(span: int, gram: int, spans: str, kept: str) -> Callable:
+    """The texts without the bytes that any repeat covers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = pa.Table.from_batches([batch])
+            _, sizes = column_bytes(whole.column("text"))
+            for a, b in slices(sizes, STEP):
+                part = whole.slice(a, b - a)
+                data, offsets = column_bytes(part.column("text"))
+                known = part.column("found").to_pylist()
+                edge = np.zeros(len(data) + 1, np.int64)
+                if any(known):
+                    r = regions_of(data, offsets, span, gram)
+                    cuts = np.searchsorted(r.row, np.arange(len(part) + 1))
+                    for i, own in enumerate(known):
+                        verdict = {(x["gram"], x["region"]): x["found"] for x in own or ()}
+                        low, high = cuts[i], cuts[i + 1] if verdict else cuts[i]
+                        for j, pair in enumerate(zip(r.gram[low:high].view(np.int64).tolist(), r.region[low:high].view(np.int64).tolist(), strict=True), low):
+                            if pair in verdict:
+                                for x in verdict[pair] or ({"start": 0, "stop": int(r.spans[j])},):
+                                    edge[r.first[j] + x["start"]] += 1
+                                    edge[r.first[j] + x["stop"] - 1 + span] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
+                found, rest = [], []
+                for x, y in zip(offsets[:-1], offsets[1:], strict=True):
+                    found.append(_ranges_of(gone[x:y]))
+                    rest.append(data[x:y][~gone[x:y]].tobytes())
+                out = part.drop_columns(["key", "found", "text"])
+                out = out.append_column(spans, pa.array(found, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))).append_column(kept, pa.array(rest, pa.binary()))
+                yield from out.to_batches()
+
+    return run
+
+
+def without_repeats(docs: DataFrame, keep: list[str], text: str = "text", span: int = SPAN, gram: int = GRAM, spans: str = "spans", kept: str = "kept", cell_bytes: int = CELL_BYTES, many: int = MANY, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
+    """``keep`` columns of every row, the removed ranges of bytes and what is left of the text (binary).
+
+    Texts are UTF-8 bytes. Every byte is removed that a string of ``span``
+    bytes covers which also starts elsewhere in the corpus, the same text
+    included; all strings are judged on the input. What is left may break
+    inside a character, so it is binary. Strings never cross texts.
+
+    Null and empty texts and texts under ``span`` bytes lose nothing; repeated
+    rows of ``span`` bytes or more lose all; an empty table gives an empty
+    result. ``gram``, ``cell_bytes``, ``many`` and ``widths`` shape the work and
+    change no result.
+    """
+    if not 0 < gram <= span < 256 or widths[-1:] != (1,):
+        raise ValueError("a gram is as long as a span at most, a span has under 256 bytes, and the last classes are single spans")
+    names = [f"k{i}" for i in range(len(keep))]
+    source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
+    source = source.withColumn("key", F.xxhash64("text"))
+    own = ["gram", "region"]
+    marks = stored(source.select("key", "text").mapInArrow(_marks(span, gram), "key bigint, gram bigint, region bigint, times bigint"))
+    shared = marks.groupBy("gram").agg(F.sum("times").alias("n"), (F.min("region") != F.max("region")).alias("mixed")).filter("n > 1").select("gram", "mixed")
+    known = stored(marks.join(shared, "gram"))
+    regions = stored(known.filter("mixed").groupBy(*own).agg((F.sum("times") > 1).alias("often"), F.min("key").alias("key")))
+    asked = regions.groupBy("key").agg(F.collect_list(F.struct("gram", "region", "often")).alias("asked"))
+    rows = source.select("key", "text").join(asked.hint("merge"), "key").sortWithinPartitions("key")
+    gathered = stored(rows.mapInArrow(_asked(span, gram), GATHERED))
+    parts = _solved(gathered, span, cell_bytes, many, widths).unionByName(regions.filter("often").select(*own, F.lit(None).cast(FOUND).alias("found")))
+    found = known.filter("mixed").select("key", *own).join(stored(parts), own).unionByName(known.filter("NOT mixed").select("key", *own, F.lit(None).cast(FOUND).alias("found")))
+    by_text = found.groupBy("key").agg(F.collect_set(F.struct(*own, "found")).alias("found"))
+    schema = schema_with(source.select(*names), **{spans: FOUND, kept: T.BinaryType()})
+    cut = source.join(by_text, "key", "left").select(*names, "key", "text", "found").mapInArrow(_cut(span, gram, spans, kept), schema)
+    return cut.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], spans, kept)
