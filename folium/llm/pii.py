@@ -103,11 +103,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def core(word: str) -> tuple[int, int]:
-    """Start and end of a word without the punctuation around it."""
+    """Start and end of a word without the punctuation around it; brackets that have a partner inside stay."""
     a, b = 0, len(word)
-    while a < b and word[a] in OPEN and not (word[a] == "(" and ")" in word[a + 1 : b - 1]):
+    closing = word.rfind(")", 0, b - 1) if b else -1
+    while a < b and word[a] in OPEN and not (word[a] == "(" and closing > a):
         a += 1
-    while b > a and word[b - 1] in CLOSE and not (word[b - 1] == ")" and "(" in word[a:b]):
+    opening = word.find("(", a)
+    while b > a and word[b - 1] in CLOSE and not (word[b - 1] == ")" and 0 <= opening < b):
         b -= 1
     return a, b
 
@@ -395,6 +397,13 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
+def all_spans(tagger: Tagger, texts: list[str | None]) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]]:
+    """Of each text the pattern matches, and those plus what the field adds; null counts as empty."""
+    texts = [t or "" for t in texts]
+    first = [base_spans(t) for t in texts]
+    return [(b, merge(b, m)) for b, m in zip(first, tagger.spans(texts), strict=True)]
+
+
 def find(docs: DataFrame, crf: Crf, text: str = "text", base: str = "pii_base", spans: str = "pii_spans") -> DataFrame:
     """``docs`` with two arrays of (kind, start, end): pattern matches, and those plus what the field adds.
 
@@ -413,32 +422,39 @@ def find(docs: DataFrame, crf: Crf, text: str = "text", base: str = "pii_base",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = Tagger(shared.value)
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(at)]
-            first = [base_spans(t) for t in texts]
-            all_ = [merge(b, m) for b, m in zip(first, tagger.spans(texts), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, column(first), column(all_)], names=[*batch.schema.names, base, spans])
+            found = all_spans(tagger, batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, column([x for x, _ in found]), column([x for _, x in found])], names=[*batch.schema.names, base, spans])
 
     return source.mapInArrow(run, schema)
 
 
+def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with its kind in brackets for each of the sorted spans; one that begins inside another only widens it."""
+    out, at = [], 0
+    for start, kind, end in spans:
+        if start >= at:
+            out += [text[at:start], f"[{KINDS[kind].upper()}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def mask(docs: DataFrame, crf: Crf, text: str = "text") -> DataFrame:
     """``docs`` with each span of ``find`` replaced by its kind in brackets; texts without spans (and nulls) stay as they are.
 
     Where spans overlap, the earlier start wins and the rest of the later one
-    is covered by it.
+    is covered by it. Time is linear in the length of a text.
     """
-    base, spans = free_name(docs, "pii_base"), free_name(docs, "pii_spans")
-    found = find(docs, crf, text, base, spans)
-    body = F.col(f"`{text}`")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
-
-    def step(acc, s):
-        gap = F.substring(body, acc["at"].cast("int") + 1, F.greatest(s["start"] - acc["at"], F.lit(0)).cast("int"))
-        tag = F.when(s["start"] < acc["at"], F.lit("")).otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
-        return F.struct(F.concat(acc["out"], gap, tag).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-
-    masked = F.aggregate(F.col(spans), start, step, lambda acc: F.concat(acc["out"], F.substring(body, acc["at"].cast("int") + 1, F.length(body))))
-    return found.withColumn(text, F.when(F.size(spans) > 0, masked).otherwise(body)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = docs.columns.index(text)
+    shared = docs.sparkSession.sparkContext.broadcast(crf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tagger = Tagger(shared.value)
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            new = [t if t is None else masked(t, spans) for t, (_, spans) in zip(texts, all_spans(tagger, texts), strict=True)]
+            yield batch.set_column(at, batch.schema.names[at], pa.array(new, batch.column(at).type))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def labelled_table(spark: SparkSession, rows: int = 450, seed: int = 17) -> DataFrame:

@@ -25,13 +25,38 @@ def test_patterns_equal_the_contract_on_random_texts():
         assert pii.base_spans(text) == base_of(text), text
 
 
-@pytest.mark.parametrize("text", ["0" * 5_000 + ".1.1.1", "7" * 1_000_000, "a" * 1_000_000 + "@", "1." * 300_000, "a@" * 300_000, "+1(" * 300_000, "1-" * 300_000, "x" * 1_000_000 + " 12 " + "y" * 1_000_000])
+@pytest.mark.parametrize("text", ["0" * 5_000 + ".1.1.1", "7" * 1_000_000, "a" * 1_000_000 + "@", "1." * 300_000, "a@" * 300_000, "+1(" * 300_000, "1-" * 300_000, "x" * 1_000_000 + " 12 " + "y" * 1_000_000, "(" * 1_000_000 + "1", "1" + ")" * 1_000_000, "()" * 500_000 + "1", "(" * 500_000 + "12" + ")" * 500_000])
 def test_long_texts_take_linear_time(crf, text):
     began = time.perf_counter()
     pii.merge(pii.base_spans(text), pii.Tagger(crf).spans([text])[0])
     assert time.perf_counter() - began < 30
 
 
+def slow_core(word):
+    a, b = 0, len(word)
+    while a < b and word[a] in pii.OPEN and not (word[a] == "(" and ")" in word[a + 1 : b - 1]):
+        a += 1
+    while b > a and word[b - 1] in pii.CLOSE and not (word[b - 1] == ")" and "(" in word[a:b]):
+        b -= 1
+    return a, b
+
+
+def test_core_finds_partners_of_brackets():
+    for n in range(8):
+        for letters in product("()1.", repeat=n):
+            word = "".join(letters)
+            assert pii.core(word) == slow_core(word), word
+
+
+def test_masked_text_is_built_in_one_pass(crf):
+    text = "write to a.b@example.com or " * 100_000
+    began = time.perf_counter()
+    spans = pii.all_spans(pii.Tagger(crf), [text])[0][1]
+    out = pii.masked(text, spans)
+    assert time.perf_counter() - began < 60 and len(spans) == 100_000 and out == "write to [EMAIL] or " * 100_000
+    assert pii.masked("abcdefgh", [(1, 0, 5), (2, 1, 3), (4, 1, 6), (7, 3, 8)]) == "a[EMAIL]g[PHONE]"
+
+
 def test_numbers_beyond_the_limit_of_int():
     assert pii.base_spans("0" * 5_000 + ".1.1.1") == [(0, 1, 5_006)]
     assert not pii.plausible("ip", "9" * 5_000 + ".1.1.1")
