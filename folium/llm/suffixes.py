@@ -16,8 +16,11 @@ anchor make up a region, of at most ``2 * span - gram`` bytes:
 1. Each text gives the hash of every region and of its anchor. Anchors that
    stand once in the corpus can't hold repeats. Regions that are equal in full
    are one region with a count, and all their spans are repeats.
-2. Different regions that share an anchor are gathered, one copy of each, dealt
-   by anchor to collections of about ``CELL_BYTES``, and sorted as above.
+2. The spans of a region fall into two halves by their distance to the anchor;
+   those of a half have a core of bytes in common. Halves whose core no other
+   region has can't hold repeats. The rest of the regions is gathered, one copy
+   of each, dealt by anchor to collections of about ``CELL_BYTES``, and sorted
+   as above.
 3. What was found goes back to the texts by their hash, and they are cut.
 
 An anchor with more than ``MANY`` different regions would make a collection too
@@ -45,7 +48,7 @@ from folium.llm.common import INVERSE, MULTIPLIER, column_bytes, mix, schema_wit
 
 SPAN, GRAM = 200, 64
 #: Bytes of a collection, and the different regions of one anchor that may stand in it.
-CELL_BYTES, MANY = 2 << 20, 16_384
+CELL_BYTES, MANY = 512 << 10, 16_384
 #: Spans of a class that share a core, for anchors with too many regions; 1 at last.
 WIDTHS = (12, 1)
 #: Bytes that are hashed at once; places in them fit into PLACE_BITS.
@@ -59,7 +62,7 @@ FOUND = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 
 @dataclass
 class Regions:
-    """Regions of some texts: the text's row, first span, number of spans, place of the anchor, hashes of the anchor and of the region."""
+    """Regions of some texts: the text's row, first span, number of spans, place of the anchor, hashes of the anchor, of the region and of the cores of its far and near spans (0: it has none)."""
 
     row: np.ndarray
     first: np.ndarray
@@ -67,6 +70,13 @@ class Regions:
     anchor: np.ndarray
     gram: np.ndarray
     region: np.ndarray
+    far: np.ndarray
+    near: np.ndarray
+
+
+def halves(span: int, gram: int) -> int:
+    """Spans that begin fewer bytes than this before their anchor are near ones."""
+    return (span - gram + 1) // 2
 
 
 def _least(keys: np.ndarray, width: int) -> np.ndarray:
@@ -112,12 +122,16 @@ def regions_of(data: np.ndarray, offsets: np.ndarray, span: int, gram: int) -> R
         first, spans = starts[cut], np.diff(np.append(cut, len(starts)))
         stop, anchor = first + spans + span - 1, anchor[cut]
         region = mix(_hash(prefix, first, stop) + (anchor - first).astype(np.uint64) * MULTIPLIER + spans.astype(np.uint64))
-        parts.append((first + at, spans, anchor + at, grams[anchor], region))
+        half = halves(span, gram)
+        has_far, has_near = anchor - first >= half, anchor - first - spans + 1 < half
+        core = lambda has, start, stop, salt, prefix=prefix: np.where(has, mix(_hash(prefix, np.where(has, start, 0), np.where(has, stop, 0)) + np.uint64(salt)) | np.uint64(1), np.uint64(0))
+        far, near = core(has_far, anchor - half, anchor + gram, 1), core(has_near, anchor, anchor + span - half + 1, 2)
+        parts.append((first + at, spans, anchor + at, grams[anchor], region, far, near))
     if not parts:
-        none = np.zeros(0, np.int64)
-        return Regions(none, none, none, none, none.astype(np.uint64), none.astype(np.uint64))
-    first, spans, anchor, grams, region = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return Regions(np.searchsorted(offsets, first, "right") - 1, first, spans, anchor, grams, region)
+        none, hashes = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return Regions(none, none, none, none, hashes, hashes, hashes, hashes)
+    first, spans, anchor, *hashes = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return Regions(np.searchsorted(offsets, first, "right") - 1, first, spans, anchor, *hashes)
 
 
 def repeats(data: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarray:
@@ -202,8 +216,8 @@ def classes_of(starts: np.ndarray, anchor: int, width: int, span: int) -> Iterat
         yield int(starts[a]), int(starts[b - 1]) + 1, anchor - d, anchor - d - width + 1 + span
 
 
-#: A region that is gathered: hashes of its anchor and of itself, whether it stands more than once, the anchor's place in it, the number of its spans, its bytes.
-GATHERED = "gram bigint, region bigint, often boolean, anchor bigint, spans bigint, data binary"
+#: A region that is gathered: hashes of its anchor and of itself, whether it stands more than once, the spans left out before those gathered, the anchor's place, the number of spans, the bytes.
+GATHERED = "gram bigint, region bigint, often boolean, skip bigint, anchor bigint, spans bigint, data binary"
 #: Spans of a region that are repeats, as ranges of their numbers.
 VERDICT = "gram bigint, region bigint, found array<struct<start:bigint,stop:bigint>>"
 
@@ -224,17 +238,17 @@ def _marks(span: int, gram: int) -> Callable:
         for batch in batches:
             for part, _, _, found in _text_regions(pa.Table.from_batches([batch]), "text", span, gram):
                 key = part.column("key").to_numpy()[found.row]
-                rows = np.stack([key, found.gram.view(np.int64), found.region.view(np.int64)])
-                order = np.lexsort(rows)
-                rows = rows[:, order]
-                cut = np.flatnonzero(np.concatenate(([True], (rows[:, 1:] != rows[:, :-1]).any(axis=0)))) if rows.shape[1] else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows[:, cut], np.diff(np.append(cut, rows.shape[1])))], ["key", "gram", "region", "times"])
+                rows = np.stack([key, *(h.view(np.int64) for h in (found.gram, found.region, found.far, found.near))])
+                rows = rows[:, np.lexsort(rows[:3])]
+                cut = np.flatnonzero(np.concatenate(([True], (rows[:3, 1:] != rows[:3, :-1]).any(axis=0)))) if rows.shape[1] else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*rows[:, cut], np.diff(np.append(cut, rows.shape[1])))], ["key", "gram", "region", "far", "near", "times"])
 
     return run
 
 
 def _asked(span: int, gram: int) -> Callable:
-    """The bytes of the regions that a text was asked for; of neighbouring rows with one text the first answers."""
+    """The bytes of the regions that a text was asked for, of their far spans, near spans or all; of neighbouring rows with one text the first answers."""
+    half = halves(span, gram)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
@@ -250,13 +264,16 @@ def _asked(span: int, gram: int) -> Callable:
                 cuts = np.searchsorted(found.row, np.arange(len(part) + 1))
                 out = []
                 for i, wanted in enumerate(asked):
-                    wanted = {(x["gram"], x["region"]): x["often"] for x in wanted}
+                    wanted = {(x["gram"], x["region"]): x for x in wanted}
                     a, b = cuts[i], cuts[i + 1]
                     for j, pair in enumerate(zip(found.gram[a:b].view(np.int64).tolist(), found.region[a:b].view(np.int64).tolist(), strict=True), a):
-                        if (often := wanted.pop(pair, None)) is not None:
-                            first, n = int(found.first[j]), int(found.spans[j])
-                            out.append((*pair, often, int(found.anchor[j]) - first, n, data[first : first + n + span - 1].tobytes()))
-                yield from pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["gram", "region", "often", "anchor", "spans", "data"]).to_batches()
+                        if (x := wanted.pop(pair, None)) is not None:
+                            first, n, anchor = int(found.first[j]), int(found.spans[j]), int(found.anchor[j])
+                            border = min(max(anchor - half + 1, first), first + n)  # far spans begin before it
+                            start, stop = (first if x["far"] else border), (first + n if x["near"] else border)
+                            out.append((*pair, x["often"], start - first, anchor - start, stop - start, data[start : stop + span - 1].tobytes()))
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield from pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 7, kinds, strict=True)], ["gram", "region", "often", "skip", "anchor", "spans", "data"]).to_batches()
 
     return run
 
@@ -265,13 +282,13 @@ def _cell(span: int) -> Callable[[pa.Table], pa.Table]:
     """Repeats among the regions of a collection, of those that stand once; the others are repeats in full."""
 
     def run(table: pa.Table) -> pa.Table:
-        distinct = table.group_by(["gram", "region"], use_threads=False).aggregate([("often", "max"), ("spans", "min"), ("data", "first")])
+        distinct = table.group_by(["gram", "region"], use_threads=False).aggregate([("often", "max"), ("skip", "first"), ("spans", "first"), ("data", "first")])
         data, offsets = _bytes(distinct.column("data_first"))
         equal = repeats(data, offsets, span)
         out = []
-        for gram, region, often, n, at in zip(*(distinct.column(c).to_pylist() for c in ("gram", "region", "often_max", "spans_min")), offsets[:-1].tolist(), strict=True):
+        for gram, region, often, skip, n, at in zip(*(distinct.column(c).to_pylist() for c in ("gram", "region", "often_max", "skip_first", "spans_first")), offsets[:-1].tolist(), strict=True):
             if not often and (found := _ranges_of(equal[at : at + n])):
-                out.append((gram, region, found))
+                out.append((gram, region, [{"start": x["start"] + skip, "stop": x["stop"] + skip} for x in found]))
         return _verdicts(out)
 
     return run
@@ -306,10 +323,10 @@ def _classes(width: int, span: int) -> Callable:
                 key = lambda a, b, salt, prefix=prefix: int(mix(_hash(prefix, np.array([a]), np.array([b])) + np.uint64(salt))[0].view(np.int64))
                 for first, stop, core, core_stop in classes_of(np.arange(row["spans"]), row["anchor"], width, span):
                     end = stop + span - 1
-                    out.append((row["gram"], row["region"], first, key(core, core_stop, 2 * (row["anchor"] - core) + 1), key(first, end, 2 * (row["anchor"] - first)), row["often"], core - first, stop - first, row["data"][first:end]))
-            names = ["home_gram", "home_region", "home", "gram", "region", "often", "anchor", "spans", "data"]
-            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
-            yield from pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 9, kinds, strict=True)], names).to_batches()
+                    out.append((row["gram"], row["region"], row["skip"] + first, key(core, core_stop, 2 * (row["anchor"] - core) + 1), key(first, end, 2 * (row["anchor"] - first)), row["often"], 0, core - first, stop - first, row["data"][first:end]))
+            names = ["home_gram", "home_region", "home", "gram", "region", "often", "skip", "anchor", "spans", "data"]
+            kinds = [pa.int64()] * 5 + [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            yield from pa.Table.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [[]] * 10, kinds, strict=True)], names).to_batches()
 
     return run
 
@@ -323,7 +340,7 @@ def _solved(gathered: DataFrame, span: int, cell_bytes: int, many: int, widths:
         crowded = stored(crowded)
         cut = stored(gathered.join(crowded, "gram", "left_semi").mapInArrow(_classes(widths[0], span), "home_gram bigint, home_region bigint, home bigint, " + GATHERED))
         own = ["gram", "region"]
-        counted = cut.groupBy(*own).agg((F.max("often") | (F.count(F.lit(1)) > 1)).alias("often"), F.first("anchor").alias("anchor"), F.first("spans").alias("spans"), F.first("data").alias("data"))
+        counted = cut.groupBy(*own).agg((F.max("often") | (F.count(F.lit(1)) > 1)).alias("often"), F.first("skip").alias("skip"), F.first("anchor").alias("anchor"), F.first("spans").alias("spans"), F.first("data").alias("data"))
         counted = stored(counted)
         found = _solved(counted, span, cell_bytes, many, widths[1:]).unionByName(counted.filter("often").select(*own, F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("spans").alias("stop"))).alias("found")))
         at_home = cut.select(*own, "home_gram", "home_region", "home").join(found, own).select("home_gram", "home_region", F.explode(F.transform("found", lambda x: F.struct((x["start"] + F.col("home")).alias("start"), (x["stop"] + F.col("home")).alias("stop")))).alias("x"))
@@ -393,11 +410,15 @@ def without_repeats(docs: DataFrame, keep: list[str], text: str = "text", span:
     source = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("key", F.xxhash64("text"))
     own = ["gram", "region"]
-    marks = stored(source.select("key", "text").mapInArrow(_marks(span, gram), "key bigint, gram bigint, region bigint, times bigint"))
+    marks = stored(source.select("key", "text").mapInArrow(_marks(span, gram), "key bigint, gram bigint, region bigint, far bigint, near bigint, times bigint"))
     shared = marks.groupBy("gram").agg(F.sum("times").alias("n"), (F.min("region") != F.max("region")).alias("mixed")).filter("n > 1").select("gram", "mixed")
     known = stored(marks.join(shared, "gram"))
-    regions = stored(known.filter("mixed").groupBy(*own).agg((F.sum("times") > 1).alias("often"), F.min("key").alias("key")))
-    asked = regions.groupBy("key").agg(F.collect_list(F.struct("gram", "region", "often")).alias("asked"))
+    regions = stored(known.filter("mixed").groupBy(*own).agg((F.sum("times") > 1).alias("often"), F.min("key").alias("key"), F.first("far").alias("far"), F.first("near").alias("near")))
+    cores = regions.select(F.explode(F.array("far", "near")).alias("core")).filter("core <> 0").groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core", F.lit(True).alias("yes"))
+    due = regions
+    for side in ("far", "near"):
+        due = due.join(cores.select(F.col("core").alias(side), F.col("yes").alias(f"{side}_yes")), side, "left").withColumn(f"{side}_yes", F.coalesce(f"{side}_yes", F.lit(False)))
+    asked = due.filter("far_yes OR near_yes").groupBy("key").agg(F.collect_list(F.struct("gram", "region", "often", F.col("far_yes").alias("far"), F.col("near_yes").alias("near"))).alias("asked"))
     rows = source.select("key", "text").join(asked.hint("merge"), "key").sortWithinPartitions("key")
     gathered = stored(rows.mapInArrow(_asked(span, gram), GATHERED))
     parts = _solved(gathered, span, cell_bytes, many, widths).unionByName(regions.filter("often").select(*own, F.lit(None).cast(FOUND).alias("found")))
