@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,34 +87,48 @@ def name_candidates(text: Column | str) -> Column:
     return F.pandas_udf(lambda s: s.map(_candidates), "array<string>", F.PandasUDFType.SCALAR)(text)
 
 
-#: Opening and closing mark of each paired style, in the order in which spans of one start are kept.
-_PAIRS = (("double_curly", "“", "”"), ("single_curly", "‘", "’"), ("guillemets", "«", "»"))
+# The styles of quotes with their marks, in the order in which spans of one place are kept, and the mark of a line of speech.
+QUOTE_MARKS = (("straight_double", '"', '"'), ("curly_double", "“", "”"), ("curly_single", "‘", "’"), ("guillemets", "«", "»"))
+SPEECH_DASH = "—"
+_PAIRED = tuple((style, re.compile(f"{a}([^{b}]*){b}")) for style, a, b in QUOTE_MARKS)
+#: Characters of Unicode's White_Space property.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def _quotes(text: str | None) -> list[dict]:
+    """Spans between marks, and lines that a dash begins and that hold no span between marks; linear in the text."""
     text = text or ""
-    spans = []
-    straight = [i for i, c in enumerate(text) if c == '"']
-    spans += [(a, b + 1, "straight") for a, b in zip(straight[::2], straight[1::2])]
-    for style, open_, close in _PAIRS:
-        start = None
-        for i, c in enumerate(text):
-            if c == open_ and start is None:
-                start = i
-            elif c == close and start is not None and not (c == "’" and i + 1 < len(text) and text[i + 1].isalnum()):
-                spans.append((start, i + 1, style))
-                start = None
-    if not spans:
-        at = 0
+    spans = {}
+    for style, pair in _PAIRED:
+        for m in pair.finditer(text):
+            spans.setdefault(m.span(1), style)
+    if SPEECH_DASH in text:
+        paired = sorted(spans)
+        least = [end for _, end in paired]  # the least end among the spans from here on
+        for i in range(len(least) - 2, -1, -1):
+            least[i] = min(least[i], least[i + 1])
+        start, k = 0, 0
         for line in text.split("\n"):
-            if line.lstrip().startswith("—"):
-                spans.append((at + len(line) - len(line.lstrip()), at + len(line.rstrip()), "em_dash"))
-            at += len(line) + 1
-    return [{"start": a, "end": b, "style": s, "quote": text[a:b]} for a, b, s in sorted(set(spans))]
+            end = start + len(line)
+            while k < len(paired) and paired[k][0] < start:
+                k += 1
+            inner = line.lstrip(WHITE_SPACE)
+            if inner.startswith(SPEECH_DASH) and not (k < len(paired) and least[k] <= end):
+                said = inner[1:].lstrip(WHITE_SPACE)
+                if said:
+                    spans.setdefault((end - len(said), end), "leading_dash")
+            start = end + 1
+    return [{"start": a, "end": b, "style": spans[a, b], "quote": text[a:b]} for a, b in sorted(spans)]
 
 
 def quotes(text: Column | str) -> Column:
-    """Quoted spans (start, end, style, quote) in code points, end exclusive, by start."""
+    """Quoted spans (start, end, style, quote) without their marks, in code points, end exclusive, by start.
+
+    An opening mark goes with the next closing one of its style; a line that a
+    dash begins is speech from behind the dash on, unless a span between marks
+    stands in it. Of several spans at one place the first style counts. Null
+    and empty texts have none.
+    """
     return F.pandas_udf(lambda s: s.map(_quotes), "array<struct<start:int,end:int,style:string,quote:string>>", F.PandasUDFType.SCALAR)(text)
 
 
@@ -156,52 +169,3 @@ def passages(text: Column, size: int = 24_000) -> Column:
 
 def persian_letters(text: Column) -> Column:
     return F.rlike(text, F.lit(f"[{ARABIC_BLOCKS}]"))
-
-
-# Verbs of speech, and pronouns that may stand in a cue.
-SPEECH_VERBS = (
-    "say", "says", "said", "ask", "asks", "asked", "reply", "replies", "replied", "answer", "answers", "answered", "whisper", "whispers", "whispered", "murmur", "murmurs", "murmured",
-    "mutter", "mutters", "muttered", "shout", "shouts", "shouted", "yell", "yells", "yelled", "cry", "cries", "cried", "exclaim", "exclaims", "exclaimed", "add", "adds", "added",
-    "observe", "observes", "observed", "call", "calls", "called",
-)
-PRONOUNS = ("he", "she", "they", "i", "we", "you")
-CUE_CHARS = 96
-
-
-def _attribute(text: str | None, names: list, spans: list) -> list[dict]:
-    """Speaker of each quote from a name and a verb of speech beside it; several names are ambiguous, a pronoun is unresolved."""
-    text, owners = text or "", {}
-    for n in names if names is not None else ():
-        owners.setdefault(n["alias"].lower(), set()).add(n["name"])
-    verbs = "|".join(SPEECH_VERBS)
-    known = "|".join(re.escape(a) for a in sorted(owners, key=len, reverse=True))
-    pronouns = "|".join(PRONOUNS)
-    out, edges = [], [0, *[x for s in spans for x in (s["start"], s["end"])], len(text)]
-    for k, span in enumerate(spans):
-        before = text[max(edges[2 * k], span["start"] - CUE_CHARS) : span["start"]]
-        after = text[span["end"] : min(edges[2 * k + 3], span["end"] + CUE_CHARS)]
-        before = re.split(r"[.!?؟]", before)[-1]
-        after = re.split(r"[.!?؟]", after)[0]
-        said = []
-        for who, sort in ((known, "name"), (pronouns, "pronoun")):
-            if who:
-                cues = (rf"\b({who})\s+(?:\w+\s+)?(?:{verbs})\b", rf"^[\s,]*(?:{verbs})\s+({who})\b")
-                hits = [m.group(1).lower() for m in re.finditer(cues[0], before, re.I)] + [m.group(1).lower() for c in cues for m in [re.match(r"[\s,]*" + c if c is cues[0] else c, after, re.I)] if m]
-                said += [(sort, h) for h in hits]
-        found = {o for sort, h in said if sort == "name" for o in owners[h]}
-        aliased = any(sort == "name" and h not in {o.lower() for o in owners[h]} for sort, h in said)
-        if len(found) == 1:
-            method = "explicit_alias" if aliased else "explicit_name"
-        else:
-            method = "ambiguous" if found else "pronoun_unresolved" if said else "no_cue"
-        out.append({"start": span["start"], "end": span["end"], "speaker": next(iter(found)) if len(found) == 1 else None, "method": method})
-    return out
-
-
-def attribute_speakers(text: Column | str, names: Column | str) -> Column:
-    """(start, end, speaker, method) of each quote of a paragraph; ``names`` is array<struct<name,alias>>, a name being an alias of itself."""
-
-    def run(texts: pd.Series, known: pd.Series) -> pd.Series:
-        return pd.Series([_attribute(t, n, _quotes(t)) for t, n in zip(texts, known, strict=True)])
-
-    return F.pandas_udf(run, "array<struct<start:int,end:int,speaker:string,method:string>>", F.PandasUDFType.SCALAR)(text, names)
