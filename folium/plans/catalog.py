@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import ids, scan, text
 from folium.operators import align, evaluation, ledger, matching, memory, mining, quality, review
-from folium.plans import reviews, seeds, sql
+from folium.plans import reviews, runs, seeds, sql
 from folium.sources import text as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -445,8 +445,8 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*QUERIES, *seeds.QUERIES, *reviews.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *seeds.QUERIES, *reviews.QUERIES, *runs.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.ORACLES | seeds.ORACLES | reviews.ORACLES
+    return sql.ORACLES | seeds.ORACLES | reviews.ORACLES | runs.ORACLES
