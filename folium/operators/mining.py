@@ -9,6 +9,8 @@ from folium.functions.ids import confidence
 from folium.functions.text import NAME_STOPWORDS, count_sentences, dialogue_conventions, ngrams, normalize_case_insensitive, phrase_tokens, words
 
 EVIDENCE = 8
+#: Chapters whose indexes share this quotient are ranked together; the middle of a book is sought in one such run.
+RUN_CHAPTERS = 4_096
 
 
 def recurring_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = (2, 3), least: int = 3, evidence: int = EVIDENCE) -> DataFrame:
@@ -70,16 +72,33 @@ def observed_profile(facts: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+def middle_rows(rows: DataFrame, book: str, order: str) -> DataFrame:
+    """(book, order) of the row number ``count div 2`` of each book, from 0, by an integer order.
+
+    Counts of runs of neighbouring orders tell which run holds the row; only that run is ranked.
+    """
+    runs = rows.groupBy(F.col(book).alias("b"), F.floor(F.col(order) / RUN_CHAPTERS).alias("run")).agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy("b").orderBy("run")
+    placed = runs.withColumn("before", F.sum("n").over(along) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("b")))
+    at = F.floor(F.col("all") / 2)
+    chosen = placed.filter((F.col("before") <= at) & (at < F.col("before") + F.col("n"))).select("b", "run", (at - F.col("before")).alias("at"))
+    inside = rows.select(F.col(book).alias("b"), F.col(order).alias("o"), F.floor(F.col(order) / RUN_CHAPTERS).alias("run")).join(chosen, ["b", "run"])
+    ranked = inside.withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("o")) - 1)
+    return ranked.filter("r = at").select(F.col("b").alias(book), F.col("o").alias(order))
+
+
 def position_samples(chapters: DataFrame, book: str = "book", order: str = "position", length: str = "n_chars", dialogue: str = "dialogue_density") -> DataFrame:
-    """(book, position, reasons): the first, middle and last chapter, the longest by characters (ties: the last) and the one with most dialogue (ties: the first)."""
-    w = Window.partitionBy(book)
-    n = F.count(F.lit(1)).over(w)
-    at = F.row_number().over(w.orderBy(order)) - 1
-    longest = F.row_number().over(w.orderBy(F.desc(length), F.desc(order)))
-    talk = F.row_number().over(w.orderBy(F.desc(dialogue), order))
-    flags = chapters.select(F.col(book).alias("book"), F.col(order).alias("position"), at.alias("i"), n.alias("n"), longest.alias("l"), talk.alias("t"), F.col(dialogue).alias("d"))
-    reasons = F.array_compact(F.array(
-        F.when(F.col("i") == 0, "first"), F.when(F.col("i") == F.floor(F.col("n") / 2), "middle"), F.when(F.col("i") == F.col("n") - 1, "last"),
-        F.when(F.col("l") == 1, "longest"), F.when((F.col("t") == 1) & (F.col("d") > 0), "dialogue"),
-    ))
-    return flags.select("book", "position", F.array_join(reasons, ",").alias("reasons")).filter("reasons <> ''")
+    """(book, position, reasons): the first, middle and last chapter, the longest by characters (ties: the last) and the one with most dialogue (ties: the first).
+
+    Positions are integers. All but the middle are partial aggregates, and the
+    middle is sought in one run of neighbouring chapters, so a book of very
+    many chapters isn't sorted as one group.
+    """
+    rows = chapters.select(F.col(book).alias("book"), F.col(order).alias("position"), F.col(length).alias("l"), F.col(dialogue).alias("d"))
+    ends = rows.groupBy("book").agg(F.min("position").alias("first"), F.max("position").alias("last"), F.max(F.struct("l", "position")).alias("long"), F.max(F.when(F.col("d") > 0, F.struct("d", (-F.col("position")).alias("p")))).alias("talk"))
+    reason = lambda name, c: F.struct(F.lit(name).alias("reason"), c.cast("bigint").alias("position"))
+    chosen = ends.select("book", F.explode(F.array(reason("first", F.col("first")), reason("last", F.col("last")), reason("longest", F.col("long.position")), reason("dialogue", -F.col("talk.p")))).alias("x")).select("book", "x.*")
+    middle = middle_rows(rows, "book", "position").select("book", F.lit("middle").alias("reason"), F.col("position").cast("bigint").alias("position"))
+    found = chosen.filter("position IS NOT NULL").unionByName(middle).groupBy("book", "position").agg(F.collect_set("reason").alias("r"))
+    ordered = F.filter(F.array(*map(F.lit, ("first", "middle", "last", "longest", "dialogue"))), lambda x: F.array_contains("r", x))
+    return found.select("book", "position", F.array_join(ordered, ",").alias("reasons"))
