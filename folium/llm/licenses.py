@@ -1,13 +1,19 @@
 """Licence scans: passages compared with licence templates by the Dice coefficient over word bigrams.
 
-Words are runs of letters and digits of the lower-cased text. A passage is
-the whole text, a block between blank lines, a line, or a run of words between
-two bigrams of the templates with no more than ``GAP`` others in a row between
-them, which finds notices that are wrapped or stand inside other text. With
-bags of bigrams A and B, Dice = 2 |A and B| / (|A| + |B|), which can reach t
-only if t / (2 - t) <= |A| / |B| <= (2 - t) / t. The word count of a passage
-gives |A|, so templates of other sizes are pruned by an equi-join on the size.
-A text without a bigram of any template is left after one pass.
+Words are runs of letters and digits of the lower-cased text. With bags of
+bigrams A and B, Dice = 2 |A and B| / (|A| + |B|), which can reach t only if
+t / (2 - t) <= |A| / |B| <= (2 - t) / t. The word count of a passage gives |A|,
+so templates of other sizes are pruned by an equi-join on the size.
+
+A passage is the whole text, a block between blank lines, a line, or the window
+that suits a template best: of all runs of words that begin and end with bigrams
+of the template, that have an admissible size and hold enough of its different
+bigrams, the one with the most of them for its size. That finds notices that
+are wrapped or stand inside other text, whatever stands around them. A passage
+that reaches t shares at least |B| t / (2 - t) bigrams with the template, so it
+holds one of the template's anchors, the longest of its bigrams, as many as
+leave fewer than that. A text without an anchor is left after one pass, and
+windows are sought around anchors alone.
 """
 
 from __future__ import annotations
@@ -20,7 +26,6 @@ from folium.llm.decontam import with_bag
 from folium.llm.rules import once
 
 #: The clauses that licence bodies share.
-WARRANTY = 'IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'
 BSD_HEAD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 BSD_TAIL = 'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'
@@ -46,7 +51,7 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
     ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0."),
-    ("MIT", f'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. {WARRANTY}'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("BSD-2-Clause", f"{BSD_HEAD} {BSD_TAIL}"),
     ("BSD-3-Clause", f"{BSD_HEAD} {BSD_THIRD} {BSD_TAIL}"),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
@@ -56,8 +61,6 @@ TEMPLATES = (
 THRESHOLD = 0.8
 #: Template rows (one for each admissible size) that may be broadcast.
 BROADCAST_ROWS = 200_000
-#: Words without a template bigram that a run of words may have in a row.
-GAP = 6
 
 
 def template_table(spark: SparkSession, rows=TEMPLATES) -> DataFrame:
@@ -79,6 +82,45 @@ def bigrams(words: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.xxhash64(F.slice(words, i, 2)))
 
 
+def anchored(templates: DataFrame, low: float, high: float) -> DataFrame:
+    """``templates`` with the sizes that a window may have, the different bigrams that it needs, all of them, and the anchors.
+
+    Bigrams are ranked by length: long ones are rare in any text.
+    """
+    pair = lambda i: F.concat_ws(" ", F.slice("tw", i, 2))
+    by_length = F.transform(F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("tw") - 1), lambda i: F.struct((-F.length(pair(i))).alias("l"), F.xxhash64(F.slice("tw", i, 2)).alias("h"))))), lambda x: x["h"])
+    least = F.ceil(F.col("n") * low - 1e-9).cast("int")
+    rows = templates.withColumns({"all": by_length, "least": F.greatest(least, F.lit(1)), "most": F.floor(F.col("n") * high + 1e-9).cast("int")})
+    rows = rows.withColumn("need", F.greatest(F.col("least") - F.col("n") + F.size("all"), F.lit(1)))
+    return rows.withColumn("anchors", F.slice("all", F.lit(1), F.size("all") - F.col("need") + 1))
+
+
+def best_window(template: Column) -> Column:
+    """Start and size (in bigrams, from 1) of the window of a text that suits a template best; null where there is none.
+
+    The text has ``hashes`` of its bigrams and the places of anchors ``at``.
+    """
+    h = lambda i: F.element_at("hashes", i)
+    near = F.filter("at", lambda i: F.array_contains(template["anchors"], h(i)))
+    reach = F.array_sort(F.array_distinct(F.flatten(F.transform(near, lambda x: F.sequence(F.greatest(x - template["most"] + 1, F.lit(1)), F.least(x + template["most"] - 1, F.size("hashes")))))))
+    hits = F.filter(reach, lambda i: F.array_contains(template["all"], h(i)))
+    none = F.array().cast("array<int>")
+
+    def ends(place: Column, i: Column) -> Column:
+        last = F.least(F.size(hits) - 1, i + template["most"] - 1)
+        first = i + template["need"] - 1
+        inside = F.filter(F.when(first <= last, F.sequence(first, last)).otherwise(none), lambda j: (F.get(hits, j) - place + 1).between(template["least"], template["most"]))
+
+        def scored(j: Column) -> Column:
+            size = F.get(hits, j) - place + 1
+            kinds = F.size(F.array_distinct(F.transform(F.slice(hits, i + 1, j - i + 1), h)))
+            return F.when(kinds >= template["need"], F.struct((kinds * F.lit(2.0) / (size + template["n"])).alias("score"), (-size).alias("size"), (-place).alias("start")))
+
+        return F.array_compact(F.transform(inside, scored))
+
+    return F.array_max(F.flatten(F.transform(hits, ends)))
+
+
 def squeezed(passage: Column) -> Column:
     return F.btrim(F.regexp_replace(passage, r"[ \n]+", " "), F.lit(" "))
 
@@ -89,21 +131,27 @@ def scan(docs: DataFrame, templates: DataFrame, doc_id: str = "doc_id", text: st
     A passage that stands several times in one text counts once; equal passages
     of several rows (repeated rows included) give a row each. Null, empty and
     one-word passages match nothing. Very long texts are only long passages,
-    which the size bound prunes. Other columns are ignored.
+    which the size bound prunes. Of several places in one text that suit a
+    template inside other text, the best counts. Other columns are ignored.
     """
     made = once(templates, "tw", passage_words(normal(F.col("template_text")))).filter(F.size("tw") > 1)
     made = cut(with_bag(once(made, "th", bigrams(F.col("tw"))), "th", "tb").select("license", "template", "th", "tb", F.size("th").alias("n")))
     # a template table is small by contract: its bigrams stand as one set of literals in the filter
     known = [r[0] for r in made.select(F.explode("th")).distinct().collect()]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    shapes = cut(anchored(once(templates, "tw", passage_words(normal(F.col("template_text")))).filter(F.size("tw") > 1).withColumn("n", F.size("tw") - 1), low, high).select("n", "least", "most", "need", "all", "anchors"))
+    anchors = [r[0] for r in shapes.select(F.explode("anchors")).distinct().collect()]
     admissible = F.sequence(F.greatest(F.ceil(F.col("n") * low - 1e-9), F.lit(1)), F.floor(F.col("n") * high + 1e-9))
     sized = cut(made.select("template", "n", F.explode(admissible.cast("array<int>")).alias("size")))
     n_sized, widest = sized.agg(F.count(F.lit(1)), F.coalesce(F.max("size"), F.lit(0))).first()
     body = once(docs.select(F.col(f"`{doc_id}`").alias("id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("body")), "t", normal(F.col("body"))).select("id", "t")
     body = once(body, "w", passage_words(F.col("t"))).filter(F.size("w") > 1)
-    body = once(body, "at", F.filter(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.xxhash64(F.slice("w", i, 2)).isin(known))).filter(F.size("at") > 0)
-    lone = lambda step: F.filter("at", lambda x, i: F.coalesce(F.abs(F.get("at", i + step) - x) > GAP + 1, F.lit(True)))
-    runs = F.zip_with(lone(-1), lone(1), lambda a, b: F.array_join(F.slice("w", a, b - a + 2), " "))
+    body = once(body, "hashes", bigrams(F.col("w")))
+    body = once(body, "at", F.filter(F.sequence(F.lit(1), F.size("hashes")), lambda i: F.element_at("hashes", i).isin(anchors))).filter(F.size("at") > 0)
+    body = body.join(F.broadcast(shapes.agg(F.collect_list(F.struct(*shapes.columns)).alias("shapes"))), F.lit(True))
+    suited = F.filter("shapes", lambda x: F.arrays_overlap(x["anchors"], F.transform("at", lambda i: F.element_at("hashes", i))))
+    body = once(body, "windows", F.array_compact(F.transform(suited, best_window))).drop("shapes", "hashes", "at")
+    runs = F.transform("windows", lambda x: F.array_join(F.slice("w", -x["start"], 1 - x["size"]), " "))
     blocks, lines = F.split("t", r"\n *\n"), F.split("t", "\n")
     passages = F.array_distinct(F.concat(F.transform(F.concat(F.array("t"), blocks, lines), squeezed), runs))
     units = body.select("id", F.explode(passages).alias("passage")).filter("passage <> ''")
@@ -123,8 +171,12 @@ tpl AS (SELECT license, template, string_split(t, ' ') AS w FROM norm),
 tbag AS (SELECT template, b, count(*) AS c FROM (SELECT template, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM tpl) GROUP BY ALL),
 body AS (SELECT row_number() OVER () AS r, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}\\n]+', ' ', 'g') AS t FROM documents),
 flat AS (SELECT r, doc_id, string_split(trim(regexp_replace(t, '[ \\n]+', ' ', 'g')), ' ') AS w FROM body),
-hits AS (SELECT r, i FROM (SELECT r, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM flat) WHERE b IN (SELECT b FROM tbag)),
-runs AS (SELECT r, min(i) AS a, max(i) AS z FROM (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i) AS g FROM (SELECT r, i, (i - coalesce(lag(i) OVER (PARTITION BY r ORDER BY i), -1000) > {gap} + 1)::INT AS new FROM hits)) GROUP BY r, g),
+kinds AS (SELECT DISTINCT template, b FROM tbag),
+shape AS (SELECT template, n, ceil(n * 0.8 / 1.2 - 1e-9) AS least, floor(n * 1.2 / 0.8 + 1e-9) AS most, greatest(ceil(n * 0.8 / 1.2 - 1e-9) - n + kinds, 1) AS need FROM (SELECT template, sum(c) AS n, count(*) AS kinds FROM tbag GROUP BY template)),
+hits AS (SELECT r, template, i, b, row_number() OVER (PARTITION BY r, template ORDER BY i) AS o FROM (SELECT r, unnest(range(1, len(w))) AS i, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b FROM flat) JOIN kinds USING (b)),
+spans AS (SELECT x.r, template, x.i AS a, y.i AS z, x.o AS oa, y.o AS oz, n, need FROM shape JOIN hits x USING (template) JOIN hits y USING (r, template) WHERE y.o - x.o + 1 BETWEEN need AND most AND y.i - x.i + 1 BETWEEN least AND most),
+filled AS (SELECT s.r, s.template, a, z, n, need, count(DISTINCT b) AS kinds FROM spans s JOIN hits h ON h.r = s.r AND h.template = s.template AND h.o BETWEEN s.oa AND s.oz GROUP BY ALL),
+runs AS (SELECT r, a, z FROM filled WHERE kinds >= need QUALIFY row_number() OVER (PARTITION BY r, template ORDER BY kinds * 2.0::DOUBLE / (z - a + 1 + n) DESC, z - a, a) = 1),
 units AS (SELECT r, doc_id, unnest(list_concat([t], regexp_split_to_array(t, '\\n *\\n'), string_split(t, chr(10)))) AS p FROM body UNION ALL SELECT r, doc_id, array_to_string(w[a : z + 1], ' ') FROM runs JOIN flat USING (r)),
 words AS (SELECT row_number() OVER () AS u, doc_id, string_split(q, ' ') AS w FROM (SELECT DISTINCT r, doc_id, trim(regexp_replace(p, '[ \\n]+', ' ', 'g')) AS q FROM units) WHERE q <> ''),
 cand AS (SELECT u, doc_id, len(w) - 1 AS n, w FROM words WHERE len(w) > 1 AND len(w) - 1 <= (SELECT max(len(w) - 1) * 1.5 FROM tpl)),
@@ -138,4 +190,4 @@ WHERE round(2.0 * k::DOUBLE / (n + len(tpl.w) - 1), 6) >= 0.8
 
 def oracle() -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    return ORACLE_SQL.format(gap=GAP, values=", ".join(f"({quote(k)}, {i}, {quote(t)})" for i, (k, t) in enumerate(TEMPLATES)))
+    return ORACLE_SQL.format(values=", ".join(f"({quote(k)}, {i}, {quote(t)})" for i, (k, t) in enumerate(TEMPLATES)))

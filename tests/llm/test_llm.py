@@ -205,6 +205,31 @@ def test_licence_edges(spark, edge):
     assert licenses.scan(edge, licenses.template_table(spark)).count() == 0
 
 
+NOTICES = [
+    ("Some parts of the code we ship are released under the MIT License.", "MIT"),
+    ("It was written in the spring, and licensed under the MIT License as agreed by all of the authors.", "MIT"),
+    ("In the end of the day, of the many files in the tree, this work is licensed under the GNU General Public License, version 3, and the rest of the tree is not.", "GPL-3.0"),
+    ("of the and the in the this is free and unencumbered software\nreleased into the public domain of the in the and the", "Unlicense"),
+    ("The text of the work: this work is licensed under a Creative Commons\n\nAttribution 4.0 International License. The rest of the text of the work.", "CC-BY-4.0"),
+    ("By the terms of the board, use of this source code is governed by a BSD style license that can be found in the license file of the tree.", "BSD-3-Clause"),
+    ("The library of the house: this library is licensed under the GNU Lesser General Public License, version 3. End of the note.", "LGPL-3.0"),
+    ("Under the roof of the house the works, Licensed under CC BY-NC 4.0, were in the box under the bed.", "CC-BY-NC-4.0"),
+    ("It is to be said that this program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 in the end.", "EPL-2.0"),
+    ("To the reader: to the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. To the end.", "CC0-1.0"),
+    ("Part of the tree\nis Licensed under the\nApache License,\nVersion 2.0.\nof the tree", "Apache-2.0"),
+    ("In the file of the tree this program is licensed under the GNU Affero General Public License, version 3. Of the tree, in the file.", "AGPL-3.0"),
+]
+CLEAN = ["The license of the driver was found under the seat of the car.", "He spoke of the terms of the board, of the public and of the general rule in the file.", "of the in the under the of the terms of the " * 30, "A creative work of the commons is licensed by the state."]
+
+
+def test_licence_notices_inside_prose(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(NOTICES)] + [(100 + i, f"{'the in of the word ' * 300}{t} {'of the in the under the terms of the ' * 300}") for i, (t, _) in enumerate(NOTICES)] + [(200 + i, t) for i, t in enumerate(CLEAN)]
+    found = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(rows, "doc_id int, text string"), licenses.template_table(spark)).collect()}
+    assert found >= {(k, name) for i, (_, name) in enumerate(NOTICES) for k in (i, 100 + i)}
+    # licences of one family have notices that are alike; nothing else is found
+    assert all(name.startswith("CC-BY") and NOTICES[k % 100][1] == "CC-BY-4.0" for k, name in found if k >= 200 or name != NOTICES[k % 100][1])
+
+
 def test_licence_bodies_wrapped_and_inside_lines(spark):
     """A wrapped body, notices inside prose and edited ones are found; repeats count once a row, and columns may clash."""
     body = next(t for k, t in licenses.TEMPLATES if k == "BSD-3-Clause" and len(t) > 1_000)
