@@ -6,7 +6,8 @@ padded to its bucket's boundary. The driver holds one row for each distinct
 length, so at most as many as the longest document has tokens. Inside a bucket, batches hold as many documents as the
 token budget admits. Batches are numbered by a rank that is computed in two
 levels (rank within a hash shard, plus the documents of the shards before), so
-no bucket is ever sorted as one group.
+no bucket is ever sorted as one group. Repeated rows are ranked as one row with
+a count and dealt out after that, so a row that stands very often is none either.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from folium.llm.common import cut, free_name, words_of
 
 BUCKETS, BUDGET = 8, 16_384
 SHARD_ROWS = 50_000
+#: Copies of a row that are made from one array.
+COPIES = 1 << 16
 
 
 def word_count(text: Column) -> Column:
@@ -87,11 +90,14 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", buckets: i
         index, top = F.when(F.col(name) <= edge, i).otherwise(index if i < len(edges) - 2 else F.lit(len(edges) - 1)), F.when(F.col(name) <= edge, edge).otherwise(top)
     shards = max(1, int(histogram["docs"].sum()) // SHARD_ROWS)
     placed = sized.withColumns({"bucket": index.cast("int"), "bucket_length": top.cast("bigint"), "shard": F.pmod(F.col("h"), F.lit(shards)).cast("int")})
-    sizes = placed.groupBy("bucket", "shard").agg(F.count(F.lit(1)).alias("rows"))
+    placed = placed.groupBy("bucket", "shard", "id", "h", name, "bucket_length").agg(F.count(F.lit(1)).alias("copies"))
+    sizes = placed.groupBy("bucket", "shard").agg(F.sum("copies").alias("rows"))
     before = Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    local = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("id", "h")) - 1
-    ranked = placed.withColumn("local", local).join(offsets, ["bucket", "shard"])
-    rank = F.col("offset") + F.col("local")
+    upto = Window.partitionBy("bucket", "shard").orderBy("id", "h").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("local", F.sum("copies").over(upto) - F.col("copies")).join(offsets, ["bucket", "shard"])
+    ranked = ranked.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))
+    ranked = ranked.withColumn("copy", F.explode(F.sequence("block", F.least(F.col("block") + COPIES, "copies") - 1)))
+    rank = F.col("offset") + F.col("local") + F.col("copy")
     per = F.greatest(F.floor(F.lit(budget) / F.greatest("bucket_length", F.lit(1))), F.lit(1))
     return ranked.select(F.col("id").alias(doc_id), F.col(name).alias("n_tokens"), "bucket", "bucket_length", F.floor(rank / per).alias("batch"), (rank % per).cast("int").alias("slot"))
