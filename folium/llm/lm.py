@@ -16,7 +16,9 @@ bits, from ``2 ** (FAN * L)`` chunks at most, so every unit holds about as many
 keys as one chunk, at any size of the input, and the number of levels grows
 with its logarithm. Totals go back down the same way. Each row that is shuffled
 holds the keys that one unit sends another, hundreds as a rule, and a frequent
-word or a passage that many documents share costs one entry a unit.
+word or a passage that many documents share costs one entry a unit. Repeated
+rows have one chunk; they become one row with their number before a chunk is
+read, so a row that stands very often doesn't fill a task's memory.
 """
 
 from __future__ import annotations
@@ -43,6 +45,8 @@ LEVELS = 24
 #: Relative frequencies go to EM in steps of a quarter bit; the last cell is frequency 0.
 GRID = 4
 CELLS = 160
+#: Copies of a row that are made from one array.
+COPIES = 1 << 16
 #: Role of a document: scored only, counted, or held out for the weights. A chunk has documents of one role.
 SCORED, COUNTED, HELD = 0, 1, 2
 
@@ -76,11 +80,12 @@ def tokens_of(data: np.ndarray, offsets: np.ndarray, hasher: SpanHasher) -> Toke
     return Tokens(token, context, mix(context * np.uint64(3) + token) | np.uint64(1), np.repeat(np.arange(rows), n + 1))
 
 
-def chunk_keys(t: Tokens, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys of a chunk in ascending order, and their counts; each text has one begin mark."""
-    kinds = [np.unique(x, return_counts=True) for x in (t.token, t.pair)]
+def chunk_keys(t: Tokens, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys of a chunk in ascending order, and their counts; each of a text's copies has one begin mark."""
+    kinds = [np.unique(x, return_inverse=True) for x in (t.token, t.pair)]
+    weight = copies[t.row]
     keys = np.concatenate([k for k, _ in kinds] + [BEGIN_KEY])
-    counts = np.concatenate([c for _, c in kinds] + [[rows]])
+    counts = np.concatenate([np.bincount(at, weight, len(k)).astype(np.int64) for k, at in kinds] + [[copies.sum()]])
     order = np.argsort(keys)
     return keys[order], counts[order]
 
@@ -164,7 +169,9 @@ def _with_chunk(docs: DataFrame, text: str, keep: list[str], role: Column, chunk
     key = F.xxhash64(*[f"k{i}" for i in range(len(keep))], "text")
     place = lambda r: F.pmod(key, F.lit(chunks[r])) + first[r]
     chunk = F.when(F.col("role") == HELD, place(HELD)).when(F.col("role") == COUNTED, place(COUNTED)).otherwise(place(SCORED))
-    return source.withColumn("chunk", chunk.cast("long")), Layout(first, sum(chunks), fan)
+    dealt = source.withColumn("chunk", chunk.cast("long"))
+    # dealt by chunk first: copies are counted where their chunk is read, without a further exchange
+    return dealt.repartition("chunk").groupBy(*dealt.columns).agg(F.count(F.lit(1)).alias("copies")), Layout(first, sum(chunks), fan)
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -269,12 +276,12 @@ def _totals(requests: DataFrame, lvl: int, layout: Layout) -> tuple[DataFrame, S
 def _chunk_requests(chunked: DataFrame, layout: Layout) -> DataFrame:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         data, offsets = column_bytes(table.column("text"))
-        keys, n = chunk_keys(tokens_of(data, offsets, SpanHasher()), len(table))
+        keys, n = chunk_keys(tokens_of(data, offsets, SpanHasher()), table.column("copies").to_numpy())
         chunk, none = key[0].as_py(), np.zeros(len(n), np.int64)
         counted, held = (n if layout.first[COUNTED] <= chunk < layout.first[HELD] else none), (n if chunk >= layout.first[HELD] else none)
         return _table(REQUEST, _requests(chunk, 1, layout.fan, keys, counted, held))
 
-    return chunked.select("chunk", "text").groupBy("chunk").applyInArrow(run, REQUEST)
+    return chunked.select("chunk", "text", "copies").groupBy("chunk").applyInArrow(run, REQUEST)
 
 
 class Chunk:
@@ -283,7 +290,8 @@ class Chunk:
     def __init__(self, docs: pa.Table, answers: pa.Table) -> None:
         data, offsets = column_bytes(docs.column("text"))
         self.t = tokens_of(data, offsets, SpanHasher())
-        self.keys, _ = chunk_keys(self.t, len(docs))
+        self.copies = docs.column("copies").to_numpy()
+        self.keys, _ = chunk_keys(self.t, self.copies)
         self.kept, aside = _read_answers(answers)
         self.all = self.kept + aside
 
@@ -318,12 +326,14 @@ def score(docs: DataFrame, train: Column, keep: list[str], text: str = "text", h
         rows = len(left)
         total = lambda x: np.bincount(c.t.row, x, rows)
         base = np.log10((w + 1.0) / (stats.tokens + stats.distinct + 1.0))
-        columns = {n: left.column(n) for n in names}
+        columns = {n: left.column(n) for n in (*names, "copies")}
         columns |= {"n_tokens": total(np.ones(len(w))).astype(np.int64), "n_known": total(w > 0).astype(np.int64), "train_tokens": np.full(rows, stats.tokens, np.int64), "base_score": total(base), "score": total(np.log10(probability(w, v, vw, stats)))}
         return pa.table(columns)
 
-    schema = schema_with(chunked.select(*names), **kinds)
+    schema = schema_with(chunked.select(*names, "copies"), **kinds)
     scored = chunked.drop("role").groupBy("chunk").cogroup(answers.withColumnRenamed("grp", "chunk").groupBy("chunk")).applyInArrow(run, schema)
+    scored = scored.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1, F.lit(COPIES).cast("bigint"))))
+    scored = scored.withColumn("copy", F.explode(F.sequence("block", F.least(F.col("block") + COPIES, "copies") - 1)))
     return scored.select(*[F.col(n).alias(c) for n, c in zip(names, keep, strict=True)], *kinds)
 
 
@@ -334,10 +344,10 @@ def _weights(chunked: DataFrame, answers: DataFrame, stats: Statistics) -> np.nd
         c = Chunk(left, right)
         w, v, vw = c.counts(c.kept)
         cell = (level(v) * CELLS + log_cell(ratio(vw, v))) * CELLS + log_cell(w / max(stats.counted_tokens, 1))
-        found, n = np.unique(cell, return_counts=True)
-        return pa.table({"cell": found, "n": n.astype(np.int64)})
+        found, at = np.unique(cell, return_inverse=True)
+        return pa.table({"cell": found, "n": np.bincount(at, c.copies[c.t.row], len(found)).astype(np.int64)})
 
-    hist = chunked.select("chunk", "text").groupBy("chunk").cogroup(answers.withColumnRenamed("grp", "chunk").groupBy("chunk")).applyInArrow(run, "cell bigint, n bigint")
+    hist = chunked.select("chunk", "text", "copies").groupBy("chunk").cogroup(answers.withColumnRenamed("grp", "chunk").groupBy("chunk")).applyInArrow(run, "cell bigint, n bigint")
     rows: pd.DataFrame = hist.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     cell = rows["cell"].to_numpy(np.int64)
     cells = np.stack([cell // CELLS // CELLS, cell // CELLS % CELLS, cell % CELLS], axis=1)

@@ -360,3 +360,39 @@ def test_near_copies_at_similarity_by_brute_force(spark, monkeypatch, tile_rows,
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     got = {r["doc_id"] for r in simhash.drop_near_duplicates(df).collect()}
     assert got == kept_by_brute_force(rows)
+
+
+def test_one_row_very_often(spark):
+    """A row repeated more often than a chunk, shard or array of copies holds."""
+    text, n = "the same row of words " * 3, 100_000
+    docs = spark.range(n).select(F.lit(7).alias("doc_id"), F.lit(text).alias("text")).unionByName(spark.createDataFrame([(1, "other words of a row"), (2, None)], "doc_id int, text string"))
+    packed = packing.pack(docs, budget=64).groupBy("bucket", "batch", "slot").count()
+    assert packed.count() == n + 2 and packed.filter("count > 1").count() == 0
+    scored = lm.score(docs, F.lit(True), ["doc_id"], chunk_bytes=1_000, fan=3)
+    rows = scored.groupBy("doc_id", "score", "train_tokens").count().collect()
+    assert {r["doc_id"]: r["count"] for r in rows} == {7: n, 1: 1, 2: 1} and {r["train_tokens"] for r in rows} == {n * 16 + 6 + 1}
+
+
+def test_long_lists_and_tiles_of_fingerprints(spark, monkeypatch):
+    """Runs of equal blocks beyond the short ones, dealt to tiles, link as brute force does."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    flips = [np.uint64(sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 7), replace=False))) for _ in range(900)]
+    prints = np.unique(np.array([base[i % 6] ^ f for i, f in enumerate(flips)], np.uint64))
+    monkeypatch.setattr(simhash, "TILE_ROWS", 50)
+    monkeypatch.setattr(simhash, "SHORT_RUN", 8)
+    table = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp bigint")
+    got = {(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in simhash.links(table, "fp", 4, 24).collect()}
+    differ = np.bitwise_count(prints[:, None] ^ prints[None, :])
+    close = {(int(min(a, b)), int(max(a, b))) for a, b in ((prints.view(np.int64)[i], prints.view(np.int64)[j]) for i, j in np.argwhere((differ <= 4) & (differ > 0)))}
+    parent = {int(x): int(x) for x in prints.view(np.int64)}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    assert got <= close
+    for a, b in got:
+        parent[max(find(a), find(b))] = min(find(a), find(b))
+    assert all(find(a) == find(b) for a, b in close)
