@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAP, SPAN_COST, TIE, MOST = 0.45, 0.06, 1e-6, 3
@@ -12,6 +12,32 @@ SEGMENTS = 512
 RESULT = "unit_id {key}, kind string, source_start int, source_len int, target_start int, target_len int, similarity double"
 
 
+def _similarities(source: dict, target: dict, n: int, m: int, s: int, t: int) -> np.ndarray:
+    """Cosines of all spans of ``s`` source and ``t`` target segments by their starts; zero vectors are like nothing."""
+    if n < s or m < t:
+        return np.zeros((0, 0))
+    a, b = np.stack([source[i, s] for i in range(n - s + 1)]), np.stack([target[j, t] for j in range(m - t + 1)])
+    norms = np.outer(np.linalg.norm(a, axis=1), np.linalg.norm(b, axis=1))
+    return np.divide(a @ b.T, norms, out=np.zeros_like(norms), where=norms > 0)
+
+
+def segment_spans(segments: DataFrame, most: int = MOST) -> DataFrame:
+    """(unit_id, side, start, len, embedding) of all runs of 1 to ``most`` neighbouring segments (unit_id, side, position, embedding): the mean of their vectors.
+
+    Positions need not be dense; ends of a unit have fewer runs.
+    """
+    wide = F.col("embedding").cast("array<double>")
+    along = Window.partitionBy("unit_id", "side").orderBy("position")
+    rows = segments.withColumn("embedding", wide).withColumn("start", F.row_number().over(along) - 1)
+    zero = F.transform("embedding", lambda x: F.lit(0.0))
+    total = lambda k: F.aggregate(F.collect_list("embedding").over(along.rowsBetween(0, k - 1)), zero, lambda acc, v: F.zip_with(acc, v, lambda p, q: p + q))
+    held = lambda k: F.count(F.lit(1)).over(along.rowsBetween(0, k - 1))
+    mean = lambda k: F.transform(total(k), lambda x: x / k)
+    spans = [F.struct(F.lit(k).alias("len"), held(k).alias("held"), mean(k).alias("embedding")) for k in range(1, most + 1)]
+    out = rows.withColumn("spans", F.array(*spans)).select("unit_id", "side", F.col("start").cast("int").alias("start"), F.explode("spans").alias("s"))
+    return out.filter("s.held = s.len").select("unit_id", "side", "start", "s.len", "s.embedding")
+
+
 def _path(source: dict, target: dict, n: int, m: int, most: int) -> list[tuple]:
     """Cheapest path over matches of up to ``most`` segments a side and gaps; near ties go to the smaller block, matches before gaps."""
     moves = [(1, 0), (0, 1), *[(s, t) for s in range(1, most + 1) for t in range(1, most + 1)]]
@@ -19,6 +45,7 @@ def _path(source: dict, target: dict, n: int, m: int, most: int) -> list[tuple]:
     rank = np.full((n + 1, m + 1), 1 << 30)
     back: dict[tuple, tuple] = {}
     cost[0, 0], rank[0, 0] = 0.0, 0
+    like = {(s, t): _similarities(source, target, n, m, s, t) for s in range(1, most + 1) for t in range(1, most + 1)}
     for i in range(n + 1):
         for j in range(m + 1):
             if not np.isfinite(cost[i, j]):
@@ -28,9 +55,7 @@ def _path(source: dict, target: dict, n: int, m: int, most: int) -> list[tuple]:
                 if a > n or b > m:
                     continue
                 if s and t:
-                    u, v = source[i, s], target[j, t]
-                    norm = float(np.linalg.norm(u) * np.linalg.norm(v))
-                    sim = float(u @ v) / norm if norm else 0.0
+                    sim = like[s, t][i, j]
                     step, order = 1.0 - max(sim, 0.0) + SPAN_COST * (s + t - 2), s + t - 2
                 else:
                     sim, step, order = None, GAP, 10

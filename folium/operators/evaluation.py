@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions.text import normalize_case_insensitive
+from folium.operators.mining import ranked
 
 DECISIONS = ("a", "b", "tie", "defer")
 
@@ -43,10 +44,8 @@ def contrastive_failures(variants: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def blind_pairs(cases: DataFrame, first: DataFrame, second: DataFrame, order: str = "case_id") -> DataFrame:
-    """(case_id, a, b, a_is_first): outputs (case_id, text) side by side, sides swapped for every second case."""
-    # ranks come from an equal-count numbering that is global by contract: a benchmark has a bounded number of cases
-    index = F.row_number().over(Window.orderBy(order)) - 1
-    pairs = cases.select("case_id", index.alias("i")).join(first.select("case_id", F.col("text").alias("x")), "case_id").join(second.select("case_id", F.col("text").alias("y")), "case_id")
+    """(case_id, a, b, a_is_first): outputs (case_id, text) side by side, sides swapped for every second case by an integer ``order``."""
+    pairs = ranked(cases.select("case_id", *[c for c in (order,) if c != "case_id"]), order, "i").join(first.select("case_id", F.col("text").alias("x")), "case_id").join(second.select("case_id", F.col("text").alias("y")), "case_id")
     swap = F.pmod("i", F.lit(2)) == 1
     return pairs.select("case_id", F.when(swap, F.col("y")).otherwise(F.col("x")).alias("a"), F.when(swap, F.col("x")).otherwise(F.col("y")).alias("b"), (~swap).alias("a_is_first"))
 
@@ -69,9 +68,9 @@ def system_preferences(reviews: DataFrame) -> DataFrame:
     return reviews.filter(~F.col("preferred").isin("tie", "defer")).groupBy("preferred").agg(F.count(F.lit(1)).alias("n"))
 
 
-def governance(profile: DataFrame, items: list[str]) -> DataFrame:
-    """(item, status, blocks) of a wide profile: anything but 'acceptable' blocks."""
-    rows = profile.unpivot([], [F.col(i) for i in items], "item", "status")
+def governance(profile: DataFrame, items: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
+    """(*keys, item, status, blocks) of wide profiles: anything but 'acceptable' blocks."""
+    rows = profile.unpivot([F.col(k) for k in keys], [F.col(i) for i in items], "item", "status")
     return rows.withColumn("blocks", F.coalesce(F.col("status"), F.lit("unknown")) != "acceptable")
 
 

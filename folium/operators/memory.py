@@ -17,8 +17,11 @@ FUSION_OFFSET = 60
 #: Query vectors that are broadcast at a time.
 QUERY_ROWS = 20_000
 # Priorities of context authorities and kinds.
-AUTHORITY = {"approved_canon": 5, "approved_review": 4, "approved_translation": 3, "source_evidence": 2, "inferred": 1}
-KIND = {"glossary": 100, "character": 90, "relationship": 85, "translation_memory": 80, "prior_translation": 70, "scene": 60, "neighbour": 50, "note": 20}
+AUTHORITY = {"advisory": 1, "inferred": 2, "deterministic": 3, "canonical": 4, "human_approved": 5}
+KIND = {
+    "glossary": 100, "translation_decision": 95, "character": 90, "relationship": 85, "local_continuity": 80, "scene_summary": 75, "chapter_summary": 70, "arc_summary": 60, "book_summary": 50, "translation_memory": 45,
+    "reference": 35, "advisory": 20,
+}
 
 
 def passage_similarity(passage: Column, segments: Column, candidate: Column) -> Column:
@@ -177,7 +180,8 @@ def pack_context(candidates: DataFrame, unit: str = "unit_id", most_chars: int =
     order = F.row_number().over(Window.partitionBy(unit).orderBy(level(AUTHORITY, F.col("authority")).desc(), level(KIND, F.col("kind")).desc(), rel.desc(), "id"))
     once = F.row_number().over(Window.partitionBy(unit, "id").orderBy("o"))
     short = truncate(F.trim("text"), item_chars, " …")
-    header = F.concat(F.lit("["), "kind", F.lit(" | "), "authority", F.lit(" | id="), "id", F.lit(" | relevance="), F.format_string("%.3f", rel), F.lit("]\nReason: "), F.trim("reason"), F.lit("\n"))
+    label = lambda c: F.replace(F.col(c), F.lit("_"), F.lit("-"))
+    header = F.concat(F.lit("["), label("kind"), F.lit(" | "), label("authority"), F.lit(" | id="), "id", F.lit(" | relevance="), F.format_string("%.3f", rel), F.lit("]\nReason: "), F.trim("reason"), F.lit("\n"))
     items = usable.withColumn("o", order).withColumn("u", once).filter("u = 1").select(unit, F.struct("o", "id", "kind", short.alias("text"), F.length(header).alias("head"), (F.length(F.trim("text")) > item_chars).alias("cut")).alias("x"))
     lists = items.groupBy(unit).agg(F.array_sort(F.collect_list("x")).alias("items"))
     start = F.struct(F.lit(0).alias("used"), F.filter("items", lambda x: F.lit(False)).alias("kept"))

@@ -87,6 +87,15 @@ def middle_rows(rows: DataFrame, book: str, order: str) -> DataFrame:
     return ranked.filter("r = at").select(F.col("b").alias(book), F.col("o").alias(order))
 
 
+def ranked(rows: DataFrame, order: str, name: str) -> DataFrame:
+    """``rows`` with the rank of an integer order, from 0, unique where the order is; runs of neighbouring orders are ranked on their own."""
+    run = F.floor(F.col(order) / RUN_CHAPTERS)
+    sizes = rows.groupBy(run.alias("__run")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__run")) - F.col("__n")).select("__run", "__before")
+    inside = F.row_number().over(Window.partitionBy("__run").orderBy(order)) - 1
+    return rows.withColumn("__run", run).withColumn("__r", inside).join(before, "__run").withColumn(name, F.col("__before") + F.col("__r")).drop("__run", "__r", "__before")
+
+
 def position_samples(chapters: DataFrame, book: str = "book", order: str = "position", length: str = "n_chars", dialogue: str = "dialogue_density") -> DataFrame:
     """(book, position, reasons): the first, middle and last chapter, the longest by characters (ties: the last) and the one with most dialogue (ties: the first).
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import ids, scan, text
 from folium.operators import align, evaluation, ledger, matching, memory, mining, quality, review
-from folium.plans import reports, reviews, runs, seeds, sql
+from folium.plans import books, reports, reviews, runs, seeds, sql
 from folium.sources import text as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,18 +66,6 @@ def chapter_sessions(spark, d):
     return turns.groupBy("conv_id", "session").agg(F.count(F.lit(1)).alias("n_turns"), F.min("turn").alias("first_turn"), F.sum(F.length("text")).alias("n_chars"))
 
 
-MANUSCRIPT = "---\ntitle: \"The Sea\"\nAuthor: A. Writer\n---\nBefore it all.\n\n# Chapter 1\n\nShe said no.\nAnd left.\n\n***\n\nHe stayed.\n\n# Empty\n\n# Chapter 2\n\nThe end."
-
-
-def manuscript_blocks(spark, d):
-    docs = spark.createDataFrame([(1, MANUSCRIPT)], "doc_id bigint, text string")
-    return source.segment(source.blocks(docs))
-
-
-def manuscript_chapters(spark, d):
-    return source.chapters(manuscript_blocks(spark, d))
-
-
 def document_segments(spark, d):
     """Documents as manuscripts of blank-line blocks: one paragraph row for each run of lines."""
     return source.segment(source.blocks(table(spark, d, "documents"))).groupBy("doc_id").agg(F.max("chapter").alias("chapters"), F.count(F.lit(1)).alias("paragraphs"), F.sum(F.length("text")).alias("n_chars"))
@@ -175,7 +163,7 @@ def knn_cosine(spark, d):
 def context_packets(spark, d):
     """Turns of each conversation as ranked evidence within a budget."""
     c = table(spark, d, "conversations")
-    rows = c.select(F.col("conv_id").alias("unit_id"), F.concat(F.lit("t"), F.col("turn")).alias("id"), F.when(F.col("role") == "user", "note").otherwise("scene").alias("kind"), F.lit("source_evidence").alias("authority"), "text", F.lit("turn").alias("reason"), (1.0 / (F.col("turn") + 1)).alias("relevance"))
+    rows = c.select(F.col("conv_id").alias("unit_id"), F.concat(F.lit("t"), F.col("turn")).alias("id"), F.when(F.col("role") == "user", "reference").otherwise("scene_summary").alias("kind"), F.when(F.col("turn") % 3 == 0, "canonical").otherwise("deterministic").alias("authority"), "text", F.lit("turn").alias("reason"), (1.0 / (F.col("turn") + 1)).alias("relevance"))
     return memory.pack_context(rows, most_chars=1_000, most_items=4, item_chars=300)
 
 
@@ -371,32 +359,6 @@ def quoted_spans(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(scan.quotes("text")).alias("q")).select("doc_id", "q.*")
 
 
-def embedding_alignment(spark, d):
-    """Each label's vectors, even against odd ids, as segments of units of 32 a side."""
-    v = table(spark, d, "embeddings").withColumn("side", F.when(F.col("vec_id") % 2 == 0, "source").otherwise("target"))
-    n = F.row_number().over(Window.partitionBy("label", "side").orderBy("vec_id"))
-    rows = v.withColumn("n", n - 1).withColumn("start", (F.col("n") % 32).cast("int"))
-    unit = F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("n") / 32).cast("string"))
-    return align.align(rows.select(unit.alias("unit_id"), "side", "start", F.lit(1).alias("len"), "embedding"), 1)
-
-
-def chrf_scores(spark, d):
-    return answer_pairs(spark, d).select("conv_id", "turn", F.round(align.chrf(F.col("output"), F.col("source")), 6).alias("chrf"))
-
-
-PERSIAN = ("كتاب مقدس", "ي  ك", "می‌روم", "سلام !", "می روم", "٣ روز", "plain text")
-
-
-def persian_polish(spark, d):
-    rows = spark.createDataFrame(list(enumerate(PERSIAN)), "id bigint, t string")
-    return rows.select("id", text.polish_persian(F.col("t")).alias("polished"), text.contains_persian_letters(F.col("t")).alias("persian"), text.normalize(F.col("t")).alias("normalized"))
-
-
-def persian_typography(spark, d):
-    rows = spark.createDataFrame(list(enumerate(PERSIAN)), "unit_id bigint, target string")
-    return quality.typography_findings(rows)
-
-
 def document_freshness(spark, d):
     """Documents against stored fingerprints, of which every tenth is out of date and odd ones are absent."""
     docs = table(spark, d, "documents").select("doc_id", ids.sha256(F.col("text")).alias("fp"))
@@ -433,20 +395,20 @@ def relationship_refs(spark, d):
 
 
 QUERIES: tuple[Query, ...] = (
-    normalize_text, similarity_pairs, paragraph_facts, observed_profile, chapter_map, chapter_samples, chapter_sessions, manuscript_blocks, manuscript_chapters,
+    normalize_text, similarity_pairs, paragraph_facts, observed_profile, chapter_map, chapter_samples, chapter_sessions,
     document_segments, html_pages, recurring_phrases, name_mentions, cooccurrence, merged_names, glossary_hits, documents_with_terms, documents_without_terms,
     memory_scores, memory_best, memory_ranked, fused_ranking, ranking_metrics, knn_cosine, context_packets, neighbor_context, paragraph_groups, quality_gate,
     native_review, consistency_audit, consistency_score, glossary_conflicts, memory_conflicts, claim_disagreement, anchor_report, submission_problems,
     preference_dossier, system_preferences, telemetry, ledger_reconcile, obsolete_sweep, latest_revision, history_retention, decision_replay, review_queue,
     pilot_targets, promotion_plan, canon_upsert, chapter_work_list, rule_violations, status_summary, evidence_fingerprint, fnv_fingerprint, chunk_passage,
-    quoted_spans, embedding_alignment, chrf_scores, persian_polish, persian_typography,
+    quoted_spans,
     document_freshness, export_readiness, finding_counts, context_lines, present_entries, relationship_refs,
 )
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*QUERIES, *seeds.QUERIES, *reviews.QUERIES, *runs.QUERIES, *reports.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *seeds.QUERIES, *reviews.QUERIES, *runs.QUERIES, *reports.QUERIES, *books.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.ORACLES | seeds.ORACLES | reviews.ORACLES | runs.ORACLES | reports.ORACLES
+    return sql.ORACLES | seeds.ORACLES | reviews.ORACLES | runs.ORACLES | reports.ORACLES | books.ORACLES

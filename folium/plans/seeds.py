@@ -111,12 +111,6 @@ def blind_pairs(spark, d):
     return out.select("case_id", F.sha2("a", 256).alias("a_sha"), F.sha2("b", 256).alias("b_sha"), "a_is_first")
 
 
-def governance_blocks(spark, d):
-    """Answers of a profile, one of which is missing."""
-    profile = spark.createDataFrame([("acceptable", "unacceptable", None, "unknown")], "terms string, privacy string, cost string, retention string")
-    return evaluation.governance(profile, ["terms", "privacy", "cost", "retention"])
-
-
 def hybrid_retrieval(spark, d):
     """The translation-memory ranking of benchmark items fused with the vector ranking of the same ids."""
     return memory.hybrid_candidates(_scored(spark, d), _semantic(spark, d)).drop("reason")
@@ -177,7 +171,7 @@ def _ledger(spark, d) -> tuple[DataFrame, DataFrame]:
 
 QUERIES = (
     profile_mentions, alias_index, relationships_present, unknown_names, terminology_seeds, aligned_turns, canonical_links, lacking_terms, validated_findings, analysis_spans, contrastive_failures,
-    blind_pairs, governance_blocks, hybrid_retrieval, memory_contexts, identifiers, first_proposals, merged_notes, review_summary,
+    blind_pairs, hybrid_retrieval, memory_contexts, identifiers, first_proposals, merged_notes, review_summary,
 )
 
 PAIR = lambda a, b: f"trim(array_to_string(({sql.toks(sql.norm('text'))})[{a}:{b}], ' '))"
@@ -215,7 +209,6 @@ ORACLES = {
     "contrastive_failures": f"""WITH i AS (SELECT item_id, {sql.toks(sql.norm('text'))} AS w, text FROM benchmark), v AS (SELECT item_id, w, text, unnest(['a', 'e', 't']) AS variant_id FROM i), n AS (SELECT item_id, variant_id, w, {sql.norm("replace(text, variant_id, '#')")} AS t FROM v)
         SELECT item_id AS case_id, variant_id, (CASE WHEN len(list_filter(w[1:2], lambda x: contains(t, x))) = len(w[1:2]) THEN 0 ELSE 1 END + CASE WHEN len(list_filter(w[4:5], lambda x: contains(t, x))) > 0 THEN 0 ELSE 1 END)::BIGINT AS failed FROM n""",
     "blind_pairs": "WITH b AS (SELECT item_id AS case_id, text, (row_number() OVER (ORDER BY item_id) - 1) % 2 = 0 AS f FROM benchmark) SELECT case_id, sha256(CASE WHEN f THEN text ELSE '> ' || text END) AS a_sha, sha256(CASE WHEN f THEN '> ' || text ELSE text END) AS b_sha, f AS a_is_first FROM b",
-    "governance_blocks": "SELECT * FROM (VALUES ('terms', 'acceptable', false), ('privacy', 'unacceptable', true), ('cost', NULL, true), ('retention', 'unknown', true)) t(item, status, blocks)",
     "hybrid_retrieval": f"WITH {HYBRID} SELECT * FROM hybrid",
     "memory_contexts": f"WITH {HYBRID}, l AS (SELECT query_id, string_agg(text || ' => ' || text, chr(10) ORDER BY rank) AS c FROM hybrid JOIN benchmark ON entry_id = item_id GROUP BY 1) SELECT query_id, sha256(c) AS context_sha, length(c)::INT AS n_chars FROM l",
     "identifiers": """SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 AND p_partkey % 4 > 0 THEN 'para-' || p_partkey % 4 END AS ordinal, lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '-' || trim(regexp_replace(p_name, '[^\\p{L}\\p{N}]+', '_', 'g'), '_') AS stem,

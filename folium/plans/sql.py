@@ -124,8 +124,6 @@ ORACLES: dict[str, str] = {
         row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id DESC) AS l, row_number() OVER (PARTITION BY source ORDER BY dialogue_density DESC, doc_id) AS t, dialogue_density AS d FROM c)
         SELECT book, position, array_to_string(list_filter([CASE WHEN i = 0 THEN 'first' END, CASE WHEN i = n // 2 THEN 'middle' END, CASE WHEN i = n - 1 THEN 'last' END, CASE WHEN l = 1 THEN 'longest' END, CASE WHEN t = 1 AND d > 0 THEN 'dialogue' END], lambda x: x IS NOT NULL), ',') AS reasons FROM r WHERE reasons <> ''""",
     "chapter_sessions": "WITH s AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS session FROM conversations) SELECT conv_id, session, count(*) AS n_turns, min(turn) AS first_turn, sum(length(text))::BIGINT AS n_chars FROM s GROUP BY ALL",
-    "manuscript_blocks": "SELECT * FROM (VALUES (1::BIGINT, 1, 'Chapter 1', 1, 1, 'Before it all.'), (1, 2, 'Chapter 1', 1, 1, 'She said no. And left.'), (1, 2, 'Chapter 1', 2, 1, 'He stayed.'), (1, 3, 'Chapter 2', 1, 1, 'The end.')) t(doc_id, chapter, title, scene, paragraph, text)",
-    "manuscript_chapters": "SELECT doc_id, chapter, title, content, n, strlen(content)::BIGINT AS n_bytes FROM (VALUES (1::BIGINT, 1, 'Chapter 1', 'Before it all.', 1::BIGINT), (1, 2, 'Chapter 1', 'She said no. And left.' || chr(10) || chr(10) || '***' || chr(10) || chr(10) || 'He stayed.', 2), (1, 3, 'Chapter 2', 'The end.', 1)) t(doc_id, chapter, title, content, n)".replace("content, n, strlen", "content, n AS n_paragraphs, strlen"),
     "html_pages": f"SELECT page_id, sha256({HTML}) AS text_sha, length({HTML})::INT AS n_chars FROM pages",
     "recurring_phrases": f"""WITH t AS (SELECT doc_id, {PHRASE_TOKENS} AS w FROM documents),
         g AS (SELECT doc_id, unnest(list_concat(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS phrase FROM t),

@@ -6,6 +6,7 @@ checks are DataFrame operations.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 from collections.abc import Iterator
@@ -126,6 +127,52 @@ def docx_bytes(title: str, chapters: list[tuple[str, str]], rtl: bool = True) ->
     return out.getvalue()
 
 
+def epub_bytes(title: str, creator: str, language: str, chapters: list[tuple[str, str]]) -> bytes:
+    """A package of one book, version 3: a page for each chapter (title, content), in reading order, and a table of contents.
+
+    Content is cut into paragraphs at blank lines. The same book gives the same
+    bytes: parts have one fixed date. A book without chapters is an error.
+    """
+    if not chapters:
+        raise ValueError("a book needs at least one chapter")
+    direction = ' dir="rtl"' if language.split("-")[0].lower() in RIGHT_TO_LEFT else ""
+    page = lambda head, body: f'<?xml version="1.0" encoding="UTF-8"?><html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" xml:lang="{escape(language)}"{direction}><head><title>{escape(head)}</title></head><body>{body}</body></html>'
+    names = [f"chapter-{i:05d}" for i in range(1, len(chapters) + 1)]
+    items = "".join(f'<item id="{n}" href="text/{n}.xhtml" media-type="application/xhtml+xml"/>' for n in names)
+    identifier = hashlib.sha256("\x1f".join([title, creator, language, *(x for c in chapters for x in c)]).encode()).hexdigest()
+    package = (
+        '<?xml version="1.0" encoding="UTF-8"?><package xmlns="http://www.idpf.org/2007/opf" version="3.0" unique-identifier="id"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">'
+        f'<dc:identifier id="id">urn:sha256:{identifier}</dc:identifier><dc:title>{escape(title)}</dc:title><dc:creator>{escape(creator)}</dc:creator><dc:language>{escape(language)}</dc:language></metadata>'
+        f'<manifest><item id="nav" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>{items}</manifest><spine>{"".join(f"""<itemref idref="{n}"/>""" for n in names)}</spine></package>'
+    )
+    contents = "".join(f'<li><a href="text/{n}.xhtml">{escape(t)}</a></li>' for n, (t, _) in zip(names, chapters, strict=True))
+    parts = {
+        "META-INF/container.xml": '<?xml version="1.0"?><container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>',
+        "OEBPS/content.opf": package, "OEBPS/nav.xhtml": page(title, f'<nav epub:type="toc"><ol>{contents}</ol></nav>'),
+    }
+    for n, (head, content) in zip(names, chapters, strict=True):
+        body = "".join(f"<p>{escape(x.strip())}</p>" for x in content.split("\n\n") if x.strip())
+        parts[f"OEBPS/text/{n}.xhtml"] = page(head, f"<h1>{escape(head)}</h1>{body}")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr(zipfile.ZipInfo("mimetype", (1980, 1, 1, 0, 0, 0)), "application/epub+zip", zipfile.ZIP_STORED)
+        for name, part in parts.items():
+            z.writestr(zipfile.ZipInfo(name, (1980, 1, 1, 0, 0, 0)), part, zipfile.ZIP_DEFLATED)
+    return out.getvalue()
+
+
+def epub_books(chapters: DataFrame, language: str = "fa", creator: str = "") -> DataFrame:
+    """(doc_id, content): an EPUB package for each book of chapter rows (doc_id, chapter, title, content), built in tasks; the id is the book's title."""
+    books = chapters.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter", "title", "content"))).alias("c"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [epub_bytes(str(d), creator, language, [(x["title"], x["content"]) for x in c]) for d, c in zip(batch["doc_id"], batch["c"], strict=True)]})
+
+    key = chapters.schema["doc_id"].dataType.simpleString()
+    return books.mapInPandas(run, f"doc_id {key}, content binary")
+
+
 def docx_books(chapters: DataFrame, language: str = "fa") -> DataFrame:
     """(doc_id, content): a DOCX package for each book of chapter rows (doc_id, chapter, title, content), built in tasks."""
     rtl = language in RIGHT_TO_LEFT

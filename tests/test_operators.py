@@ -107,7 +107,7 @@ def test_metrics_of_a_perfect_ranking(spark):
 
 
 def test_packing_goes_on_after_a_miss(spark):
-    c = spark.createDataFrame([("u", "a", "glossary", "approved_canon", "x" * 50, "r", 1.0), ("u", "b", "note", "inferred", "short", "r", 0.5), ("u", "b", "note", "inferred", "again", "r", 0.4)], "unit_id string, id string, kind string, authority string, text string, reason string, relevance double")
+    c = spark.createDataFrame([("u", "a", "glossary", "canonical", "x" * 50, "r", 1.0), ("u", "b", "reference", "inferred", "short", "r", 0.5), ("u", "b", "reference", "inferred", "again", "r", 0.4)], "unit_id string, id string, kind string, authority string, text string, reason string, relevance double")
     out = rows(memory.pack_context(c, most_chars=400), "position")
     assert [(r[2], r[4]) for r in out] == [("a", "x" * 50), ("b", "short")]
     assert rows(memory.pack_context(c, most_chars=1)) == []
