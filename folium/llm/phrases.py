@@ -31,7 +31,7 @@ from folium.llm.common import LOWER, column_bytes, slices, stored
 from folium.llm.lm import packed, unpacked
 
 #: Bytes of text in a block; a longer text makes a block of its own.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 10 << 20
 #: Bits of a number within a block, and of a block's number within its partition.
 PLACE_BITS, BLOCK_BITS = 28, 15
 #: Shares of a language that are ranked on their own before their first rows meet.
