@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.functions.ids import confidence, stable_id
 from folium.functions.text import ngrams, normalize_case_insensitive, tokens
 
 #: Term rows that may be broadcast; larger term tables are shuffled on the phrase.
@@ -87,6 +88,22 @@ def co_occurrence(mentions: DataFrame, unit: str, name: str, evidence: int = 8)
     return counts.join(refs, ["a", "b"])
 
 
+def relationship_seeds(paragraphs: DataFrame, seeds: DataFrame, approved: DataFrame, unit: str = "unit", text: str = "text", evidence: int = 8) -> DataFrame:
+    """(seed_id, a, b, n, evidence, confidence, approved): pairs of character seeds (seed_id, key, name) that paragraphs hold together.
+
+    A seed is in a paragraph if its name stands there as a whole phrase; a pair
+    has the lesser key first. ``approved`` has the canon's pairs (a, b).
+    """
+    hits = phrase_hits(paragraphs, seeds, unit, text, "key", "name")
+    pairs = co_occurrence(hits, unit, "key", evidence)
+    named = lambda side: seeds.select(F.col("key").alias(side), F.col("name").alias(f"{side}_name"), F.col("seed_id").alias(f"{side}_id"))
+    norm = lambda c: normalize_case_insensitive(F.col(c))
+    canon = approved.select(F.least(norm("a"), norm("b")).alias("a"), F.greatest(norm("a"), norm("b")).alias("b"), F.lit(True).alias("approved")).distinct()
+    rows = pairs.join(named("a"), "a").join(named("b"), "b").join(canon, ["a", "b"], "left")
+    key = stable_id(F.lit("relationship"), F.concat("a_id", F.lit("\x00"), "b_id"))
+    return rows.select(key.alias("seed_id"), F.col("a_name").alias("a"), F.col("b_name").alias("b"), "n", "evidence", confidence(F.col("n")).alias("confidence"), F.coalesce("approved", F.lit(False)).alias("approved"))
+
+
 def missing_and_unknown(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
     """(key, problem): keys that one side lacks, and keys that come several times in ``actual``."""
     lacking = expected.select(key).distinct().join(actual.select(key), key, "left_anti").withColumn("problem", F.lit("missing"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.functions.ids import confidence
+from folium.functions.ids import confidence, stable_id
 from folium.functions.text import NAME_STOPWORDS, count_sentences, dialogue_conventions, ngrams, normalize_case_insensitive, phrase_tokens, words
 
 EVIDENCE = 8
@@ -41,6 +41,33 @@ def name_counts(mentions: DataFrame, doc_id: str = "doc_id", name: str = "name",
     return out.join(refs, "key").withColumn("confidence", confidence(F.col("n")))
 
 
+def character_seeds(names: DataFrame, profiles: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(seed_id, position, key, name, n, confidence, approved) of counted names (key, display, n, confidence): most frequent first, then by name.
+
+    A seed is approved if the canon has its name or an alias of it. Positions
+    follow the order; they are found in runs of equal counts, so no task sorts
+    all names.
+    """
+    known = profiles.select(normalize_case_insensitive(F.col("name")).alias("key")).unionByName(aliases.select(normalize_case_insensitive(F.col("alias")).alias("key"))).distinct().withColumn("approved", F.lit(True))
+    runs = names.groupBy("n").agg(F.count(F.lit(1)).alias("c"))
+    before = runs.withColumn("before", F.sum("c").over(Window.orderBy(F.desc("n"))) - F.col("c")).select("n", "before")
+    inside = F.row_number().over(Window.partitionBy("n").orderBy("display", "key"))
+    rows = names.withColumn("r", inside).join(before, "n").join(known, "key", "left")
+    return rows.select(stable_id(F.lit("character"), F.col("key")).alias("seed_id"), (F.col("before") + F.col("r")).alias("position"), "key", F.col("display").alias("name"), "n", "confidence", F.coalesce("approved", F.lit(False)).alias("approved"))
+
+
+def chapter_maps(facts: DataFrame, seeds: DataFrame, terms: DataFrame, by: list[str]) -> DataFrame:
+    """``facts`` (one row for each chapter, keyed by ``by``) with the names and terms that stand in it, in their own order.
+
+    ``seeds`` and ``terms``: the columns of ``by``, position and label.
+    """
+    out = facts
+    for rows, name in ((seeds, "names"), (terms, "terms")):
+        listed = rows.groupBy(*by).agg(F.transform(F.array_sort(F.collect_set(F.struct("position", "label"))), lambda x: x["label"]).alias(name))
+        out = out.join(listed, by, "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
 def terminology(names: DataFrame, terms: DataFrame, phrases: DataFrame, glossary: DataFrame, most: int = 256) -> DataFrame:
     """(expression, origin, n, approved) of names, terms and phrases, at most ``most``: one row for a key, names first, then terms.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import ids, scan, text
 from folium.operators import align, evaluation, ledger, matching, memory, mining, quality, review
-from folium.plans import books, reports, reviews, runs, seeds, sql, views
+from folium.plans import books, recall, reports, reviews, runs, seeds, sql, views
 from folium.sources import text as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -407,8 +407,8 @@ QUERIES: tuple[Query, ...] = (
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (*QUERIES, *seeds.QUERIES, *reviews.QUERIES, *runs.QUERIES, *reports.QUERIES, *books.QUERIES, *views.QUERIES)}
+    return {f.__name__: f for f in (*QUERIES, *seeds.QUERIES, *reviews.QUERIES, *runs.QUERIES, *reports.QUERIES, *books.QUERIES, *views.QUERIES, *recall.QUERIES)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return sql.ORACLES | seeds.ORACLES | reviews.ORACLES | runs.ORACLES | reports.ORACLES | books.ORACLES | views.ORACLES
+    return sql.ORACLES | seeds.ORACLES | reviews.ORACLES | runs.ORACLES | reports.ORACLES | books.ORACLES | views.ORACLES | recall.ORACLES

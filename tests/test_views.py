@@ -7,7 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from folium.operators import lookup, workspace
+from folium.operators import evidence, lookup, matching, mining, workspace
 from folium.sources import tables
 from folium.sources.registry import Registry, default_registry
 
@@ -110,3 +110,44 @@ def test_scripts_and_provenance(spark):
     part = lambda *x: spark.createDataFrame(x, "chapter_id string, paragraph_id string, block_id string")
     assert workspace.without_provenance(part(("e", "p", "b1")), part(("e", "p", "b1")), chapters).count() == 0
     assert [tuple(r) for r in workspace.without_provenance(part(("e", "p", None)), part(("e", "p", None)), chapters).collect()] == [("e", "block")]
+
+
+def test_semantic_failure_leaves_the_deterministic_candidates(spark):
+    entries = spark.createDataFrame([(1, "his hands were shaking", "a", "fear", ["x"]), (2, "the gate was open", "b", None, None), (3, "nothing alike here", "c", "", [])], "entry_id bigint, source string, translation string, context string, tags array<string>")
+    glossary = spark.createDataFrame([("Portal", "p", "term"), ("the Portal", "q", " "), ("absent", "z", None)], "source_term string, preferred_translation string, context string")
+    queries = spark.createDataFrame([(1, "His hands were shaking near the Portal."), (2, "his hands were shaking near the portal."), (3, " "), (4, None)], "query_id bigint, query string")
+    native = evidence.native_candidates(queries, entries, glossary)
+    semantic = spark.createDataFrame([(1, 3, 1), (2, 3, 1), (1, 99, 2)], "query_id bigint, entry_id bigint, rank int")
+    failures = spark.createDataFrame([(2, "timeout"), (2, "again")], "query_id bigint, error string")
+    found, status = evidence.hybrid_evidence(queries, entries, glossary, semantic, failures, "m")
+    key = lambda df, q: sorted((r["id"], r["text"], r["reason"], r["relevance"]) for r in df.collect() if r["query_id"] == q)
+    assert key(found, 2) == key(native, 2) and key(found, 1) != key(native, 1) and not key(found, 3) and not key(found, 4)
+    texts = {r["text"] for r in found.collect() if r["query_id"] == 1}
+    assert texts >= {"the Portal => q", "Portal => p [term]", '"his hands were shaking" => "a" | context: fear', '"nothing alike here" => "c"'}
+    states = {r["query_id"]: (r["attempted"], r["used"], r["model"], r["error"] is not None) for r in status.collect()}
+    assert states == {1: (True, True, "m", False), 2: (True, False, None, True), 3: (True, False, None, False), 4: (True, False, None, False)}
+    text = {r["query_id"]: r for r in evidence.memory_text(queries, entries, glossary).collect()}
+    assert text[1]["text"].startswith(f"{evidence.GLOSSARY_HEAD}\n- the Portal => q\n- Portal => p [term]\n\n{evidence.MEMORY_HEAD}\n- ") and text[1]["glossary_hits"] == 2 and text[3]["text"] == "" and not text[1]["truncated"]
+    assert evidence.memory_text(queries, entries, glossary, 10).filter("query_id = 1").first()["text"] == evidence.GLOSSARY_HEAD[:10]
+    assert evidence.hybrid_evidence(queries, entries.limit(0), glossary, semantic, failures, "m")[1].filter("used").count() == 0
+
+
+def test_rerank_pool(spark):
+    ranked = spark.createDataFrame([(1, i, 1.0 - i / 100, i) for i in range(1, 40)], "query int, neighbour int, cosine double, rank int")
+    assert evidence.dense_pool(ranked, 2).count() == 16 and evidence.dense_pool(ranked, 6).count() == 24
+    scores = spark.createDataFrame([(1, 9, 0.5), (1, 3, 0.9), (1, 30, 9.0)], "query int, neighbour int, score double")
+    got = evidence.reranked(evidence.dense_pool(ranked, 2), scores, 4).orderBy("rank").collect()
+    assert [r["neighbour"] for r in got] == [3, 9, 1, 2]
+
+
+def test_seeds_and_maps(spark):
+    names = spark.createDataFrame([("mina", "Mina", 5, "high"), ("reza", "Reza", 5, "high"), ("bob", "Bob", 9, "high")], "key string, display string, n bigint, confidence string")
+    seeds = mining.character_seeds(names, spark.createDataFrame([("MINA",)], "name string"), spark.createDataFrame([("x", "reza ")], "canonical_name string, alias string"))
+    assert sorted((r["position"], r["name"], r["approved"]) for r in seeds.collect()) == [(1, "Bob", False), (2, "Mina", True), (3, "Reza", True)]
+    lines = spark.createDataFrame([(1, "Mina and reza met Bob."), (2, "Reza saw mina, minas and Mina."), (3, "Bobby and Mina"), (4, None)], "unit bigint, text string")
+    pairs = matching.relationship_seeds(lines, seeds, spark.createDataFrame([("Reza", "MINA")], "a string, b string")).collect()
+    assert sorted((r["a"], r["b"], r["n"], r["evidence"], r["approved"]) for r in pairs) == [("Bob", "Mina", 1, [1], False), ("Bob", "Reza", 1, [1], False), ("Mina", "Reza", 2, [1, 2], True)]
+    assert len({r["seed_id"] for r in pairs}) == 3 and all(r["seed_id"].startswith("seed-") for r in pairs)
+    facts = spark.createDataFrame([(1,), (2,)], "c int")
+    maps = mining.chapter_maps(facts, spark.createDataFrame([(1, 2, "B"), (1, 1, "A"), (1, 1, "A")], "c int, position int, label string"), spark.createDataFrame([], "c int, position int, label string"), ["c"])
+    assert sorted((r["c"], r["names"], r["terms"]) for r in maps.collect()) == [(1, ["A", "B"], []), (2, [], [])]
