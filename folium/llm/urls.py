@@ -18,8 +18,8 @@ BROADCAST_ROWS = 500_000
 
 
 def host_of(url: Column) -> Column:
-    """Lower-case host without user, port and final dots; '' where there is none."""
-    rest = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"^[a-z][a-z0-9+.-]*://", "")
+    """Lower-case host without user, port and final dots; '' where there is none. A scheme may be absent, with its slashes or without."""
+    rest = F.regexp_replace(F.lower(F.coalesce(url, F.lit(""))), r"^([a-z][a-z0-9+.-]*:)?//", "")
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(rest, r"[/?#].*$", ""), r"^.*@", ""), r"\.*(:[0-9]*)?$", "")
 
 
@@ -49,9 +49,11 @@ def judge(captures: DataFrame, entries: DataFrame, keys: list[str], url: str = "
     """
     rows = captures.select(*[F.col(f"`{k}`").alias(k) for k in keys], F.col(f"`{url}`").alias("url"), F.col(f"`{fetched}`").cast("date").alias("fetched")).withColumn("host", host_of(F.col("url")))
     valid = intervals(entries)
-    horizon = F.lit(captures.agg(F.max(F.col(f"`{fetched}`").cast("date"))).first()[0]).cast("date")
-    months = F.sequence(F.trunc("since", "month"), F.trunc(F.greatest(F.coalesce(F.least(F.date_sub("until", 1), horizon), horizon), F.col("since")), "month"), F.expr("interval 1 month"))
-    spread = valid.filter(F.col("since") <= horizon).select("domain", "action", "since", "until", F.explode(months).alias("month"))
+    day = F.col(f"`{fetched}`").cast("date")
+    first, last = (F.lit(x).cast("date") for x in captures.agg(F.min(day), F.max(day)).first())
+    horizon, begun = last, F.greatest("since", first)  # an interval has no rows for months before the first capture
+    months = F.sequence(F.trunc(begun, "month"), F.trunc(F.greatest(F.coalesce(F.least(F.date_sub("until", 1), horizon), horizon), begun), "month"), F.expr("interval 1 month"))
+    spread = valid.filter((F.col("since") <= horizon) & (F.col("until").isNull() | (F.col("until") > first))).select("domain", "action", "since", "until", F.explode(months).alias("month"))
     n = spread.count()
     if n <= BROADCAST_ROWS:
         spread = F.broadcast(spread)

@@ -396,3 +396,34 @@ def test_long_lists_and_tiles_of_fingerprints(spark, monkeypatch):
     for a, b in got:
         parent[max(find(a), find(b))] = min(find(a), find(b))
     assert all(find(a) == find(b) for a, b in close)
+
+
+def test_url_cases(spark):
+    """Hosts without a scheme, repeated captures, two entries on one day, old entries, and columns whose names clash."""
+    hosts = {"//Host.example/path": "host.example", "host.example:80/x": "host.example", "http://u@h.example./": "h.example", "": "", None: "", "mailto:x": "mailto:x"}
+    got = spark.createDataFrame([(u,) for u in hosts], "u string").select("u", urls.host_of(F.col("u")).alias("h")).collect()
+    assert {r["u"]: r["h"] for r in got if r["u"] != "mailto:x"} == {u: h for u, h in hosts.items() if u != "mailto:x"}
+    entries = spark.createDataFrame([("a.example", "allow", "2020-01-05"), ("a.example", "block", "2020-01-05"), ("b.example", "block", "1990-01-01"), ("b.example", "allow", "2024-02-01"), ("c.example", "block", "2031-01-01"), (None, "block", "2020-01-01")], "domain string, action string, since string")
+    rows = [(1, "//a.example/x", "2024-01-10", "d"), (1, "//a.example/x", "2024-01-10", "e"), (2, "http://w.b.example/", "2024-01-31", "d"), (3, "http://b.example/", "2024-02-01", "d"), (4, "http://c.example/", "2024-03-01", "d"), (5, None, "2024-03-01", "d"), (6, "http://a.example/", None, "d")]
+    captures = spark.createDataFrame(rows, "id int, url string, fetched string, domain string")
+    out = {r["id"]: (r["matched_domain"], r["action"], r["blocked"]) for r in urls.judge(captures, entries, ["id"]).collect()}
+    assert out == {1: ("a.example", "block", True), 2: ("b.example", "block", True), 3: ("b.example", "allow", False), 4: (None, None, False), 5: (None, None, False), 6: (None, None, False)}
+    assert urls.judge(captures, entries, ["id"]).count() == 6 and urls.judge(captures.limit(0), entries, ["id"]).count() == 0
+
+
+def test_toxic_stage_keeps_what_it_cannot_judge(spark, docs):
+    """Null and empty texts stay, repeated rows stay repeated, an empty table gives an empty result."""
+    import corpus_pipeline
+
+    odd = spark.createDataFrame([(1, None, "en", "s", 0), (2, "", "en", "s", 0), (3, "a calm day by the sea", "en", "s", 21), (3, "a calm day by the sea", "en", "s", 21)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = corpus_pipeline.drop_toxic(spark, docs.unionByName(odd.withColumn("doc_id", -F.col("doc_id"))), SF).filter("doc_id < 0")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [-3, -3, -2, -1]
+    assert corpus_pipeline.drop_toxic(spark, docs.limit(0), SF).count() == 0
+
+
+def test_the_pipeline_over_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    for name in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
