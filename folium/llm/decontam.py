@@ -108,10 +108,15 @@ def items_of(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
 
 
 def window_starts(places: Column, need: Column, length: Column, last: Column) -> Column:
-    """Starts, up to ``last``, of the windows of ``length`` shingles with ``need`` or more of the ascending ``places``."""
+    """Starts, up to ``last``, of the windows of ``length`` shingles with ``need`` or more of the ascending ``places``.
+
+    Each group of ``need`` neighbouring places admits a span of starts; as both
+    ends ascend, a span begins behind the one before, so no start is made twice.
+    """
     full = F.slice(places, 1, F.greatest(F.size(places) - need + 1, F.lit(0)))  # the first of ``need`` places each
-    spans = F.transform(full, lambda p, i: F.struct(F.greatest(F.get(places, (i + need - 1).cast("int")) - length + 1, F.lit(0)).alias("a"), F.least(p, last).alias("b")))
-    return F.array_distinct(F.flatten(F.transform(F.filter(spans, lambda s: s["a"] <= s["b"]), lambda s: F.sequence(s["a"], s["b"]))))
+    begin = lambda i: F.greatest(F.get(places, (i + need - 1).cast("int")) - length + 1, F.coalesce(F.get(full, i - 1) + 1, F.lit(0)), F.lit(0))
+    spans = F.transform(full, lambda p, i: F.struct(begin(i).alias("a"), F.least(p, last).alias("b")))
+    return F.flatten(F.transform(F.filter(spans, lambda s: s["a"] <= s["b"]), lambda s: F.sequence(s["a"], s["b"])))
 
 
 def pieces_of(starts: Column) -> Column:
