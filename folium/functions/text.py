@@ -147,8 +147,16 @@ def ngrams(words_: Column, n: int) -> Column:
 
 
 def phrase_tokens(text: Column) -> Column:
-    """Words normalised one by one: a contraction or compound stays one token."""
-    return F.filter(F.transform(words(text), normalize_case_insensitive), lambda x: x != "")
+    """Words normalised one by one: a contraction or compound stays one token, its parts joined by a space.
+
+    The whole text is mapped at once; a mark that no word has holds the place
+    of what stands inside a token until the text is split.
+    """
+    plain = F.replace(F.lower(text), F.lit("’"), F.lit("'"))
+    spelt = reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1].replace(" ", "\x01"))), CONTRACTIONS, plain)
+    mapped = F.translate(F.when(F.contains(plain, F.lit("n't")), spelt).otherwise(plain), ARABIC_LETTERS, PERSIAN_LETTERS)
+    marked = F.regexp_replace(mapped, r"(?U)[^\p{IsAlphabetic}\p{N}\s]+", "\x01")
+    return F.filter(F.transform(F.split(marked, r"(?U)\s+"), lambda x: F.translate(F.btrim(x, F.lit("\x01")), "\x01", " ")), lambda x: x != "")
 
 
 def truncate(text: Column, n: int, marker: str = "") -> Column:

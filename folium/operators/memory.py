@@ -139,9 +139,12 @@ def ranking_metrics(ranking: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     return joined.select("query_id", share(F.col("hits"), F.lit(k)).alias("precision"), share(F.col("distinct_hits"), F.col("relevant")).alias("recall"), share(F.lit(1), F.col("first")).alias("reciprocal_rank"), share(F.col("dcg"), F.col("best")).alias("ndcg"))
 
 
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two vectors of equal length; 0 where one has no length."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
     return F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))
 
 
@@ -152,15 +155,16 @@ def nearest_vectors(queries: DataFrame, base: DataFrame, k: int, id_: str = "vec
     are dealt to blocks of that size, each of which meets every row once. Each
     task keeps a partial top k, so only k rows a query and task are shuffled.
     """
-    q = queries.select(F.col(id_).alias("query"), F.col(vector).alias("qv"))
-    b = base.select(F.col(id_).alias("neighbour"), F.col(vector).alias("bv"))
+    length = F.sqrt(dot(F.col(vector), F.col(vector)))  # once a vector, not once a pair
+    q = queries.select(F.col(id_).alias("query"), F.col(vector).alias("qv"), length.alias("ql"))
+    b = base.select(F.col(id_).alias("neighbour"), F.col(vector).alias("bv"), F.explode(F.array(length)).alias("bl"))
     blocks = -(-q.count() // QUERY_ROWS)
     if blocks <= 1:
         pairs = b.join(F.broadcast(q), F.col("query") != F.col("neighbour"))
     else:
         dealt = q.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int"))
         pairs = b.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block").filter("query <> neighbour")
-    scored = pairs.select("query", "neighbour", F.round(cosine(F.col("qv"), F.col("bv")), 6).alias("cosine"))
+    scored = pairs.select("query", "neighbour", F.round(F.coalesce(F.try_divide(dot(F.col("qv"), F.col("bv")), F.col("ql") * F.col("bl")), F.lit(0.0)), 6).alias("cosine"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "neighbour"))
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 

@@ -11,6 +11,7 @@ from folium.functions import ids, scan, text
 from folium.operators import align, evaluation, ledger, matching, memory, mining, quality, review
 from folium.plans import books, recall, reports, reviews, runs, seeds, sql, views
 from folium.sources import text as source
+from folium.sources.shared import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -189,7 +190,7 @@ def answer_terms(pairs: DataFrame) -> DataFrame:
 
 
 def quality_gate(spark, d):
-    pairs = answer_pairs(spark, d).withColumn("unit_id", F.concat_ws(":", "conv_id", "turn"))
+    pairs = stored(answer_pairs(spark, d).withColumn("unit_id", F.concat_ws(":", "conv_id", "turn")))  # the terms and the gate read them
     out = quality.gate(pairs, terms=answer_terms(pairs))
     return out.select("conv_id", "turn", F.array_join("blocking", ",").alias("blocking"), F.array_join("warnings", ",").alias("warnings"), "score", "passes")
 
