@@ -150,8 +150,11 @@ def repeats(data: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarray:
     coded = code[data]
     symbol = lambda who, k: np.where(k < length[who], coded[np.maximum(offsets[who + 1] - 1 - k, 0)] if len(coded) else 0, 0).astype(np.uint8)
     who, place = np.arange(m), np.arange(m)  # strings that grow, and the place of each one's longest suffix, ascending
-    transform, common = symbol(who, 0), np.zeros(m, np.uint8)
+    # a row is a symbol of the transform with the common prefix above it, so one pass moves both; an empty row closes the table
+    table = np.zeros(m + 1, np.uint16)
+    table[:-1] = symbol(who, 0)
     for k in range(1, int(length.max(initial=0)) + 1):
+        transform = table[:-1].astype(np.uint8)
         alive = transform[place] > 0
         who, place = who[alive], place[alive]
         order = np.argsort(transform, kind="stable")
@@ -167,26 +170,26 @@ def repeats(data: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarray:
         has_before = (rank > 0) & (transform[before] == same)
         has_after = (rank + 1 < len(order)) & (transform[after] == same)
         # least common prefixes over (before, old] and (old, after]; falling places make every other pair empty
-        padded = np.append(common, 0)
         start = np.concatenate((before[has_before], old[has_after])) + 1
         stop = np.concatenate((old[has_before], after[has_after])) + 1
         falling = np.argsort(-start, kind="stable")
         pairs = np.empty(2 * len(start), np.int64)
         pairs[::2], pairs[1::2] = start[falling], stop[falling]
-        least = np.empty(len(start), np.int64)
-        least[falling] = _ranges(padded, pairs)
-        least = np.minimum(least + 1, span)
+        least = np.empty(len(start), np.uint16)
+        least[falling] = np.minimum.reduceat(table, pairs)[::2] >> 8 if len(pairs) else 0
+        least = np.minimum(least + 1, span).astype(np.uint16) << 8
         new = rank - fronts + m
         kept = np.ones(len(transform) + len(new), bool)
         kept[new] = False
-        grown, prefixes = np.empty(len(kept), np.uint8), np.empty(len(kept) + 1, np.uint8)
-        grown[kept], prefixes[:-1][kept] = transform, common
+        grown = np.zeros(len(kept) + 1, np.uint16)
+        grown[:-1][kept] = table[:-1]
         grown[new] = symbol(owner, k)
-        prefixes[new + 1] = 0
-        prefixes[new] = 0
-        prefixes[new[has_after] + 1] = least[int(has_before.sum()) :]
-        prefixes[new[has_before]] = least[: int(has_before.sum())]
-        transform, common, who, place = grown, prefixes[:-1], owner, new
+        grown[new + 1] &= 255
+        n_before = int(has_before.sum())
+        for at, value in ((new[has_after] + 1, least[n_before:]), (new[has_before], least[:n_before])):
+            grown[at] = grown[at] & 255 | value
+        table, who, place = grown, owner, new
+    transform, common = table[:-1].astype(np.uint8), table[:-1] >> 8
     equal = common >= span
     equal[:-1] |= equal[1:]
     # walk from the end of every string to its front
@@ -203,10 +206,6 @@ def repeats(data: np.ndarray, offsets: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
-def _ranges(values: np.ndarray, pairs: np.ndarray) -> np.ndarray:
-    return np.minimum.reduceat(values, pairs)[::2].astype(np.int64) if len(pairs) else np.zeros(0, np.int64)
-
-
 def classes_of(starts: np.ndarray, anchor: int, width: int, span: int) -> Iterator[tuple[int, int, int, int]]:
     """A region's spans by their distance to the anchor: first and last span of each class, and the first and last byte of its core (ends exclusive)."""
     number = (anchor - starts) // width
