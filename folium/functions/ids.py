@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,12 +58,28 @@ def file_stem(title: Column, index: Column | None = None) -> Column:
     return stem if index is None else F.concat(F.lpad(index.cast("string"), 3, "0"), F.lit("-"), stem)
 
 
+# Fields whose names tell that they hold text or secrets, and marks of secrets in a value.
+SENSITIVE_FIELDS = ("text", "content", "manuscript", "translation", "api_key", "token", "secret")
+SECRET_MARKS = ("sk-", "api_key", "secret", "token")
+
+
 def sanitize_label(label: Column) -> Column:
-    return F.left(F.regexp_replace(label, r"[^A-Za-z0-9._:/-]", ""), F.lit(64))
+    """ASCII letters, digits, underscores and hyphens, 64 at most."""
+    return F.left(F.regexp_replace(label, r"[^A-Za-z0-9_-]", ""), F.lit(64))
+
+
+def _holds_any(value: Column, marks: tuple[str, ...]) -> Column:
+    low = F.lower(F.coalesce(value, F.lit("")))
+    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(m)) for m in marks])
+
+
+def is_sensitive_field(name: Column) -> Column:
+    """Whether a field of this name may not go into telemetry."""
+    return _holds_any(name, SENSITIVE_FIELDS)
 
 
 def looks_secret(text: Column) -> Column:
-    return F.rlike(F.lower(text), F.lit(r"api[_-]?key|authorization|bearer |password|secret|token="))
+    return _holds_any(text, SECRET_MARKS)
 
 
 def confidence(evidence: Column) -> Column:

@@ -128,3 +128,30 @@ def blind_ledger_failures(ledgers: DataFrame, key: str = "review") -> DataFrame:
     pending = F.col("decision") == "pending"
     each = [("duplicate_case", first_of(key, "case_id")), ("pending_reason", ~pending | F.col("reason").isNull()), ("missing_reason", pending | given("reason"))]
     return refused([failing(ledgers, key, [-1], rules), failing(_parts(ledgers, [key], "cases"), key, [F.col("pos")], each)], key)
+
+
+# Bounds of a review record.
+REVIEWER_CHARS, NOTE_CHARS, FINDINGS, FINDING_CHARS = 200, 4_000, 16, 2_000
+
+
+def review_submission_failures(submissions: DataFrame, key: str = "submission") -> DataFrame:
+    """Reviews of a target (reviewer, note, outcome, source_chars, target_chars, findings of severity, source_start, source_end, target_start, target_end, note).
+
+    A clear target has no findings; one accepted as it is has a note or a
+    finding, but no critical one; one that needs revision has a warning or a
+    critical finding. A finding has a span inside its text or a note.
+    """
+    none = F.array().cast(submissions.schema["findings"].dataType)
+    rows = submissions.withColumn("findings", F.coalesce("findings", none))
+    n, outcome = F.size("findings"), F.col("outcome")
+    has = lambda *levels: F.exists("findings", lambda f: F.coalesce(f["severity"].isin(*levels), F.lit(False)))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    head = failing(rows, key, [-1], [
+        ("reviewer", F.length(blank("reviewer")).between(1, REVIEWER_CHARS)), ("note_length", F.length(F.coalesce("note", F.lit(""))) <= NOTE_CHARS), ("too_many_findings", n <= FINDINGS),
+        ("clear_with_findings", (outcome != "clear") | (n == 0)), ("accepted_without_reason", (outcome != "accepted_as_is") | (n > 0) | (blank("note") != "")),
+        ("accepted_critical", (outcome != "accepted_as_is") | ~has("critical")), ("revision_without_warning", (outcome != "needs_revision") | has("warning", "critical")),
+    ])
+    each = _parts(rows.withColumnRenamed("note", "whole_note"), [key, "source_chars", "target_chars"], "findings")
+    span = lambda s: F.col(f"{s}_start").isNull() | ((F.col(f"{s}_start") < F.col(f"{s}_end")) & (F.col(f"{s}_end") <= F.col(f"{s}_chars")))
+    rules = [("finding_length", F.length(F.coalesce("note", F.lit(""))) <= FINDING_CHARS), ("source_span", span("source")), ("target_span", span("target")), ("empty_finding", F.col("source_start").isNotNull() | F.col("target_start").isNotNull() | (blank("note") != ""))]
+    return refused([head, failing(each, key, [F.col("pos")], rules)], key)

@@ -239,7 +239,33 @@ SELECT conv_id, 'sha256-' || sha256(unhex(hex(encode('phase29-chapter-fingerprin
 FROM conversations GROUP BY conv_id
 """
 
-QUERIES = (corpus_failures, ledger_failures, inadmissible_reviews, blind_preferences, review_records, pilot_issues, pilot_summary, pilot_review_targets, pilot_review_summary, segment_fingerprints)
+def review_submissions(spark, d):
+    """Orders as reviews and their lines as findings, refused for their first failure."""
+    k, n = F.col("l_orderkey"), F.col("l_linenumber")
+    finding = F.struct(
+        n.alias("n"), F.col("l_partkey").alias("p"), F.element_at(F.array(F.lit("info"), F.lit("warning"), F.lit("critical"), F.lit("info")), ((k + n) % 4 + 1).cast("int")).alias("severity"), F.when(n % 3 == 1, (k % 50).cast("int")).alias("source_start"), F.when(n % 3 == 1, (k % 50 + n - 1).cast("int")).alias("source_end"),
+        F.when(n % 5 == 2, 0).alias("target_start"), F.when(n % 5 == 2, (k % 60).cast("int")).alias("target_end"), F.when((k + n) % 7 != 3, "n").alias("note"),
+    )
+    found = _read(spark, d, "lineitem").filter("l_orderkey % 3 <> 0").groupBy(k.alias("submission")).agg(F.array_sort(F.collect_list(finding)).alias("findings"))
+    o = F.col("o_orderkey")
+    rows = _read(spark, d, "orders").select(
+        o.alias("submission"), F.when(o % 31 == 1, " ").when(o % 37 == 2, F.repeat(F.lit("r"), 201)).otherwise("r").alias("reviewer"), F.when(o % 4 == 0, "").otherwise("note").alias("note"),
+        F.element_at(F.array(F.lit("clear"), F.lit("accepted_as_is"), F.lit("needs_revision")), (F.floor(o / 3) % 3 + 1).cast("int")).alias("outcome"), F.lit(45).alias("source_chars"), F.lit(50).alias("target_chars"),
+    )
+    return checks.review_submission_failures(rows.join(found, "submission", "left")).select("submission", "rule", F.get("path", F.lit(0)).alias("place"))
+
+
+SUBMISSIONS_SQL = """
+WITH f AS (SELECT l_orderkey AS k, l_linenumber AS n, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1 AS pos, ['info', 'warning', 'critical', 'info'][(l_orderkey + l_linenumber) % 4 + 1] AS severity FROM lineitem WHERE l_orderkey % 3 <> 0),
+s AS (SELECT k, count(*) AS n, bool_or(severity = 'critical') AS critical, bool_or(severity <> 'info') AS warned FROM f GROUP BY k),
+o AS (SELECT o_orderkey AS k, ['clear', 'accepted_as_is', 'needs_revision'][(o_orderkey // 3) % 3 + 1] AS outcome, coalesce(n, 0) AS n, coalesce(critical, false) AS critical, coalesce(warned, false) AS warned FROM orders LEFT JOIN s ON s.k = o_orderkey),
+a AS (SELECT k, -1 AS pos, CASE WHEN k % 31 = 1 OR k % 37 = 2 THEN 'reviewer' WHEN n > 16 THEN 'too_many_findings' WHEN outcome = 'clear' AND n > 0 THEN 'clear_with_findings' WHEN outcome = 'accepted_as_is' AND n = 0 AND k % 4 = 0 THEN 'accepted_without_reason'
+    WHEN outcome = 'accepted_as_is' AND critical THEN 'accepted_critical' WHEN outcome = 'needs_revision' AND NOT warned THEN 'revision_without_warning' END AS rule FROM o
+    UNION ALL SELECT f.k, pos, CASE WHEN f.n % 3 = 1 AND (f.n <= 1 OR f.k % 50 + f.n - 1 > 45) THEN 'source_span' WHEN f.n % 5 = 2 AND (f.k % 60 = 0 OR f.k % 60 > 50) THEN 'target_span' WHEN f.n % 3 <> 1 AND f.n % 5 <> 2 AND (f.k + f.n) % 7 = 3 THEN 'empty_finding' END FROM f)
+SELECT k AS submission, rule, pos::INT AS place FROM a WHERE rule IS NOT NULL AND k IN (SELECT k FROM o) QUALIFY row_number() OVER (PARTITION BY k ORDER BY pos) = 1
+"""
+
+QUERIES = (corpus_failures, ledger_failures, inadmissible_reviews, blind_preferences, review_records, pilot_issues, pilot_summary, pilot_review_targets, pilot_review_summary, segment_fingerprints, review_submissions)
 ORACLES = {
     "corpus_failures": CORPUS_SQL, "ledger_failures": LEDGER_SQL, "inadmissible_reviews": BLIND_SQL + " SELECT c || '-' || r AS review, rule FROM v WHERE rule IS NOT NULL",
     "blind_preferences": BLIND_SQL + " SELECT k.c AS reveal, CASE decision WHEN 'candidate_a' THEN a.a WHEN 'candidate_b' THEN a.b ELSE decision END AS preferred, count(*) AS n FROM k JOIN v ON v.c = k.c AND v.r = k.r AND v.rule IS NULL JOIN a ON a.c = k.c AND a.t = k.t GROUP BY 1, 2",
@@ -249,5 +275,5 @@ ORACLES = {
         translation_complete AND NOT coalesce(blocked, false) AND coalesce(reviewed_chapters, 0) = total_chapters AND coalesce(stale_reviews, 0) = 0 AND coalesce(attention_reviews, 0) = 0 AND NOT coalesce(unclear, false) AS review_clear
         FROM books LEFT JOIN counts USING (project) LEFT JOIN flags USING (project)""",
     "pilot_review_targets": AUDIT_SQL + " SELECT *, 'pilot-target-' || sha256('phase29-target-v1' || chr(0) || project || chr(0) || chapter_id || chr(0) || coalesce(paragraph_id, 'chapter')) AS target_id FROM targets",
-    "pilot_review_summary": STATE_SQL, "segment_fingerprints": SEGMENTS_SQL,
+    "pilot_review_summary": STATE_SQL, "segment_fingerprints": SEGMENTS_SQL, "review_submissions": SUBMISSIONS_SQL,
 }

@@ -141,7 +141,7 @@ def identifiers(spark, d):
     p = _read(spark, d, "part")
     label = F.element_at(F.array(F.lit("[para-"), F.lit("paragraph-"), F.lit("para ")), (F.pmod("p_partkey", F.lit(3)) + 1).cast("int"))
     name = F.concat(label, F.pmod("p_partkey", F.lit(4)).cast("string"), F.when(F.col("p_partkey") % 3 == 0, "]").otherwise(""))
-    return p.select("p_partkey", ids.ordinal(name).alias("ordinal"), ids.file_stem(F.col("p_name"), F.col("p_partkey") % 1000).alias("stem"), ids.sanitize_label(F.col("p_type")).alias("label"), ids.looks_secret(F.concat(F.lit("Pass"), "p_name")).alias("secret"), ids.is_sha256_hex(F.when(F.col("p_partkey") % 2 == 0, F.sha2("p_name", 256)).otherwise(F.col("p_name"))).alias("digest"), ids.confidence(F.pmod("p_partkey", F.lit(7))).alias("confidence"))
+    return p.select("p_partkey", ids.ordinal(name).alias("ordinal"), ids.file_stem(F.col("p_name"), F.col("p_partkey") % 1000).alias("stem"), ids.sanitize_label(F.col("p_type")).alias("label"), ids.looks_secret(F.concat(F.element_at(F.array(F.lit("SK-"), F.lit("task"), F.lit("Token "), F.lit("sk ")), (F.col("p_partkey") % 4 + 1).cast("int")), "p_name")).alias("secret"), ids.is_sensitive_field(F.concat(F.element_at(F.array(F.lit("ConText"), F.lit("name"), F.lit("Translation_id")), (F.col("p_partkey") % 3 + 1).cast("int")), "p_brand")).alias("sensitive"), ids.is_sha256_hex(F.when(F.col("p_partkey") % 2 == 0, F.sha2("p_name", 256)).otherwise(F.col("p_name"))).alias("digest"), ids.confidence(F.pmod("p_partkey", F.lit(7))).alias("confidence"))
 
 
 def first_proposals(spark, d):
@@ -212,7 +212,7 @@ ORACLES = {
     "hybrid_retrieval": f"WITH {HYBRID} SELECT * FROM hybrid",
     "memory_contexts": f"WITH {HYBRID}, l AS (SELECT query_id, string_agg(text || ' => ' || text, chr(10) ORDER BY rank) AS c FROM hybrid JOIN benchmark ON entry_id = item_id GROUP BY 1) SELECT query_id, sha256(c) AS context_sha, length(c)::INT AS n_chars FROM l",
     "identifiers": """SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 AND p_partkey % 4 > 0 THEN 'para-' || p_partkey % 4 END AS ordinal, lpad((p_partkey % 1000)::VARCHAR, 3, '0') || '-' || trim(regexp_replace(p_name, '[^\\p{L}\\p{N}]+', '_', 'g'), '_') AS stem,
-        left(regexp_replace(p_type, '[^A-Za-z0-9._:/-]', '', 'g'), 64) AS label, regexp_matches(lower('Pass' || p_name), 'api[_-]?key|authorization|bearer |password|secret|token=') AS secret, p_partkey % 2 = 0 AS digest, CASE WHEN p_partkey % 7 >= 5 THEN 'high' WHEN p_partkey % 7 >= 2 THEN 'moderate' ELSE 'low' END AS confidence FROM part""",
+        left(regexp_replace(p_type, '[^A-Za-z0-9_-]', '', 'g'), 64) AS label, p_partkey % 4 IN (0, 2) AS secret, p_partkey % 3 IN (0, 2) AS sensitive, p_partkey % 2 = 0 AS digest, CASE WHEN p_partkey % 7 >= 5 THEN 'high' WHEN p_partkey % 7 >= 2 THEN 'moderate' ELSE 'low' END AS confidence FROM part""",
     "first_proposals": "SELECT o_orderkey, o_custkey, o_orderdate, (o_orderkey % 2)::INT AS part FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderdate ORDER BY o_orderkey % 2, o_orderkey) = 1",
     "merged_notes": "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN s_name ELSE 'new' END AS note FROM supplier",
     "review_summary": f"""WITH r AS ({sql.ORACLES['ledger_reconcile']}) SELECT kind, count(*) AS items, count(*) FILTER (availability = 'active' AND status = 'pending') AS "open", count(*) FILTER (availability = 'obsolete') AS obsolete, round(avg((status <> 'pending')::INT::DOUBLE), 6) AS decided FROM r GROUP BY 1""",

@@ -95,3 +95,9 @@ def test_passages_end_behind_breaks_and_sentences(spark):
     assert split("One two three four five.Six", 24) == ["One two three four five.", "Six"]  # a whole window that ends a sentence
     assert split("Aaaa bbbb cccc (dd.) eeee ffff", 25) == ["Aaaa bbbb cccc (dd.) ", "eeee ffff"]
     assert split("Aa. bbbb cccc dddd eeee ffff", 20) == ["Aa. bbbb cccc dddd ", "eeee ffff"]  # too early a sentence doesn't count
+
+
+def test_labels_and_secrets(spark):
+    assert one(spark, ids.sanitize_label, "a.b:c/d é_-" + "x" * 80) == ("abcd_-" + "x" * 80)[:64]
+    assert [one(spark, ids.looks_secret, v) for v in ("SK-1", "my API_KEY", "tokens", "task", "", None)] == [True, True, True, False, False, False]
+    assert [one(spark, ids.is_sensitive_field, v) for v in ("source_TEXT", "contents", "model", None)] == [True, True, False, False]
