@@ -289,8 +289,38 @@ QUERIES = (
     manuscript_metadata, manuscript_blocks, manuscript_chapters, manuscript_book, manuscript_paragraphs, epub_round_trip, epub_facts, docx_round_trip, chapter_evidence, chapter_packets, candidate_fingerprints, packet_fingerprints,
     seed_conflicts, initialization_proposal, governance_blocks, persian_polish, persian_typography, embedding_alignment, chrf_scores,
 )
+#: Lines of documents in blocks; sections without a paragraph are no chapters.
+SECTIONS_SQL = """
+WITH l AS (SELECT doc_id, unnest(range(len(a))) AS pos, trim(unnest(a), ' ') AS t FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS a FROM documents)),
+k AS (SELECT *, CASE WHEN t = '' THEN 'blank' WHEN t IN ('***', '---', '* * *') THEN 'scene_break' WHEN regexp_matches(t, '^#{1,6} ') OR (strlen(t) <= 120 AND regexp_matches(t, '^(?i:chapter|part|book) |^(فصل|بخش) ')) THEN 'heading' ELSE 'paragraph' END AS kind FROM l),
+g AS (SELECT *, sum((kind <> 'paragraph' OR coalesce(prev, 'blank') <> 'paragraph')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS part, sum((kind = 'heading')::INT) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM (SELECT *, lag(kind) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM k)),
+p AS (SELECT doc_id, section, part, sum(length(t)) + count(*) - 1 AS n FROM g WHERE kind = 'paragraph' GROUP BY ALL)
+SELECT doc_id, count(DISTINCT section)::INT AS chapters, count(*) AS paragraphs, sum(n)::BIGINT AS n_chars FROM p GROUP BY doc_id
+"""
+
+#: Quotes by marks and by lines that a dash begins, over whole documents.
+QUOTED_SQL = """
+WITH par AS (SELECT doc_id, text AS t FROM documents WHERE regexp_matches(text, '["“”‘’«»—]')),
+ch AS (SELECT doc_id, unnest(range(length(t))) AS i, unnest(string_split(t, '')) AS c FROM par),
+even AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM ch WHERE c = '"'),
+marks(style, rank, o, e) AS (VALUES ('curly_double', 2, '“', '”'), ('curly_single', 3, '‘', '’'), ('guillemets', 4, '«', '»')),
+ends AS (SELECT style, rank, doc_id, i, coalesce(lag(i) OVER (PARTITION BY style, doc_id ORDER BY i), -1) AS before FROM ch JOIN marks ON c = e),
+begins AS (SELECT style, doc_id, i FROM ch JOIN marks ON c = o),
+paired AS (SELECT x.doc_id, x.i + 1 AS qs, y.i AS qe, 'straight_double' AS style, 1 AS rank FROM even x JOIN even y ON x.doc_id = y.doc_id AND y.r = x.r + 1 AND x.r % 2 = 1
+    UNION ALL SELECT e.doc_id, min(b.i) + 1, e.i, e.style, e.rank FROM ends e JOIN begins b ON b.style = e.style AND b.doc_id = e.doc_id AND b.i > e.before AND b.i < e.i GROUP BY e.doc_id, e.i, e.style, e.rank),
+lines AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ls FROM (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS k FROM (SELECT doc_id, string_split(t, chr(10)) AS a FROM par))),
+dashes AS (SELECT doc_id, ls + length(line) - length(regexp_replace(line, '^\\s*—\\s*', '')) AS qs, ls + length(line) AS qe, 'leading_dash' AS style, 5 AS rank FROM lines l WHERE regexp_matches(line, '^\\s*—\\s*\\S') AND NOT EXISTS (SELECT 1 FROM paired p WHERE p.doc_id = l.doc_id AND p.qs >= l.ls AND p.qe <= l.ls + length(l.line))),
+once AS (SELECT * FROM (SELECT * FROM paired UNION ALL SELECT * FROM dashes) QUALIFY row_number() OVER (PARTITION BY doc_id, qs, qe ORDER BY rank) = 1)
+SELECT doc_id, qs::INT AS start, qe::INT AS "end", style, t[qs + 1 : qe] AS quote FROM once JOIN par USING (doc_id)
+"""
+
+#: 64-bit FNV-1a over the UTF-8 bytes, in 128-bit integers.
+FNV_SQL = """
+SELECT item_id, lpad(lower(to_hex((list_reduce(list_prepend(14695981039346656037::HUGEINT, list_transform(range(strlen(text)), lambda i: ('0x' || hex(encode(text))[2 * i + 1 : 2 * i + 2])::INT::HUGEINT)), lambda a, b: (xor(a, b) * 1099511628211) % 18446744073709551616))::UBIGINT)), 16, '0') AS fnv FROM benchmark
+"""
+
 ORACLES = {
-    "manuscript_metadata": MANUSCRIPT_SQL + " SELECT DISTINCT doc_id, 'Conversation ' || doc_id AS title, 'A. Writer' AS author, 2 AS entries FROM m",
+    "document_segments": SECTIONS_SQL, "quoted_spans": QUOTED_SQL, "fnv_fingerprint": FNV_SQL, "manuscript_metadata": MANUSCRIPT_SQL + " SELECT DISTINCT doc_id, 'Conversation ' || doc_id AS title, 'A. Writer' AS author, 2 AS entries FROM m",
     "manuscript_blocks": MANUSCRIPT_SQL + " SELECT * FROM par", "manuscript_chapters": MANUSCRIPT_SQL + " SELECT *, strlen(content)::BIGINT AS n_bytes FROM chap",
     "manuscript_book": MANUSCRIPT_SQL + " SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chapter, scene, paragraph)::INT AS position, kind, text FROM flat",
     "manuscript_paragraphs": MANUSCRIPT_SQL + """, b AS (SELECT doc_id, -2 AS turn, 0 AS o, '--- title: "Conversation ' || doc_id || '" Author: A. Writer --- Before it all.' AS paragraph FROM (SELECT DISTINCT doc_id FROM m)
