@@ -67,8 +67,9 @@ def merge_short_names(names: DataFrame) -> DataFrame:
     several longer names, or in none, stays a name of its own.
     """
     long_ = names.filter(F.contains("name", F.lit(" "))).select(F.col("name").alias("full"), F.explode(F.array_distinct(F.split("name", " "))).alias("name"))
-    single = names.filter(~F.contains("name", F.lit(" "))).join(long_, "name").groupBy("name").agg(F.count(F.lit(1)).alias("hits"), F.min("full").alias("full"))
-    mapped = names.join(single.filter("hits = 1").select("name", "full"), "name", "left")
+    # words are counted before the join, so a word of very many names is one row there
+    only = long_.groupBy("name").agg(F.count(F.lit(1)).alias("hits"), F.min("full").alias("full")).filter("hits = 1")
+    mapped = names.join(only.select("name", "full"), "name", "left")
     root = F.coalesce("full", "name")
     return mapped.groupBy(root.alias("name")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_set(F.when(F.col("full").isNotNull(), F.col("name")))).alias("aliases"))
 

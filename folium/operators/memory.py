@@ -59,28 +59,27 @@ def score_memory(queries: DataFrame, memory: DataFrame, query_id: str = "query_i
 def rank_memory(scored: DataFrame, most: int = 6, diversity: float = 0.82) -> DataFrame:
     """(query_id, rank, entry_id, score): the best entries of each query, without repeated translations or near-equal sources.
 
-    Entries stand by score, then shorter source, then id; all of each query are
-    folded in that order, keeping one unless its translation or a source at
-    least ``diversity`` similar was kept (1.0: no source test). Of entries with
-    equal source and translation only the first can be kept, so copies are
-    collapsed before the fold.
+    Entries stand by score, then shorter source, then id; in that order one is
+    kept unless its translation or a source at least ``diversity`` similar was
+    kept (1.0: no source test). Of entries with equal source and translation
+    only the first can be kept, so copies are collapsed first. The i-th kept
+    one then drops what repeats it, for i below ``most``: windows over one
+    sorted exchange, which spill, and no list of a query's entries.
     """
     item = F.struct((-F.col("score")).alias("down"), F.octet_length("source").alias("length"), "entry_id", "score", "s", "t")
     whole = scored.withColumn("s", normalize(F.col("source"))).withColumn("t", normalize(F.col("translation")))
     # blank translations never repeat one another, so those entries stay apart
     apart = F.when(F.coalesce(F.col("t"), F.lit("")) == "", F.col("entry_id"))
-    first = whole.groupBy("query_id", "s", "t", apart.alias("apart")).agg(F.min(item).alias("x"))
-    item = F.col("x")
-    lists = first.groupBy("query_id").agg(F.array_sort(F.collect_list(item)).alias("items"))
-    none = F.filter("items", lambda x: F.lit(False))
-
-    def keep(acc: Column, x: Column) -> Column:
-        near = F.exists(acc, lambda y: similarity_normalized(x["s"], y["s"]) >= diversity) if diversity < 1 else F.lit(False)
-        known = (x["t"] != "") & F.exists(acc, lambda y: y["t"] == x["t"])
-        return F.when((F.size(acc) >= most) | known | near, acc).otherwise(F.concat(acc, F.array(x)))
-
-    kept = lists.select("query_id", F.posexplode(F.aggregate("items", none, keep)).alias("i", "e"))
-    return kept.select("query_id", (F.col("i") + 1).alias("rank"), "e.entry_id", "e.score")
+    left = whole.groupBy("query_id", "s", "t", apart.alias("apart")).agg(F.min(item).alias("x")).select("query_id", "x")
+    w = Window.partitionBy("query_id").orderBy("x")
+    for i in range(1, most):
+        # rows up to the i-th kept one are kept themselves and see no i-th value before them
+        left = left.withColumns({"r": F.row_number().over(w), "y": F.nth_value("x", i).over(w)})
+        repeats = (F.col("x.t") != "") & (F.col("y.t") == F.col("x.t"))
+        if diversity < 1:
+            repeats = repeats | (similarity_normalized(F.col("x.s"), F.col("y.s")) >= diversity)
+        left = left.filter((F.col("r") <= i) | ~F.coalesce(repeats, F.lit(False))).select("query_id", "x")
+    return left.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).select("query_id", "rank", "x.entry_id", "x.score")
 
 
 def hybrid_candidates(scored: DataFrame, semantic: DataFrame, pool: int = 512, most: int = 6) -> DataFrame:

@@ -79,12 +79,25 @@ def typography_findings(rows: DataFrame, unit: str = "unit_id", text: str = "tar
     return found.groupBy("unit_id", "kind").agg(F.count(F.lit(1)).alias("n"), F.min("char_index").alias("first_index"), F.min_by("suggestion", "char_index").alias("suggestion"))
 
 
-def audit_consistency(observations: DataFrame, key: str, value: str, location: str, evidence: int = 20) -> DataFrame:
-    """(key, variants, n, locations, stable): groups of observations by trimmed lower-case key and their normalised values."""
+def observed_values(observations: DataFrame, key: str, value: str, location: str) -> DataFrame:
+    """(key, value, n, first): one row for each trimmed lower-case key and normalised value (null: empty); null keys are left out."""
     rows = observations.select(F.lower(F.trim(F.col(key))).alias("key"), normalize_case_insensitive(F.coalesce(F.col(value), F.lit(""))).alias("value"), F.col(location).alias("location")).filter("key IS NOT NULL")
-    by_value = rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("c"), F.min("location").alias("first"))
-    out = by_value.groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("variants"), F.sum("c").alias("n"), F.slice(F.array_sort(F.collect_list("first")), 1, evidence).alias("locations"))
-    return out.withColumn("stable", F.size("variants") <= 1)
+    return rows.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"), F.min("location").alias("first"))
+
+
+def audit_consistency(observations: DataFrame, key: str, value: str, location: str, evidence: int = 20, listed: int = 1000) -> DataFrame:
+    """(key, variants, n, locations, n_variants, stable): groups of observations by key and their normalised values.
+
+    ``variants`` lists the first ``listed`` values in order, ``locations`` the
+    first ``evidence`` first locations; ``observed_values`` has every value of
+    every key as a row, so no key's values have to fit in one row.
+    """
+    values = observed_values(observations, key, value, location)
+    totals = values.groupBy("key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_variants"))
+    nth = lambda by: F.row_number().over(Window.partitionBy("key").orderBy(*by))
+    names = values.select("key", "value", nth(["value"]).alias("r")).filter(F.col("r") <= listed).groupBy("key").agg(F.array_sort(F.collect_list("value")).alias("variants"))
+    places = values.select("key", "first", nth([F.asc_nulls_last("first"), "value"]).alias("r")).filter(F.col("r") <= evidence).groupBy("key").agg(F.array_sort(F.collect_list("first")).alias("locations"))
+    return totals.join(names, "key").join(places, "key").select("key", "variants", "n", "locations", "n_variants", (F.col("n_variants") <= 1).alias("stable"))
 
 
 def consistency_score(audit: DataFrame) -> DataFrame:
@@ -92,11 +105,18 @@ def consistency_score(audit: DataFrame) -> DataFrame:
     return audit.agg(F.coalesce(F.round(F.avg(F.col("stable").cast("double")), 6), F.lit(1.0)).alias("score"), F.count_if("stable").alias("stable_groups"), F.count_if(~F.col("stable")).alias("conflicts"))
 
 
-def term_conflicts(glossary: DataFrame, term: str = "source_term", translation: str = "preferred_translation") -> DataFrame:
-    """(term, translation, alternatives): terms with more than one translation, one row for each."""
+def term_conflicts(glossary: DataFrame, term: str = "source_term", translation: str = "preferred_translation", listed: int = 1000) -> DataFrame:
+    """(term, translation, alternatives, n_alternatives): terms with more than one translation, one row for each.
+
+    ``alternatives`` holds the first ``listed`` other translations in order;
+    all of them are rows of the same term.
+    """
     rows = glossary.select(normalize_case_insensitive(F.col(term)).alias("term"), F.col(translation).alias("translation")).dropna().distinct()
-    lists = rows.groupBy("term").agg(F.array_sort(F.collect_set("translation")).alias("all")).filter(F.size("all") > 1)
-    return lists.select("term", F.explode("all").alias("translation"), "all").select("term", "translation", F.array_except("all", F.array("translation")).alias("alternatives"))
+    several = rows.groupBy("term").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
+    nth = F.row_number().over(Window.partitionBy("term").orderBy("translation"))
+    heads = rows.withColumn("r", nth).filter(F.col("r") <= listed + 1).groupBy("term").agg(F.array_sort(F.collect_list("translation")).alias("all"))
+    others = F.slice(F.array_except("all", F.array("translation")), 1, listed)
+    return rows.join(several.join(heads, "term"), "term").select("term", "translation", others.alias("alternatives"), (F.col("c") - 1).alias("n_alternatives"))
 
 
 def memory_conflicts(memory: DataFrame, position: str, source: str = "source", translation: str = "translation") -> DataFrame:

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from folium.functions import text
 from folium.operators import align, evaluation, ledger, matching, memory, mining, quality, review
 from folium.sources import packages
 from folium.sources import text as source
@@ -278,3 +279,36 @@ def test_files_that_cannot_be_read_have_error_rows(spark, tmp_path, monkeypatch)
 
     out = pd.concat(packages._members(iter([pd.DataFrame({"path": ["d", "e"], "content": [(tmp_path / "d.docx").read_bytes(), b"no archive"]})])))
     assert sorted(out["error"].dropna()) == ["corrupt_archive", "member_too_large:big.xml"] and list(out["member"].dropna()) == ["small.xml"]
+
+
+def test_ranking_keeps_what_a_fold_over_the_entries_keeps(spark):
+    words = ["sea", "calm", "night", "horse", "run", "hill"]
+    entries = [(q, e, " ".join(words[(e * k + q) % 6] for k in (1, 2, 3, 5)), [None, "", "A", "B", "C", f"t{e % 7}"][(e * 5 + q) % 6], 1.0 - (e * 7 % 10) / 10) for q in range(4) for e in range(60)]
+    scored = spark.createDataFrame(entries, "query_id int, entry_id int, source string, translation string, score double")
+    sources = spark.createDataFrame([(x, y) for x in {e[2] for e in entries} for y in {e[2] for e in entries}], "a string, b string")
+    near = {(r["a"], r["b"]) for r in sources.filter(text.similarity_normalized(F.col("a"), F.col("b")) >= 0.82).collect()}
+    due = []
+    for q in range(4):
+        kept = []
+        for e in sorted((e for e in entries if e[0] == q), key=lambda e: (-e[4], len(e[2]), e[1])):
+            if len(kept) < 6 and not any((e[3] and k[3] and e[3].lower() == k[3].lower()) or (k[2], e[2]) in near for k in kept):
+                kept.append(e)
+        due += [(q, i + 1, e[1]) for i, e in enumerate(kept)]
+    assert sorted(tuple(r)[:3] for r in memory.rank_memory(scored).collect()) == due
+
+
+def test_lists_of_values_are_bounded_and_rows_whole(spark):
+    seen = spark.range(50).selectExpr("if(id < 45, ' Hot', 'cold') AS k", "if(id < 45, concat('v', id), 'same') AS v", "if(id % 2 = 0, id, null) AS at")
+    out = {r["key"]: r for r in quality.audit_consistency(seen, "k", "v", "at", evidence=3, listed=4).collect()}
+    assert (out["hot"]["variants"], out["hot"]["n"], out["hot"]["n_variants"], out["hot"]["locations"], out["hot"]["stable"]) == (["v0", "v1", "v10", "v11"], 45, 45, [0, 2, 4], False)
+    assert (out["cold"]["variants"], out["cold"]["n"], out["cold"]["n_variants"], out["cold"]["locations"], out["cold"]["stable"]) == (["same"], 5, 1, [46], True)
+    assert quality.observed_values(seen, "k", "v", "at").count() == 46
+    found = quality.term_conflicts(seen, "k", "v", listed=2).collect()
+    assert len(found) == 45 and {r["n_alternatives"] for r in found} == {44}
+    assert {r["translation"]: r["alternatives"] for r in found}["v0"] == ["v1", "v10"] and {r["translation"]: r["alternatives"] for r in found}["v9"] == ["v0", "v1"]
+
+
+def test_a_word_of_many_names_stays_a_name(spark):
+    names = spark.createDataFrame([(f"lady n{i}", 1) for i in range(200)] + [("lady", 9), ("n7", 3), ("alone", 2)], "name string, n int")
+    out = {r["name"]: (r["n"], r["aliases"]) for r in matching.merge_short_names(names).collect()}
+    assert out["lady"] == (9, []) and out["lady n7"] == (4, ["n7"]) and out["alone"] == (2, []) and len(out) == 202
