@@ -65,6 +65,19 @@ def epub_facts(spark, d):
     return packages.epub_metadata(archive).join(pages, "path").select("path", "title", "creator", "language", F.length("identifier").alias("identifier_chars"), "pages", "last_page")
 
 
+def package_entries(spark, d):
+    """Package files made of documents (text as description, language and source as subjects, every third an archived work), merged into what is known of them."""
+    t, n = F.coalesce("text", F.lit("")), F.col("doc_id").cast("string")
+    escaped = F.replace(F.replace(F.replace(t, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    origin = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("see https://WWW.archiveofourown.org/works/00"), n, F.lit("/chapters/1"))).otherwise("mirror-archiveofourown.org/works/7")
+    xml = F.concat(F.lit('<package><metadata><dc:identifier id="a">urn:doc:'), n, F.lit("</dc:identifier><dc:source>"), origin, F.lit("</dc:source><source/><dc:date> 2001 </dc:date><dc:description>"), escaped, F.lit("</dc:description><subject>"), F.col("source"), F.lit("</subject><dc:subject>"), F.col("lang"), F.lit("</dc:subject><subject>\n"), F.col("lang"), F.lit("</subject></metadata></package>"))
+    known = F.when(F.col("doc_id") % 2 == 0, F.create_map(F.lit("epub_date"), F.lit("1999"), F.lit("source_url"), F.lit("local")))
+    m = packages.merge_package_metadata(known, xml)
+    rows = _read(spark, d, "documents").select("doc_id", m.alias("m"))
+    value = lambda k: F.try_element_at("m", F.lit(k))
+    return rows.select("doc_id", F.size("m").alias("entries"), F.sha2(value("epub_description"), 256).alias("description_sha"), *[value(k).alias(k) for k in ("epub_identifier", "epub_date", "epub_subjects", "source_site", "source_url", "ao3_work_id")])
+
+
 def docx_round_trip(spark, d):
     """Books written as DOCX packages and read again."""
     return packages.docx_blocks(_packed(packages.docx_books(manuscript_chapters(spark, d), "en")))
@@ -286,9 +299,10 @@ SELECT conv_id, turn, coalesce(round(100.0 * avg(f), 6), 0.0) AS chrf FROM p LEF
 """
 
 QUERIES = (
-    manuscript_metadata, manuscript_blocks, manuscript_chapters, manuscript_book, manuscript_paragraphs, epub_round_trip, epub_facts, docx_round_trip, chapter_evidence, chapter_packets, candidate_fingerprints, packet_fingerprints,
+    manuscript_metadata, manuscript_blocks, manuscript_chapters, manuscript_book, manuscript_paragraphs, epub_round_trip, epub_facts, package_entries, docx_round_trip, chapter_evidence, chapter_packets, candidate_fingerprints, packet_fingerprints,
     seed_conflicts, initialization_proposal, governance_blocks, persian_polish, persian_typography, embedding_alignment, chrf_scores,
 )
+
 #: Lines of documents in blocks; sections without a paragraph are no chapters.
 SECTIONS_SQL = """
 WITH l AS (SELECT doc_id, unnest(range(len(a))) AS pos, trim(unnest(a), ' ') AS t FROM (SELECT doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) AS a FROM documents)),
@@ -328,6 +342,10 @@ ORACLES = {
         SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY turn, o) - 1)::INT AS pos, paragraph FROM b""",
     "epub_round_trip": MANUSCRIPT_SQL + " SELECT doc_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chapter, scene, paragraph)::INT AS block, CASE WHEN kind = 'heading' THEN 'heading' ELSE 'paragraph' END AS kind, (kind = 'heading')::INT AS level, text FROM flat",
     "epub_facts": MANUSCRIPT_SQL + " SELECT doc_id::VARCHAR AS path, doc_id::VARCHAR AS title, 'A. Writer' AS creator, 'en' AS language, 75 AS identifier_chars, count(*) AS pages, 'OEBPS/text/chapter-' || lpad(count(*)::VARCHAR, 5, '0') || '.xhtml' AS last_page FROM chap GROUP BY doc_id",
+    "package_entries": """
+        WITH x AS (SELECT doc_id, left(trim(regexp_replace(coalesce(text, ''), '[\\s\\v\\x{85}\\p{Z}]+', ' ', 'g'), ' '), 16384) AS body, CASE WHEN doc_id % 3 = 0 THEN doc_id::VARCHAR END AS work, lang, source FROM documents)
+        SELECT doc_id, (4 + (body <> '')::INT + 3 * (work IS NOT NULL)::INT + (work IS NULL AND doc_id % 2 = 0)::INT)::INT AS entries, sha256(nullif(body, '')) AS description_sha, 'urn:doc:' || doc_id AS epub_identifier, CASE WHEN doc_id % 2 = 0 THEN '1999' ELSE '2001' END AS epub_date,
+            CASE WHEN lang = source THEN lang ELSE lang || ' | ' || source END AS epub_subjects, CASE WHEN work IS NOT NULL THEN 'archiveofourown.org' END AS source_site, CASE WHEN work IS NOT NULL THEN 'https://archiveofourown.org/works/' || work WHEN doc_id % 2 = 0 THEN 'local' END AS source_url, work AS ao3_work_id FROM x""",
     "docx_round_trip": MANUSCRIPT_SQL + ", x AS (SELECT * FROM flat UNION ALL SELECT DISTINCT doc_id, -1, 0, 0, 'title', doc_id::VARCHAR FROM m) SELECT doc_id::VARCHAR AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY chapter, scene, paragraph)::INT AS block, CASE WHEN kind = 'heading' THEN 'heading' ELSE 'paragraph' END AS kind, (kind = 'heading')::INT AS level, text FROM x",
     "chapter_evidence": EVIDENCE_SQL + " SELECT unit_id, id, kind, authority, sha256(text) AS text_sha, relevance, evidence FROM cand", "chapter_packets": PACKETS_SQL + " SELECT * FROM packed",
     "candidate_fingerprints": EVIDENCE_SQL + " SELECT unit_id, sha256(string_agg(sha256(id || chr(31) || kind || chr(31) || authority || chr(31) || trim(text) || chr(31) || reason || chr(31) || printf('%.6f', relevance) || chr(31) || evidence), chr(30) ORDER BY id, kind)) AS fingerprint FROM cand GROUP BY unit_id",

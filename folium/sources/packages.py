@@ -14,15 +14,19 @@ from html import escape
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folium.sources.text import archive_path, html_text
+from folium.sources.text import archive_path, entities, html_text, work_id
 
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # Languages written from right to left.
 RIGHT_TO_LEFT = ("fa", "ar", "he", "ur", "ps", "ckb")
 MEMBER_BYTES = 64 << 20
+# Elements of a package's metadata, and limits of what is taken over.
+PACKAGE_ELEMENTS = ("identifier", "publisher", "source", "description", "rights", "date")
+METADATA_CHARS = 16_384
+SUBJECTS = 256
 
 
 def _members(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -64,6 +68,32 @@ def epub_metadata(archive: DataFrame) -> DataFrame:
     return archive.filter(F.endswith("member", F.lit(".opf"))).select("path", *[value(n) for n in ("title", "creator", "language", "identifier", "source")])
 
 
+def element_texts(xml: Column, name: str) -> Column:
+    """Distinct non-empty texts of an element, those with the ``dc`` prefix first: entities decoded, white space collapsed, cut at ``METADATA_CHARS``."""
+    bodies = lambda tag: F.regexp_extract_all(xml, F.lit(rf"(?s)<{tag}(?:\s(?:[^>]*[^>/])?)?>(.*?)</{tag}>"), 1)
+    cleaned = F.transform(F.concat(bodies(f"dc:{name}"), bodies(name)), lambda x: F.left(F.trim(F.regexp_replace(entities(x), r"(?U)\s+", " ")), F.lit(METADATA_CHARS)))
+    return F.array_distinct(F.filter(cleaned, lambda x: x != ""))
+
+
+def merge_package_metadata(known: Column, xml: Column) -> Column:
+    """``known`` (map, or null) with what a package file says: the first text of each of ``PACKAGE_ELEMENTS``, and the subjects.
+
+    Known entries stay, but for the origin (source_site, source_url,
+    ao3_work_id), which an identifier or source with the address of an
+    archived work sets. A null package adds nothing.
+    """
+    body = F.coalesce(xml, F.lit(""))
+    first = [(f"epub_{name}", F.get(element_texts(body, name), 0)) for name in PACKAGE_ELEMENTS]
+    subjects = F.nullif(F.left(F.array_join(F.slice(element_texts(body, "subject"), 1, SUBJECTS), " | "), F.lit(METADATA_CHARS)), F.lit(""))
+    work = F.get(F.filter(F.transform(F.concat(element_texts(body, "identifier"), element_texts(body, "source")), lambda x: work_id(x)), lambda x: x.isNotNull()), 0)
+    origin = [("source_site", F.when(work.isNotNull(), "archiveofourown.org")), ("source_url", F.concat(F.lit("https://archiveofourown.org/works/"), work)), ("ao3_work_id", work)]
+    entry = lambda pairs: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]), lambda x: x["value"].isNotNull()))
+    had = F.coalesce(known, F.create_map().cast("map<string,string>"))
+    without = lambda m, other: F.map_filter(m, lambda k, v: ~F.map_contains_key(other, k))
+    found, place = entry([*first, ("epub_subjects", subjects)]), entry(origin)
+    return F.map_concat(without(had, place), without(found, had), place)
+
+
 def epub_blocks(archive: DataFrame) -> DataFrame:
     """(doc_id, block, kind, level, text) in spine order; a resource without a heading at its start gets one from its name.
 

@@ -11,10 +11,11 @@ from folium.functions.text import is_chapter_heading, unix_lines
 
 #: Largest input file that is read.
 MAX_FILE_BYTES = 3 << 30
-# File suffixes and their formats; lines that part scenes; entities, the ampersand last.
+# File suffixes and their formats; lines that part scenes; entities, the ampersand last; hosts of archived works.
 FORMATS = {"pdf": "pdf", "epub": "epub", "docx": "docx", "txt": "text", "md": "markdown", "markdown": "markdown"}
 SCENE_BREAKS = ("***", "---", "* * *")
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+ENTITIES = (("&nbsp;", " "), ("&#160;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&amp;", "&"))
+WORK_HOSTS = ("archiveofourown.org", "archiveofourown.com", "archiveofourown.net", "www.archiveofourown.org", "www.archiveofourown.com", "www.archiveofourown.net", "download.archiveofourown.org", "ao3.org", "www.ao3.org")
 
 
 def format_of(path: Column) -> Column:
@@ -117,15 +118,20 @@ def html_text(html: Column) -> Column:
     """Text of a page: block tags become line ends, other tags vanish, entities are decoded, spaces and blank runs collapse."""
     t = F.regexp_replace(html, r"(?i)</?(p|div|br|h[1-6]|li)(\s[^>]*)?/?>", "\n")
     t = F.regexp_replace(t, r"<[^>]*>", "")
-    t = reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, t)
+    t = entities(t)
     lines = F.transform(F.split(t, "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
     return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 def work_id(*sources: Column) -> Column:
-    """Number of an archived work from the first source whose URL names one, without leading zeros."""
-    pattern = r"(?:^|//)(?:(?:www\.|download\.)?archiveofourown\.(?:org|com|net)|(?:www\.)?ao3\.org)/works/0*(\d+)"
-    return F.coalesce(*[F.nullif(F.regexp_extract(F.lower(s), pattern, 1), F.lit("")) for s in sources])
+    """Number of an archived work from the first source whose URL names one, without leading zeros; hosts in the order of ``WORK_HOSTS``."""
+    number = lambda s, host: F.nullif(F.regexp_extract(F.lower(s), rf"(?:^|//){host.replace('.', '[.]')}/works/0*([0-9]+)", 1), F.lit(""))
+    return F.coalesce(*[number(s, host) for s in sources for host in WORK_HOSTS])
+
+
+def entities(t: Column) -> Column:
+    """``t`` with the entities of ``ENTITIES`` decoded."""
+    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, t)
 
 
 def archive_path(base: Column, href: Column) -> Column:

@@ -312,3 +312,14 @@ def test_a_word_of_many_names_stays_a_name(spark):
     names = spark.createDataFrame([(f"lady n{i}", 1) for i in range(200)] + [("lady", 9), ("n7", 3), ("alone", 2)], "name string, n int")
     out = {r["name"]: (r["n"], r["aliases"]) for r in matching.merge_short_names(names).collect()}
     assert out["lady"] == (9, []) and out["lady n7"] == (4, ["n7"]) and out["alone"] == (2, []) and len(out) == 202
+
+
+def test_package_metadata_joins_what_is_known(spark):
+    xml = '<m><dc:identifier id="x">http://a.org/1</dc:identifier><identifier>x //AO3.org/works/000</identifier><dc:source/><dc:source>https://ao3.org/works/0077?x</dc:source><dc:date>d1</dc:date><dc:date>d2</dc:date><dc:description> a\n &lt;b&gt;  &amp;amp; c </dc:description><subject>S</subject><dc:subject>T</dc:subject><dc:subject>S</dc:subject><rights> </rights></m>'
+    many = "<m>" + "".join(f"<dc:subject>{'s' * 70}{i}</dc:subject>" for i in range(300)) + "</m>"
+    df = spark.createDataFrame([(1, {"epub_date": "old", "source_url": "u", "k": "v"}, xml), (2, None, many), (3, {"source_url": "u"}, None), (4, None, "<dc:source>notao3.org/works/1 https://download.archiveofourown.com/works/2</dc:source>")], "id int, known map<string,string>, xml string")
+    out = {r["id"]: r["m"] for r in df.select("id", packages.merge_package_metadata(F.col("known"), F.col("xml")).alias("m")).collect()}
+    assert out[1] == {"epub_date": "old", "k": "v", "epub_identifier": "http://a.org/1", "epub_source": "https://ao3.org/works/0077?x", "epub_description": "a <b> &amp; c", "epub_subjects": "T | S", "source_site": "archiveofourown.org", "source_url": "https://archiveofourown.org/works/0", "ao3_work_id": "0"}
+    due = " | ".join(f"{'s' * 70}{i}" for i in range(256))[:16384]
+    assert out[2] == {"epub_subjects": due} and len(due) == 16384
+    assert out[3] == {"source_url": "u"} and out[4] == {"epub_source": "notao3.org/works/1 https://download.archiveofourown.com/works/2"}
