@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.functions.text import normalize_case_insensitive
+
 # The decisions a status admits, and the status they lead to.
 TRANSITIONS = (
     ("pending", "approve", "approved"), ("pending", "edit", "edited"), ("pending", "reject", "rejected"), ("pending", "defer", "deferred"),
@@ -95,6 +97,28 @@ def upsert(canon: DataFrame, proposed: DataFrame, key: str, value: str) -> DataF
     return joined.select(F.col("k").alias(key), F.coalesce("new", "old").alias(value), outcome.alias("outcome"))
 
 
+def upserts_in_order(proposed: DataFrame, canon: DataFrame, key: str, value: str, position: str = "position", replace: bool = False) -> DataFrame:
+    """(position, key, value, outcome): proposals taken in the order of their unique ``position``.
+
+    outcome: invalid (null key), inserted, unchanged (the value that stands
+    then), and for another value replaced or, without ``replace``, conflict,
+    which changes nothing. ``canon`` has one row a key; values are not null.
+    """
+    rows = proposed.select(F.col(position).alias("position"), key, value)
+    w = Window.partitionBy(key).orderBy("position")
+    met = rows.filter(F.col(key).isNotNull()).join(canon.select(key, F.col(value).alias("__had")), key, "left")
+    before = F.coalesce(F.lag(value).over(w), "__had") if replace else F.coalesce(F.col("__had"), F.when(F.row_number().over(w) > 1, F.first(value).over(w)))
+    outcome = F.when(F.col("__was").isNull(), "inserted").when(F.col("__was") == F.col(value), "unchanged").otherwise("replaced" if replace else "conflict")
+    out = met.withColumn("__was", before).select("position", key, value, outcome.alias("outcome"))
+    return out.unionByName(rows.filter(F.col(key).isNull()).withColumn("outcome", F.lit("invalid")))
+
+
+def pair_key(first: Column, second: Column) -> Column:
+    """Key of an unordered pair of names, normalised; null for blank or equal ones."""
+    a, b = normalize_case_insensitive(first), normalize_case_insensitive(second)
+    return F.when((a != "") & (b != "") & (a != b), F.concat(F.least(a, b), F.lit("\n"), F.greatest(a, b)))
+
+
 def merge_notes(canon: Column, proposed: Column) -> Column:
     """The canon's note unless it is blank."""
     return F.coalesce(F.nullif(F.trim(canon), F.lit("")), proposed)

@@ -43,6 +43,26 @@ def alias_index(profiles: DataFrame, aliases: DataFrame) -> DataFrame:
     return keyed.withColumn("r", best).filter("r = 1").select("key", "name", "display")
 
 
+def add_aliases(proposed: DataFrame, profiles: DataFrame, aliases: DataFrame, position: str = "position") -> DataFrame:
+    """(position, canonical_name, alias, outcome, owner): aliases added in the order of their unique ``position``, each checked against the names and aliases that stand by then.
+
+    outcome: empty_name, empty_alias, unchanged (a character's own name, or
+    theirs already), collision (another's name or alias) or inserted. Additions
+    of one alias only meet each other, so its first sound one is found by an
+    aggregate and no key is worked off in one task.
+    """
+    norm = lambda c: F.coalesce(normalize_case_insensitive(F.col(c)), F.lit(""))
+    rows = proposed.select(F.col(position).alias("position"), "canonical_name", "alias").withColumns({"key": norm("alias"), "who": norm("canonical_name")})
+    rows = rows.withColumn("settled", F.when(F.col("who") == "", "empty_name").when(F.col("key") == "", "empty_alias").when(F.col("key") == F.col("who"), "unchanged"))
+    first = rows.filter("settled IS NULL").groupBy("key").agg(F.min(F.struct("position", "canonical_name", "who")).alias("f"))
+    known = alias_index(profiles, aliases).select("key", F.col("name").alias("known"))
+    joined = rows.join(first.join(known, "key", "left"), "key", "left")
+    new = F.col("known").isNull() & (F.col("f.position") == F.col("position"))
+    theirs = F.coalesce(normalize_case_insensitive(F.col("known")), F.col("f.who")) == F.col("who")
+    outcome = F.coalesce("settled", F.when(new, "inserted").when(theirs, "unchanged").otherwise("collision"))
+    return joined.withColumn("outcome", outcome).select("position", "canonical_name", "alias", "outcome", F.when(F.col("outcome") == "collision", F.coalesce("known", "f.canonical_name")).alias("owner"))
+
+
 def known_profiles(docs: DataFrame, profiles: DataFrame, aliases: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Distinct (doc_id, name) of the profiles that a text mentions by name or alias."""
     index = alias_index(profiles, aliases)

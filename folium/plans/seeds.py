@@ -29,6 +29,24 @@ def alias_index(spark, d):
     return matching.alias_index(*_profiles(spark, d))
 
 
+def alias_additions(spark, d):
+    """Parts propose their name and type as an alias of their brand; some propose nothing, a brand or their own brand."""
+    p, n = _read(spark, d, "part"), F.col("p_partkey")
+    named = F.concat_ws(" ", "p_name", "p_type")
+    proposed = p.select(n.alias("position"), F.when(n % 19 == 0, " ").otherwise(F.col("p_brand")).alias("canonical_name"), F.when(n % 23 == 0, "--").when(n % 13 == 0, F.upper("p_brand")).when(n % 17 == 0, "brand#3").otherwise(named).alias("alias"))
+    known = p.filter(n % 50 == 0).select(F.col("p_brand").alias("canonical_name"), named.alias("alias"))
+    return matching.add_aliases(proposed, p.select(F.col("p_brand").alias("name")).distinct(), known)
+
+
+def relationship_upserts(spark, d):
+    """Parts propose their type as the relationship of two brands, whose order is free, with and without replacement."""
+    p = _read(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("position"), ledger.pair_key(F.col("p_brand"), F.concat(F.lit("brand#"), F.col("p_partkey") % 26)).alias("pair"), F.col("p_type").alias("kind"))
+    canon = rows.filter("position % 4 = 0 AND pair IS NOT NULL").groupBy("pair").agg(F.min_by("kind", "position").alias("kind"))
+    done = lambda replace: ledger.upserts_in_order(rows.filter("position % 4 <> 0"), canon, "pair", "kind", replace=replace).withColumn("replacing", F.lit(replace))
+    return done(True).unionByName(done(False))
+
+
 def relationships_present(spark, d):
     """Names of items that follow one another are related."""
     names = _read(spark, d, "benchmark").select("item_id", F.array_join(F.slice(text.tokens(text.normalize("text")), 3, 2), " ").alias("name"))
@@ -170,7 +188,7 @@ def _ledger(spark, d) -> tuple[DataFrame, DataFrame]:
 
 
 QUERIES = (
-    profile_mentions, alias_index, relationships_present, unknown_names, terminology_seeds, aligned_turns, canonical_links, lacking_terms, validated_findings, analysis_spans, contrastive_failures,
+    profile_mentions, alias_index, alias_additions, relationship_upserts, relationships_present, unknown_names, terminology_seeds, aligned_turns, canonical_links, lacking_terms, validated_findings, analysis_spans, contrastive_failures,
     blind_pairs, hybrid_retrieval, memory_contexts, identifiers, first_proposals, merged_notes, review_summary,
 )
 
@@ -187,6 +205,19 @@ hybrid AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sc
 ORACLES = {
     "profile_mentions": f"WITH {INDEX} SELECT * FROM mentions",
     "alias_index": f"WITH {INDEX} SELECT * FROM idx",
+    "alias_additions": f"""WITH r AS (SELECT p_partkey AS position, CASE WHEN p_partkey % 19 = 0 THEN ' ' ELSE p_brand END AS canonical_name, CASE WHEN p_partkey % 23 = 0 THEN '--' WHEN p_partkey % 13 = 0 THEN upper(p_brand) WHEN p_partkey % 17 = 0 THEN 'brand#3' ELSE p_name || ' ' || p_type END AS alias FROM part),
+        t AS (SELECT *, {sql.norm('alias')} AS k, {sql.norm('canonical_name')} AS who FROM r),
+        names AS (SELECT {sql.norm('p_brand')} AS k, min(p_brand) AS known FROM part GROUP BY 1), old AS (SELECT {sql.norm("p_name || ' ' || p_type")} AS k, min(p_brand) AS known FROM part WHERE p_partkey % 50 = 0 GROUP BY 1),
+        f AS (SELECT k, arg_min(canonical_name, position) AS fname, min(position) AS fpos FROM t WHERE who <> '' AND k <> '' AND k <> who GROUP BY k),
+        j AS (SELECT t.*, coalesce(names.known, old.known) AS known, fname, fpos FROM t LEFT JOIN names ON names.k = t.k LEFT JOIN old ON old.k = t.k LEFT JOIN f ON f.k = t.k),
+        o AS (SELECT *, CASE WHEN who = '' THEN 'empty_name' WHEN k = '' THEN 'empty_alias' WHEN k = who THEN 'unchanged' WHEN known IS NULL AND fpos = position THEN 'inserted' WHEN {sql.norm('coalesce(known, fname)')} = who THEN 'unchanged' ELSE 'collision' END AS outcome FROM j)
+        SELECT position, canonical_name, alias, outcome, CASE WHEN outcome = 'collision' THEN coalesce(known, fname) END AS owner FROM o""",
+    "relationship_upserts": f"""WITH e AS (SELECT p_partkey AS position, {sql.norm('p_brand')} AS a, {sql.norm("'brand#' || (p_partkey % 26)")} AS b, p_type AS kind FROM part),
+        r AS (SELECT position, CASE WHEN a <> b THEN least(a, b) || chr(10) || greatest(a, b) END AS pair, kind FROM e),
+        c AS (SELECT pair, arg_min(kind, position) AS had FROM r WHERE position % 4 = 0 AND pair IS NOT NULL GROUP BY pair),
+        w AS (SELECT r.*, had, lag(kind) OVER (PARTITION BY pair ORDER BY position) AS latest, first_value(kind) OVER (PARTITION BY pair ORDER BY position) AS earliest, row_number() OVER (PARTITION BY pair ORDER BY position) AS n FROM r LEFT JOIN c USING (pair) WHERE position % 4 <> 0),
+        m AS (SELECT position, pair, kind, true AS replacing, coalesce(latest, had) AS was FROM w UNION ALL SELECT position, pair, kind, false, coalesce(had, CASE WHEN n > 1 THEN earliest END) FROM w)
+        SELECT position, pair, kind, replacing, CASE WHEN pair IS NULL THEN 'invalid' WHEN was IS NULL THEN 'inserted' WHEN was = kind THEN 'unchanged' WHEN replacing THEN 'replaced' ELSE 'conflict' END AS outcome FROM m""",
     "relationships_present": f"""WITH {INDEX}, n AS (SELECT item_id, {PAIR(3, 4)} AS name FROM benchmark), r AS (SELECT DISTINCT x.name AS a, y.name AS b FROM n x JOIN n y ON y.item_id = x.item_id + 1 WHERE x.name <> y.name)
         SELECT m.doc_id, a, b FROM r JOIN mentions m ON m.name = a JOIN mentions k ON k.doc_id = m.doc_id AND k.name = b""",
     "unknown_names": f"WITH k AS (SELECT {sql.norm('p_name')} AS k FROM part WHERE p_partkey < 40 UNION SELECT {sql.norm(chr(39) + 'the ' + chr(39) + ' || p_name')} FROM part WHERE p_partkey < 40) SELECT p_partkey, p_name AS name FROM part WHERE {sql.norm('p_name')} NOT IN (SELECT k FROM k)",

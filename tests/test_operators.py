@@ -323,3 +323,19 @@ def test_package_metadata_joins_what_is_known(spark):
     due = " | ".join(f"{'s' * 70}{i}" for i in range(256))[:16384]
     assert out[2] == {"epub_subjects": due} and len(due) == 16384
     assert out[3] == {"source_url": "u"} and out[4] == {"epub_source": "notao3.org/works/1 https://download.archiveofourown.com/works/2"}
+
+
+def test_aliases_and_upserts_in_order(spark):
+    names, old = spark.createDataFrame([("Ann",), ("Bo",)], "name string"), spark.createDataFrame([("Ann", "Queen")], "canonical_name string, alias string")
+    given = [(1, "Bo", "the QUEEN"), (2, "Bo", "queen"), (3, "Ann", "queen!"), (4, "Bo", "ann"), (5, "Bo", "King"), (6, "Ann", "king"), (7, "bo", "KING"), (8, "", "x"), (9, None, None), (10, "Ann", " "), (11, "Ann", "ANN"), (12, "Cy", "the queen")]
+    out = matching.add_aliases(spark.createDataFrame(given, "position int, canonical_name string, alias string"), names, old)
+    assert [(r["outcome"], r["owner"]) for r in out.orderBy("position").collect()] == [
+        ("inserted", None), ("collision", "Ann"), ("unchanged", None), ("collision", "Ann"), ("inserted", None), ("collision", "Bo"), ("unchanged", None), ("empty_name", None), ("empty_name", None), ("empty_alias", None), ("unchanged", None), ("collision", "Bo"),
+    ]
+    canon = spark.createDataFrame([("k", "a")], "k string, v string")
+    more = spark.createDataFrame([(1, "k", "b"), (2, "k", "b"), (3, "k", "a"), (4, "n", "x"), (5, "n", "y"), (6, "n", "x"), (7, None, "z")], "position int, k string, v string")
+    done = lambda replace: [r["outcome"] for r in ledger.upserts_in_order(more, canon, "k", "v", replace=replace).orderBy("position").collect()]
+    assert done(True) == ["replaced", "unchanged", "replaced", "inserted", "replaced", "replaced", "invalid"]
+    assert done(False) == ["conflict", "conflict", "unchanged", "inserted", "conflict", "unchanged", "invalid"]
+    pairs = spark.createDataFrame([("Ann", "bo"), ("BO", "ann!"), ("a", "A"), ("", "b"), (None, "b")], "a string, b string").select(ledger.pair_key(F.col("a"), F.col("b")).alias("p")).collect()
+    assert [r["p"] for r in pairs] == ["ann\nbo", "ann\nbo", None, None, None]
