@@ -132,11 +132,21 @@ def fit(rows: list[tuple[str | None, int]], bits: int = BITS, alpha: float = 50.
 
 
 def train(labelled: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """Fit on a bounded, hash-chosen sample of ``labelled`` (rows with a null label are left out)."""
+    """Fit on a bounded, hash-chosen sample of ``labelled`` (rows with a null label are left out).
+
+    One task fits, so the sample's texts and features stay out of the driver,
+    which gets the weights. Without labelled rows the model is that of no rows.
+    """
     usable = labelled.filter(F.col(label).isNotNull())
-    sample = bounded_sample(usable, key, text, rows, chars).select(text, F.col(label).cast("int"), F.xxhash64(key, text).alias("h"))
-    got = sorted(((h, t, y) for t, y, h in sample.collect()), key=lambda x: (x[0], x[1] or "", x[2]))
-    return fit([(t, y) for _, t, y in got])
+    sample = bounded_sample(usable, key, text, rows, chars).select(F.xxhash64(key, text).alias("h"), F.col(text).alias("t"), F.col(label).cast("int").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((tuple(row.values()) for batch in batches for row in batch.to_pylist()), key=lambda x: (x[0], x[1] or "", x[2]))
+        model = fit([(t, y) for _, t, y in got])
+        yield pa.RecordBatch.from_pydict({"weight": pa.array([model.weight.tobytes()], pa.binary()), "bias": pa.array([model.bias], pa.float64()), "bits": pa.array([model.bits], pa.int32())})
+
+    made = sample.repartition(1).mapInArrow(run, "weight binary, bias double, bits int").first()
+    return Model(np.frombuffer(made["weight"], np.float32), made["bias"], made["bits"]) if made else fit([])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "toxicity") -> DataFrame:
