@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folium.functions.text import upper_letters
 from folium.operators import analysis, progress
 from folium.sources.shared import stored
 
@@ -31,7 +32,7 @@ def _entries(spark, d) -> tuple[DataFrame, DataFrame]:
     """First words of the items as names, two words of them as terms."""
     w = F.split("text", " ")
     rows = _read(spark, d, "benchmark")
-    return rows.select(F.col("item_id").alias("position"), F.upper(F.get(w, F.lit(0))).alias("value")), rows.select(F.col("item_id").alias("position"), F.array_join(F.slice(w, 4, 2), " ").alias("value"))
+    return rows.select(F.col("item_id").alias("position"), upper_letters(F.get(w, F.lit(0))).alias("value")), rows.select(F.col("item_id").alias("position"), F.array_join(F.slice(w, 4, 2), " ").alias("value"))
 
 
 def _units(spark, d) -> DataFrame:
