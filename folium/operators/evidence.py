@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folium.operators import matching, memory
 from folium.operators.packets import evidence_id
+from folium.sources.shared import stored
 
 # Hits, entries, characters and least score of a memory context, the pool that is reranked, and the headings of a context.
 MOST_HITS, MOST_TERMS, MOST_CHARS, LEAST, POOL = 5, 12, 6_000, 0.16, 512
@@ -73,7 +74,7 @@ def hybrid_evidence(queries: DataFrame, entries: DataFrame, glossary: DataFrame,
     asked = queries.filter("trim(coalesce(query, '')) <> ''")
     broken = failures.select("query_id", "error").dropDuplicates(["query_id"])
     fit = asked.join(broken, "query_id", "left_anti")
-    scored = memory.score_memory(fit, entries, least=0.0)
+    scored = stored(memory.score_memory(fit, entries, least=0.0))  # the rankings, the scores and the status read them
     fused = memory.hybrid_candidates(scored, semantic.select("query_id", "entry_id", "rank"), pool=POOL, most=most_hits)
     native = scored.select("query_id", "entry_id", F.col("score").alias("native_score"))
     hits = _with_entries(fused.select("query_id", "entry_id", "native_rank", "semantic_rank", "relevance").join(native, ["query_id", "entry_id"]), entries)
