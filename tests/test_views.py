@@ -75,6 +75,28 @@ def test_contexts(spark):
         assert workspace.approved_context(chapters, people, terms, lines, n).filter("chapter_id = 'a'").first()["context"] == whole[:n]
 
 
+def test_leading_lines_change_no_context(spark):
+    rows = [(m, p, "" if p % 5 == 0 else "x" * (p % 4 + 1) + str(m)) for m in range(3) for p in range(60)]
+    lines = spark.createDataFrame(rows, "m int, position int, line string")
+    chapters = spark.range(9).select(F.concat(F.lit("c"), "id").alias("chapter_id"), (F.col("id") % 4).cast("int").alias("m"))
+    nobody, nothing = spark.createDataFrame([], "chapter_id string, position int, context string"), spark.createDataFrame([], "chapter_id string, position int, source_term string, preferred_translation string, context string")
+    for chars in (1, 2, 17, 90, 5_000):
+        first = workspace.leading(lines, "m", chars, F.col("line"))
+        assert first.groupBy("m").agg(F.sum(F.length("line")).alias("n")).filter(F.col("n") >= chars + 5).count() == 0
+        whole, short = (workspace.approved_context(chapters, nobody, nothing, x.filter("line <> ''").join(chapters, "m"), chars) for x in (lines, first))
+        assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, short.collect()))
+
+
+def test_approved_contexts_make_no_row_for_each_pair(spark):
+    """Findings meet chapters by shelf: what is joined with chapters has few lines a shelf, whatever the number of orders."""
+    from folium.plans import views
+
+    sf = "/root/testdata/sf0.01"
+    shelves = views._contexts(spark, sf)[3].groupBy("chapter_id").count().agg(F.max("count")).first()[0]
+    assert 0 < shelves <= views.CONTEXT_CHARS // 20
+    assert views.reviewed_literary_lines(spark, sf).count() == 74_539
+
+
 def test_revisions(spark):
     paragraphs = spark.createDataFrame([("a", 0, "one"), ("a", 1, "two"), ("b", 0, "x\n\ny")], "chapter_id string, position int, translated string")
     chapters = spark.createDataFrame([("a", False), ("b", False), ("c", True)], "chapter_id string, stale boolean")
