@@ -16,19 +16,18 @@ RUN_CHAPTERS = 4_096
 def recurring_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sizes: tuple[int, ...] = (2, 3), least: int = 3, evidence: int = EVIDENCE) -> DataFrame:
     """(phrase, n, n_docs, first_doc, evidence, confidence): phrases that occur ``least`` times or more.
 
-    Phrases of stop words alone are left out. Counts are summed within each
-    document first, so a shuffle carries one row for a phrase and document.
-    Evidence is the least few ids, kept by a bounded top-k, never a whole list.
+    Phrases of stop words alone are left out. One shuffle, by phrase, carries
+    the occurrences; counts of documents, sums and evidence, the least few ids,
+    all come from its order, and never from a whole list.
     """
     tokenised = docs.select(F.col(doc_id).alias("doc_id"), phrase_tokens(F.col(text)).alias("w"))
     grams = tokenised.select("doc_id", F.explode(F.concat(*[ngrams(F.col("w"), n) for n in sizes])).alias("phrase"))
     stop = F.forall(F.split("phrase", " "), lambda x: x.isin(*NAME_STOPWORDS))
-    by_doc = grams.filter(~stop).groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("c"))
-    totals = by_doc.groupBy("phrase").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n") >= least)
+    by_doc = grams.filter(~stop).repartition("phrase").groupBy("phrase", "doc_id").agg(F.count(F.lit(1)).alias("c"))
     rank = F.row_number().over(Window.partitionBy("phrase").orderBy("doc_id"))
-    often = by_doc.join(totals.select("phrase"), "phrase", "left_semi")
-    refs = often.withColumn("r", rank).filter(F.col("r") <= evidence).groupBy("phrase").agg(F.array_sort(F.collect_list("doc_id")).alias("evidence"))
-    return totals.join(refs, "phrase").withColumn("confidence", confidence(F.col("n")))
+    refs = F.array_sort(F.collect_list(F.when(F.col("r") <= evidence, F.col("doc_id"))))
+    found = by_doc.withColumn("r", rank).groupBy("phrase").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"), refs.alias("evidence"))
+    return found.filter(F.col("n") >= least).withColumn("confidence", confidence(F.col("n")))
 
 
 def name_counts(mentions: DataFrame, doc_id: str = "doc_id", name: str = "name", position: str = "position", least: int = 2, evidence: int = EVIDENCE) -> DataFrame:

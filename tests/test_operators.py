@@ -339,3 +339,12 @@ def test_aliases_and_upserts_in_order(spark):
     assert done(False) == ["conflict", "conflict", "unchanged", "inserted", "conflict", "unchanged", "invalid"]
     pairs = spark.createDataFrame([("Ann", "bo"), ("BO", "ann!"), ("a", "A"), ("", "b"), (None, "b")], "a string, b string").select(ledger.pair_key(F.col("a"), F.col("b")).alias("p")).collect()
     assert [r["p"] for r in pairs] == ["ann\nbo", "ann\nbo", None, None, None]
+
+
+def test_recurring_phrases_are_shuffled_once(spark):
+    docs = spark.createDataFrame([(i, "the old sea and the old sea") for i in range(12)] + [(3, "old sea")], "doc_id bigint, text string")
+    found = mining.recurring_phrases(docs)
+    row = found.filter("phrase = 'old sea'").first()
+    assert (row["n"], row["n_docs"], row["first_doc"], row["evidence"]) == (25, 12, 0, list(range(8)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
