@@ -12,11 +12,16 @@ Candidates come from lists of the sets that share such a shingle. Positions,
 sizes, and some bits of each set (every bit that differs stands for a shingle
 that only one set has) discard pairs; what stays is verified by the exact sets,
 each set's nearest pair first, so that pairs inside a group need no check.
+
+Every set also has its SimHash fingerprint. Pairs that a search of fingerprints
+proposes are verified first; lists are then compared only for what these leave
+apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -83,6 +88,16 @@ def _frequent(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.nd
     return h[order], n[order]
 
 
+def _majority(h: np.ndarray, row: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SimHash of each row's hashes (``row`` ascends, ``n`` hashes a row): bits set in over half of them; no hashes give 0."""
+    ones = np.zeros((len(n), 64), np.int32)
+    for at in range(0, len(h), 65_536):
+        part, of = h[at : at + 65_536], row[at : at + 65_536]
+        starts = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        ones[of[starts]] += np.add.reduceat(np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), starts, axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > n[:, None], axis=1, bitorder="little").view(np.int64).reshape(-1)
+
+
 def _longs_of_bits(n: np.ndarray) -> np.ndarray:
     """Longs for ``BITS`` bits or more a shingle; a power of two, so that halves can be laid over each other."""
     return 2 ** np.ceil(np.log2(np.maximum(n * BITS / 64, 1))).astype(np.int64)
@@ -96,7 +111,7 @@ def _differing(x: Column, y: Column) -> Column:
 
 
 def _prefixes(docs: DataFrame, doc_id: str, text: str, words: int, num: int, den: int) -> DataFrame:
-    """(id, key, set, n, bits, first): the hash of each row's set, its size, its bits and the first shingles in the global order."""
+    """(id, key, set, n, fp, bits, first): the hash of each row's set, its size, its SimHash, its bits and the first shingles in the global order."""
     known, seen = _frequent(docs, text, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +127,7 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, words: int, num: int, den
                 bits = np.zeros(64 * longs.sum(), np.uint8)
                 bits[64 * (np.cumsum(longs) - longs)[row] + place] = 1
                 bits = np.packbits(bits, bitorder="little").view(np.int64)
+                prints = _majority(h, row, n)
                 if len(known) and len(h):
                     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
                     often = np.where(known[at] == h, seen[at], 0)
@@ -120,13 +136,13 @@ def _prefixes(docs: DataFrame, doc_id: str, text: str, words: int, num: int, den
                 size = np.where(n > 0, n - (n * num + den - 1) // den + 1, 0)
                 place = np.arange(len(h)) - np.repeat(ends - n, n)
                 short = h[place < np.repeat(size, n)]
-                columns = [batch.column(0).slice(done, rows), batch.column(1).slice(done, rows), pa.array(whole.view(np.int64)), pa.array(n), _lists(bits, longs), _lists(short, size)]
-                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "set", "n", "bits", "first"])
+                columns = [batch.column(0).slice(done, rows), batch.column(1).slice(done, rows), pa.array(whole.view(np.int64)), pa.array(n), pa.array(prints), _lists(bits, longs), _lists(short, size)]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "set", "n", "fp", "bits", "first"])
                 done += rows
 
     source = docs.select(F.col(f"`{doc_id}`").alias("id"), "key", F.col(f"`{text}`").cast("string").alias("t"))
     long = T.LongType()
-    return source.mapInArrow(run, schema_with(source.drop("t"), set=long, n=long, bits=T.ArrayType(long), first=T.ArrayType(long)))
+    return source.mapInArrow(run, schema_with(source.drop("t"), set=long, n=long, fp=long, bits=T.ArrayType(long), first=T.ArrayType(long)))
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -162,7 +178,7 @@ class Search:
         self.text, self.words, self.num, self.den = text, words, num, den
         self.docs = docs
         self.rows = stored(_prefixes(self.docs, doc_id, text, words, num, den))
-        sets = self.rows.groupBy("set").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "bits", "first")])
+        sets = self.rows.groupBy("set").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("n", "fp", "bits", "first")])
         # equal texts and equal sets are one from here on; a small number stands for the hash of the set
         self.sets = stored(sets.withColumn("sid", F.monotonically_increasing_id()))
 
@@ -209,9 +225,13 @@ class Search:
         return stored(full.filter(common * (num + den) >= (F.size("a_h") + F.size("b_h")) * num).select("a", "b"))
 
 
-def near_sets(docs: DataFrame, doc_id: str, text: str, words: int, num: int, den: int, components) -> tuple[DataFrame, DataFrame]:
+def near_sets(docs: DataFrame, doc_id: str, text: str, words: int, num: int, den: int, fingerprint_links, components) -> tuple[DataFrame, DataFrame]:
     """(id, key, set) of every row, and (set, root) of the sets that exact links of ``num / den`` or more connect; ``docs`` has a ``row_key`` as ``key``.
 
+    ``fingerprint_links`` gives links (a, b) between the distinct fingerprints
+    of a table (fp): sets of one fingerprint are paired with the first of them,
+    the first ones along the links, and the exact sets decide. The rest is for
+    the pairs that fingerprints leave apart.
     Sets that share a first shingle stand in one list. A star round links each
     with the nearest of the sets that lead its lists: the leader of a list has
     the fewest rarer shingles, so of copies with edits it is the one with the
@@ -232,26 +252,38 @@ def near_sets(docs: DataFrame, doc_id: str, text: str, words: int, num: int, den
         side = roots.select(F.col("node"), F.col("root"))
         return rows.join(_small(side, count), sid == F.col("node"), "left").withColumn("root", F.coalesce("root", sid)).drop("node")
 
-    def apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-        roots = stored(components(found))
+    def connected(*found: DataFrame) -> DataFrame:
+        """(node, root) of all pairs; earlier roots come in as pairs, so that a round goes on from them."""
+        pairs = [f.select(F.col("node").alias("a"), F.col("root").alias("b")) if "root" in f.columns else f for f in found]
+        return stored(components(reduce(DataFrame.unionByName, pairs)))
+
+    def apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
         count = roots.count()
         both = rooted(rooted(pairs, roots, count, F.col("a")).withColumnRenamed("root", "a_root"), roots, count, F.col("b"))
         return stored(both.filter("a_root <> root").select("a", "b"))
 
+    def apart_lists(hits: DataFrame, roots: DataFrame) -> DataFrame:
+        """The lists whose sets aren't all connected yet, each entry with its root."""
+        open_ = rooted(hits, roots, roots.count(), F.col("e.sid"))
+        mixed = open_.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
+        return stored(open_.join(mixed, "h"))
+
+    prints = stored(search.sets.groupBy("fp").agg(F.min("sid").alias("lead")))
+    same = search.sets.join(prints, "fp").filter("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
+    ends = fingerprint_links(prints.select("fp")).join(prints.select(F.col("fp").alias("a"), F.col("lead").alias("x")), "a").join(prints.select(F.col("fp").alias("b"), F.col("lead").alias("y")), "b")
+    roots = connected(search.exact(stored(same.unionByName(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))))))
+    hits = apart_lists(hits, roots)
     # of the sets in a list the one with the fewest rarer shingles before is nearest to what they have in common
-    leads = hits.groupBy("h").agg(F.min_by("e", F.struct(F.col("e.pos") / F.col("e.n"), "e.n", "e.sid")).alias("y"))
-    found = search.exact(search.one_each(search.near(pair(hits.withColumnRenamed("e", "x").join(leads, "h"))), "differ"))
-    roots = stored(components(found))
-    open_ = rooted(hits, roots, roots.count(), F.col("e.sid"))
-    mixed = open_.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("h")
-    dealt = _dealt(stored(open_.join(mixed, "h")), "h").withColumn("own", F.pmod(F.xxhash64("e.sid"), F.col("parts")).cast("int"))
+    leads = hits.groupBy("h").agg(F.min_by(F.struct("e", "root"), F.struct(F.col("e.pos") / F.col("e.n"), "e.n", "e.sid")).alias("y")).select("h", F.col("y.e").alias("y"), F.col("y.root").alias("root_y"))
+    roots = connected(roots, search.exact(search.one_each(search.near(pair(hits.withColumnRenamed("e", "x").join(leads, "h").filter("root <> root_y"))), "differ")))
+    dealt = _dealt(apart_lists(hits.drop("root"), roots), "h").withColumn("own", F.pmod(F.xxhash64("e.sid"), F.col("parts")).cast("int"))
     tiles = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "e")
     x, y = tiles.withColumnRenamed("e", "x"), tiles.select("h", "i", "j", F.col("own").alias("own_y"), F.col("root").alias("root_y"), F.col("e").alias("y"))
     # in a tile of two parts only pairs across them: those inside a part have a tile of their own
     others = x.join(y, ["h", "i", "j"]).filter((F.col("x.sid") < F.col("y.sid")) & (F.col("root") != F.col("root_y")) & ((F.col("i") == F.col("j")) | (F.col("own") != F.col("own_y"))))
     near = search.near(pair(others))
     first = search.one_each(near, "differ")
-    found = found.unionByName(search.exact(first))
-    found = found.unionByName(search.exact(apart(near.select("a", "b").join(first, ["a", "b"], "left_anti"), found)))
-    of = components(found).join(search.sets.select(F.col("sid").alias("node"), "set"), "node")
+    roots = connected(roots, search.exact(first))
+    roots = connected(roots, search.exact(apart(near.select("a", "b").join(first, ["a", "b"], "left_anti"), roots)))
+    of = roots.join(search.sets.select(F.col("sid").alias("node"), "set"), "node")
     return search.rows.select("id", "key", "set"), of.select("set", "root")

@@ -296,13 +296,15 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5)) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: tuple[int, int] = (4, 5), radius: int = 4, pivots: int = 24) -> DataFrame:
     """``docs`` with one row of each near-duplicate group, all columns unchanged.
 
     Rows link when the sets of their ``words``-word shingles have a Jaccard
-    similarity of ``similarity`` (a fraction) or more; every such pair is found
-    (see ``shingles``), which no radius of fingerprints that is cheap to search
-    would do. The row with the least ``doc_id`` stays (null ids last; among
+    similarity of ``similarity`` (a fraction) or more. Candidates are first the
+    SimHash fingerprints of the sets within ``radius`` bits (``links``), each
+    verified by the exact sets; pairs of that similarity may differ in more
+    bits, so those that are still apart are found by their shared shingles
+    (see ``shingles``), and no pair is lost. The row with the least ``doc_id`` stays (null ids last; among
     rows that share it, the least hash of all columns; of wholly equal rows,
     one). Null and blank texts have the empty set and are one group. An empty
     table gives an empty result; texts are read whole and never shuffled while
@@ -310,7 +312,7 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     name = free_name(docs, "key")
     plain = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("t"), row_key(docs).alias("key"))
-    table, nodes = shingles.near_sets(plain, "id", "t", words, *similarity, components)
+    table, nodes = shingles.near_sets(plain, "id", "t", words, *similarity, lambda prints: links(prints, "fp", radius, pivots), components)
     first = F.min(F.struct(F.col("id").isNull().alias("n"), F.col("id").alias("d"), F.col("key").alias("k")))
     sets = table.groupBy("set").agg(first.alias("w")).join(nodes, "set", "left")
     linked = F.col("root").isNotNull()

@@ -7,6 +7,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -362,6 +363,24 @@ def test_near_copies_at_similarity_by_brute_force(spark, monkeypatch, tile_rows,
     assert got == kept_by_brute_force(rows)
 
 
+def test_near_copies_come_from_fingerprints_first(spark, monkeypatch):
+    """The stage searches SimHash fingerprints of the shingle sets, and what they propose is verified by the exact sets."""
+    from folium.llm import shingles
+
+    searched, checked = [], []
+    links, exact = simhash.links, shingles.Search.exact
+    monkeypatch.setattr(simhash, "links", lambda prints, *more: searched.append({r["fp"] for r in prints.collect()}) or links(prints, *more))
+    monkeypatch.setattr(shingles.Search, "exact", lambda self, pairs: checked.append((pairs.count(), (found := exact(self, pairs)).count())) or found)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words, "more"])), (3, "of another text these are the words"), (4, "but the very same"), (5, "BUT the  very same"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"] for r in simhash.drop_near_duplicates(docs).collect()} == {1, 3, 4, 6}
+    assert len(searched) == 1 and len(searched[0]) >= 4 and checked[0] == (1, 1)
+    parts = [h for _, _, h in shingles.shingle_sets(pa.array([" ".join(words)]), 5)][0]
+    bits = np.unpackbits(parts.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0) * 2 > len(parts)
+    assert int(np.packbits(bits, bitorder="little").view(np.int64)[0]) in searched[0] and 0 in searched[0]
+
+
 def test_one_row_very_often(spark):
     """A row repeated more often than a chunk, shard or array of copies holds."""
     text, n = "the same row of words " * 3, 100_000
