@@ -9,10 +9,9 @@ often as the limit admits.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +22,6 @@ from folium.sources.shared import stored
 UNIT_CHARS, CONTEXT_CHARS, MOST_UNITS, MOST_NAMES, MOST_TERMS = 10_000, 800, 2_000, 24, 12
 CACHE_ENTRIES, RETRIES, REASONS_SHOWN = 10_000, 2, 3
 SCENE = ["book", "chapter_id", "chapter_index", "scene_id", "scene_order"]
-#: Entries of a canon that are looked for at once.
-ENTRIES_AT_ONCE = 2_000
 
 RESPONSE = "unit_id string, status string, error string, findings array<struct<category:string,claim:string,confidence:double,evidence:array<string>>>, tokens bigint"
 
@@ -44,50 +41,37 @@ class Planner:
         return hashlib.sha256("\0".join(map(str, parts)).encode()).hexdigest()
 
 
-def _chunked(limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds the number of the group that each paragraph falls into; scenes come one after the other, paragraphs in order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scene, used, group, empty = None, 0, 0, True
-        for batch in batches:
-            out = []
-            for key, n in zip(zip(*(batch.column(c).to_pylist() for c in SCENE), strict=True), batch.column("n").to_pylist(), strict=True):
-                if key != scene:
-                    scene, used, group, empty = key, 0, 0, True
-                if not empty and used + n > limit:
-                    used, group = 0, group + 1
-                used, empty = used + n, False
-                out.append(group)
-            yield batch.append_column("chunk", pa.array(out, pa.int32()))
-
-    return run
-
-
-def scene_context(paragraphs: DataFrame, chars: int) -> DataFrame:
-    """Scenes with previous_context and next_context: the beginnings of the scenes around in the chapter, null at its ends."""
-    order = Window.partitionBy(*SCENE).orderBy("position")
-    before = F.coalesce(F.sum(F.length("text") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    whole = F.sum(F.length("text") + 2).over(Window.partitionBy(*SCENE)) - 2
-    # of a long scene only the paragraphs that reach into the excerpt are gathered
-    first = paragraphs.withColumn("before", before).withColumn("whole", whole).filter(F.col("before") < chars + 2)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "text"))), lambda x: x["text"]), "\n\n")
-    heads = first.groupBy(*SCENE).agg(joined.alias("head"), F.first("whole").alias("whole"))
-    trimmed = F.when(F.col("whole") > chars, F.concat(F.left("head", F.lit(chars)), F.lit(" …"))).otherwise(F.col("head"))
+def _groups(sizes: Column, limit: int) -> Column:
+    """Number of the group that each paragraph of a scene falls into, by the lengths of the paragraphs in order."""
+    start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("at"), F.array().cast("array<int>").alias("groups"))
+
+    def step(acc: Column, n: Column) -> Column:
+        full = (F.size(acc["groups"]) > 0) & (acc["used"] + n > limit)
+        at = F.when(full, acc["at"] + 1).otherwise(acc["at"])
+        return F.struct(F.when(full, n).otherwise(acc["used"] + n).alias("used"), at.alias("at"), F.array_append(acc["groups"], at).alias("groups"))
+
+    return F.aggregate(sizes, start, step, lambda acc: acc["groups"])
+
+
+def with_context(scenes: DataFrame, chars: int) -> DataFrame:
+    """Scenes (with their paragraphs ``p``) with previous_context and next_context: the beginnings of the scenes around in the chapter, null at its ends."""
+    whole = F.array_join(F.transform("p", lambda x: x["text"]), "\n\n")
+    head = F.when(F.length(whole) > chars, F.concat(F.left(whole, F.lit(chars)), F.lit(" …"))).otherwise(whole)
     along = Window.partitionBy("book", "chapter_id").orderBy("scene_order", "scene_id")
-    return heads.withColumn("head", trimmed).select(*SCENE, F.lag("head").over(along).alias("previous_context"), F.lead("head").over(along).alias("next_context"))
+    return scenes.withColumn("head", head).withColumns({"previous_context": F.lag("head").over(along), "next_context": F.lead("head").over(along)}).drop("head")
 
 
 def present(units: DataFrame, entries: DataFrame, most: int, name: str) -> DataFrame:
-    """(unit_id, name): the first ``most`` entries (position, value) that the unit's text holds, case ignored, in their order.
+    """``units`` with the first ``most`` entries (position, value) that the unit's text holds, case ignored, in their order, as ``name``.
 
-    Entries are looked for in blocks, so a unit is scanned once for each block
-    of ``ENTRIES_AT_ONCE``; blank ones are left out.
+    Entries are a small table that is broadcast, so that texts aren't shuffled
+    to meet them; blank ones are left out.
     """
-    listed = entries.filter(F.trim("value") != "").groupBy(F.floor(F.col("position") / ENTRIES_AT_ONCE).alias("block")).agg(F.array_sort(F.collect_list(F.struct("position", "value", F.lower("value").alias("low")))).alias("entries"))
-    pairs = units.select("unit_id", F.lower("text_content").alias("low")).join(F.broadcast(listed.select("entries")), F.lit(True))
-    hits = pairs.select("unit_id", F.slice(F.filter("entries", lambda e: F.contains(F.col("low"), e["low"])), 1, most).alias("hits"))
-    merged = hits.groupBy("unit_id").agg(F.array_sort(F.flatten(F.collect_list("hits"))).alias("hits"))
-    return merged.select("unit_id", F.transform(F.slice("hits", 1, most), lambda e: e["value"]).alias(name))
+    entry = F.struct("position", "value", F.lower("value").alias("low"))
+    listed = entries.filter(F.trim("value") != "").agg(F.array_sort(F.collect_list(entry)).alias("__entries"))
+    low = units.withColumn("__low", F.lower("text_content")).join(F.broadcast(listed), F.lit(True))
+    hits = F.slice(F.filter("__entries", lambda e: F.contains(F.col("__low"), e["low"])), 1, most)
+    return low.withColumn(name, F.transform(hits, lambda e: e["value"])).drop("__low", "__entries")
 
 
 def plan_units(paragraphs: DataFrame, names: DataFrame, terms: DataFrame, planner: Planner = Planner()) -> DataFrame:
@@ -97,22 +81,21 @@ def plan_units(paragraphs: DataFrame, names: DataFrame, terms: DataFrame, planne
     position (from 1 in a scene), paragraph_id, text; ``names`` and ``terms``:
     position, value. A unit's text has each paragraph behind its mark
     (``[para-3]``); its id follows from chapter, scene, number and text. Null
-    texts count as empty; an empty table gives no units.
+    texts count as empty; an empty table gives no units. Texts are shuffled
+    once, by chapter: scenes, the scenes around and units are made there.
     """
-    rows = paragraphs.withColumn("text", F.coalesce("text", F.lit("")))
-    sized = rows.withColumn("n", F.length("text")).repartition("book", "chapter_id", "scene_id").sortWithinPartitions(*SCENE, "position")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in sized.schema.fields) + ", chunk int"
-    grouped = sized.mapInArrow(_chunked(planner.unit_chars), kinds).groupBy(*SCENE, "chunk").agg(F.array_sort(F.collect_list(F.struct("position", "paragraph_id", "text"))).alias("p"))
+    rows = paragraphs.withColumn("text", F.coalesce("text", F.lit(""))).repartition("book", "chapter_id")
+    scenes = rows.groupBy(*SCENE).agg(F.array_sort(F.collect_list(F.struct("position", "paragraph_id", "text"))).alias("p"))
+    around = with_context(scenes, planner.context_chars).withColumn("groups", _groups(F.transform("p", lambda x: F.length(x["text"])), planner.unit_chars))
+    member = lambda k: F.filter("p", lambda x, i: F.get("groups", i) == k)
+    parts = around.select(*SCENE, "previous_context", "next_context", F.posexplode(F.transform(F.sequence(F.lit(0), F.array_max("groups")), member)).alias("chunk", "p"))
     mark = lambda x: F.concat(F.lit("[para-"), x["position"].cast("string"), F.lit("] "), x["text"])
-    units = grouped.select(*SCENE, "chunk", F.array_join(F.transform("p", mark), "\n\n").alias("text_content"), F.transform("p", lambda x: x["paragraph_id"]).alias("paragraph_ids"), F.transform("p", lambda x: F.concat(F.lit("para-"), x["position"].cast("string"))).alias("ordinals"))
+    units = parts.select(*SCENE, "chunk", F.array_join(F.transform("p", mark), "\n\n").alias("text_content"), F.transform("p", lambda x: x["paragraph_id"]).alias("paragraph_ids"), F.transform("p", lambda x: F.concat(F.lit("para-"), x["position"].cast("string"))).alias("ordinals"), "previous_context", "next_context")
     units = units.withColumn("text_fingerprint", F.sha2("text_content", 256))
     identity = F.concat_ws("\0", "chapter_id", "scene_id", F.col("chunk").cast("string"), "text_fingerprint")
-    units = units.withColumn("unit_id", F.concat(F.lit("unit-"), F.sha2(identity, 256)))
-    around = scene_context(rows, planner.context_chars)
-    none = F.array().cast("array<string>")
-    out = units.join(around, SCENE, "left")
+    out = units.withColumn("unit_id", F.concat(F.lit("unit-"), F.sha2(identity, 256)))
     for entries, most, name in ((names, planner.most_names, "known_names"), (terms, planner.most_terms, "known_terms")):
-        out = out.join(present(units.select("unit_id", "text_content"), entries, most, name), "unit_id", "left").withColumn(name, F.coalesce(name, none))
+        out = present(out, entries, most, name)
     return out
 
 
@@ -147,26 +130,29 @@ def run(units: DataFrame, cache: DataFrame, provider: Callable[[DataFrame, int],
     are asked for again up to ``retries`` times; what is left then, other
     statuses and units without an answer are failed units. Findings are checked
     against the unit's own paragraph marks before they are kept. The cache
-    keeps the newest ``entries`` answers (None: all).
+    keeps the newest ``entries`` answers (None: all). ``units`` is read several
+    times and should be a stored table; texts are not written again.
     """
-    keyed = stored(units.withColumn("key", cache_key(*[F.lit(x) for x in identity], F.col("unit_id"))))
+    key = cache_key(*[F.lit(x) for x in identity], F.col("unit_id"))
+    keyed = units.withColumn("key", key)
     old = cache.groupBy("key").agg(F.max_by(F.struct("findings", "stored_at"), F.col("stored_at")).alias("x")).select("key", "x.findings")
-    known = keyed.join(old, "key").select("unit_id", "key", "findings")
-    todo = keyed.join(old.select("key"), "key", "left_anti")
+    looked = stored(keyed.select("unit_id", "key").join(old.withColumn("hit", F.lit(True)), "key", "left").select("unit_id", "findings", "hit"))
+    known, asked = looked.filter("hit"), looked.filter("hit IS NULL").select("unit_id")
     answers, attempt = None, 0
     while True:
-        asked = todo.select("unit_id", "key")
-        got = stored(asked.join(provider(todo, attempt), "unit_id", "left").select("unit_id", "key", F.coalesce("status", F.lit("missing")).alias("status"), "error", "findings", "tokens", F.lit(attempt + 1).alias("attempts")))
+        todo = keyed.join(asked, "unit_id", "left_semi")
+        answer = provider(todo, attempt).withColumn("findings", F.when(F.col("status") == "ok", F.col("findings")))
+        got = stored(asked.join(answer, "unit_id", "left").select("unit_id", F.coalesce("status", F.lit("missing")).alias("status"), "error", "findings", "tokens", F.lit(attempt + 1).alias("attempts")))
         final = (F.col("status") != "retryable") | F.lit(attempt >= retries)
         answers = got.filter(final) if answers is None else answers.unionByName(got.filter(final))
         again = got.filter(~final)
         attempt += 1
         if attempt > retries or not again.limit(1).count():
             break
-        todo = keyed.join(again.select("unit_id"), "unit_id", "left_semi")
+        asked = again.select("unit_id")
     fresh = answers.filter("status = 'ok'")
     raw = known.select("unit_id", F.explode("findings").alias("f"), F.lit(True).alias("cached")).unionByName(fresh.select("unit_id", F.explode("findings").alias("f"), F.lit(False).alias("cached")))
-    supplied = keyed.select("unit_id", F.explode("ordinals").alias("ordinal"))
+    supplied = keyed.select("unit_id", F.col("ordinals").alias("known"))
     checked = stored(quality.validate_findings(raw.select("unit_id", "f.*", "cached"), supplied, categories))
     none = lambda kind: F.lit(None).cast(kind)
     outcome = F.when(F.col("status") == "ok", "succeeded").otherwise("failed")
@@ -177,7 +163,7 @@ def run(units: DataFrame, cache: DataFrame, provider: Callable[[DataFrame, int],
     valid = checked.filter("reason IS NULL").select("unit_id", "category", "claim", "confidence", "evidence", "level", "cached")
     kept = valid.filter("NOT cached").groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("category", "claim", "confidence", "evidence"))).alias("findings"))
     empty = F.array().cast("array<struct<category:string,claim:string,confidence:double,evidence:array<string>>>")
-    new = fresh.select("unit_id", "key").join(kept, "unit_id", "left").select("key", "unit_id", F.coalesce("findings", empty).alias("findings"), stored_at.alias("stored_at"))
+    new = fresh.select("unit_id").join(kept, "unit_id", "left").select(key.alias("key"), "unit_id", F.coalesce("findings", empty).alias("findings"), stored_at.alias("stored_at"))
     newest = cache.select("key", "unit_id", "findings", "stored_at").unionByName(new)
     if entries is not None:
         newest = newest.orderBy(F.desc("stored_at"), "key").limit(entries)

@@ -137,11 +137,12 @@ def validate_findings(findings: DataFrame, supplied: DataFrame, categories: list
     """``findings`` with reason (null: valid), n_cited and level.
 
     ``findings``: unit_id, category, claim, confidence, evidence (array of
-    ordinals); ``supplied``: unit_id, ordinal. Unknown categories, blank or
+    ordinals); ``supplied``: unit_id, ordinal, or unit_id and all its ordinals as
+    ``known``. Unknown categories, blank or
     oversize claims, confidence outside 0 to 1 and ordinals that were not
     supplied are reasons to reject.
     """
-    lists = supplied.groupBy("unit_id").agg(F.collect_set("ordinal").alias("known"))
+    lists = supplied if "known" in supplied.columns else supplied.groupBy("unit_id").agg(F.collect_set("ordinal").alias("known"))
     joined = findings.join(lists, "unit_id", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
     odd = F.col("confidence").isNull() | F.isnan("confidence") | ~F.col("confidence").between(0, 1)
     reason = (

@@ -65,7 +65,7 @@ CATEGORIES = ["tone", "voice"]
 
 def _run(spark, d) -> analysis.Run:
     """A run over all units whose cache has what an earlier run over half of the chapters left."""
-    units = stored(_units(spark, d))
+    units = stored(_units(spark, d).select("chapter_index", "unit_id", "text_content", "ordinals"))
     empty = spark.createDataFrame([], "key string, unit_id string, findings array<struct<category:string,claim:string,confidence:double,evidence:array<string>>>, stored_at int")
     first = analysis.run(units.filter("chapter_index % 2 = 0"), empty, _provider, IDENTITY, CATEGORIES, F.lit(1), entries=None)
     return analysis.run(units, stored(first.cache), _provider, IDENTITY, CATEGORIES, F.lit(2), entries=None)

@@ -94,3 +94,16 @@ def test_progress(spark):
     assert rows["b"]["warnings"] == ["checkpoint for T1 " + progress.UNSTRUCTURED] and rows["c"]["warnings"] == [progress.LEGACY]
     assert todo == [("a", 0), ("a", 1), ("b", 1), ("b", 2), *[(p, i) for p in "cg" for i in range(4)]]
     assert sorted((r["project"], r["stem"]) for r in new.collect()) == [("a", "s0"), ("a", "s1"), ("b", "s1"), ("b", "s2"), *[("c", f"s{i}") for i in range(4)], ("g", "s0"), ("g", "s1")]
+
+
+def test_texts_are_shuffled_once_for_a_plan_and_not_written_by_a_run(spark, monkeypatch):
+    """Scenes, the scenes around, names and terms need no further exchange of the paragraphs, and a run writes no texts."""
+    rows = spark.createDataFrame([("b", "c1", 1, "s1", 1, i, f"p{i}", f"Line {i} of Mina") for i in range(1, 5)], "book string, chapter_id string, chapter_index int, scene_id string, scene_order int, position int, paragraph_id string, text string")
+    units = analysis.plan_units(rows, entries(spark, ["mina"]), entries(spark, ["line"]), analysis.Planner(unit_chars=20))
+    assert units._jdf.queryExecution().executedPlan().toString().count("hashpartitioning") == 1
+    written = []
+    monkeypatch.setattr(analysis, "stored", lambda df: written.append(df.columns) or df)
+    empty = spark.createDataFrame([], "key string, unit_id string, findings array<struct<category:string,claim:string,confidence:double,evidence:array<string>>>, stored_at int")
+    answer = lambda todo, attempt: spark.createDataFrame([], analysis.RESPONSE)
+    assert {r["outcome"] for r in analysis.run(units, empty, answer, ["1"] * 6, ["tone"], F.lit(1)).outcomes.collect()} == {"failed"}
+    assert not any("text_content" in columns for columns in written)
