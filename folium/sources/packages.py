@@ -9,13 +9,14 @@ from __future__ import annotations
 import hashlib
 import io
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import escape
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from folium.sources.text import archive_path, entities, html_text, work_id
 
@@ -23,33 +24,53 @@ W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 # Languages written from right to left.
 RIGHT_TO_LEFT = ("fa", "ar", "he", "ur", "ps", "ckb")
 MEMBER_BYTES = 64 << 20
+#: Bytes of values that a task hands on at once.
+BATCH_BYTES = 4 << 20
 # Elements of a package's metadata, and limits of what is taken over.
 PACKAGE_ELEMENTS = ("identifier", "publisher", "source", "description", "rights", "date")
 METADATA_CHARS = 16_384
 SUBJECTS = 256
 
 
-def _members(files: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in files:
-        rows = []
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            try:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if not info.filename.endswith((".xml", ".opf", ".xhtml", ".html", ".htm")):
-                            continue
-                        if info.file_size > MEMBER_BYTES:
-                            rows.append((path, None, None, f"member_too_large:{info.filename}"))
-                        else:
-                            rows.append((path, info.filename, z.read(info).decode("utf-8", "replace"), None))
-            except zipfile.BadZipFile:
-                rows.append((path, None, None, "corrupt_archive"))
-        yield pd.DataFrame(rows, columns=["path", "member", "body", "error"])
+def _records(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of about ``BATCH_BYTES``, so that a task holds few books at a time however many come in a batch."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + sum(len(v) for v in row if isinstance(v, str | bytes))
+        if size >= BATCH_BYTES:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held, strict=True), kinds, strict=True)], names=names)
+            held, size = [], 0
+    columns = zip(*held, strict=True) if held else [[] for _ in names]
+    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of batches, made into Python values one at a time."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield tuple(column[i].as_py() for column in batch.columns)
+
+
+def _members(files: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for path, content in _each(files):
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as z:
+                for info in z.infolist():
+                    if not info.filename.endswith((".xml", ".opf", ".xhtml", ".html", ".htm")):
+                        continue
+                    if info.file_size > MEMBER_BYTES:
+                        yield path, None, None, f"member_too_large:{info.filename}"
+                    else:
+                        yield path, info.filename, z.read(info).decode("utf-8", "replace"), None
+        except zipfile.BadZipFile:
+            yield path, None, None, "corrupt_archive"
 
 
 def members(files: DataFrame) -> DataFrame:
     """(path, member, body, error): text members of the archives of ``read_files``; a corrupt one, and a member over ``MEMBER_BYTES``, gives an error row."""
-    return files.select("path", "content").mapInPandas(_members, "path string, member string, body string, error string")
+    names = ["path", "member", "body", "error"]
+    return files.select("path", "content").mapInArrow(lambda batches: _records(_members(batches), names, [pa.string()] * 4), "path string, member string, body string, error string")
 
 
 def epub_items(archive: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -113,22 +134,20 @@ def epub_blocks(archive: DataFrame) -> DataFrame:
     return rows.unionByName(made).select(F.col("path").alias("doc_id"), number.alias("block"), "kind", "level", "text")
 
 
-def _paragraphs(bodies: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in bodies:
-        rows = []
-        for path, body in zip(batch["path"], batch["body"], strict=True):
-            for i, p in enumerate(ElementTree.fromstring(body).iter(f"{W}p"), 1):
-                text = "".join("\t" if n.tag == f"{W}tab" else "\n" if n.tag == f"{W}br" else (n.text or "") for n in p.iter() if n.tag in (f"{W}t", f"{W}tab", f"{W}br")).strip()
-                style = next((s.get(f"{W}val", "") for s in p.iter(f"{W}pStyle")), "").lower()
-                level = int(style[7:] or 1) if style.startswith("heading") and style[7:].strip().isdigit() | (style == "heading") else 0
-                if text:
-                    rows.append((path, i, "heading" if level else "paragraph", level, text))
-        yield pd.DataFrame(rows, columns=["doc_id", "block", "kind", "level", "text"])
+def _paragraphs(bodies: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for path, body in _each(bodies):
+        for i, p in enumerate(ElementTree.fromstring(body).iter(f"{W}p"), 1):
+            text = "".join("\t" if n.tag == f"{W}tab" else "\n" if n.tag == f"{W}br" else (n.text or "") for n in p.iter() if n.tag in (f"{W}t", f"{W}tab", f"{W}br")).strip()
+            style = next((s.get(f"{W}val", "") for s in p.iter(f"{W}pStyle")), "").lower()
+            level = int(style[7:] or 1) if style.startswith("heading") and style[7:].strip().isdigit() | (style == "heading") else 0
+            if text:
+                yield path, i, "heading" if level else "paragraph", level, text
 
 
 def docx_blocks(archive: DataFrame) -> DataFrame:
     """(doc_id, block, kind, level, text) of non-empty paragraphs; the block number counts empty ones too."""
-    return archive.filter("member = 'word/document.xml'").select("path", "body").mapInPandas(_paragraphs, "doc_id string, block int, kind string, level int, text string")
+    names, kinds = ["doc_id", "block", "kind", "level", "text"], [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string()]
+    return archive.filter("member = 'word/document.xml'").select("path", "body").mapInArrow(lambda batches: _records(_paragraphs(batches), names, kinds), "doc_id string, block int, kind string, level int, text string")
 
 
 def mapping_problems(blocks: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -191,16 +210,18 @@ def epub_bytes(title: str, creator: str, language: str, chapters: list[tuple[str
     return out.getvalue()
 
 
+def _written(books: DataFrame, package: Callable[[object, list[dict]], bytes]) -> DataFrame:
+    """(doc_id, content): the package of each book (doc_id, chapters)."""
+    key = books.schema["doc_id"].dataType
+    kinds = [to_arrow_type(key), pa.binary()]
+    return books.mapInArrow(lambda batches: _records(((d, package(d, c)) for d, c in _each(batches)), ["doc_id", "content"], kinds), f"doc_id {key.simpleString()}, content binary")
+
+
 def epub_books(chapters: DataFrame, language: str = "fa", creator: str = "") -> DataFrame:
     """(doc_id, content): an EPUB package for each book of chapter rows (doc_id, chapter, title, content), built in tasks; the id is the book's title."""
     books = chapters.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter", "title", "content"))).alias("c"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [epub_bytes(str(d), creator, language, [(x["title"], x["content"]) for x in c]) for d, c in zip(batch["doc_id"], batch["c"], strict=True)]})
-
-    key = chapters.schema["doc_id"].dataType.simpleString()
-    return books.mapInPandas(run, f"doc_id {key}, content binary")
+    return _written(books, lambda d, c: epub_bytes(str(d), creator, language, [(x["title"], x["content"]) for x in c]))
 
 
 def docx_books(chapters: DataFrame, language: str = "fa") -> DataFrame:
@@ -208,9 +229,4 @@ def docx_books(chapters: DataFrame, language: str = "fa") -> DataFrame:
     rtl = language in RIGHT_TO_LEFT
     books = chapters.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chapter", "title", "content"))).alias("c"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "content": [docx_bytes(str(d), [(x["title"], x["content"]) for x in c], rtl) for d, c in zip(batch["doc_id"], batch["c"], strict=True)]})
-
-    key = chapters.schema["doc_id"].dataType.simpleString()
-    return books.mapInPandas(run, f"doc_id {key}, content binary")
+    return _written(books, lambda d, c: docx_bytes(str(d), [(x["title"], x["content"]) for x in c], rtl))

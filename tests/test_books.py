@@ -127,3 +127,18 @@ def test_ranks_over_runs(spark, monkeypatch):
         monkeypatch.setattr(mining, "RUN_CHAPTERS", size)
         out = mining.ranked(spark.createDataFrame([(v,) for v in values], "v int"), "v", "r").select("v", F.col("r").cast("int").alias("r")).collect()
         assert {r["v"]: r["r"] for r in out} == {v: i for i, v in enumerate(sorted(values))}
+
+
+def test_packages_are_handed_on_in_bounded_batches(monkeypatch):
+    """However many books come in one batch, a task holds and hands on few bytes at a time."""
+    import pyarrow as pa
+
+    from folium.sources import packages
+
+    monkeypatch.setattr(packages, "BATCH_BYTES", 5_000)
+    book = packages.epub_bytes("t", "", "en", [("one", "x " * 2_000), ("two", "y " * 2_000)])
+    files = pa.RecordBatch.from_pydict({"path": [f"b{i}" for i in range(20)] + ["bad"], "content": [book] * 20 + [b"no archive"]})
+    out = list(packages._records(packages._members(iter([files])), ["path", "member", "body", "error"], [pa.string()] * 4))
+    assert len(out) > 20 and max(b.nbytes for b in out) < 20_000
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len(rows) == 20 * 5 + 1 and rows[-1] == {"path": "bad", "member": None, "body": None, "error": "corrupt_archive"}
