@@ -169,9 +169,8 @@ def promotion_outcomes(spark, d):
 def promoted_canon(spark, d):
     """The canon with the items that can be promoted, committed to a versioned table, twice, and read back from it."""
     items, old, given = _promotion(spark, d)
-    first = canon.outcomes(canon.plan(items, old, given), items.filter(F.col("status").isin("approved", "edited") & (F.col("kind") != canon.LITERARY)))
-    fit = versions.stored(first.filter("outcome = 'promoted'").select("item_id"))
-    events = versions.stored(canon.plan(items, old, given, fit))
+    chosen = items.filter(F.col("status").isin("approved", "edited") & (F.col("kind") != canon.LITERARY))
+    events = versions.stored(canon.promotable(versions.stored(canon.plan(items, old, given)), chosen))
     store = versions.Store(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/canon-{uuid.uuid4().hex}")
     store.commit("start", None, {"canon": old})
     facts = canon.summary(events, store.read("canon")).first()
