@@ -3,13 +3,37 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folium.functions.text import ARABIC_BLOCKS, ARABIC_DIGITS, ARABIC_LETTERS, HONORIFICS, NAME_STOPWORDS, PERSIAN_DIGITS, PERSIAN_LETTERS, SPACING_PUNCTUATION, TATWEEL, ZWNJ
 
 FINDING = "array<struct<kind:string,char_index:int,suggestion:string>>"
+#: Characters of texts whose results a task holds as Python values at once.
+SLICE_CHARS = 1 << 20
+
+
+def _lists(texts: pa.Array, scan: Callable[[str | None], list], kind: pa.DataType) -> pa.Array:
+    """What ``scan`` finds in each text; texts become Python values one at a time, and their results Arrow's every ``SLICE_CHARS``."""
+    done, held, size = [], [], 0
+    for text in texts:
+        value = text.as_py()
+        held.append(scan(value))
+        size += 64 + len(value or "")
+        if size >= SLICE_CHARS:
+            done.append(pa.array(held, pa.list_(kind)))
+            held, size = [], 0
+    return pa.concat_arrays([*done, pa.array(held, pa.list_(kind))])
+
+
+def _scanned(scan: Callable[[str | None], list], kind: pa.DataType, returns: str) -> Callable[[Column | str], Column]:
+    def lists(texts: pa.Array) -> pa.Array:
+        return _lists(texts, scan, kind)
+
+    return F.arrow_udf(lists, returns)
 
 
 def typography(text: Column) -> Column:
@@ -84,7 +108,7 @@ def _candidates(text: str | None) -> list[str]:
 
 def name_candidates(text: Column | str) -> Column:
     """Capitalised name candidates of each text, in order, repeats included."""
-    return F.pandas_udf(lambda s: s.map(_candidates), "array<string>", F.PandasUDFType.SCALAR)(text)
+    return _scanned(_candidates, pa.string(), "array<string>")(text)
 
 
 # The styles of quotes with their marks, in the order in which spans of one place are kept, and the mark of a line of speech.
@@ -129,7 +153,8 @@ def quotes(text: Column | str) -> Column:
     stands in it. Of several spans at one place the first style counts. Null
     and empty texts have none.
     """
-    return F.pandas_udf(lambda s: s.map(_quotes), "array<struct<start:int,end:int,style:string,quote:string>>", F.PandasUDFType.SCALAR)(text)
+    kind = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("style", pa.string()), ("quote", pa.string())])
+    return _scanned(_quotes, kind, "array<struct<start:int,end:int,style:string,quote:string>>")(text)
 
 
 # Marks that end a sentence, and marks that may follow them.
@@ -164,7 +189,7 @@ def _split(text: str | None, size: int) -> list[str]:
 
 def passages(text: Column, size: int = 24_000) -> Column:
     """Chunks of at most ``size`` code points whose concatenation is the text; empty and null texts have none."""
-    return F.pandas_udf(lambda s: s.map(lambda t: _split(t, size)), "array<string>", F.PandasUDFType.SCALAR)(text)
+    return _scanned(lambda t: _split(t, size), pa.string(), "array<string>")(text)
 
 
 def persian_letters(text: Column) -> Column:

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import weakref
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +132,25 @@ def test_pairs_of_names_with_sharp_s_are_approved(spark, tmp_path):
     spark.createDataFrame([(0, "a b")], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = recall.relationship_seeds(spark, str(tmp_path)).collect()
     assert [(r["a"], r["b"], r["n"], r["approved"]) for r in got] == [("Mina", "Straßer", 70, True)]
+
+
+def test_scanners_hold_few_results_as_python_values():
+    """Of 60 texts that come at once, no more results than those of a slice are Python values together."""
+
+    class Found(str):
+        pass
+
+    alive, most = weakref.WeakSet(), 0
+
+    def scan_one(text):
+        nonlocal most
+        found = [Found(f"{text[:4]}{i}") for i in range(3)]
+        for x in found:
+            alive.add(x)
+        most = max(most, len(alive))
+        return found
+
+    texts = [f"{i:04d}" + "x" * (scan.SLICE_CHARS // 10) for i in range(60)]
+    out = scan._lists(pa.array([*texts]), scan_one, pa.string())
+    assert out.to_pylist() == [[f"{i:04d}{k}" for k in range(3)] for i in range(60)] and most <= 3 * 11
+    assert scan._lists(pa.array([], pa.string()), scan_one, pa.string()).to_pylist() == []
