@@ -31,7 +31,15 @@ def recurring_phrases(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
 
 def name_counts(mentions: DataFrame, doc_id: str = "doc_id", name: str = "name", position: str = "position", least: int = 2, evidence: int = EVIDENCE) -> DataFrame:
-    """(key, display, n, evidence, confidence) of names by normalised key; the display form is the first one met."""
+    """(key, display, n, evidence, confidence) of names by normalised key; the display form is the first one met.
+
+    Without ``evidence`` (0) that column is left out, and names are counted as
+    they are spelt before they meet by key.
+    """
+    if not evidence:
+        spelt = mentions.groupBy(F.col(name).alias("name")).agg(F.min(F.struct(F.col(doc_id).alias("doc_id"), F.col(position).alias("position"))).alias("first"), F.count(F.lit(1)).alias("c"))
+        counted = spelt.withColumn("key", normalize_case_insensitive(F.col("name"))).filter("key <> ''")
+        return counted.groupBy("key").agg(F.min_by("name", "first").alias("display"), F.sum("c").alias("n")).filter(F.col("n") >= least).withColumn("confidence", confidence(F.col("n")))
     keyed = mentions.select(F.col(doc_id).alias("doc_id"), F.col(name).alias("name"), F.col(position).alias("position"), normalize_case_insensitive(F.col(name)).alias("key")).filter("key <> ''")
     by_doc = keyed.groupBy("key", "doc_id").agg(F.count(F.lit(1)).alias("c"), F.min_by("name", "position").alias("display"))
     out = by_doc.groupBy("key").agg(F.min_by("display", "doc_id").alias("display"), F.sum("c").alias("n")).filter(F.col("n") >= least)

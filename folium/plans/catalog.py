@@ -84,7 +84,7 @@ def recurring_phrases(spark, d):
 
 def name_mentions(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source", F.posexplode(scan.name_candidates("text")).alias("position", "name"))
-    return mining.name_counts(docs).select("key", "display", "n", "confidence")
+    return mining.name_counts(docs, evidence=0).select("key", "display", "n", "confidence")
 
 
 def cooccurrence(spark, d):

@@ -348,3 +348,13 @@ def test_recurring_phrases_are_shuffled_once(spark):
     assert (row["n"], row["n_docs"], row["first_doc"], row["evidence"]) == (25, 12, 0, list(range(8)))
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_names_count_the_same_with_and_without_evidence(spark):
+    """Spellings of one key meet; the form first met is shown. Without evidence no table of names and documents is joined."""
+    rows = [(2, 0, "Anna-Lee"), (1, 5, "ANNA LEE"), (1, 9, "Anna Lee"), (3, 1, "anna lee"), (3, 0, "Bob"), (4, 7, "Cy"), (2, 3, "Cy"), (4, 2, "--"), (5, 0, None)]
+    df = spark.createDataFrame(rows, "doc_id int, position int, name string")
+    plain = mining.name_counts(df, evidence=0)
+    listed = lambda d: sorted((r["key"], r["display"], r["n"], r["confidence"]) for r in d.collect())
+    assert listed(plain) == listed(mining.name_counts(df)) == [("anna lee", "ANNA LEE", 4, "moderate"), ("cy", "Cy", 2, "moderate")]
+    assert "Join" not in plain._jdf.queryExecution().optimizedPlan().toString() and "evidence" not in plain.columns
