@@ -96,6 +96,11 @@ def element_texts(xml: Column, name: str) -> Column:
     return F.array_distinct(F.filter(cleaned, lambda x: x != ""))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once for a row, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def merge_package_metadata(known: Column, xml: Column) -> Column:
     """``known`` (map, or null) with what a package file says: the first text of each of ``PACKAGE_ELEMENTS``, and the subjects.
 
@@ -103,16 +108,26 @@ def merge_package_metadata(known: Column, xml: Column) -> Column:
     ao3_work_id), which an identifier or source with the address of an
     archived work sets. A null package adds nothing.
     """
-    body = F.coalesce(xml, F.lit(""))
-    first = [(f"epub_{name}", F.get(element_texts(body, name), 0)) for name in PACKAGE_ELEMENTS]
-    subjects = F.nullif(F.left(F.array_join(F.slice(element_texts(body, "subject"), 1, SUBJECTS), " | "), F.lit(METADATA_CHARS)), F.lit(""))
-    work = F.get(F.filter(F.transform(F.concat(element_texts(body, "identifier"), element_texts(body, "source")), lambda x: work_id(x)), lambda x: x.isNotNull()), 0)
-    origin = [("source_site", F.when(work.isNotNull(), "archiveofourown.org")), ("source_url", F.concat(F.lit("https://archiveofourown.org/works/"), work)), ("ao3_work_id", work)]
     entry = lambda pairs: F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("key"), v.alias("value")) for k, v in pairs]), lambda x: x["value"].isNotNull()))
-    had = F.coalesce(known, F.create_map().cast("map<string,string>"))
     without = lambda m, other: F.map_filter(m, lambda k, v: ~F.map_contains_key(other, k))
-    found, place = entry([*first, ("epub_subjects", subjects)]), entry(origin)
-    return F.map_concat(without(had, place), without(found, had), place)
+
+    def texts(body: Column) -> Column:
+        """The texts of each element, sought once."""
+        return F.struct(*[element_texts(body, name).alias(name) for name in (*PACKAGE_ELEMENTS, "subject")])
+
+    def facts(x: Column) -> Column:
+        subjects = F.nullif(F.left(F.array_join(F.slice(x["subject"], 1, SUBJECTS), " | "), F.lit(METADATA_CHARS)), F.lit(""))
+        work = F.get(F.filter(F.transform(F.concat(x["identifier"], x["source"]), lambda s: work_id(s)), lambda w: w.isNotNull()), 0)
+        found = entry([*[(f"epub_{name}", F.get(x[name], 0)) for name in PACKAGE_ELEMENTS], ("epub_subjects", subjects)])
+        return F.struct(found.alias("found"), work.alias("work"))
+
+    def merged(x: Column) -> Column:
+        work = x["work"]
+        place = entry([("source_site", F.when(work.isNotNull(), "archiveofourown.org")), ("source_url", F.concat(F.lit("https://archiveofourown.org/works/"), work)), ("ao3_work_id", work)])
+        had = F.coalesce(known, F.create_map().cast("map<string,string>"))
+        return F.map_concat(without(had, place), without(x["found"], had), place)
+
+    return _once(_once(_once(F.coalesce(xml, F.lit("")), texts), facts), merged)
 
 
 def epub_blocks(archive: DataFrame) -> DataFrame:

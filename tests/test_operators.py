@@ -371,3 +371,13 @@ def test_chapter_maps_scan_names_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(recall.matching, "phrase_hits", lambda *a: (searched.append(1), hits(*a))[1])
     out = {r["doc_id"]: r["terms"] for r in recall.chapter_maps(spark, str(tmp_path)).collect()}
     assert len(out) == 70 and out[1] == "the red" and out[0] == "sat" and len(searched) == 1 and made.value == 70
+
+
+def test_package_elements_are_sought_once(spark):
+    """Each element is sought once for a package, whatever is made of its texts."""
+    df = spark.createDataFrame([("<dc:source>x</dc:source><identifier>https://ao3.org/works/07</identifier><subject>s</subject>",), (None,)], "xml string")
+    out = df.select(packages.merge_package_metadata(F.create_map(F.lit("epub_source"), F.lit("kept")), F.col("xml")).alias("m"))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert [plan.count(f"<{tag}(?:") for tag in ("dc:identifier", "identifier", "dc:source", "source", "description", "subject")] == [1] * 6
+    work = {"source_site": "archiveofourown.org", "source_url": "https://archiveofourown.org/works/7", "ao3_work_id": "7"}
+    assert [r["m"] for r in out.collect()] == [{"epub_source": "kept", "epub_identifier": "https://ao3.org/works/07", "epub_subjects": "s", **work}, {"epub_source": "kept"}]
