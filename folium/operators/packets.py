@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.functions.text import normalize_case_insensitive, tokens
+from folium.sources.shared import stored
 
 # Headings of context texts, bounds of excerpts and terms, and the relevance of each kind of evidence.
 SEEDS_HEAD = "MANUSCRIPT SEEDS — inferred evidence only; approved project memory takes precedence:"
@@ -39,13 +40,11 @@ def seed_conflicts(characters: DataFrame, terms: DataFrame, aliases: DataFrame,
     return people.unionByName(wording)
 
 
-def _within(lines: DataFrame, chars: int) -> DataFrame:
-    """(chapter_id, context): the lines of each chapter (section, position, line) in order, cut to ``chars``; lines that begin beyond are not gathered."""
-    along = Window.partitionBy("chapter_id").orderBy("section", "position", "line")
-    before = F.coalesce(F.sum(F.length("line") + 1).over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    kept = lines.withColumn("before", before).filter(F.col("before") < chars)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("before", "line"))), lambda x: x["line"]), "\n")
-    return kept.groupBy("chapter_id").agg(F.left(joined, F.lit(chars)).alias("context"))
+def _within(lines: Column, chars: int) -> Column:
+    """``lines`` in their order, joined and cut to ``chars``; those that begin beyond are left out."""
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("size"))
+    more = lambda at, x: F.struct(F.concat(at["text"], F.when(at["size"] > 0, "\n").otherwise(""), x).alias("text"), (at["size"] + F.length(x) + 1).alias("size"))
+    return F.aggregate(lines, start, lambda at, x: F.when(at["size"] < chars, more(at, x)).otherwise(at), lambda at: F.left(at["text"], F.lit(chars)))
 
 
 def proposal(characters: DataFrame, relationships: DataFrame, terms: DataFrame, conflicts: DataFrame, evidence: DataFrame, chars: int = SEED_CHARS) -> DataFrame:
@@ -59,27 +58,27 @@ def proposal(characters: DataFrame, relationships: DataFrame, terms: DataFrame,
     terms without a translation that aren't approved names; a chapter without
     any has an empty context. Seeds are numbered by position within their kind.
     """
-    where = evidence.select("seed_id", "chapter_id").distinct()
     clash = conflicts.select("seed_id", F.lit(True).alias("clash")).distinct()
-    c = characters.join(where, "seed_id").join(clash, "seed_id", "left")
-    r = relationships.join(where, "seed_id")
     names = characters.filter("approved").select(normalize_case_insensitive(F.col("name")).alias("key"), F.lit(True).alias("is_name")).distinct()
-    t = terms.join(where, "seed_id").withColumn("key", normalize_case_insensitive(F.col("expression"))).join(names, "key", "left")
     level = F.concat(F.upper(F.left("level", F.lit(1))), F.substring("level", 2, 100))
-    line = lambda section, df, text: df.select("chapter_id", F.lit(section).alias("section"), "position", text.alias("line"))
-    people = line(1, c.filter("NOT approved AND clash IS NULL"), F.concat(F.lit("- character candidate: "), "name", F.lit(" ("), level, F.lit(", "), F.col("count").cast("string"), F.lit(" occurrences)")))
-    pairs = line(2, r.filter("NOT approved"), F.concat(F.lit("- co-occurrence: "), "a", F.lit(" ↔ "), "b", F.lit(" ("), F.col("count").cast("string"), F.lit(" interactions; relationship type unknown)")))
-    open_ = t.filter(F.col("translation").isNull() & ~((F.col("category") == "character_name") & F.coalesce("is_name", F.lit(False))))
-    first = open_.withColumn("r", F.row_number().over(Window.partitionBy("chapter_id").orderBy("position", "seed_id"))).filter(F.col("r") <= MOST_TERMS)
-    found = line(3, first, F.concat(F.lit("- terminology candidate: "), "expression"))
-    body = people.unionByName(pairs).unionByName(found)
-    head = body.select("chapter_id").distinct().select("chapter_id", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("position"), F.lit(SEEDS_HEAD).alias("line"))
-    context = _within(head.unionByName(body.withColumn("position", F.col("position").cast("bigint"))), chars)
-    seeds = lambda df, name: df.groupBy("chapter_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "seed_id"))), lambda x: x["seed_id"]).alias(name))
-    out = where.select("chapter_id").distinct()
-    for df, name in ((c, "character_seeds"), (r, "relationship_seeds"), (t, "term_seeds")):
-        out = out.join(seeds(df, name), "chapter_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
-    return out.join(context, "chapter_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    seed = lambda section, df, listed, line: df.select("seed_id", F.lit(section).alias("section"), F.col("position").cast("bigint").alias("position"), F.coalesce(listed, F.lit(False)).alias("listed"), line.alias("line"))
+    people = seed(1, characters.join(clash, "seed_id", "left"), ~F.col("approved") & F.col("clash").isNull(), F.concat(F.lit("- character candidate: "), "name", F.lit(" ("), level, F.lit(", "), F.col("count").cast("string"), F.lit(" occurrences)")))
+    pairs = seed(2, relationships, ~F.col("approved"), F.concat(F.lit("- co-occurrence: "), "a", F.lit(" ↔ "), "b", F.lit(" ("), F.col("count").cast("string"), F.lit(" interactions; relationship type unknown)")))
+    t = terms.withColumn("key", normalize_case_insensitive(F.col("expression"))).join(names, "key", "left")
+    open_ = F.col("translation").isNull() & ~((F.col("category") == "character_name") & F.coalesce("is_name", F.lit(False)))
+    found = seed(3, t, open_, F.concat(F.lit("- terminology candidate: "), "expression"))
+    # seeds are made once; the evidence meets them and then its chapters, in one shuffle
+    seeds = stored(people.unionByName(pairs).unionByName(found))
+    row = F.when(F.col("section").isNotNull(), F.struct("section", "position", "seed_id", F.when(F.col("listed"), F.coalesce("line", F.lit(""))).alias("line")))
+    by_chapter = evidence.select("seed_id", "chapter_id").join(seeds, "seed_id", "left").groupBy("chapter_id").agg(F.array_sort(F.collect_set(row)).alias("all"))
+    of = lambda section: F.filter("all", lambda x: x["section"] == section)
+    lines = lambda rows: F.transform(F.array_sort(F.transform(rows, lambda x: F.struct(x["position"].alias("position"), x["line"].alias("line")))), lambda x: x["line"])
+    shown = lambda section: F.filter(of(section), lambda x: x["line"].isNotNull())
+    body = F.concat(lines(shown(1)), lines(shown(2)), lines(F.slice(shown(3), 1, MOST_TERMS)))
+    gathered = by_chapter.withColumn("body", body)
+    ids = [F.transform(of(section), lambda x: x["seed_id"]).alias(name) for section, name in ((1, "character_seeds"), (2, "relationship_seeds"), (3, "term_seeds"))]
+    context = F.when(F.size("body") > 0, _within(F.concat(F.array(F.lit(SEEDS_HEAD)), "body"), chars)).otherwise("")
+    return gathered.select("chapter_id", *ids, context.alias("context"))
 
 
 def candidate(rows: DataFrame, namespace: str, kind: str, authority: str, text: Column, reason: str, ids: list[Column], evidence: Column | None = None) -> DataFrame:

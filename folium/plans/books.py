@@ -190,7 +190,7 @@ def _seeds(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFr
     glossary = named.filter("item_id % 8 IN (0, 3)").select(expression.alias("source_term"), F.when(i % 8 == 0, "tr").otherwise("other").alias("preferred_translation"))
     seeds = characters.select("seed_id", "position").unionByName(pairs.select("seed_id", "position")).unionByName(terms.select("seed_id", "position"))
     docs = _read(spark, d, "documents").select(F.concat(F.lit("d-"), F.col("doc_id").cast("string")).alias("chapter_id"), (F.col("doc_id") % 13).alias("m"))
-    evidence = seeds.withColumn("m", F.col("position") % 13).join(docs, "m").select("seed_id", "chapter_id")
+    evidence = docs.join(F.broadcast(seeds.withColumn("m", F.col("position") % 13)), "m").select("seed_id", "chapter_id")
     return characters, pairs, terms, aliases, glossary, evidence
 
 

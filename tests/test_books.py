@@ -142,3 +142,22 @@ def test_packages_are_handed_on_in_bounded_batches(monkeypatch):
     assert len(out) > 20 and max(b.nbytes for b in out) < 20_000
     rows = [r for b in out for r in b.to_pylist()]
     assert len(rows) == 20 * 5 + 1 and rows[-1] == {"path": "bad", "member": None, "body": None, "error": "corrupt_archive"}
+
+
+def test_proposal_gathers_a_chapter_once(spark):
+    """Evidence is shuffled once, by chapter; a line that begins at the limit leaves no end of line, and evidence of unknown seeds keeps its chapter."""
+    characters = spark.createDataFrame([("c1", 2, "Ann", "high", 3, False), ("c2", 1, "Bob", "low", 1, False)], "seed_id string, position int, name string, level string, count int, approved boolean")
+    pairs = spark.createDataFrame([], "seed_id string, position int, a string, b string, count int, approved boolean")
+    terms = spark.createDataFrame([(f"t{i:02d}", i, f"term {i}", None, "other") for i in range(20)], "seed_id string, position int, expression string, translation string, category string")
+    none = spark.createDataFrame([], "seed_id string, kind string, inferred string, approved string")
+    found = [("c1", "x"), ("c2", "x"), ("c2", "x"), ("gone", "y"), *[(f"t{i:02d}", "z") for i in range(20)]]
+    evidence = spark.createDataFrame(found, "seed_id string, chapter_id string")
+    made = lambda chars: packets.proposal(characters, pairs, terms, none, evidence, chars)
+    out = {r["chapter_id"]: r for r in made(2_000).collect()}
+    head = packets.SEEDS_HEAD
+    assert out["x"]["character_seeds"] == ["c2", "c1"] and out["x"]["context"] == f"{head}\n- character candidate: Bob (Low, 1 occurrences)\n- character candidate: Ann (High, 3 occurrences)"
+    assert out["y"]["context"] == "" and out["y"]["term_seeds"] == [] and len(out["z"]["term_seeds"]) == 20 and out["z"]["context"].count("terminology candidate") == packets.MOST_TERMS
+    cut = {r["chapter_id"]: r["context"] for r in made(len(head) + 1).collect()}
+    assert cut == {"x": head, "y": "", "z": head}
+    plan = made(600)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate [chapter_id") == 1 and "Window" not in plan
