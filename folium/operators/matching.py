@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folium.functions.ids import confidence, stable_id
 from folium.functions.text import ngrams, normalize_case_insensitive, tokens
+from folium.operators.pairs import counted_pairs, numbered
+from folium.sources.shared import stored
 
 #: Term rows that may be broadcast; larger term tables are shuffled on the phrase.
 BROADCAST_ROWS = 200_000
@@ -94,19 +96,21 @@ def merge_short_names(names: DataFrame) -> DataFrame:
     return mapped.groupBy(root.alias("name")).agg(F.sum("n").alias("n"), F.array_sort(F.collect_set(F.when(F.col("full").isNotNull(), F.col("name")))).alias("aliases"))
 
 
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
+
 def co_occurrence(mentions: DataFrame, unit: str, name: str, evidence: int = 8) -> DataFrame:
     """(a, b, n, evidence): pairs of names in the same unit, their number of units and the first few of them.
 
-    Names within a unit are distinct before they pair; pairs are counted with
-    map-side partial sums.
+    Names are numbered and distinct within a unit before they pair.
     """
-    rows = mentions.select(F.col(unit).alias("unit"), F.col(name).alias("name")).dropna().distinct()
-    lists = rows.groupBy("unit").agg(F.sort_array(F.collect_set("name")).alias("names"))
-    pairs = lists.select("unit", F.posexplode("names").alias("i", "a"), "names").select("unit", "a", F.explode(F.slice("names", F.col("i") + 2, F.size("names"))).alias("b"))
-    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
-    rank = F.row_number().over(Window.partitionBy("a", "b").orderBy("unit"))
-    refs = pairs.withColumn("r", rank).filter(F.col("r") <= evidence).groupBy("a", "b").agg(F.array_sort(F.collect_list("unit")).alias("evidence"))
-    return counts.join(refs, ["a", "b"])
+    rows = stored(mentions.select(F.col(unit).alias("unit"), F.col(name).alias("name")).dropna())
+    names = stored(numbered(rows.select("name").distinct(), "name"))
+    n = names.count()
+    pairs = counted_pairs(rows.join(_small(names, n), "name").select("unit", "id"), n, evidence)
+    named = lambda side: _small(names.select(F.col("id").alias(side), F.col("name").alias(f"{side}_name")), n)
+    return pairs.join(named("a"), "a").join(named("b"), "b").select(F.least("a_name", "b_name").alias("a"), F.greatest("a_name", "b_name").alias("b"), "n", "evidence")
 
 
 def relationship_seeds(paragraphs: DataFrame, seeds: DataFrame, approved: DataFrame, unit: str = "unit", text: str = "text", evidence: int = 8) -> DataFrame:
@@ -115,14 +119,17 @@ def relationship_seeds(paragraphs: DataFrame, seeds: DataFrame, approved: DataFr
     A seed is in a paragraph if its name stands there as a whole phrase; a pair
     has the lesser key first. ``approved`` has the canon's pairs (a, b).
     """
-    hits = phrase_hits(paragraphs, seeds, unit, text, "key", "name")
-    pairs = co_occurrence(hits, unit, "key", evidence)
-    named = lambda side: seeds.select(F.col("key").alias(side), F.col("name").alias(f"{side}_name"), F.col("seed_id").alias(f"{side}_id"))
+    known = stored(numbered(seeds.select("key", "name", "seed_id"), "key"))
+    n = known.count()
+    hits = phrase_hits(paragraphs, known, unit, text, "id", "name").dropna()
+    pairs = counted_pairs(hits.select(F.col(unit).alias("unit"), "id"), n, evidence)
+    named = lambda side: _small(known.select(F.col("id").alias(side), F.struct("key", "name", "seed_id").alias(f"{side}_seed")), n)
     norm = lambda c: normalize_case_insensitive(F.col(c))
-    canon = approved.select(F.least(norm("a"), norm("b")).alias("a"), F.greatest(norm("a"), norm("b")).alias("b"), F.lit(True).alias("approved")).distinct()
-    rows = pairs.join(named("a"), "a").join(named("b"), "b").join(canon, ["a", "b"], "left")
-    key = stable_id(F.lit("relationship"), F.concat("a_id", F.lit("\x00"), "b_id"))
-    return rows.select(key.alias("seed_id"), F.col("a_name").alias("a"), F.col("b_name").alias("b"), "n", "evidence", confidence(F.col("n")).alias("confidence"), F.coalesce("approved", F.lit(False)).alias("approved"))
+    canon = stored(approved.select(F.least(norm("a"), norm("b")).alias("a_key"), F.greatest(norm("a"), norm("b")).alias("b_key"), F.lit(True).alias("approved")).distinct())
+    rows = pairs.join(named("a"), "a").join(named("b"), "b").select(F.least("a_seed", "b_seed").alias("a"), F.greatest("a_seed", "b_seed").alias("b"), "n", "evidence")
+    rows = rows.withColumns({"a_key": F.col("a.key"), "b_key": F.col("b.key")}).join(_small(canon, canon.count()), ["a_key", "b_key"], "left")
+    key = stable_id(F.lit("relationship"), F.concat("a.seed_id", F.lit("\x00"), "b.seed_id"))
+    return rows.select(key.alias("seed_id"), F.col("a.name").alias("a"), F.col("b.name").alias("b"), "n", "evidence", confidence(F.col("n")).alias("confidence"), F.coalesce("approved", F.lit(False)).alias("approved"))
 
 
 def missing_and_unknown(expected: DataFrame, actual: DataFrame, key: str) -> DataFrame:
