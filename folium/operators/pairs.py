@@ -12,9 +12,12 @@ from pyspark.sql import types as T
 
 from folium.sources.shared import stored
 
-#: Names of a block at most, and blocks of names at least. A task counts the pairs of two blocks, in a table of the square of a block.
-BLOCK = 2_048
+#: Blocks of names at least: a unit goes to each two of them, with its names in them.
 BLOCKS = 4
+#: Names of a strip, a part of a block, at most: a task counts the pairs of two strips at once, in a table of the square of a strip.
+STRIP = 1_536
+#: Mentions that a task holds, about; with more there are more blocks.
+HELD = 5 << 24
 #: Pairs, and rows of the result, that a task makes at once.
 PAIRS = 1 << 20
 ROWS = 1 << 16
@@ -33,10 +36,10 @@ def numbered(rows: DataFrame, key: str, number: str = "id") -> DataFrame:
 
 
 class Counts:
-    """Of each pair of two blocks its number of units, and the ``evidence`` least units in order."""
+    """Of each pair of two strips its number of units, and the ``evidence`` least units in order."""
 
-    def __init__(self, block: int, evidence: int) -> None:
-        self.n, self.first = np.zeros(block * block, np.int64), np.full((block * block, evidence), LAST)
+    def __init__(self, strip: int, evidence: int) -> None:
+        self.n, self.first = np.zeros(strip * strip, np.int64), np.full((strip * strip, evidence), LAST)
 
     def add(self, code: np.ndarray, unit: np.ndarray) -> None:
         """Units of pairs; each comes once."""
@@ -57,68 +60,101 @@ class Counts:
         self.first[at] = np.sort(np.concatenate((self.first[at], new), axis=1), axis=1)[:, : self.first.shape[1]]
 
 
-def _products(row: np.ndarray, name: np.ndarray, left: np.ndarray, right: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, x, y) for the names of a row that ``left`` and ``right`` mark, about ``most`` at once."""
-    x, x_row, y = name[left], row[left], name[right]
-    width = np.bincount(row[right], minlength=row[-1] + 1 if len(row) else 0)
-    start, times = np.cumsum(width) - width, width[x_row]
+class Mentions:
+    """(row, name) of a strip, rows in ascending order."""
+
+    def __init__(self) -> None:
+        self.row, self.name = [], []
+
+    def add(self, row: np.ndarray, name: np.ndarray) -> None:
+        self.row.append(row.astype(np.int32))
+        self.name.append(name.astype(np.int16))
+
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([np.zeros(0, np.int32), *self.row]), np.concatenate([np.zeros(0, np.int16), *self.name]).astype(np.int64)
+
+
+def _products(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, x, y) for each name of ``left`` and ``right`` in one row, about ``most`` at once."""
+    (x_row, x), y = left, right[1]
+    width = np.bincount(right[0], minlength=rows)
+    start, times = (np.cumsum(width) - width)[x_row], width[x_row]
     ends = np.cumsum(times)
     at = 0
     while at < len(x):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
         t = times[at:stop]
-        skip = start[x_row[at:stop]] - (np.cumsum(t) - t)
+        skip = start[at:stop] - (np.cumsum(t) - t)
         yield np.repeat(x_row[at:stop], t), np.repeat(x[at:stop], t), y[np.arange(t.sum()) + np.repeat(skip, t)]
         at = stop
 
 
-def _cell(block: int, blocks: int, evidence: int, most: int, slice_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cell(strips: int, strip: int, blocks: int, evidence: int, most: int, slice_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Counts of the pairs of one cell, two blocks ``g`` and ``h`` of names or one with itself; at most ``slice_`` rows at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = None
+        units, rows, g, h = [], 0, 0, 0
+        held = [[Mentions() for _ in range(strips)] for _ in range(2)]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            if counts is None:
-                counts, g, h = Counts(block, evidence), batch.column("g")[0].as_py(), batch.column("h")[0].as_py()
-            unit, names = batch.column("unit").to_numpy(), batch.column("names")
-            row = np.repeat(np.arange(len(names)), names.value_lengths().to_numpy())
+            g, h, names = batch.column("g")[0].as_py(), batch.column("h")[0].as_py(), batch.column("names")
+            units.append(batch.column("unit").to_numpy().copy())
+            row = np.repeat(np.arange(rows, rows + len(names)), names.value_lengths().to_numpy())
             ids = names.flatten().to_numpy().astype(np.int64)
-            for r, x, y in _products(row, ids // blocks, ids % blocks == g, ids % blocks == h, most):
-                if g == h:
-                    once = x < y
-                    r, x, y = r[once], x[once], y[once]
-                counts.add(x * block + y, unit[r])
-        if counts is None:
+            for side, block in enumerate((g, h) if g != h else (g,)):
+                mine = np.flatnonzero(ids % blocks == block)
+                r, place = row[mine], ids[mine] // blocks
+                for i in range(strips):
+                    here = place // strip == i
+                    held[side][i].add(r[here], place[here] % strip)
+            rows += len(names)
+        if not rows:
             return
-        found = np.flatnonzero(counts.n)
-        for i in range(0, len(found), slice_):
-            at = found[i : i + slice_]
-            n, first = counts.n[at], counts.first[at]
-            size = np.minimum(n, evidence)
-            units = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(first[np.arange(evidence) < size[:, None]]))
-            yield pa.RecordBatch.from_arrays([pa.array((at // block * blocks + g).astype(np.int32)), pa.array((at % block * blocks + h).astype(np.int32)), pa.array(n), units], names=["x", "y", "n", "evidence"])
+        unit, right = np.concatenate(units), held[g != h]
+        for i in range(strips):
+            x_side = held[0][i].whole()
+            for j in range(i if g == h else 0, strips):
+                counts = Counts(strip, evidence)
+                for r, x, y in _products(x_side, right[j].whole(), rows, most):
+                    if g == h and i == j:
+                        once = x < y
+                        r, x, y = r[once], x[once], y[once]
+                    counts.add(x * strip + y, unit[r])
+                found = np.flatnonzero(counts.n)
+                for start in range(0, len(found), slice_):
+                    at = found[start : start + slice_]
+                    n, first = counts.n[at], counts.first[at]
+                    size = np.minimum(n, evidence)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), pa.array(first[np.arange(evidence) < size[:, None]]))
+                    ids = [pa.array(((k * strip + place) * blocks + block).astype(np.int32)) for k, place, block in ((i, at // strip, g), (j, at % strip, h))]
+                    yield pa.RecordBatch.from_arrays([*ids, pa.array(n), lists], names=["x", "y", "n", "evidence"])
 
     return run
 
 
-def by_cells(lists: DataFrame, names: int, evidence: int) -> DataFrame:
+def _blocks(mentions: int) -> int:
+    return max(BLOCKS, -(-2 * mentions // HELD))
+
+
+def by_cells(lists: DataFrame, names: int, mentions: int, evidence: int) -> DataFrame:
     """``counted_pairs`` without a row for each pair and unit: a unit goes to each cell, two blocks of names, with those of its names that are in them.
 
-    A name goes to as many cells as there are blocks, so what is shuffled grows
-    with the mentions, and a task holds a table of the pairs of its cell,
-    however many units have them.
+    A name goes to as many cells as there are blocks, which is what is shuffled
+    for a mention. A task holds its cell's mentions as numbers, and the table of
+    two strips.
     """
-    blocks = max(BLOCKS, -(-names // BLOCK))
-    block, last = -(-names // blocks) or 1, F.lit(blocks - 1)
+    blocks = _blocks(mentions)
+    last = F.lit(blocks - 1)
+    strips = -(-names // (blocks * STRIP)) or 1
+    strip = -(-names // (blocks * strips)) or 1
     ids = F.col("names").cast("array<smallint>" if names < 1 << 15 else "array<int>")
     split = lists.select(F.col("unit").cast("bigint").alias("unit"), F.transform(F.sequence(F.lit(0), last), lambda g: F.filter(ids, lambda x: x % blocks == g)).alias("of"))
     pairs = split.withColumn("g", F.explode(F.sequence(F.lit(0), last))).withColumn("h", F.explode(F.sequence(F.col("g"), last)))
     of = lambda g: F.get("of", F.col(g))
     rows = pairs.select("unit", "g", "h", F.when(F.col("g") == F.col("h"), of("g")).otherwise(F.concat(of("g"), of("h"))).alias("names")).filter(F.size("names") > 1)
     cell = (F.col("g") * (2 * blocks - F.col("g") - 1) / 2 + F.col("h")).cast("int")
-    counted = rows.repartitionById(blocks * (blocks + 1) // 2, cell).mapInArrow(_cell(block, blocks, evidence, PAIRS, ROWS), "x int, y int, n bigint, evidence array<bigint>")
+    counted = rows.repartitionById(blocks * (blocks + 1) // 2, cell).mapInArrow(_cell(strips, strip, blocks, evidence, PAIRS, ROWS), "x int, y int, n bigint, evidence array<bigint>")
     kind = T.ArrayType(lists.schema["unit"].dataType)
     return counted.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "n", F.col("evidence").cast(kind).alias("evidence"))
 
@@ -143,4 +179,4 @@ def counted_pairs(mentions: DataFrame, names: int, evidence: int) -> DataFrame:
     size = F.size("names").cast("bigint")
     held, pairs = lists.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.sum(size * (size - 1) / 2), F.lit(0.0))).first()
     whole = isinstance(lists.schema["unit"].dataType, T.IntegralType)
-    return by_cells(lists, names, evidence) if whole and pairs > held * max(BLOCKS, -(-names // BLOCK)) else by_rows(lists, evidence)
+    return by_cells(lists, names, held, evidence) if whole and pairs > held * _blocks(held) else by_rows(lists, evidence)

@@ -32,10 +32,11 @@ def shuffled(spark) -> int:
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
 
 
-@pytest.mark.parametrize("block, batch", [(2_048, 1 << 20), (5, 1 << 20), (5, 7)])
-def test_cells_count_as_brute_force_does(spark, monkeypatch, block, batch):
-    """Tables of one or several blocks, pairs made in one go or a few at once; units out of order, negative and at both ends of their kind."""
-    monkeypatch.setattr(pairs, "BLOCK", block)
+@pytest.mark.parametrize("strip, batch, held", [(1_536, 1 << 20, 1 << 26), (3, 1 << 20, 1 << 26), (3, 7, 250)])
+def test_cells_count_as_brute_force_does(spark, monkeypatch, strip, batch, held):
+    """One strip or several, pairs made in one go or a few at once, few blocks or more; units out of order, negative and at both ends of their kind."""
+    monkeypatch.setattr(pairs, "STRIP", strip)
+    monkeypatch.setattr(pairs, "HELD", held)
     monkeypatch.setattr(pairs, "PAIRS", batch)
     monkeypatch.setattr(pairs, "ROWS", 11)
     rng = random.Random(7)
@@ -45,7 +46,7 @@ def test_cells_count_as_brute_force_does(spark, monkeypatch, block, batch):
         mentions = [(u, min(int(rng.paretovariate(0.4)) - 1, names - 1)) for u in units for _ in range(rng.choice((1, 5, 30)))]
         lists = spark.createDataFrame(mentions, f"unit {kind}, id int").groupBy("unit").agg(F.collect_set("id").alias("names"))
         for evidence in (1, 3, 8):
-            out = pairs.by_cells(lists, names, evidence)
+            out = pairs.by_cells(lists, names, len(mentions), evidence)
             assert rows(out) == rows(pairs.by_rows(lists, evidence)) == brute(mentions, evidence)
             assert out.schema["evidence"].dataType.elementType.simpleString() == kind
 
